@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,11 +50,11 @@ def dropped(df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def per_batch(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
+def per_batch(df: DataFrame, schema: str | StructType, f: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
     """A row-local step in Python: f turns a batch into the output's columns. Batches are cut to slices of at most 512 rows, so that memory follows the texts and not the file."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    out = to_arrow_schema(_schema(df.sparkSession, schema))
+    out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,12 +65,6 @@ def per_batch(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], dict | N
     return df.mapInArrow(run, schema)
 
 
-def _schema(spark: SparkSession, ddl: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl)
-
-
 def n_words(text) -> F.Column:
     """Number of words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

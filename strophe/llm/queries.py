@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, simhash, sql
+from . import licenses, mixing, pii, secrets, simhash, sql
 from .common import table
+from .spans import summed_up
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,17 +16,25 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "fingerprint", "component_id")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summed_up(secrets.scan(table(spark, sf_dir, "documents")), secrets.KINDS[:3])
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summed_up(pii.scan(table(spark, sf_dir, "documents")), pii.KINDS)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.mix(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op7_licenses, op9_mixing)}
+    return {f.__name__: f for f in (op4_simhash, op5_secrets, op7_licenses, op8_pii, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

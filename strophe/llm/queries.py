@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, mixing, pii, secrets, simhash, sql
+from . import licenses, mixing, pii, secrets, simhash, sql, toxicity
 from .common import table
 from .spans import summed_up
 
@@ -33,8 +34,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    d = toxicity.score(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
+    return d.select("doc_id", F.round(F.col("probabilities")[0], 6).alias("p_low_quality"), F.round(F.col("probabilities")[1], 6).alias("p_toxic"), "toxic")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op5_secrets, op7_licenses, op8_pii, op9_mixing)}
+    return {f.__name__: f for f in (op4_simhash, op5_secrets, op7_licenses, op8_pii, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

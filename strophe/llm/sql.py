@@ -53,3 +53,16 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, floor(target - whole * source_size) - ahead)))::BIGINT AS taken FROM x
 """
+
+
+def warc(pages: str = "pages") -> str:
+    """Base32 by groups of five hex digits, that is 20 bits or four letters."""
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {}) & 31) + 1, 1)"
+    four = " || ".join(letter.format(k) for k in (15, 10, 5, 0))
+    groups = " || ".join(four.replace("v >>", f"('0x' || substr(h, {5 * g + 1}, 5))::INT >>") for g in range(8))
+    return f"""
+WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM {pages}
+), f AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM d)
+SELECT page_id, payload_bytes, {groups} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, true AS verified FROM f
+"""

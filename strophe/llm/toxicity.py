@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +28,31 @@ def words(text: str | None) -> set[bytes]:
     return set((text or "").lower().encode("utf-8", "replace").translate(_ENDS).split())
 
 
-def features(word: bytes) -> list[str]:
-    """What a word stands for: itself, and its beginnings of four to seven letters, which tell families of compounds."""
+def features(word: bytes) -> list[int]:
+    """What a word stands for, as 32-bit hashes: itself, and its beginnings of four to seven letters, which tell families of compounds."""
     w = word.decode("utf-8", "replace")
-    return ["=" + w, *(w[:n] for n in range(4, min(7, len(w)) + 1))]
+    parts = [b"=" + word, *(w[:n].encode() for n in range(4, min(7, len(w)) + 1))]
+    return [xxhash.xxh32_intdigest(p) for p in parts]
+
+
+class Features:
+    """The features of texts, with those of words met before at hand."""
+
+    def __init__(self, most: int = 200_000):
+        self.cache: dict[bytes, list[int]] = {}
+        self.most = most
+
+    def __call__(self, text: str | None) -> set[int]:
+        found: set[int] = set()
+        cache = self.cache
+        for w in words(text):
+            fs = cache.get(w)
+            if fs is None:
+                if len(cache) >= self.most:
+                    cache.clear()
+                fs = cache[w] = features(w)
+            found.update(fs)
+        return found
 
 
 @dataclass
@@ -38,7 +60,7 @@ class Chain:
     """The fitted models: a weight row for each feature, by link; the weight of each earlier link's probability; the biases, and the least probability of the last link that counts."""
 
     categories: tuple[str, ...]
-    weights: dict[str, np.ndarray] = field(default_factory=dict)
+    weights: dict[int, np.ndarray] = field(default_factory=dict)
     earlier: np.ndarray | None = None
     bias: np.ndarray | None = None
     threshold: float = 0.5
@@ -77,18 +99,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 1
     return w[:-1], float(w[-1])
 
 
-def _chosen(rows: list[list[str]], y: np.ndarray, most: int) -> list[str]:
-    """The features that tell the classes best: in four texts at least, by the signed square root of the likelihood ratio, both ways; ties by name."""
-    counts: dict[str, list[int]] = {}
-    for r, label in zip(rows, y):
-        for f in r:
-            counts.setdefault(f, [0, 0])[int(label)] += 1
-    names = sorted(f for f, c in counts.items() if sum(c) >= 4)
-    c = np.array([counts[f] for f in names], float).reshape(-1, 2)
+def _chosen(rows: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
+    """The features that tell the classes best: in four texts at least, by the log likelihood ratio times the root of their number, both ways; ties by hash. In order of the hash."""
+    everything = np.concatenate(rows)
+    names, at = np.unique(everything, return_inverse=True)
+    total = np.bincount(at, minlength=len(names)).astype(float)
+    with_1 = np.bincount(at, np.repeat(y, [len(r) for r in rows]), len(names))
     n = np.bincount(y.astype(int), minlength=2).astype(float)
-    rate = (c + 0.5) / (n + 1)
-    score = np.abs(np.log(rate[:, 1] / rate[:, 0])) * np.sqrt(c.sum(1))
-    return [names[k] for k in np.argsort(-score, kind="stable")[:most]]
+    score = np.abs(np.log((with_1 + 0.5) / (n[1] + 1)) - np.log((total - with_1 + 0.5) / (n[0] + 1))) * np.sqrt(total)
+    score[total < 4] = -1
+    best = np.argsort(-score, kind="stable")[:most]
+    return np.sort(names[best[score[best] >= 0]])
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -100,12 +121,12 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return min(0.5, float(p[order[fine[-1]]])) if len(fine) else 0.5
 
 
-def fit(rows: list[tuple[int, dict, set]], categories: tuple[str, ...] = CATEGORIES, most: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """Fits the chain on (fold number, labels, words) of labelled texts. Every link is fitted on the features and on the earlier links' probabilities out of fold: those that models of the other folds give. So a link learns how far to trust the earlier ones on texts that they have not seen. The last link's probabilities out of fold also set the threshold (_threshold).
+def fit(rows: list[tuple[int, dict, np.ndarray]], categories: tuple[str, ...] = CATEGORIES, most: int = FEATURES, folds: int = FOLDS) -> Chain:
+    """Fits the chain on (fold number, labels, hashes of the features) of labelled texts. Every link is fitted on the features and on the earlier links' probabilities out of fold: those that models of the other folds give. So a link learns how far to trust the earlier ones on texts that they have not seen. The last link's probabilities out of fold also set the threshold (_threshold).
 
     No rows, or a link with one class, give a link that says the class's share throughout.
     """
-    expanded = [sorted({f for w in ws for f in features(w)}) for _, _, ws in rows]
+    expanded = [r[2] for r in rows]
     fold = np.array([r[0] % folds for r in rows], int)
     n = len(categories)
     chain = Chain(categories, {}, np.zeros((n, n)), np.zeros(n))
@@ -117,10 +138,9 @@ def fit(rows: list[tuple[int, dict, set]], categories: tuple[str, ...] = CATEGOR
             seen = np.concatenate((seen, np.full((len(y), 1), y[:1].mean() if len(y) else 0, np.float32)), 1)
             continue
         names = _chosen(expanded, y, most)
-        at = {f: c for c, f in enumerate(names)}
         x = np.zeros((len(rows), len(names) + k), np.float32)
         for r, fs in enumerate(expanded):
-            x[r, [at[f] for f in fs if f in at]] = 1
+            x[r, np.flatnonzero(np.isin(names, fs))] = 1
         x[:, len(names) :] = seen
         out = np.zeros(len(y), np.float32)
         for f in range(folds):
@@ -131,15 +151,15 @@ def fit(rows: list[tuple[int, dict, set]], categories: tuple[str, ...] = CATEGOR
         seen = np.concatenate((seen, out[:, None]), 1)
         w, chain.bias[k] = _logistic(x, y)
         chain.earlier[k, :k] = w[len(names) :]
-        for f, c in at.items():
-            chain.weights.setdefault(f, np.zeros(n, np.float32))[k] = w[c]
+        for f, weight in zip(names.tolist(), w):
+            chain.weights.setdefault(f, np.zeros(n, np.float32))[k] = weight
         if k == n - 1:
             chain.threshold = _threshold(out, y)
     return chain
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample: int = SAMPLE) -> Chain:
-    """Fits the chain on at most `sample` labelled rows, which the driver gets as sets of words."""
+    """Fits the chain on at most `sample` labelled rows, which the driver gets as hashes of their features."""
     columns = [(F.lit(1) - F.col(c[4:]) if c.startswith("not ") else F.col(c)).cast("int").alias(f"l{k}") for k, c in enumerate(categories)]
     given = labels.select("doc_id", *columns).dropna().orderBy(F.xxhash64("doc_id"), "doc_id", *(f"l{k}" for k in range(len(categories)))).limit(sample)
     ids = [tuple(r) for r in given.collect()]  # `sample` rows at most
@@ -148,12 +168,15 @@ def fit_on(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CAT
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     names = [f"l{k}" for k in range(len(categories))]
 
+    of = Features()
+
     def f(b: pa.RecordBatch) -> dict:
-        return {"doc_id": b.column("doc_id"), "words": [sorted(words(t)) for t in b.column("text").to_pylist()]} | {c: b.column(c) for c in names}
+        found = [np.sort(np.fromiter(of(t), np.uint32)).tobytes() for t in b.column("text").to_pylist()]
+        return {"doc_id": b.column("doc_id"), "found": found} | {c: b.column(c) for c in names}
 
-    got = per_batch(texts, "doc_id long, words array<binary>, " + ", ".join(f"{c} int" for c in names), f).collect()
-    got.sort(key=lambda r: (r.doc_id, [r[c] for c in names], len(r.words)))
-    return fit([(r.doc_id, {c: r[f"l{k}"] for k, c in enumerate(categories)}, {bytes(w) for w in r.words}) for r in got], categories)
+    got = per_batch(texts, "doc_id long, found binary, " + ", ".join(f"{c} int" for c in names), f).collect()
+    rows = sorted((r.doc_id, [r[c] for c in names], bytes(r.found)) for r in got)
+    return fit([(i, dict(zip(categories, ls)), np.frombuffer(x, np.uint32)) for i, ls, x in rows], categories)
 
 
 def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataFrame:
@@ -163,21 +186,12 @@ def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataF
     """
     keep = keep or ["doc_id"]
     none = np.zeros(len(chain.categories), np.float32)
-    cache: dict[bytes, tuple] = {}
-    weights = chain.weights
+    of, weights = Features(), chain.weights
 
     def f(b: pa.RecordBatch) -> dict:
         sums = np.zeros((b.num_rows, len(none)), np.float64)
         for k, text in enumerate(b.column("text").to_pylist()):
-            found: set[str] = set()
-            for w in words(text):
-                fs = cache.get(w)
-                if fs is None:
-                    if len(cache) > 300_000:
-                        cache.clear()
-                    fs = cache[w] = tuple(x for x in features(w) if x in weights)
-                found.update(fs)
-            for x in sorted(found):
+            for x in sorted(of(text) & weights.keys()):
                 sums[k] += weights[x]
         p = chain.probabilities(sums)
         return {c: b.column(c) for c in keep} | {"probabilities": p.tolist(), "toxic": (p[:, -1] >= chain.threshold).astype(np.int32)}

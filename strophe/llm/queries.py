@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, mixing, pii, secrets, simhash, sql, toxicity, warc
+from . import decontam, htmltext, licenses, mixing, pii, secrets, simhash, sql, toxicity, warc
 from .common import table
 from .spans import summed_up
 
@@ -21,6 +21,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(warc.round_trip(table(spark, sf_dir, "pages")))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "fingerprint", "component_id")
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_warc, op4_simhash, op5_secrets, op7_licenses, op8_pii, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_warc, op3_html, op4_simhash, op5_secrets, op7_licenses, op8_pii, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, licenses, mixing, pii, secrets, simhash, sql, toxicity, warc
+from . import ann, decontam, htmltext, licenses, mixing, pii, secrets, simhash, sql, toxicity, warc
 from .common import table
 from .spans import summed_up
 
@@ -34,6 +34,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed_up(secrets.scan(table(spark, sf_dir, "documents")), secrets.KINDS[:3])
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_warc, op3_html, op4_simhash, op5_secrets, op7_licenses, op8_pii, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_warc, op3_html, op4_simhash, op5_secrets, op6_ann, op7_licenses, op8_pii, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

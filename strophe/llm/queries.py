@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": sql.warc(), "op7_licenses": sql.licenses(), "op9_mixing": sql.mixing()}
+    return {"op2_warc": sql.warc(), "op6_ann": sql.nearest(), "op7_licenses": sql.licenses(), "op9_mixing": sql.mixing()}

@@ -213,7 +213,7 @@ def matrix_rating(cells: DataFrame, sizes: DataFrame, keys: list[str], longest:
     return x.select(*keys, F.coalesce(F.try_divide(F.col("filled") / F.col("n") * F.log("length"), deviation / mean), F.lit(0.0)).alias("rating"))
 
 
-def closure(cells: DataFrame, comp: DataFrame, keys: list[str]) -> DataFrame:
+def closure(comp: DataFrame, keys: list[str]) -> DataFrame:
     """All cells (keys, i, j), i < j, between positions of one component: comp (keys, pos, comp)."""
     return comp.select(*keys, "comp", F.col("pos").alias("i")).join(comp.select(*keys, "comp", F.col("pos").alias("j")), [*keys, "comp"]).where("i < j").select(*keys, "i", "j")
 

@@ -2,52 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: A word is a run of anything but these six characters.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Where the session has none, as in tests, a folder of this machine is set once."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="strophe-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from ..sources.adapters import table
+from ..sources.storage import dropped, scratch, shared_dir, stored
 
+__all__ = ["WORD", "dropped", "n_words", "per_batch", "scratch", "shared_dir", "stored", "table"]
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read from there: later stages start from replicated files and not from lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table that stored() wrote and nobody needs any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(("file:", "/")) or "://" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+#: A word is a run of anything but these six characters.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def per_batch(df: DataFrame, schema: str | StructType, f: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:

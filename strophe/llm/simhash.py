@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components
 from .common import per_batch, stored
-from .components import components
 
 BITS = 64
 #: Shingles of one text that are counted at once, so that the longest text needs no more memory than this many hashes.

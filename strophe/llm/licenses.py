@@ -69,6 +69,7 @@ EQUIVALENT = [
     ("organisation", "organization"),
     ("recognise", "recognize"),
     ("sub license", "sublicense"),
+    ("sublicence", "sublicense"),
     ("whilst", "while"),
     ("wilful", "willful"),
     ("https", "http"),

@@ -16,12 +16,14 @@ SCALES = (2, 3, 5, 9)
 PIECE = (SCALES[-1] - 1) * BLOCK
 #: Rows of the sketch, and singular vectors kept.
 SKETCH, RANK = 192, 96
-#: Least cosine of a candidate.
-COSINE = 0.45
+#: Least cosine of a candidate, as a share of what a piece alone in a window of other words has: the root of its share of the window.
+COSINE = 0.6
 #: Least share of a piece's tokens that a candidate has in any order: a little less than what the check asks for in order, for windows that hold not all of it.
 COMMON = 0.5
 #: Least share of an item's tokens, in order, that is a leak by itself; and with the answer.
 VERBATIM, PARAPHRASE = 0.8, 0.6
+#: Items of fewer tokens leak only as a whole, word by word: a few frequent words in order are no sign of a leak.
+SHORT = 9
 #: Items that are searched for in one pass over the documents.
 AT_ONCE = 500
 _CUT = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -69,20 +71,22 @@ class Items:
         return [get(t, none) for t in ts]
 
     def fit(self, sketch: np.ndarray, df: np.ndarray, passages: int) -> None:
-        """From the sketch of the passages' counts (rows by vocabulary) and the passages that hold each word: inverse document frequencies, the singular vectors of the weighted sketch, and the items' vectors. Vectors are divided by their singular values, so that what all passages of a language share does not outweigh the rest."""
+        """From the sketch of the passages' counts (rows by vocabulary) and the passages that hold each word: inverse document frequencies, the singular vectors of the weighted sketch, and the items' vectors. Vectors are divided by their singular values, so that what all passages of a language share does not outweigh the rest, but by no less than the median of these, so that a rare word does not either."""
         d = len(self.vocabulary)
         self.idf = np.log((1 + passages) / (1 + df)) + 1e-3
         _, s, vt = np.linalg.svd(sketch * self.idf, full_matrices=False)
         kept = s[:RANK] > 1e-6 * max(s[:1], default=0)
-        basis = np.eye(d)[:, :RANK] if not kept.any() else vt[:RANK][kept].T / s[:RANK][kept]
+        basis = np.eye(d)[:, :RANK] if not kept.any() else vt[:RANK][kept].T / np.maximum(s[:RANK][kept], np.median(s[:RANK][kept]))
         self.latent = np.zeros((d + 1, max(1, basis.shape[1])), np.float32)  # the last row: words that no item has
         self.latent[:d] = self.idf[:, None] * basis * (float(s[0]) if kept.any() else 1)
         self.by_scale: list[tuple[np.ndarray, np.ndarray]] = []
         fits = [next((k for k, w in enumerate(SCALES) if len(ts) <= (w - 1) * BLOCK + 1), len(SCALES) - 1) for _, ts in self.pieces]
+        self.cosine = np.array([COSINE * min(1.0, len(ts) / (SCALES[f] * BLOCK)) ** 0.5 for (_, ts), f in zip(self.pieces, fits)])
         for k in range(len(SCALES)):
             own = [p for p, f in enumerate(fits) if f == k]
             q = np.array([self.latent[self.numbers(self.pieces[p][1])].sum(0) for p in own], np.float32).reshape(len(own), self.latent.shape[1])
-            self.by_scale.append((np.array(own, int), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)))
+            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+            self.by_scale.append((np.array(own, int), (q / self.cosine[own][:, None]).astype(np.float32)))
         bits = np.zeros((len(self.pieces), d + 1), np.uint64)  # where in a piece a word stands
         for k, (_, ts) in enumerate(self.pieces):
             for at, word in enumerate(self.numbers(ts)):
@@ -116,14 +120,14 @@ class Items:
                     window += rows[width : width + n]
                     width += 1
                 if len(own):
-                    least = COSINE * np.sqrt(np.einsum("ij,ij->i", window, window))
-                    dots = window @ q.T
-                    w, p = np.nonzero(dots >= np.maximum(least, 1e-9)[:, None])
+                    norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)
+                    dots = window @ q.T  # q is scaled so that the threshold is 1 times the window's norm
+                    w, p = np.nonzero(dots >= norm[:, None])
                     for w, p in self._plausible(part, own, scale, w, p):
                         block = at + w
                         doc = int(np.searchsorted(first, block, "right")) - 1
                         a = (block - int(first[doc])) * BLOCK
-                        out.setdefault((doc, self.pieces[own[p]][0]), []).append((float(dots[w, p] / least[w]) * COSINE, a, a + scale * BLOCK))
+                        out.setdefault((doc, self.pieces[own[p]][0]), []).append((float(dots[w, p] / norm[w]) * self.cosine[own[p]], a, a + scale * BLOCK))
         return out
 
     def _plausible(self, part: np.ndarray, own: np.ndarray, scale: int, w: np.ndarray, p: np.ndarray, at_once: int = 1 << 15) -> Iterator[tuple[int, int]]:
@@ -158,7 +162,11 @@ class Items:
                 if best[0] == n:
                     break
             common, found = best
-            if common >= VERBATIM * n or common >= PARAPHRASE * n and found >= 0.75 * len(self.answers[k]):
+            if n < SHORT:
+                whole = b" " + b" ".join(self.texts[k]) + b" "
+                if any(whole in b" " + b" ".join(docs[d][a:b]) + b" " for a, b in tried):
+                    out.append((d, k, max(w[0] for w in windows), n, n, len(self.answers[k])))
+            elif common >= VERBATIM * n or common >= PARAPHRASE * n and found >= 0.75 * len(self.answers[k]):
                 out.append((d, k, max(w[0] for w in windows), common, n, found))
         return out
 
@@ -239,7 +247,7 @@ LEAKS = "doc_id long, item_id long, cosine double, n_common int, n_item int, n_a
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each row of docs and each item that it leaks: doc_id, item_id, cosine (the candidate's best), n_common (tokens of the longest common subsequence), n_item (tokens of the item) and n_answer (common tokens of its answer).
 
-    Windows of every document, whatever its length, are compared with the items in latent space; what comes near is checked by the longest common subsequence: a leak has 0.8 of an item's tokens in order, or 0.6 of them and 0.75 of its answer's. The benchmark is a stated query set: it is walked in blocks of at most 500 items, with one pass for the latent space and one for the search each.
+    Windows of every document, whatever its length, are compared with the items in latent space; what comes near is checked by the longest common subsequence: a leak has 0.8 of an item's tokens in order, or 0.6 of them and 0.75 of its answer's; of items under nine tokens, all of them without a gap. The benchmark is a stated query set: it is walked in blocks of at most 500 items, with one pass for the latent space and one for the search each.
 
     Null and empty texts leak nothing; items without a word are never leaked; a null doc_id or item_id stays null. Repeated rows and repeated items give repeated results. Empty tables give none. Other columns do not matter.
     """

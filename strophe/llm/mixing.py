@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import n_words, stored
 
 #: Buckets that the order of a source's documents is cut into. Only the one bucket in which the target falls is put in order.
 BUCKETS = 4096
@@ -54,7 +54,7 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: t
     A null or empty text has size 0 and is taken 0 words; null sources form a source of their own, null doc_ids stand at one place of the order. Documents of one place share it by size: repeated rows with the same size are alike, so any order of them gives the same rows. An empty table gives none. Other columns do not matter.
     """
     d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("draw", draw_key(seed))
-    d = d.withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int"))
+    d = stored(d.withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int")), "sizes")  # the texts are read once
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))

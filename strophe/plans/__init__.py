@@ -1,6 +1,6 @@
 """Queries that apply the operators to whole tables, with SQL that gives the same rows."""
 
-from . import encoding, evolution, graphs, hierarchies, matrices, statistics
+from . import encoding, evolution, grammars, graphs, hierarchies, kernels, matrices, statistics
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "encoding", "evolution", "graphs", "hierarchies", "matrices", "statistics"]
+__all__ = ["QUERIES", "SQL", "encoding", "evolution", "grammars", "graphs", "hierarchies", "kernels", "matrices", "statistics"]

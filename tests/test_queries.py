@@ -32,8 +32,20 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     assert rows(df.columns, [tuple(x) for x in df.collect()]) == rows([d[0] for d in r.description], r.fetchall())
 
 
-def test_queries_without_sql_are_known():
-    assert set(plans.QUERIES) - set(plans.SQL) <= {"lowess", "lowess_loo_band"} | set(getattr(plans, "KERNELS", ()))
+KERNELS = {
+    "best_segments", "constrained_components", "filter_segments", "laplacian_labels", "lowess", "lowess_loo_band", "make_hierarchical", "most_salient", "optics_clusters", "pair_induction", "profile_msa", "section_layers",
+    "smith_waterman", "sw_similarity", "transitive_construction",
+}
+
+
+def test_queries_without_sql_are_sequential_algorithms():
+    assert set(plans.QUERIES) - set(plans.SQL) == KERNELS
+
+
+@pytest.mark.parametrize("name", sorted(KERNELS))
+def test_sequential_algorithms_give_rows_again_and_again(spark, name):
+    a, b = [sorted(map(str, plans.QUERIES[name](spark, SF).collect())) for _ in range(2)]
+    assert a and a == b
 
 
 def test_entry_imports_without_the_corpus_operators(tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,11 +37,11 @@ def features(word: bytes) -> list[int]:
 
 
 class Features:
-    """The features of texts, with those of words met before at hand."""
+    """The features of texts, all or those in `only`, with those of words met before at hand."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, only: dict | None = None, most: int = 200_000):
         self.cache: dict[bytes, list[int]] = {}
-        self.most = most
+        self.only, self.most = only, most
 
     def __call__(self, text: str | None) -> set[int]:
         found: set[int] = set()
@@ -50,8 +51,9 @@ class Features:
             if fs is None:
                 if len(cache) >= self.most:
                     cache.clear()
-                fs = cache[w] = features(w)
-            found.update(fs)
+                fs = cache[w] = [x for x in features(w) if self.only is None or x in self.only]
+            if fs:
+                found.update(fs)
         return found
 
 
@@ -179,28 +181,39 @@ def fit_on(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CAT
     return fit([(i, dict(zip(categories, ls)), np.frombuffer(x, np.uint32)) for i, ls, x in rows], categories)
 
 
-def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataFrame:
-    """For each row: doc_id (or the columns in `keep`), probabilities (an array in the order of the chain's categories) and toxic, 1 if the last one reaches the chain's threshold.
+def judged(texts: list[str | None], chain: Chain, of: Features) -> tuple[np.ndarray, np.ndarray]:
+    """The probabilities of texts (texts by links), and whether the last one reaches the threshold; of: the features that have weights."""
+    sums = np.zeros((len(texts), len(chain.categories)), np.float64)
+    for k, text in enumerate(texts):
+        for x in sorted(of(text)):
+            sums[k] += chain.weights[x]
+    p = chain.probabilities(sums)
+    return p, p[:, -1] >= chain.threshold
+
+
+def score(docs: DataFrame, chain: Chain) -> DataFrame:
+    """For each row: doc_id, probabilities (an array in the order of the chain's categories) and toxic, 1 if the last one reaches the chain's threshold.
 
     The whole text counts. Null and empty texts have no features, so they get the chain's word for nothing: the biases. Repeated rows stay, an empty table gives none, other columns do not matter. The weights (some thousand features, bounded by FEATURES a link) go to the tasks with the function.
     """
-    keep = keep or ["doc_id"]
-    none = np.zeros(len(chain.categories), np.float32)
-    of, weights = Features(), chain.weights
+    of = Features(chain.weights)
 
     def f(b: pa.RecordBatch) -> dict:
-        sums = np.zeros((b.num_rows, len(none)), np.float64)
-        for k, text in enumerate(b.column("text").to_pylist()):
-            for x in sorted(of(text) & weights.keys()):
-                sums[k] += weights[x]
-        p = chain.probabilities(sums)
-        return {c: b.column(c) for c in keep} | {"probabilities": p.tolist(), "toxic": (p[:, -1] >= chain.threshold).astype(np.int32)}
+        p, toxic = judged(b.column("text").to_pylist(), chain, of)
+        return {"doc_id": b.column("doc_id"), "probabilities": p.tolist(), "toxic": toxic.astype(np.int32)}
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return per_batch(docs, f"{fields}, probabilities array<double>, toxic int", f)
+    return per_batch(docs.select("doc_id", "text"), "doc_id long, probabilities array<double>, toxic int", f)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the chain rejects; all columns stay."""
-    columns = docs.columns
-    return score(docs, fit_on(docs, labels), columns).where("toxic = 0").select(*(f"`{c}`" for c in columns))
+    """docs without the rows that the chain rejects; all columns stay, whatever their names."""
+    chain = fit_on(docs, labels)
+    of = Features(chain.weights)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                yield part.filter(pa.array(~judged(part.column("text").to_pylist(), chain, of)[1]))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cosine
-from .sequences import framed, islands
+from .sequences import islands
 
 
 def lengths(seq: DataFrame, key: str = "seq_id") -> DataFrame:
@@ -73,10 +73,13 @@ def smoothed(cells: DataFrame, sizes: DataFrame, keys: list[str], radius: int) -
         return c.select(*keys, "i", "d", "raw")
     lines = c.select(*keys, "d").distinct().join(sizes, keys)
     spine = lines.select(*keys, "d", F.explode(F.sequence(F.greatest(F.lit(0), -F.col("d")), F.least(F.col("ni"), F.col("nj") - F.col("d")) - 1)).alias("i"))
-    v = spine.join(c, [*keys, "d", "i"], "left").withColumn("raw", F.coalesce("raw", F.lit(0)).cast("double"))
-    v = v.withColumn("once", F.greatest(framed(v, F.col("raw"), radius, "median", [*keys, "d"], "i"), F.col("raw")))
-    v = v.withColumn("v", framed(v, F.col("once"), radius, "median", [*keys, "d"], "i"))
-    return v.where("v > 0").select(*keys, "i", "d", F.col("raw").cast("int").alias("raw"))
+    v = spine.join(c, [*keys, "d", "i"], "left").withColumn("raw", F.coalesce("raw", F.lit(0)))
+    frame = Window.partitionBy(*keys, "d").orderBy("i").rowsBetween(-radius, radius)
+    # the median of an odd number of zeros and ones is one if more than half are
+    median = lambda x: F.when(F.count("*").over(frame) == 2 * radius + 1, (F.sum(x).over(frame) > radius).cast("int")).otherwise(F.col(x))
+    v = v.withColumn("once", F.greatest(median("raw"), F.col("raw")))
+    v = v.withColumn("v", median("once"))
+    return v.where("v > 0").select(*keys, "i", "d", "raw")
 
 
 def runs(cells: DataFrame, keys: list[str]) -> DataFrame:

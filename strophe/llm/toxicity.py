@@ -39,21 +39,25 @@ def features(word: bytes) -> list[int]:
 class Features:
     """The features of texts, all or those in `only`, with those of words met before at hand."""
 
-    def __init__(self, only: dict | None = None, most: int = 200_000):
-        self.cache: dict[bytes, list[int]] = {}
+    def __init__(self, only: dict | None = None, most: int = 300_000):
+        self.some: dict[bytes, list[int]] = {}
+        self.none: set[bytes] = set()
         self.only, self.most = only, most
 
     def __call__(self, text: str | None) -> set[int]:
         found: set[int] = set()
-        cache = self.cache
-        for w in words(text):
-            fs = cache.get(w)
+        for w in words(text) - self.none:
+            fs = self.some.get(w)
             if fs is None:
-                if len(cache) >= self.most:
-                    cache.clear()
-                fs = cache[w] = [x for x in features(w) if self.only is None or x in self.only]
-            if fs:
-                found.update(fs)
+                if len(self.some) + len(self.none) >= self.most:
+                    self.some.clear()
+                    self.none.clear()
+                fs = [x for x in features(w) if self.only is None or x in self.only]
+                if fs:
+                    self.some[w] = fs
+                else:
+                    self.none.add(w)
+            found.update(fs)
         return found
 
 

@@ -88,3 +88,62 @@ def test_nulls_empties_repeats_and_clashing_names(spark):
     kept = sorted(((r.doc_id, r.text, r.fp) for r in S.keep_first(df).collect()), key=str)
     assert kept == sorted([(1, "a b c d e f g", 1), (2, None, 1), (None, "hello world", None)], key=str)
     assert S.near_duplicates(df.limit(0)).collect() == [] == S.keep_first(df.limit(0)).collect()
+
+
+def jaccard(a, b, width=5):
+    grams = lambda t: {tuple(w[k : k + width]) for w in [t.lower().split()] for k in range(max(1, len(w) - width + 1))}
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b)
+
+
+def test_wide_fingerprint_in_slabs(monkeypatch):
+    text = " ".join(f"w{k * k % 97}" for k in range(2000)).encode()
+    whole = S.wide_fingerprint(text)
+    monkeypatch.setattr(S, "SLAB", 100)
+    assert np.array_equal(S.wide_fingerprint(text), whole)
+    assert int(whole[0]) == S.fingerprint(text, 5)
+    assert not S.wide_fingerprint(None).any() and S.wide_fingerprint(b"one").any()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ball_links_join_what_comparing_all_joins(seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 2**63, (30, 4), dtype=np.uint64)
+    fp = np.repeat(centres, rng.integers(1, 50, 30), axis=0)
+    for _ in range(14):
+        fp[np.arange(len(fp)), rng.integers(0, 4, len(fp))] ^= np.uint64(1) << rng.integers(0, 64, len(fp), dtype=np.uint64)
+    group = np.sort(rng.integers(0, 2, len(fp)))
+    a, b = S.ball_links(fp, group, 20)
+    mine, want = S._Sets(len(fp)), S._Sets(len(fp))
+    mine.join(a, b)
+    dist = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2)
+    want.join(*np.nonzero((dist <= 20) & (group[:, None] == group[None])))
+    apart = sum(len(set(mine.label[want.label == x].tolist())) - 1 for x in set(want.label.tolist()))
+    assert apart <= 0.02 * len(fp)  # a pair far apart in its first word and near in the rest is passed over
+    assert all(want.label[x] == want.label[y] for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("hot", [2000, 30])
+def test_near_copies_go_and_clean_documents_stay(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
+    r = np.random.default_rng(4)
+    vocab = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("a", "e", "i", "o", "u", "an", "er", "is", "on", "ul")]
+    text = lambda n: [vocab[k] for k in r.integers(0, len(vocab), n)]
+    docs, copies = [], {}
+    for k in range(60):
+        base = text(int(r.integers(40, 400)))
+        docs.append((len(docs), " ".join(base)))
+        first = docs[-1][0]
+        for _ in range(int(r.integers(0, 4)) if k else 90):
+            new = list(base)
+            for at in r.integers(0, len(new), max(1, len(new) // 100)):
+                new[at] = vocab[int(r.integers(0, len(vocab)))]
+            docs.append((len(docs), " ".join(new).upper() if r.random() < 0.3 else " ".join(new)))
+            if jaccard(docs[-1][1], docs[first][1]) >= 0.85:
+                copies[docs[-1][0]] = first
+    kept = {x.doc_id for x in S.keep_first(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    firsts = set(range(len(docs))) - set(copies)
+    assert len(kept & set(copies)) <= 0.03 * len(copies)
+    clean = {d for d in firsts if d not in copies.values() and all(jaccard(docs[d][1], t) < 0.5 for e, t in docs if e != d)}
+    assert clean and clean <= kept
+    assert set(copies.values()) <= kept

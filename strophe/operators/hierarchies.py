@@ -200,3 +200,19 @@ def content_labels(lab: DataFrame) -> DataFrame:
     mean = x.where("level < last").join(bottom, ["item", "pos"]).groupBy("item", "level", "label").agg(F.round(F.avg("bottom"), 9).alias("m"))
     rank = mean.withColumn("new", (F.dense_rank().over(Window.partitionBy("item", "level").orderBy("m")) - 1).cast("int"))
     return x.where("level < last").join(rank, ["item", "level", "label"]).select("item", "level", "pos", F.col("new").alias("label")).unionByName(x.where("level = last").select("item", "level", "pos", F.col("label").cast("int").alias("label")))
+
+
+def auto_labeled(hier: DataFrame) -> DataFrame:
+    """Whether of an item's first two levels just one has no label twice, adjacent equal ones counted once: (item, auto)."""
+    w = by_start(*SEGMENT)
+    h = hier.where("level < 2").withColumn("new", F.coalesce((F.col("label") != F.lag("label").over(w)).cast("int"), F.lit(1)))
+    g = h.groupBy(*SEGMENT).agg((F.count_distinct("label") == F.sum("new")).alias("alone"))
+    at = lambda k: F.coalesce(F.max(F.when(F.col("level") == k, F.col("alone").cast("int"))), F.lit(0))
+    return g.groupBy("item").agg((at(0) != at(1)).alias("auto"))
+
+
+def description_length(hier: DataFrame) -> DataFrame:
+    """The summed lengths of the distinct rules (a segment's label on its level, and its parts) of a monotonic hierarchy over the number of its segments: (item, dlength)."""
+    rules = children(hier).select("item", "level", "label", "parts").distinct()
+    size = rules.groupBy("item").agg(F.sum(F.size(F.split("parts", "\\|"))).alias("size"))
+    return hier.groupBy("item").agg(F.count("*").alias("n")).join(size, "item").select("item", (F.col("size") / F.col("n")).alias("dlength"))

@@ -229,3 +229,25 @@ def f_measure(cells: DataFrame, target: DataFrame, keys: list[str], beta: float
     s = u.groupBy(*keys).agg(F.sum(F.when(F.col("x") > 0, F.col("y")).otherwise(0.0)).alias("hit"), F.sum((F.col("x") > 0).cast("double")).alias("n"), F.sum("y").alias("total"))
     p, r = F.try_divide(F.col("hit"), F.col("n")), F.try_divide(F.col("hit"), F.col("total"))
     return s.select(*keys, p.alias("p"), r.alias("r"), F.try_divide((1 + beta * beta) * p * r, beta * beta * p + r).alias("f"))
+
+
+def components_of(feat: DataFrame, keys: list[str]) -> DataFrame:
+    """Vectors as rows (keys, k, v)."""
+    return feat.select(*keys, F.posexplode("vec").alias("k", "v"))
+
+
+def scaled(feat: DataFrame, key: str) -> DataFrame:
+    """Series of vectors (key, pos, vec) with each component scaled to 0 to 1 within its series, 0 where it is constant."""
+    f = components_of(feat, [key, "pos"])
+    w = Window.partitionBy(key, "k")
+    lo, hi = F.min("v").over(w), F.max("v").over(w)
+    s = f.withColumn("v", F.coalesce(F.try_divide(F.col("v") - lo, hi - lo), F.lit(0.0)))
+    return s.groupBy(key, "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("vec"))
+
+
+def median_bits(feat: DataFrame) -> DataFrame:
+    """Vectors as patterns (vec_id, bits): a one for each component above its median over all vectors."""
+    f = components_of(feat, ["vec_id"])
+    m = f.groupBy("k").agg(F.percentile("v", 0.5).alias("m"))  # a row for each component
+    b = f.join(F.broadcast(m), "k")
+    return b.groupBy("vec_id").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("k", (F.col("v") > F.col("m")).cast("int").alias("b")))), lambda x: x["b"].cast("string"))).alias("bits"))

@@ -7,11 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import redealt
+
 
 def relative(df: DataFrame, group: str = "grp", value: str = "value") -> DataFrame:
-    """The value over its group's mean. Means come from an aggregate that is summed up before the shuffle, so a very large group costs no more than others."""
+    """The value over its group's mean. Means come from an aggregate that is summed up before the shuffle, and are dealt anew for the join, so that Spark may split a very large group."""
     mean = df.groupBy(group).agg(F.avg(value).alias("_mean"))
-    return df.join(mean, group).withColumn(value, F.try_divide(value, F.col("_mean"))).drop("_mean")
+    return df.join(redealt(mean, group), group).withColumn(value, F.try_divide(value, F.col("_mean"))).drop("_mean")
 
 
 def average_same_dates(df: DataFrame, value: str = "value") -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import dropped, stored
+from ..sources.storage import dropped, redealt, stored
 from .sequences import by_pos, islands, mode
 
 #: Positions of a sequence that a node's number has room for.
@@ -22,15 +22,15 @@ def node(seq: Column, pos: Column) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """For edges (u, v) of longs: (node, root), a row for every node that has an edge, root the smallest node that can be reached.
 
-    Each round hangs larger neighbours on the smallest neighbour (large star), then the rest likewise (small star); the number of rounds grows with the logarithm of the longest path. A round's smallest neighbours are summed up before the shuffle; the joins that follow are plain equi-joins without an aggregate that needs their order, so that Spark may split a node with very many edges. Each round is written to the shared folder; nothing but two counts reaches the driver. Loops and repeated edges do not matter, nulls are left out; no edges give no rows.
+    Each round hangs larger neighbours on the smallest neighbour (large star), then the rest likewise (small star); the number of rounds grows with the logarithm of the longest path. A round's smallest neighbours are summed up before the shuffle; they are dealt anew for the joins that follow, above which no aggregate needs their order, so that Spark may split a node with very many edges. Each round is written to the shared folder; nothing but two counts reaches the driver. Loops and repeated edges do not matter, nulls are left out; no edges give no rows.
     """
     e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
     seen = _state(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(redealt(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = large.join(redealt(large.groupBy("u").agg(F.min("v").alias("m")), "u"), "u")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         new = stored(small.select("x.u", "x.v").where("u != v").distinct(), "edges")
         now = _state(new)
@@ -90,7 +90,7 @@ def structure_graph(columns: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def siatec(points: DataFrame) -> DataFrame:
-    """For the points (seq_id, pos, sym) of each sequence: every difference (dx, dy) of a point to a later one, in order of position and symbol, has a pattern, the points that it moves to points (n_points); n_translators counts the moves, zero and backwards ones too, that take the whole pattern to points. One sequence is one task's work."""
+    """For the points (seq_id, pos, sym) of each sequence: every difference (dx, dy) of a point to a later one, in order of position and symbol, has a pattern, the points that it moves to points (n_points); n_translators counts the moves, zero and backwards ones too, that take the whole pattern to points. Rows with a null are left out. One sequence is one task's work."""
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         p = np.unique(pdf[["pos", "sym"]].to_numpy(np.int64), axis=0)
@@ -112,7 +112,7 @@ def siatec(points: DataFrame) -> DataFrame:
             rows.append((int(pdf["seq_id"].iloc[0]), (v - dy) // wide, dy, len(at), len(moves)))
         return pd.DataFrame(rows, columns=["seq_id", "dx", "dy", "n_points", "n_translators"])
 
-    return points.select("seq_id", "pos", "sym").groupBy("seq_id").applyInPandas(f, "seq_id long, dx int, dy int, n_points int, n_translators int")
+    return points.select("seq_id", "pos", "sym").dropna().groupBy("seq_id").applyInPandas(f, "seq_id long, dx int, dy int, n_points int, n_translators int")
 
 
 def pattern_occurrences(seq: DataFrame, segs: DataFrame) -> DataFrame:

@@ -40,8 +40,8 @@ def smith_waterman(a: list, b: list, match: int = 3, gap: int = 5, ignore: tuple
 
 
 def packed(seq: DataFrame) -> DataFrame:
-    """Sequences as arrays: (seq_id, syms)."""
-    return seq.groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sym"))), lambda x: x["sym"]).alias("syms"))
+    """Sequences as arrays: (seq_id, syms). Rows with a null sequence, position or symbol are left out."""
+    return seq.dropna(subset=["seq_id", "pos", "sym"]).groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sym"))), lambda x: x["sym"]).alias("syms"))
 
 
 def local_alignments(seq: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -431,6 +431,8 @@ def optics(d: np.ndarray, least: int = 5, xi: float = 0.05) -> tuple[np.ndarray,
 
 def optics_clusters(d: np.ndarray, least: int = 5, steep: float = 1.5) -> np.ndarray:
     """Cluster numbers by cutting the reachability plot at `steep` times its median; -1 for what no cluster of `least` points has."""
+    if not len(d):
+        return np.empty(0, int)
     order, reach = optics(d, least)
     finite = reach[np.isfinite(reach)]
     cut = steep * np.median(finite) if len(finite) else 0.0
@@ -456,10 +458,10 @@ def per_sequence(seq: DataFrame, f, columns: str) -> DataFrame:
 
 
 def per_group(df: DataFrame, key: str, f, columns: str) -> DataFrame:
-    """Applies f(frame) to the rows of every key; it gives rows for the columns after the key. A key is one task's work."""
+    """Applies f(frame) to the rows of every key but null; it gives rows for the columns after the key. A key is one task's work."""
     names = [key, *[c.split()[0] for c in columns.split(", ")]]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(frame[key].iloc[0], *row) for row in f(frame)], columns=names)
 
-    return df.groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {columns}")
+    return df.where(F.col(key).isNotNull()).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {columns}")

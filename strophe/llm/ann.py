@@ -137,14 +137,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     Vectors are dealt by hash into shards of about 16,384, queries into blocks of about 1,024; every block meets every shard, which answers with its own k, and the best k of all remain. The score is computed on the original vectors, so the answer differs from the exact one only where no shard's search has looked at a vector: recall is measured in the tests.
 
-    Vectors that are null or zero, or hold null or non-finite components, take no part, and neither do null ids; all others must be of one length. If there are fewer than k others, all are given. Equal vectors collide alike and are verified together, so ties are exact among them. Repeated rows of vectors are answers of their own; repeated query ids give repeated answers. Empty tables give none. Other columns do not matter.
+    Vectors that are null or zero, or hold null or non-finite components, take no part, and neither do null ids or vectors of another length than the most frequent one (the smaller of equals). If there are fewer than k others, all are given. Equal vectors collide alike and are verified together, so ties are exact among them. Repeated rows of vectors are answers of their own; repeated query ids give repeated answers. Empty tables give none. Other columns do not matter.
     """
     spark = vectors.sparkSession
     clean = lambda d: d.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
     v, q = clean(vectors), clean(queries)
-    longest = v.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    if longest is None:
+    length = v.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).agg(F.max(F.struct("c", (-F.col("n")).alias("n")))).first()[0]
+    if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    v, q = (d.where(F.size("v") == -length["n"]) for d in (v, q))
+    longest = v.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     shards, blocks = _packed(v, SHARD, "shards"), _packed(q, QUERIES, "queries")
     n_shards, n_blocks = shards.count(), blocks.count()
     # a stated query set against all rows, in blocks: each block is repeated for each shard, and no row of one meets a row of the other before the shard's search

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.adapters import table
-from ..sources.storage import dropped, scratch, shared_dir, stored
+from ..sources.storage import dropped, redealt, scratch, shared_dir, stored
 
-__all__ = ["WORD", "dropped", "n_words", "per_batch", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["WORD", "dropped", "n_words", "per_batch", "redealt", "scratch", "shared_dir", "stored", "table"]
 
 #: A word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graphs import components
-from .common import per_batch, stored
+from .common import per_batch, redealt, stored
 
 BITS = 64
 #: Shingles of one text that are counted at once, so that the longest text needs no more memory than this many hashes.
@@ -70,7 +70,7 @@ def links(fps: DataFrame, budget: int = 4) -> DataFrame:
     """
     k = fps.select("fp", F.explode(_keys(budget, budget + 1)).alias("k")).select("fp", "k.m", "k.key")
     hot = k.groupBy("m", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("m", "key", F.lit(True).alias("hot"))
-    k = k.join(hot, ["m", "key"], "left")
+    k = k.join(redealt(hot, "m", "key"), ["m", "key"], "left")
     again = k.where("hot").select("fp").distinct().select("fp", F.explode(_keys(budget, 2 * budget)).alias("k")).select("fp", "k.m", "k.key")
     dealt = k.where("hot is null").select("fp", "m", "key").unionByName(again)
     dealt = dealt.repartition(F.col("m"), F.col("key")).sortWithinPartitions("m", "key", "fp")
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, seed: int
     distinct = d.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     by_root = distinct.join(groups(distinct.select("fp"), budget), "fp")
     least = by_root.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = by_root.join(least, "root").select("fp", "component_id")
+    ids = by_root.join(redealt(least, "root"), "root").select("fp", "component_id")
     return d.join(ids, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -254,7 +254,7 @@ def wide_links(fps: DataFrame, budget: int) -> DataFrame:
     one = F.array(*[F.struct(F.lit(k).alias("m"), x.alias("key")) for k, x in enumerate(b)])
     d = fps.select(*cols, F.explode(one).alias("k")).select(*cols, "k.m", "k.key")
     hot = d.groupBy("m", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("m", "key", F.lit(True).alias("hot"))
-    d = d.join(hot, ["m", "key"], "left")
+    d = d.join(redealt(hot, "m", "key"), ["m", "key"], "left")
     n = len(b)
     two = F.array(*[F.struct(F.lit(100 + n * i + j).alias("m"), (F.shiftleft(b[i], BLOCK_BITS) + b[j]).alias("key")) for i in range(n) for j in range(i)])
     again = d.where("hot").select(*cols).distinct().select(*cols, F.explode(two).alias("k")).select(*cols, "k.m", "k.key")
@@ -364,7 +364,7 @@ def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: i
     by_fp = d.groupBy(*WIDE_COLUMNS).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h")).alias("first")).withColumn("node", F.xxhash64(*WIDE_COLUMNS))
     roots = components(wide_links(by_fp.select("node", *WIDE_COLUMNS), bits_apart(similarity))).withColumnRenamed("node", "_node")
     by_root = by_fp.join(roots, F.col("node") == F.col("_node"), "left").select("first", F.coalesce("root", "node").alias("root"))
-    kept = by_root.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first._h").alias("_kept"))
-    docs = docs.withColumn("_h", h)
-    one = docs.join(kept, docs.doc_id.eqNullSafe(kept._id) & (F.col("_h") == F.col("_kept")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    kept = by_root.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("strophe kept id"), F.col("first._h").alias("strophe kept hash"))
+    docs = docs.withColumn("strophe hash", h)  # names with a space, so that no column of docs is lost
+    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("strophe kept id")) & (F.col("strophe hash") == F.col("strophe kept hash")), "left_semi")
+    return one.dropDuplicates(["doc_id", "strophe hash"]).drop("strophe hash")

@@ -51,7 +51,7 @@ def test_recall_of_nearest_neighbours(spark, monkeypatch):
 
 
 def test_odd_vectors_and_ties(spark):
-    rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, None]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [2.0, 0.0]), (6, [2.0, 0.0]), (9, [float("inf"), 0.0]), (None, [1.0, 1.0])]
+    rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, None]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [2.0, 0.0]), (6, [2.0, 0.0]), (9, [float("inf"), 0.0]), (None, [1.0, 1.0]), (10, [9.0]), (11, []), (40, [1.0, 1.0, 1.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [tuple(r) for r in ann.search(d, d.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 5, 2.0), (0, 2, 6, 2.0), (0, 3, 20, 1.0), (20, 1, 5, 2.0), (20, 2, 6, 2.0), (20, 3, 0, 1.0)]

@@ -85,6 +85,8 @@ def test_nulls_empties_repeats_and_clashing_names(spark):
     got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in S.near_duplicates(df).collect()), key=str)
     same = f"{plain_fingerprint('a b c d e f g'):016x}"
     assert got == sorted([(1, same, 1), (1, same, 1), (None, same, 1), (2, "0" * 16, 2), (None, "0" * 16, 2), (None, f"{plain_fingerprint('hello world'):016x}", None)], key=str)
+    df = df.withColumn("_h", df.fp).withColumn("_id", df.fp).withColumn("node", df.text)
+    assert S.keep_first(df).columns == df.columns
     kept = sorted(((r.doc_id, r.text, r.fp) for r in S.keep_first(df).collect()), key=str)
     assert kept == sorted([(1, "a b c d e f g", 1), (2, None, 1), (None, "hello world", None)], key=str)
     assert S.near_duplicates(df.limit(0)).collect() == [] == S.keep_first(df.limit(0)).collect()

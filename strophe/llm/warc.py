@@ -15,7 +15,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import redealt, scratch, stored
 
 #: Bytes of a payload that are held at once, in reading and writing.
 CHUNK = 1 << 20
@@ -34,13 +34,13 @@ def _header(value: str | None) -> str:
 def plan(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages as page_id, url, payload (bytes of the html; null: none), sha1 (hex) and refers_to.
 
-    Of pages with equal payloads of at least min_bytes bytes, the one with the largest page_id is the response and the others refer to it; all other pages have refers_to null. Equal payloads are those with the same SHA-1 and length. The largest page_id of each payload is found by an aggregate over digests alone, summed up before the shuffle; the join that brings it to the pages is a plain equi-join that Spark may split where one payload has very many copies. Repeated rows of the largest page_id are all responses; a null page_id never is one while another page has the payload.
+    Of pages with equal payloads of at least min_bytes bytes, the one with the largest page_id is the response and the others refer to it; all other pages have refers_to null. Equal payloads are those with the same SHA-1 and length. The largest page_id of each payload is found by an aggregate over digests alone, summed up before the shuffle; for the join that brings it to the pages it is dealt anew, so that Spark may split a payload that has very many copies. Repeated rows of the largest page_id are all responses; a null page_id never is one while another page has the payload.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     digest = pages.select("page_id", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n"))
     last = digest.where(F.col("n") >= min_bytes).groupBy("sha1", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("sha1").alias("_sha1"), F.col("n").alias("_n"), "first")
     p = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
-    p = p.join(last, (F.col("sha1") == F.col("_sha1")) & (F.octet_length("payload") == F.col("_n")), "left")
+    p = p.join(redealt(last, "_sha1", "_n"), (F.col("sha1") == F.col("_sha1")) & (F.octet_length("payload") == F.col("_n")), "left")
     return p.select("page_id", "url", "payload", "sha1", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, stored
+from .common import per_batch, redealt, stored
 
 #: Shares of each host's pages that are joined with its template apart from one another, so that a host with very many pages is no single task.
 SALT = 32
@@ -199,7 +199,7 @@ def templates(pages: DataFrame) -> DataFrame:
     t = p.mapInArrow(_token_rows, TOKENS).groupBy("host", "kind", "token").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.sum("n_pages").alias("n_pages"), F.sum("weight").alias("weight"))
     t = stored(t, "tokens")
     n = p.groupBy("host").agg(F.count("*").alias("pages"))
-    t = t.join(n, "host").where((F.col("n_pages") >= SUPPORT * F.col("pages")) | (F.col("kind") == 2))
+    t = t.join(redealt(n, "host"), "host").where((F.col("n_pages") >= SUPPORT * F.col("pages")) | (F.col("kind") == 2))
     heavy = t.where("kind = 2").groupBy("host").agg(F.max_by("token", F.struct("weight", "token")).alias("container"))
     frequent = t.where("kind < 2").groupBy("host", "kind", "low", "high").agg(F.first("n_pages").alias("n"), F.array_sort(F.collect_list("token")).alias("tokens"), F.first("pages").alias("pages"))
     classes = frequent.groupBy("host").agg(

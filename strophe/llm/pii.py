@@ -134,12 +134,12 @@ class Net:
     def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tags (steps, batch) for emissions (steps, batch, tags).
 
-        Windows in which no stretch of other tags can beat "nothing" are nothing throughout, without a search; that is exact. A stretch gains at most, at each step, the largest transition among other tags over that of nothing, less the lead of nothing's emission; and once, what entering and leaving it gains. So it is enough to look at the stretch with the largest sum.
+        Windows in which no stretch of other tags can beat "nothing" are nothing throughout, without a search; that is exact. A stretch gains at most, at each step, the largest transition among other tags over that of nothing, less the lead of nothing's emission; and once, what entering and leaving it gains, or one of both at an edge of the window. So it is enough to look at the stretch with the largest sum, and at the whole window, which neither enters nor leaves.
         """
         t = self.w["t"]
         e = np.ascontiguousarray(e.transpose(2, 0, 1))  # by tag
         inside, stay, enter, leave = t[1:, 1:].max(), t[0, 0], t[0, 1:].max(), t[1:, 0].max()
-        once = max(enter + leave - stay - inside, leave - inside, enter - inside, stay - inside)
+        once = max(enter + leave - stay - inside, leave - inside, enter - inside)
         gain = e[1]
         for x in e[2:]:
             gain = np.maximum(gain, x)
@@ -150,7 +150,7 @@ class Net:
             np.maximum(run, 0, out=run)
             run += g
             np.maximum(most, run, out=most)
-        some = np.flatnonzero(most + once > 0)
+        some = np.flatnonzero((most + once > 0) | (gain.sum(0) + (stay - inside) > 0))
         tags = np.zeros(e.shape[1:], np.uint8)
         if len(some):
             e = e[:, :, some]
@@ -263,11 +263,11 @@ def labelled_windows(n: int, steps: int, seed: int) -> tuple[list[str], np.ndarr
     others = [
         lambda: f"{num(2)}.{num(2)}", lambda: f"{r.integers(1900, 2030)}-{num(2)}-{num(2)}", lambda: "v" + ".".join(num(1) for _ in range(3)), lambda: f"${num(3)},{num(3)}", lambda: num(r.integers(1, 9)),
         lambda: "".join(pick("0123456789abcdef") for _ in range(40)), lambda: f'token = "{"".join(pick("0123456789abcdef") for _ in range(40))}"', lambda: f"{word()}: {num(4)} | {num(5)} |", lambda: f"@{word()}", lambda: f"{word()}/{num(4)}.{word()}",
-        lambda: f"({num(4)}) {word()}", lambda: f"{num(r.integers(1, 3))} at {word()} dot", lambda: f"({num(3)})", lambda: f"{num(3)}-{num(2)}", lambda: num(r.integers(20, 40)), lambda: f"ISBN {num(3)}-{num(1)}-{num(3)}",
+        lambda: f"({num(4)}) {word()}", lambda: f"{num(r.integers(1, 3))} at {word()} dot", lambda: f"({num(3)})", lambda: f"{num(3)}-{num(2)}", lambda: num(r.integers(20, 40)), lambda: pick(["at", "dot", "example", "com", "mail", "an at", "at the", "dot the"]), lambda: "| " + word(), lambda: word().upper() + "!!", lambda: f"ISBN {num(3)}-{num(1)}-{num(3)}",
     ]
     texts, tags = [], np.zeros((steps, n), np.uint8)
     for k in range(n):
-        letters = pick(["etaoinshrdlcumwfgypbvk", "etaoinshrdéèçêàùlucm", "enisratdhulcgmobwfkzäöüß", "eaosrnidlctumpbgvñíóá"])
+        letters = pick(["etaoinshrdlcumwfgypbvkxjqz", "etaoinshrdéèçêàùlucmxxvqj", "enisratdhulcgmobwfkzäöüßxjq", "eaosrnidlctumpbgvñíóáxjqzy"])
         noise = pick(["", "", "", "", "%%%", "###", "!!", "***"])
         text, upper = " " * int(r.integers(0, 3)), r.random() < 0.1
         while len(text) < steps:

@@ -36,18 +36,23 @@ def freq_trans_hist(seq: DataFrame) -> DataFrame:
     return share(one.unionByName(tuple_hist(seq, 2)), ["seq_id"])
 
 
+def song(seq: str = "seq_id", size: int = 50) -> Column:
+    """The song that a sequence is a version of, where tables do not say: `size` sequences with neighbouring ids."""
+    return F.floor(F.col(seq) / size)
+
+
 def chi2_distances(hist: DataFrame) -> DataFrame:
-    """Chi-squared distances of all pairs of sequences, itself included, over (seq_id, gram, n): (a, b, d). Only the bins that a sequence has are stored: over those that both have, the joined terms count; bins of one alone count n * n / (n + 1e-6), which is what the sum over all of a sequence's bins leaves when the common ones are taken off. So pairs meet on common bins and no vector is as wide as the dictionary."""
-    h = hist.select("seq_id", "gram", F.col("n").cast("double").alias("n"))
+    """Chi-squared distances of all pairs of sequences of a song, itself included, over (seq_id, gram, n): (song, a, b, d). Only the bins that a sequence has are stored: over those that both have, the joined terms count; bins of one alone count n * n / (n + 1e-6), which is what the sum over all of a sequence's bins leaves when the common ones are taken off. So pairs meet on common bins and no vector is as wide as the dictionary."""
+    h = hist.select(song().alias("song"), "seq_id", "gram", F.col("n").cast("double").alias("n"))
     alone = F.col("n") * F.col("n") / (F.col("n") + 1e-6)
-    total = h.groupBy("seq_id").agg(F.sum(alone).alias("all"))
-    a = h.select(F.col("seq_id").alias("a"), "gram", F.col("n").alias("x"))
-    b = h.select(F.col("seq_id").alias("b"), "gram", F.col("n").alias("y"))
+    total = h.groupBy("song", "seq_id").agg(F.sum(alone).alias("all"))
+    a = h.select("song", F.col("seq_id").alias("a"), "gram", F.col("n").alias("x"))
+    b = h.select("song", F.col("seq_id").alias("b"), "gram", F.col("n").alias("y"))
     of = lambda n: n * n / (n + 1e-6)
     x, y = F.col("x"), F.col("y")
-    common = a.join(b, "gram").groupBy("a", "b").agg(F.sum((x - y) * (x - y) / (x + y + 1e-6) - of(x) - of(y)).alias("both"))
-    pairs = total.select(F.col("seq_id").alias("a"), F.col("all").alias("ta")).crossJoin(total.select(F.col("seq_id").alias("b"), F.col("all").alias("tb")))
-    return pairs.join(common, ["a", "b"], "left").select("a", "b", (F.lit(0.5) * (F.col("ta") + F.col("tb") + F.coalesce("both", F.lit(0.0)))).alias("d"))
+    common = a.join(b, ["song", "gram"]).groupBy("a", "b").agg(F.sum((x - y) * (x - y) / (x + y + 1e-6) - of(x) - of(y)).alias("both"))
+    pairs = total.select("song", F.col("seq_id").alias("a"), F.col("all").alias("ta")).join(total.select("song", F.col("seq_id").alias("b"), F.col("all").alias("tb")), "song")
+    return pairs.join(common, ["a", "b"], "left").select("song", "a", "b", (F.lit(0.5) * (F.col("ta") + F.col("tb") + F.coalesce("both", F.lit(0.0)))).alias("d"))
 
 
 def entropy(df: DataFrame, keys: list[str], value: str, base: float = 2.0) -> DataFrame:
@@ -82,10 +87,10 @@ def onset_hist(onsets: DataFrame, grid: DataFrame, bins: int = 200) -> DataFrame
 
 
 def outlier_scores(distances: DataFrame) -> DataFrame:
-    """How many deviations of all distances a sequence's mean distance (to itself too) is from their mean: (seq_id, z). Deviations are of the population."""
-    mean = distances.groupBy("a").agg(F.avg("d").alias("m"))
-    total = distances.agg(F.avg("d").alias("mu"), F.stddev_pop("d").alias("sd"))
-    return mean.crossJoin(F.broadcast(total)).select(F.col("a").alias("seq_id"), F.abs(F.try_divide(F.col("m") - F.col("mu"), F.col("sd"))).alias("z"))
+    """How many deviations of all distances of its song a sequence's mean distance (to itself too) is from their mean: (seq_id, z). Deviations are of the population."""
+    mean = distances.groupBy("song", "a").agg(F.avg("d").alias("m"))
+    total = distances.groupBy("song").agg(F.avg("d").alias("mu"), F.stddev_pop("d").alias("sd"))
+    return mean.join(total, "song").select(F.col("a").alias("seq_id"), F.abs(F.try_divide(F.col("m") - F.col("mu"), F.col("sd"))).alias("z"))
 
 
 def reject_outliers(df: DataFrame, value: str, m: float = 2.0) -> DataFrame:
@@ -160,13 +165,13 @@ def multiset_overlap(seq: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def pairings(seq: DataFrame, partners: int = 20, seed: int = 3) -> DataFrame:
-    """Pairs (a, b), a < b, in which each sequence has at least `partners` others if there are so many: sequences in the order of a seeded hash, as a ring; each is paired with the next ones. The order is of ids, a row for each sequence."""
-    ids = seq.select("seq_id").distinct()
-    w = Window.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("seq_id").cast("string"))), "seq_id")
-    ring = ids.withColumn("k", F.row_number().over(w) - 1).crossJoin(F.broadcast(ids.agg(F.count("*").alias("n"))))
+    """Pairs (a, b), a < b, of a song's sequences in which each has at least `partners` others if there are so many: sequences in the order of a seeded hash, as a ring; each is paired with the next ones."""
+    ids = seq.select(song().alias("song"), "seq_id").distinct()
+    w = Window.partitionBy("song").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("seq_id").cast("string"))), "seq_id")
+    ring = ids.withColumn("k", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("song")))
     half = (partners + 1) // 2
-    step = ring.select(F.col("seq_id").alias("x"), "n", F.explode(F.sequence(F.lit(1), F.lit(half))).alias("s"), "k").where("s < n").select("x", F.pmod(F.col("k") + F.col("s"), F.col("n")).alias("k"))
-    p = step.join(ring.select(F.col("seq_id").alias("y"), "k"), "k")
+    step = ring.select("song", F.col("seq_id").alias("x"), "n", F.explode(F.sequence(F.lit(1), F.lit(half))).alias("s"), "k").where("s < n").select("song", "x", F.pmod(F.col("k") + F.col("s"), F.col("n")).alias("k"))
+    p = step.join(ring.select("song", F.col("seq_id").alias("y"), "k"), ["song", "k"])
     return p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 
 

@@ -12,7 +12,7 @@ _GRAM4 = "SELECT seq_id, sym || '-' || b || '-' || c || '-' || e AS gram, count(
 _GRAM2 = "SELECT seq_id, sym || '-' || b AS gram, count(*) AS n FROM (SELECT seq_id, sym, lead(sym) OVER (PARTITION BY seq_id ORDER BY pos) AS b FROM seq) WHERE b IS NOT NULL GROUP BY ALL"
 _CHI = """WITH h AS ({}), r AS (SELECT seq_id, gram, n / sum(n) OVER (PARTITION BY seq_id) AS n FROM h), ids AS (SELECT DISTINCT seq_id FROM r), g AS (SELECT DISTINCT gram FROM r),
 f AS (SELECT ids.seq_id, g.gram, coalesce(r.n, 0) AS n FROM ids CROSS JOIN g LEFT JOIN r ON r.seq_id = ids.seq_id AND r.gram = g.gram),
-dist AS (SELECT x.seq_id AS a, y.seq_id AS b, 0.5 * sum((x.n - y.n) ** 2 / (x.n + y.n + 1e-6)) AS d FROM f x JOIN f y ON x.gram = y.gram GROUP BY ALL)"""
+dist AS (SELECT x.seq_id AS a, y.seq_id AS b, 0.5 * sum((x.n - y.n) ** 2 / (x.n + y.n + 1e-6)) AS d FROM f x JOIN f y ON x.gram = y.gram AND x.seq_id // 50 = y.seq_id // 50 GROUP BY ALL)"""
 
 
 @query("SELECT seq_id, sym, count(*) AS n FROM seq GROUP BY ALL")
@@ -38,7 +38,7 @@ def freq_trans_hist(spark, d):
 @query(_CHI.format(_GRAM2) + " SELECT a, b, round(d, 6) + 0.0 AS d FROM dist")
 def chi2_matrix(spark, d):
     x = S.chi2_distances(S.tuple_hist(A.sequences(spark, d), 2, relative=True))
-    return x.withColumn("d", F.round("d", 6) + 0.0)
+    return x.select("a", "b", (F.round("d", 6) + 0.0).alias("d"))
 
 
 @query("SELECT seq_id, round(entropy(sym), 6) AS entropy FROM seq GROUP BY seq_id")
@@ -65,7 +65,7 @@ def onset_hist(spark, d):
     return S.onset_hist(A.grid(spark, d, "click"), A.grid(spark, d), 16).withColumn("n", F.round("n", 6))
 
 
-@query(_CHI.format(_GRAM2) + """, mean AS (SELECT a, avg(d) AS m FROM dist GROUP BY a), total AS (SELECT avg(d) AS mu, stddev_pop(d) AS sd FROM dist) SELECT a AS seq_id, round(abs((m - mu) / nullif(sd, 0)), 6) AS z FROM mean CROSS JOIN total""")
+@query(_CHI.format(_GRAM2) + """, mean AS (SELECT a, avg(d) AS m FROM dist GROUP BY a), total AS (SELECT a // 50 AS song, avg(d) AS mu, stddev_pop(d) AS sd FROM dist GROUP BY 1) SELECT a AS seq_id, round(abs((m - mu) / nullif(sd, 0)), 6) AS z FROM mean JOIN total ON song = a // 50""")
 def outlier_scores(spark, d):
     x = S.chi2_distances(S.tuple_hist(A.sequences(spark, d), 2, relative=True))
     return S.outlier_scores(x).withColumn("z", F.round("z", 6))
@@ -99,8 +99,8 @@ def double_time_choice(spark, d):
     return S.double_time_choice(A.sequences(spark, d), A.grid(spark, d), 0.0002, 0.0006)
 
 
-_PAIRS = """pairs AS (SELECT DISTINCT least(x.seq_id, y.seq_id) AS a, greatest(x.seq_id, y.seq_id) AS b FROM (SELECT seq_id, row_number() OVER (ORDER BY md5('3:' || seq_id), seq_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT seq_id FROM seq)) x
-CROSS JOIN (SELECT unnest(range(1, {0})) AS s) JOIN (SELECT seq_id, row_number() OVER (ORDER BY md5('3:' || seq_id), seq_id) - 1 AS k FROM (SELECT DISTINCT seq_id FROM seq)) y ON y.k = (x.k + s) % x.n WHERE s < x.n AND x.seq_id <> y.seq_id)"""
+_PAIRS = """pairs AS (SELECT DISTINCT least(x.seq_id, y.seq_id) AS a, greatest(x.seq_id, y.seq_id) AS b FROM (SELECT seq_id, row_number() OVER (PARTITION BY seq_id // 50 ORDER BY md5('3:' || seq_id), seq_id) - 1 AS k, count(*) OVER (PARTITION BY seq_id // 50) AS n FROM (SELECT DISTINCT seq_id FROM seq)) x
+CROSS JOIN (SELECT unnest(range(1, {0})) AS s) JOIN (SELECT seq_id, row_number() OVER (PARTITION BY seq_id // 50 ORDER BY md5('3:' || seq_id), seq_id) - 1 AS k FROM (SELECT DISTINCT seq_id FROM seq)) y ON y.k = (x.k + s) % x.n AND y.seq_id // 50 = x.seq_id // 50 WHERE s < x.n AND x.seq_id <> y.seq_id)"""
 
 
 @query(f"WITH {_PAIRS.format(11)} SELECT a, b FROM pairs")

@@ -446,6 +446,35 @@ def optics_clusters(d: np.ndarray, least: int = 5, steep: float = 1.5) -> np.nda
     return np.array([keep.get(c, -1) for c in lab.tolist()])
 
 
+def maximal_cliques(adjacency: np.ndarray) -> list[list[int]]:
+    """All sets of vertices, each joined to each, that no vertex can be added to: largest first, then by their vertices. A stack of (set, candidates, excluded) with pivots."""
+    near = [set(np.flatnonzero(row).tolist()) - {k} for k, row in enumerate((adjacency + adjacency.T) > 0)]
+    out, todo = [], [([], set(range(len(near))), set())]
+    while todo:
+        taken, left, gone = todo.pop()
+        if not left:
+            if not gone and taken:
+                out.append(sorted(taken))
+            continue
+        pivot = max(sorted(left | gone), key=lambda v: len(near[v] & left))
+        for v in sorted(left - near[pivot]):
+            todo.append(([*taken, v], left & near[v], gone & near[v]))
+            left = left - {v}
+            gone = gone | {v}
+    return sorted(out, key=lambda c: (-len(c), c))
+
+
+def simple_structure(target: np.ndarray, min_len: int = 4, min_dist: int = 4) -> list[tuple[list[int], list[int]]]:
+    """Label layers (labels, durations) of a sequence by its similarity matrix: a closed matrix near the target, its components as symbols, and the section dictionary of these."""
+    from .grammars import induce, section_layers
+
+    m = transitive_construction(target, min_dist, min_len)
+    first = m.astype(bool).argmax(1)  # the smallest position of a component
+    number = {v: k for k, v in enumerate(sorted(set(first.tolist())))}
+    left, sections, _ = induce([[number[v] for v in first.tolist()]])
+    return section_layers(left[0], sections)
+
+
 def per_sequence(seq: DataFrame, f, columns: str) -> DataFrame:
     """Applies f(symbols) to every sequence; it gives rows for the columns after seq_id."""
     names = ["seq_id", *[c.split()[0] for c in columns.split(", ")]]

@@ -25,7 +25,7 @@ def sw_similarity(spark, d):
 
 
 def _matrix(frame) -> np.ndarray:
-    n = int(max(frame["i"].max(), frame["j"].max())) + 1
+    n = int(max(frame["i"].max(), frame["j"].max())) + 1 if len(frame) else 0
     m = np.zeros((n, n))
     m[frame["i"], frame["j"]] = frame["v"] if "v" in frame else 1.0
     return m
@@ -99,3 +99,17 @@ def optics_clusters(spark, d):
         return [(int(i), int(c)) for i, c in zip(t.index, K.optics_clusters(dist))]
 
     return K.per_group(h, "song", f, "seq_id long, cluster int")
+
+
+@query()
+def maximal_cliques(spark, d):
+    cells = M.segment_cells(M.diag_segments(M.equality_cells(A.sequences(spark, d)), ["seq_id"]).where("len >= 4"), ["seq_id"])
+    return K.per_group(cells, "seq_id", lambda f: [(n, v) for n, c in enumerate(c for c in K.maximal_cliques(_matrix(f)) if len(c) > 2) for v in c], "clique int, pos int")
+
+
+@query()
+def simple_structure(spark, d):
+    def f(frame):
+        return [(n, k, lab, dur) for n, (labs, durs) in enumerate(K.simple_structure(np.maximum(_matrix(frame), 0))) for k, (lab, dur) in enumerate(zip(labs, durs))]
+
+    return K.per_group(M.ssm(A.features(spark, d), "label"), "label", f, "level int, ord int, sec int, duration int")

@@ -146,3 +146,19 @@ def test_lowess_of_a_line_is_the_line(spark):
         assert r.y == pytest.approx(2 * r.x + 1)
     one = spark.createDataFrame([("a", 1.0, 3.0)], "k string, x double, y double")
     assert [tuple(r) for r in E.lowess(one, "k").collect()] == [("a", 1.0, 3.0)]
+
+
+def test_maximal_cliques():
+    a = np.zeros((6, 6))
+    for i, j in [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (2, 4)]:
+        a[i, j] = 1
+    assert K.maximal_cliques(a) == [[0, 1, 2], [2, 3, 4], [5]]
+
+
+def test_structure_of_a_repetition():
+    t = np.zeros((24, 24))
+    for k in range(12):
+        t[k, k + 12] = 0.9
+    layers = K.simple_structure(t)
+    assert layers and all(sum(d) == 24 for _, d in layers)
+    assert layers[1][0] == layers[1][0][:2] * 2  # the last pair of a sequence never counts, so its last symbol stays by itself

@@ -33,8 +33,8 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
 
 
 KERNELS = {
-    "best_segments", "constrained_components", "filter_segments", "laplacian_labels", "lowess", "lowess_loo_band", "make_hierarchical", "most_salient", "optics_clusters", "pair_induction", "profile_msa", "section_layers",
-    "smith_waterman", "sw_similarity", "transitive_construction",
+    "best_segments", "constrained_components", "filter_segments", "laplacian_labels", "lowess", "lowess_loo_band", "make_hierarchical", "maximal_cliques", "most_salient", "optics_clusters", "pair_induction", "profile_msa", "section_layers",
+    "simple_structure", "smith_waterman", "sw_similarity", "transitive_construction",
 }
 
 

@@ -16,6 +16,8 @@ SCALES = (2, 3, 5, 9)
 PIECE = (SCALES[-1] - 1) * BLOCK
 #: Rows of the sketch, and singular vectors kept.
 SKETCH, RANK = 192, 96
+#: Numbers in a piece of the sketch; tasks add pieces up, some thousand of them, so that they are dealt evenly.
+PIECES = 512
 #: Least cosine of a candidate, as a share of what a piece alone in a window of other words has: the root of its share of the window.
 COSINE = 0.6
 #: Least share of a piece's tokens that a candidate has in any order: a little less than what the check asks for in order, for windows that hold not all of it.
@@ -202,13 +204,14 @@ def _sketch(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             new = np.concatenate((np.ones((len(ids), 1), bool), ids[:, 1:] != ids[:, :-1]), 1)
             total[SKETCH * (d + 1) : (SKETCH + 1) * (d + 1)] += np.bincount(ids[new], minlength=d + 1)
             total[(SKETCH + 1) * (d + 1)] += len(ids)
-    rows = total.reshape(SKETCH + 2, d + 1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH + 2), pa.int32()), pa.array(np.full(SKETCH + 2, TaskContext.get().partitionId() % 64), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["row", "part", "counts"])
+    cells = [total[at : at + PIECES] for at in range(0, len(total), PIECES)]
+    n = len(cells)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(np.full(n, TaskContext.get().partitionId() % 64), pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())], names=["piece", "part", "counts"])
 
 
 def _added(group: pa.Table) -> pa.Table:
     cells = [np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist()]
-    return pa.table({"row": group.column("row")[:1], "part": group.column("part")[:1], "counts": pa.array([sum(cells[1:], cells[0]).tobytes()], pa.binary())})
+    return pa.table({"piece": group.column("piece")[:1], "part": group.column("part")[:1], "counts": pa.array([sum(cells[1:], cells[0]).tobytes()], pa.binary())})
 
 
 def fitted(docs: DataFrame, rows: list[tuple[int, str]]) -> Items:
@@ -217,13 +220,15 @@ def fitted(docs: DataFrame, rows: list[tuple[int, str]]) -> Items:
     The decomposition is randomised: the rows of the matrix are added up, with random signs, to SKETCH rows, whose Gram matrix is that of all passages in expectation; the singular vectors are those of these few rows. Weights of words are factors of columns, so counts are sketched and weighted later, in one pass. Only words of the items have columns, as no other can make a passage more like an item. The tasks' sketches (SKETCH by vocabulary, whatever the documents) are added in two steps; the driver gets one.
     """
     items = Items(rows)
-    schema = "row int, part int, counts binary"
+    schema = "piece int, part int, counts binary"
     parts = docs.select("doc_id", "text").mapInArrow(lambda it: _sketch(items, it), schema)
-    summed = parts.groupBy("row", "part").applyInArrow(_added, schema).groupBy("row").applyInArrow(_added, schema).collect()
+    summed = parts.groupBy("piece", "part").applyInArrow(_added, schema).groupBy("piece").applyInArrow(_added, schema).collect()
     d = len(items.vocabulary)
-    counts = np.zeros((SKETCH + 2, d + 1), np.int64)
+    counts = np.zeros((SKETCH + 2) * (d + 1), np.int64)
     for r in summed:
-        counts[r.row] = np.frombuffer(r.counts, np.int64)
+        piece = np.frombuffer(r.counts, np.int64)
+        counts[r.piece * PIECES : r.piece * PIECES + len(piece)] = piece
+    counts = counts.reshape(SKETCH + 2, d + 1)
     items.fit(counts[:SKETCH, :d].astype(float), counts[SKETCH, :d].astype(float), int(counts[SKETCH + 1, 0]))
     return items
 

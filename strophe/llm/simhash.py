@@ -19,6 +19,8 @@ BITS = 64
 SLAB = 1 << 16
 #: Fingerprints in one group beyond which the group is dealt out again by longer keys.
 HOT = 2000
+#: The same for groups of wide fingerprints, which are compared in twos of parts of half this size.
+WIDE_HOT = 1 << 15
 _SPREAD = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
@@ -247,35 +249,34 @@ def _blocks() -> list[Column]:
 def wide_links(fps: DataFrame, budget: int) -> DataFrame:
     """For distinct wide fingerprints (f0 to f3, node): edges (u, v) between nodes that join what differs in at most `budget` bits and agrees in one of 20 blocks of 12 bits at least; of texts with a Jaccard similarity of 0.8 that is 96 %, of 0.9 nearly all.
 
-    A block is the top of a trie, dealt to one task. Groups of over HOT fingerprints are dealt out again by two blocks; there, pairs must agree in both.
+    A block is the top of a trie, dealt to one task. Groups of over WIDE_HOT fingerprints are cut into parts by a hash, and every two parts meet in a task; so the same pairs are compared, however full a block is. The list of such groups, which is broadcast, is no longer than the blocks have values.
     """
     cols = ["node", *WIDE_COLUMNS]
-    b = _blocks()
-    one = F.array(*[F.struct(F.lit(k).alias("m"), x.alias("key")) for k, x in enumerate(b)])
+    one = F.array(*[F.struct(F.lit(k).alias("m"), x.alias("key")) for k, x in enumerate(_blocks())])
     d = fps.select(*cols, F.explode(one).alias("k")).select(*cols, "k.m", "k.key")
-    hot = d.groupBy("m", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("m", "key", F.lit(True).alias("hot"))
-    d = d.join(redealt(hot, "m", "key"), ["m", "key"], "left")
-    n = len(b)
-    two = F.array(*[F.struct(F.lit(100 + n * i + j).alias("m"), (F.shiftleft(b[i], BLOCK_BITS) + b[j]).alias("key")) for i in range(n) for j in range(i)])
-    again = d.where("hot").select(*cols).distinct().select(*cols, F.explode(two).alias("k")).select(*cols, "k.m", "k.key")
-    dealt = d.where("hot is null").select(*cols, "m", "key").unionByName(again)
-    dealt = dealt.repartition(F.col("m"), F.col("key")).sortWithinPartitions("m", "key", "node")
+    hot = d.groupBy("m", "key").agg(F.count("*").alias("n")).where(F.col("n") > WIDE_HOT).select("m", "key", F.ceil(2 * F.col("n") / WIDE_HOT).cast("int").alias("parts"))
+    d = d.join(F.broadcast(hot), ["m", "key"], "left").withColumn("p", F.pmod(F.xxhash64("node", "m"), F.col("parts")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != F.col("p"))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    d = d.withColumn("k", F.explode(F.when(F.col("parts").isNull(), whole).otherwise(F.transform(others, lambda q: F.struct(F.least(q, "p").alias("i"), F.greatest(q, "p").alias("j"))))))
+    dealt = d.select(*cols, F.xxhash64("m", "key", "k.i", "k.j").alias("key"))
+    dealt = dealt.repartition(F.col("key")).sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list = []
         size = 0
 
-        def edges(m, key, node, *fp):
-            group = np.concatenate(([0], np.cumsum((m[1:] != m[:-1]) | (key[1:] != key[:-1]))))
+        def edges(key, node, *fp):
+            group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
             a, b = ball_links(np.stack(fp, 1).view(np.uint64), group, budget)
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["u", "v"])
 
         for batch in batches:
-            kept.append([batch.column(x).to_numpy(zero_copy_only=False) for x in ("m", "key", *cols)])
+            kept.append([batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", *cols)])
             size += batch.num_rows
             if size >= 1 << 18:
                 whole = list(map(np.concatenate, zip(*kept)))
-                same = (whole[0] == whole[0][-1]) & (whole[1] == whole[1][-1])
+                same = whole[0] == whole[0][-1]
                 cut = size - int(np.argmin(same[::-1])) if not same.all() else 0
                 if cut:
                     yield edges(*[x[:cut] for x in whole])
@@ -315,7 +316,9 @@ def ball_links(fp: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarr
     for lo, hi in _spans(first, last):
         left, right = [], []
         for a, b in zip(first[lo:hi].tolist(), last[lo:hi].tolist()):
-            if b - a > 1:
+            if b - a > 256:
+                _dense(fp, sets, near, a, b, min(budget, budget // fp.shape[1] + 12))
+            elif b - a > 1:
                 label = sets.label[a:b]
                 if b - a > 24:
                     values, counts = np.unique(label, return_counts=True)
@@ -333,6 +336,22 @@ def ball_links(fp: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarr
     return a, sets.label[a]
 
 
+def _dense(fp: np.ndarray, sets: _Sets, near, a: int, b: int, most: int, at_once: int = 1 << 21) -> None:
+    """Compares the rows of one large group that are not in its largest component with all, by their first words as a table."""
+    label = sets.label[a:b]
+    values, counts = np.unique(label, return_counts=True)
+    core = label == values[counts.argmax()]
+    rows = np.concatenate([np.flatnonzero(core), np.flatnonzero(~core)]) + a
+    word, at = fp[rows, 0], int(core.sum())
+    while at < len(rows):
+        to = min(len(rows), at + max(1, at_once // len(rows)))
+        x, y = np.nonzero(np.bitwise_count(word[at:to, None] ^ word[None, :to]) <= most)
+        x, y = rows[x + at], rows[y]
+        new = sets.label[x] != sets.label[y]
+        sets.join(*near(x[new], y[new]))
+        at = to
+
+
 def _spans(first: np.ndarray, last: np.ndarray, pairs: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Stretches of groups with about so many pairs of rows at most, or one group."""
     size = np.cumsum((last - first) ** 2)

@@ -149,3 +149,31 @@ def test_near_copies_go_and_clean_documents_stay(spark, monkeypatch, hot):
     clean = {d for d in firsts if d not in copies.values() and all(jaccard(docs[d][1], t) < 0.5 for e, t in docs if e != d)}
     assert clean and clean <= kept
     assert set(copies.values()) <= kept
+
+
+def test_pairs_that_share_one_crowded_block_are_joined(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    fp = rng.integers(0, 2**63, (300, 4), dtype=np.uint64)
+    low = np.uint64((1 << S.BLOCK_BITS) - 1)
+    fp[:, 0] &= ~low  # all in one block's group
+    copies = fp[:100].copy()
+    for w in range(4):  # a bit of every block but that one
+        for k in range(S.BLOCKS):
+            if w or k:
+                copies[:, w] ^= np.uint64(1) << np.uint64(S.BLOCK_BITS * k)
+    both = np.concatenate([fp, copies]).view(np.int64)
+    df = spark.createDataFrame([(n, *map(int, f)) for n, f in enumerate(both)], "node long, f0 long, f1 long, f2 long, f3 long").cache()
+    for name in ("HOT", "WIDE_HOT"):
+        monkeypatch.setattr(S, name, 40)
+    assert {(min(r), max(r)) for r in S.wide_links(df, 45).collect()} == {(k, 300 + k) for k in range(100)}
+
+
+def test_large_groups_are_joined_as_comparing_all_joins():
+    rng = np.random.default_rng(5)
+    fp = np.repeat(rng.integers(0, 2**63, (400, 4), dtype=np.uint64), rng.integers(1, 4, 400), axis=0)
+    for _ in range(8):
+        fp[np.arange(len(fp)), rng.integers(0, 4, len(fp))] ^= np.uint64(1) << rng.integers(0, 64, len(fp), dtype=np.uint64)
+    mine, want = S._Sets(len(fp)), S._Sets(len(fp))
+    mine.join(*S.ball_links(fp, np.zeros(len(fp), int), 20))
+    want.join(*np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) <= 20))
+    assert np.array_equal(mine.label, want.label)

@@ -205,26 +205,40 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, seed: int
 # Near copies by similarity ---------------------------------------------------------------------
 
 #: Words of 64 bits of a wide fingerprint, and the bits and number of the blocks of each word that deal fingerprints out.
-WIDE, BLOCK_BITS, BLOCKS = 4, 12, 5
+WIDE, BLOCK_BITS, BLOCKS = 4, 10, 6
+#: Texts of candidates that are compared in one task; larger components are compared in parts.
+VERIFIED = 1000
+#: Texts of a component that every part has, so that near copies in different parts are joined through them.
+ANCHORS = 8
 #: Odd multipliers that make further words out of a shingle's hash.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 WIDE_COLUMNS = [f"f{k}" for k in range(WIDE)]
 
 
-def wide_fingerprint(text: bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
-    """A SimHash of 256 bits over the word shingles; fewer words than `width`: of the whole sequence; none, or null: 0."""
+def _shingles(text: bytes | None, width: int, seed: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's word shingles, SLAB at a time; fewer words than `width`: of the whole sequence; none, or null: nothing."""
     words = (text or b"").lower().split()
     if not words:
-        return np.zeros(WIDE, np.uint64)
+        return
     width = min(width, len(words))
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = len(words) - width + 1
-    of, counts = xxhash.xxh64_intdigest, np.zeros((WIDE, BITS), np.int64)
+    n, of = len(words) - width + 1, xxhash.xxh64_intdigest
     for at in range(0, n, SLAB):
         to = min(n, at + SLAB)
-        h = np.array([of(joined[s:e], seed) for s, e in zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist())], np.uint64)
+        yield np.array([of(joined[s:e], seed) for s, e in zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist())], np.uint64)
+
+
+def shingle_set(text: bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingles(text, width, seed)]))
+
+
+def _wide(slabs) -> np.ndarray:
+    counts, n = np.zeros((WIDE, BITS), np.int64), 0
+    for h in slabs:
+        n += len(h)
         for w in range(WIDE):
             x = h if not w else (h ^ (h >> np.uint64(31))) * _MIX[w - 1]
             x = x ^ (x >> np.uint64(29)) if w else x
@@ -234,11 +248,21 @@ def wide_fingerprint(text: bytes | None, width: int = 5, seed: int = 42) -> np.n
     return np.packbits((2 * counts > n).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
+def wide_fingerprint(text: bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """A SimHash of 256 bits over the word shingles; fewer words than `width`: of the whole sequence; none, or null: 0."""
+    return _wide(_shingles(text, width, seed))
+
+
+def set_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The same over a set of shingles, each of which counts once, as in a Jaccard similarity."""
+    return _wide(shingles[k : k + SLAB] for k in range(0, len(shingles), SLAB))
+
+
 def bits_apart(similarity: float) -> int:
-    """How many of the bits of wide fingerprints texts of a Jaccard similarity differ in, with a deviation more. Sets of the similarity j share 2 j / (1 + j) of their shingles, which is the cosine; a bit differs with a chance of the angle over pi."""
+    """How many of the bits of wide fingerprints texts of a Jaccard similarity differ in, with three deviations more. Sets of the similarity j share 2 j / (1 + j) of their shingles, which is the cosine; a bit differs with a chance of the angle over pi."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     n = WIDE * BITS
-    return int(round(n * p + (n * p * (1 - p)) ** 0.5))
+    return int(round(n * p + 3 * (n * p * (1 - p)) ** 0.5))
 
 
 def _blocks() -> list[Column]:
@@ -247,7 +271,7 @@ def _blocks() -> list[Column]:
 
 
 def wide_links(fps: DataFrame, budget: int) -> DataFrame:
-    """For distinct wide fingerprints (f0 to f3, node): edges (u, v) between nodes that join what differs in at most `budget` bits and agrees in one of 20 blocks of 12 bits at least; of texts with a Jaccard similarity of 0.8 that is 96 %, of 0.9 nearly all.
+    """For distinct wide fingerprints (f0 to f3, node): edges (u, v) between nodes that join what differs in at most `budget` bits and agrees in one of 24 blocks of 10 bits at least; of texts with a Jaccard similarity of 0.8 that is 99 %, of 0.9 nearly all.
 
     A block is the top of a trie, dealt to one task. Groups of over WIDE_HOT fingerprints are cut into parts by a hash, and every two parts meet in a task; so the same pairs are compared, however full a block is. The list of such groups, which is broadcast, is no longer than the blocks have values.
     """
@@ -367,23 +391,119 @@ def _apart(sets: _Sets, near, left: list, right: list) -> None:
         sets.join(*near(a[new], b[new]))
 
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted) have at least this Jaccard similarity; empty sets are alike."""
+    small, large = sorted((len(a), len(b)))
+    if small < similarity * large:
+        return False
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (small + large - common) - 1e-9
+
+
+def set_links(fp: np.ndarray, sets: list[np.ndarray], label: np.ndarray, asks: np.ndarray, budget: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows of at least this similarity that join what such pairs join: of rows at most `budget` bits apart, one of which asks, and whose labels are not one yet. Nearest rows are tried first."""
+    label, out = label.copy(), []
+    for x in np.flatnonzero(asks).tolist():
+        dist = np.bitwise_count(fp ^ fp[x]).sum(1)
+        near = np.flatnonzero((dist <= budget) & (label != label[x]) & (~asks | (np.arange(len(fp)) > x)))
+        for y in near[np.argsort(dist[near], kind="stable")].tolist():
+            if label[y] != label[x] and similar(sets[x], sets[y], similarity):
+                label[label == label[y]] = label[x]
+                out.append((x, y))
+    return out
+
+
+def _set_edges(rows: DataFrame, width: int, seed: int, budget: int, similarity: float) -> DataFrame:
+    """Edges (u, v) of set_links in every group of rows (g, node, label, asks, f0 to f3, text)."""
+    cols = ["g", "node", "label", "asks", *WIDE_COLUMNS]
+
+    def edges(node, label, asks, fp, sets) -> list:
+        return [(node[a], node[b]) for a, b in set_links(np.array(fp, np.int64).view(np.uint64), sets, np.array(label, np.int64), np.array(asks, bool), budget, similarity)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, found, kept = None, [], ([], [], [], [], [])
+        for b in batches:
+            for g, node, label, asks, *fp, text in zip(*(b.column(c).to_pylist() for c in (*cols, "text"))):
+                if g != group:
+                    found += edges(*kept) if len(kept[0]) > 1 else []
+                    group, kept = g, ([], [], [], [], [])
+                if not kept[0] or kept[0][-1] != node:  # repeated rows
+                    for x, value in zip(kept, (node, label, asks, fp, shingle_set(text, width, seed))):
+                        x.append(value)
+            if len(found) > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
+                found = []
+        found += edges(*kept) if len(kept[0]) > 1 else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
+
+    return rows.repartition(F.col("g")).sortWithinPartitions("g", "node", F.desc("asks")).select(*cols, "text").mapInArrow(run, "u long, v long")
+
+
+def _parts(n: Column) -> Column:
+    return F.ceil(n / VERIFIED).cast("int")
+
+
+def verified_links(members: DataFrame, with_text, width: int, seed: int, budget: int, similarity: float) -> DataFrame:
+    """For members (node, root, f0 to f3) of components of candidates: edges (u, v) between texts of at least this Jaccard similarity, that join what all such pairs of a component at most `budget` bits apart join. with_text adds the texts to rows of members.
+
+    A component of up to VERIFIED texts is compared in one task. A larger one is cut into parts by a hash, to each of which ANCHORS texts are added. Then all that are still not in the component's largest set are compared with all of the component, part by part; near copies are mostly in that set by then, so a large family does not cost its square.
+    """
+    n = members.groupBy("root").agg(F.count("*").alias("n"))
+    m = members.join(redealt(n, "root"), "root")
+    anchors = m.where(F.col("n") > VERIFIED).groupBy("root").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("node"), F.col("n")) < 4 * ANCHORS, F.col("node")))), 1, ANCHORS).alias("anchors"))
+    m = stored(m.join(redealt(anchors, "root"), "root", "left"), "members")
+    p = F.pmod(F.xxhash64("node"), _parts(F.col("n"))).cast("int")
+    to = F.when(F.array_contains("anchors", F.col("node")), F.sequence(F.lit(0), _parts(F.col("n")) - 1)).otherwise(F.array(p))
+    rows = with_text(m).withColumn("p", F.explode(to))
+    fps = [*WIDE_COLUMNS, "text"]
+    first = stored(_set_edges(rows.select(F.xxhash64("root", "p").alias("g"), "node", F.col("node").alias("label"), F.lit(True).alias("asks"), *fps), width, seed, budget, similarity), "links")
+    large = m.where(F.col("n") > VERIFIED)
+    if large.isEmpty():
+        return first
+    found = components(first).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    large = stored(large.join(found, F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("_root", "node")).drop("_node", "_root"), "members")
+    most = large.groupBy("root", "label").agg(F.count("*").alias("k")).groupBy("root").agg(F.max(F.struct("k", "label")).alias("core"))
+    large = large.join(redealt(most.select("root", F.col("core.label").alias("core"), F.col("core.k").alias("k")), "root"), "root").where("k < n").withColumn("p", p)
+    q = F.sequence(F.lit(0), _parts(F.col("n")) - 1)
+    here = F.sequence(F.lit(0), _parts(F.col("n") - F.col("k")) - 1)
+    asking = F.pmod(F.xxhash64("node", F.lit(1)), _parts(F.col("n") - F.col("k"))).cast("int")
+    to = F.transform(here, lambda i: F.struct(i.alias("i"), F.col("p").alias("j"), F.lit(False).alias("asks")))
+    to = F.when(F.col("label") == F.col("core"), to).otherwise(F.concat(to, F.transform(q, lambda j: F.struct(asking.alias("i"), j.alias("j"), F.lit(True).alias("asks")))))
+    rows = with_text(large).withColumn("to", F.explode(to))
+    rest = _set_edges(rows.select(F.xxhash64("root", "to.i", "to.j").alias("g"), "node", "label", "to.asks", *fps), width, seed, budget, similarity)
+    return first.unionByName(rest)
+
+
 def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest doc_id (null last, then the smaller hash of the text); of exactly repeated rows one. All columns stay.
 
-    Near copies have SimHashes of 256 bits, over shingles of five words, that differ in no more bits than texts of a Jaccard similarity of 0.8 do, with a deviation more (bits_apart); a group is what steps between near copies lead to. Fingerprints of 64 bits are too coarse for that: at 0.8 they differ in ten bits on average. Null and empty texts are copies of one another.
+    Near copies have a Jaccard similarity of at least `similarity` over their sets of five-word shingles; a group is what steps between near copies lead to. Candidates are found by SimHashes of the sets, of 256 bits, that differ in no more bits than texts of that similarity do, with three deviations more (bits_apart), and agree in a block (wide_links). All pairs of a component of candidates within these bits are verified by their sets, if steps do not join them anyway (verified_links). Fingerprints of 64 bits are too coarse for that: at 0.8 they differ in ten bits on average. Null and empty texts are copies of one another.
     """
     h = F.xxhash64("text")
 
     def f(b: pa.RecordBatch) -> dict:
-        fp = np.array([wide_fingerprint(x, width, seed) for x in b.column("text").to_pylist()], np.uint64).reshape(-1, WIDE).view(np.int64)
-        return {"doc_id": b.column("doc_id"), "_h": b.column("_h")} | {c: pa.array(np.ascontiguousarray(fp[:, k])) for k, c in enumerate(WIDE_COLUMNS)}
+        sets = [shingle_set(x, width, seed) for x in b.column("text").to_pylist()]
+        fp = np.array([set_fingerprint(x) for x in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+        node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+        return {"doc_id": b.column("doc_id"), "_h": b.column("_h"), "node": pa.array(node)} | {c: pa.array(np.ascontiguousarray(fp[:, k])) for k, c in enumerate(WIDE_COLUMNS)}
 
-    schema = "doc_id long, _h long, " + ", ".join(f"{c} long" for c in WIDE_COLUMNS)
+    schema = "doc_id long, _h long, node long, " + ", ".join(f"{c} long" for c in WIDE_COLUMNS)
     d = stored(per_batch(docs.select("doc_id", F.col("text").cast("binary").alias("text"), h.alias("_h")), schema, f), "fingerprints")
-    by_fp = d.groupBy(*WIDE_COLUMNS).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h")).alias("first")).withColumn("node", F.xxhash64(*WIDE_COLUMNS))
-    roots = components(wide_links(by_fp.select("node", *WIDE_COLUMNS), bits_apart(similarity))).withColumnRenamed("node", "_node")
-    by_root = by_fp.join(roots, F.col("node") == F.col("_node"), "left").select("first", F.coalesce("root", "node").alias("root"))
-    kept = by_root.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("strophe kept id"), F.col("first._h").alias("strophe kept hash"))
-    docs = docs.withColumn("strophe hash", h)  # names with a space, so that no column of docs is lost
-    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("strophe kept id")) & (F.col("strophe hash") == F.col("strophe kept hash")), "left_semi")
-    return one.dropDuplicates(["doc_id", "strophe hash"]).drop("strophe hash")
+    by_set = d.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "_h")).alias("first"), *[F.first(c).alias(c) for c in WIDE_COLUMNS])
+    by_set = stored(by_set, "sets")
+    budget = bits_apart(similarity)
+    candidates = components(wide_links(by_set.select("node", *WIDE_COLUMNS), budget)).withColumnRenamed("node", "_node")
+    members = by_set.join(candidates, F.col("node") == F.col("_node")).select("node", "root", "first.*", *WIDE_COLUMNS)
+    key = ["strophe no id", "strophe id", "strophe hash"]  # names with a space, so that no column of docs is lost
+    docs = docs.withColumns({key[0]: F.col("doc_id").isNull(), key[1]: F.coalesce("doc_id", F.lit(0)), key[2]: h})
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        texts = docs.select(F.col(key[0]).alias("no_id"), F.col(key[1]).alias("id"), F.col(key[2]).alias("_h"), F.col("text").cast("binary").alias("text"))
+        return texts.join(rows, ["no_id", "id", "_h"])
+
+    roots = components(verified_links(members, with_text, width, seed, budget, similarity)).withColumnRenamed("node", "_node")
+    by_root = by_set.join(roots, F.col("node") == F.col("_node"), "left").select("first", F.coalesce("root", "node").alias("root"))
+    kept = by_root.groupBy("root").agg(F.min("first").alias("first")).select(*[F.col(f"first.{a}").alias(b) for a, b in zip(("no_id", "id", "_h"), key)])
+    return docs.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)

@@ -177,3 +177,53 @@ def test_large_groups_are_joined_as_comparing_all_joins():
     mine.join(*S.ball_links(fp, np.zeros(len(fp), int), 20))
     want.join(*np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) <= 20))
     assert np.array_equal(mine.label, want.label)
+
+
+def near_pairs(seed, n, least, most):
+    """Pairs of texts whose similarity lies in a range, with that similarity."""
+    r, out = np.random.default_rng(seed), []
+    while len(out) < n:
+        base = [f"w{k}" for k in r.integers(0, 5000, int(r.integers(80, 300)))]
+        new = list(base)
+        for at in r.integers(0, len(base), max(1, int(len(base) * r.uniform(0.01, 0.09)))):
+            new[at] = f"w{int(r.integers(0, 5000))}"
+        a, b = " ".join(base), " ".join(new)
+        if least <= (j := jaccard(a, b)) < most:
+            out.append((a, b, j))
+    return out
+
+
+def groups_by_comparing_all(texts, similarity=0.8):
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if label[a] != label[b] and jaccard(texts[a], texts[b]) >= similarity:
+                x, y = label[a], label[b]
+                label = [min(x, y) if k in (x, y) else k for k in label]
+    return label
+
+
+def test_only_copies_of_the_stated_similarity_go(spark):
+    below, above = near_pairs(1, 150, 0.65, 0.8), near_pairs(2, 150, 0.8, 0.85)
+    rows = [(2 * k + s, pair[s]) for k, pair in enumerate(below + above) for s in (0, 1)]
+    kept = {r.doc_id for r in S.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(300)) <= kept  # none below 0.8 goes
+    assert set(range(300, 600, 2)) <= kept
+    assert len(kept & set(range(301, 600, 2))) <= 3
+
+
+@pytest.mark.parametrize("part", [1000, 12])
+def test_groups_are_those_of_exact_similarity(spark, monkeypatch, part):
+    monkeypatch.setattr(S, "VERIFIED", part)  # 12: components are compared in parts
+    monkeypatch.setattr(S, "ANCHORS", 2)
+    r, texts = np.random.default_rng(3), []
+    for size in (60, 25, 5):
+        base = [f"w{k}" for k in r.integers(0, 5000, 150)]
+        for _ in range(size):
+            new = list(base)
+            for at in r.integers(0, len(base), int(r.integers(1, 5))):
+                new[at] = f"w{int(r.integers(0, 5000))}"
+            texts.append(" ".join(new))
+            base = new if r.random() < 0.3 else base
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id for x in S.keep_first(df).collect()} == set(groups_by_comparing_all(texts))

@@ -146,11 +146,11 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
 
 
-TOKENS = "host string, kind int, token string, low long, high long, n_pages long, weight long"
+TOKENS = "host string, kind int, token string, low long, high long, n_pages long, weight long, others long"
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each host and token of a task's pages: the occurrence vector as two sums, the pages and the weight. kind 0: tags by path. kind 1: texts outside chrome and outside main, by path and hash. kind 2: paths of such texts, the weight being their characters.
+    """For each host and token of a task's pages: the occurrence vector as two sums, the pages and the weight. kind 0: tags by path. kind 1: texts outside chrome and outside main, by path and hash. kind 2: paths of such texts, the weight being their characters. kind 3: texts outside chrome and below main, by path and hash; their others are a set of 64 bits, one for the hash of the longest other text below main on each page.
 
     An occurrence vector has a place for each page of the host, with how often the token is there. Two vectors are taken for equal if the sums over the pages of a 64-bit hash of page and count are, in halves of 32 bits so that sums of two milliards of pages fit.
     """
@@ -158,7 +158,7 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         rows = [(h, kind, token, *v) for (h, kind, token), v in sums.items()]
-        types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         sums.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in TOKENS.split(", ")])
 
@@ -168,19 +168,30 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts: dict[tuple[int, str], list[int]] = {}
             for tag in page.tags:
                 counts.setdefault((0, tag), [0, 0])[0] += 1
-            for path, main, text in page.visible():
-                if not main:
+            visible = list(page.visible())
+            long = sorted({text for _, main, text in visible if main}, key=lambda x: (-len(x), x))[:2]
+            other = {x: _hash(y) & 63 for x, y in zip(long, long[1:] + [""])}
+            usual = _hash(long[0]) & 63 if long else 0
+            bits: dict[tuple[int, str], int] = {}
+            for path, main, text in visible:
+                if main:
+                    token = (3, f"{path} {_hash(text):016x}")
+                    counts.setdefault(token, [0, 0])[0] += 1
+                    bits[token] = 1 << (other[text] if text == long[0] else usual)
+                else:
                     counts.setdefault((1, f"{path} {_hash(text):016x}"), [0, 0])[0] += 1
                     c = counts.setdefault((2, path), [0, 0])
                     c[0] += 1
                     c[1] += len(text)
             for (kind, token), (n, weight) in counts.items():
                 x = xxhash.xxh64_intdigest(f"{number}:{n}")
-                s = sums.setdefault((h, kind, token), [0, 0, 0, 0])
+                s = sums.setdefault((h, kind, token), [0, 0, 0, 0, 0])
                 s[0] += x & 0xFFFFFFFF
                 s[1] += x >> 32
                 s[2] += 1
                 s[3] += weight
+                x = (s[4] & (1 << 64) - 1) | bits.get((kind, token), 0)
+                s[4] = x - (1 << 64) if x >> 63 else x
             if len(sums) > 100_000:
                 yield flush()
     if sums:
@@ -191,20 +202,22 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame) -> DataFrame:
     """For each host: its template, as (root, texts, container).
 
-    Tokens of a host with one occurrence vector form an equivalence class. Classes on at least SUPPORT of the host's pages count, from the one on most pages on; a class is valid if it nests: each of its tags stands below a tag of a valid class, or at the top (nested). The tags of valid classes are the template (root); texts that are on at least SUPPORT of three pages or more, outside main elements, belong to the template too (texts). What remains are slots. container is the slot for pages without a main element: the path below which most characters stand that are not the template's.
+    Tokens of a host with one occurrence vector form an equivalence class. Classes on at least SUPPORT of the host's pages count, from the one on most pages on; a class is valid if it nests: each of its tags stands below a tag of a valid class, or at the top (nested). The tags of valid classes are the template (root); texts below such tags that are on at least SUPPORT of three pages or more belong to the template too (texts). Of texts in main elements those do that are on three pages themselves (a line that two articles share is no template) and stand beside ever other texts: at least half as many as if each page had its own, as far as 64 bits tell; for what stands beside the same text everywhere is part of copied pages. What remains are slots. container is the slot for pages without a main element: the path below which most characters stand that are not the template's.
 
     Tokens are summed up within tasks and by Spark before the shuffle; what is left for a host is bounded by a page's size, as no more tokens can be on half the pages than a page has twice.
     """
     p = pages.select(F.xxhash64("page_id", "html").alias("page_key"), host(F.col("url")).alias("host"), "html").where("host is not null")
-    t = p.mapInArrow(_token_rows, TOKENS).groupBy("host", "kind", "token").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.sum("n_pages").alias("n_pages"), F.sum("weight").alias("weight"))
+    t = p.mapInArrow(_token_rows, TOKENS).groupBy("host", "kind", "token").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.sum("n_pages").alias("n_pages"), F.sum("weight").alias("weight"), F.bit_or("others").alias("others"))
     t = stored(t, "tokens")
     n = p.groupBy("host").agg(F.count("*").alias("pages"))
     t = t.join(redealt(n, "host"), "host").where((F.col("n_pages") >= SUPPORT * F.col("pages")) | (F.col("kind") == 2))
+    own = 64 * (1 - F.pow(F.lit(63 / 64), F.col("n_pages")))
+    t = t.where((F.col("kind") != 3) | ((F.col("n_pages") >= 3) & (F.bit_count("others") >= F.greatest(F.lit(2), own / 2))))
     heavy = t.where("kind = 2").groupBy("host").agg(F.max_by("token", F.struct("weight", "token")).alias("container"))
-    frequent = t.where("kind < 2").groupBy("host", "kind", "low", "high").agg(F.first("n_pages").alias("n"), F.array_sort(F.collect_list("token")).alias("tokens"), F.first("pages").alias("pages"))
+    frequent = t.where("kind != 2").groupBy("host", "kind", "low", "high").agg(F.first("n_pages").alias("n"), F.array_sort(F.collect_list("token")).alias("tokens"), F.first("pages").alias("pages"))
     classes = frequent.groupBy("host").agg(
         F.array_sort(F.collect_list(F.when(F.col("kind") == 0, F.struct((-F.col("n")).alias("by"), "tokens")))).alias("tags"),
-        F.flatten(F.collect_list(F.when((F.col("kind") == 1) & (F.col("pages") >= 3), F.col("tokens")))).alias("texts"),
+        F.flatten(F.collect_list(F.when((F.col("kind") != 0) & (F.col("pages") >= 3), F.col("tokens")))).alias("texts"),
     )
     return classes.join(heavy, "host", "left").select("host", "tags", F.coalesce("texts", F.array()).alias("texts"), "container")
 
@@ -223,12 +236,12 @@ def nested(classes: list[list[str]]) -> set[str]:
 def main_text(source: str, root: set[str], texts: set[str], container: str | None) -> str:
     """The texts in a page's slots, joined by a space.
 
-    Texts in chrome are none. With a main element on the page, the slots below it count. Without, those below the template's container count (with its parent, so that headings beside paragraphs do) but for the template's own texts; and if there are none, all that are not the template's.
+    Texts in chrome are none. With a main element on the page, the slots below it count (all texts below it, if there is no slot). Without, those below the template's container count (with its parent, so that headings beside paragraphs do) but for the template's own texts; and if there are none, all that are not the template's.
     """
     page = Page(source)
     found = list(page.visible())
-    if inside := [t for _, main, t in found if main]:
-        return " ".join(inside)
+    if inside := [(p, t) for p, main, t in found if main]:
+        return " ".join([t for p, t in inside if f"{p} {_hash(t):016x}" not in texts] or [t for _, t in inside])
     slots = [(p, t) for p, _, t in found if f"{p} {_hash(t):016x}" not in texts]
     if container and container in root:
         top = container.rsplit("/", 1)[0] if re.search(r"/(p|li|h[1-6]|td|blockquote|pre|dd|dt)(\.[^/]*)?$", container) else container
@@ -254,7 +267,8 @@ def extract(pages: DataFrame) -> DataFrame:
             if h not in known:
                 if len(known) > 1000:
                     known.clear()
-                known[h] = nested([x["tokens"] for x in tags or []]), set(texts or [])
+                root = nested([x["tokens"] for x in tags or []]) | {""}
+                known[h] = root, {x for x in texts or [] if x.rsplit(" ", 1)[0] in root}
             out.append(main_text(source or "", *known[h], container))
         return {"page_id": b.column("page_id"), "url": b.column("url"), "text": out, "n_chars": [len(x) for x in out]}
 

@@ -87,6 +87,14 @@ def test_articles_of_copies_are_no_template(spark):
     assert {r.text for r in H.extract(df).collect()} == {"same words"}
 
 
+def test_what_a_host_repeats_inside_its_articles_goes(spark):
+    body = "<html><body><article><h1>Title {0}</h1><p>Story number {0} has words.</p><div class=zz>Read this again tomorrow, and tell all of your friends about it.</div></article></body></html>"
+    copy = "<html><body><article><h1>Seen {0} times</h1><p>One story that all pages have.</p><p>And what followed.</p></article></body></html>"
+    rows = [(i, "http://repeats/x", body.format(i)) for i in range(6)] + [(10 + i, "http://copies/x", copy.format(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i} Story number {i} has words." for i in range(6)} | {10 + i: f"Seen {i} times One story that all pages have. And what followed." for i in range(6)}
+
+
 def test_nested_classes():
     assert H.nested([["/html", "/html/body"], ["/html/body/p"], ["/x/y", "/x/y/z"]]) == {"/html", "/html/body", "/html/body/p"}
 

@@ -15,13 +15,13 @@ from .registry import query
 @query()
 def smith_waterman(spark, d):
     s = A.sequences(spark, d)
-    return K.local_alignments(s, S.pairings(s, 4))
+    return K.local_alignments(s, S.pairings(s))
 
 
 @query()
 def sw_similarity(spark, d):
     s = A.sequences(spark, d)
-    return K.sw_similarity(s, S.pairings(s, 4)).withColumn("similarity", F.round("similarity", 6))
+    return K.sw_similarity(s, S.pairings(s)).withColumn("similarity", F.round("similarity", 6))
 
 
 def _matrix(frame) -> np.ndarray:

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from strophe import plans
 from strophe.operators import evolution as E
 from strophe.operators import grammars as G
 from strophe.operators import kernels as K
@@ -162,3 +163,11 @@ def test_structure_of_a_repetition():
     layers = K.simple_structure(t)
     assert layers and all(sum(d) == 24 for _, d in layers)
     assert layers[1][0] == layers[1][0][:2] * 2  # the last pair of a sequence never counts, so its last symbol stays by itself
+
+
+def test_pairwise_kernels_take_all_partners_of_the_reference(spark):
+    d = "/root/testdata/sf0.001"
+    pairs = {tuple(r) for r in plans.QUERIES["pairings"](spark, d).select("a", "b").collect()}
+    assert {tuple(r) for r in plans.QUERIES["sw_similarity"](spark, d).select("a", "b").collect()} == pairs
+    alike = {tuple(r) for r in plans.QUERIES["sw_similarity"](spark, d).where("similarity > 0").select("a", "b").collect()}
+    assert {tuple(r) for r in plans.QUERIES["smith_waterman"](spark, d).select("a", "b").distinct().collect()} == alike

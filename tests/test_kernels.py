@@ -171,3 +171,7 @@ def test_pairwise_kernels_take_all_partners_of_the_reference(spark):
     assert {tuple(r) for r in plans.QUERIES["sw_similarity"](spark, d).select("a", "b").collect()} == pairs
     alike = {tuple(r) for r in plans.QUERIES["sw_similarity"](spark, d).where("similarity > 0").select("a", "b").collect()}
     assert {tuple(r) for r in plans.QUERIES["smith_waterman"](spark, d).select("a", "b").distinct().collect()} == alike
+
+
+def test_laplacian_query_gives_all_levels_of_the_reference(spark):
+    assert {r.level for r in plans.QUERIES["laplacian_labels"](spark, "/root/testdata/sf0.001").select("level").distinct().collect()} == set(range(11))

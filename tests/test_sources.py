@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from strophe.sources import files as S
-from strophe.sources.storage import dropped, stored
+from strophe.sources.storage import dropped, settled, stored
 from strophe.streaming import events as V
 
 
@@ -70,3 +70,37 @@ def test_streams_count_like_tables(spark, tmp_path):
     found = run(V.sessions(s), "sess").collect()
     whole = {(r.seq_id, r.start): r.n for r in V.sessions(e).collect()}
     assert all(whole[r.seq_id, r.start] == r.n for r in found)
+
+
+def test_what_is_stored_on_the_way_goes(spark):
+    import os
+
+    made = []
+
+    def make():
+        made.append(stored(spark.range(5), "inner"))
+        return made[0].selectExpr("id * 2 AS id")
+
+    out = settled(spark, make, "outer")
+    inner = made[0].inputFiles()
+    assert sorted(r.id for r in out.collect()) == [0, 2, 4, 6, 8]
+    assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in inner)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    import pytest
+
+    from strophe.sources.storage import shared_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://head:7077"
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)

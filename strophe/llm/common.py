@@ -4,30 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.adapters import table
-from ..sources.storage import dropped, redealt, scratch, shared_dir, stored
+from ..sources.storage import dropped, redealt, scratch, settled, shared_dir, stored
 
-__all__ = ["WORD", "dropped", "n_words", "per_batch", "redealt", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["WORD", "dropped", "n_words", "per_batch", "redealt", "scratch", "settled", "shared_dir", "slices", "stored", "table"]
 
 #: A word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `rows` rows and, unless one row alone has more, `size` bytes of strings; so what a step holds follows the texts and not the file."""
+    held = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            held += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate(([0], np.cumsum(held)))
+    at = 0
+    while at < batch.num_rows:
+        to = min(at + rows, max(at + 1, int(np.searchsorted(upto, upto[at] + size, "right")) - 1), batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def per_batch(df: DataFrame, schema: str | StructType, f: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
-    """A row-local step in Python: f turns a batch into the output's columns. Batches are cut to slices of at most 512 rows, so that memory follows the texts and not the file."""
+    """A row-local step in Python: f turns a slice of a batch (slices) into the output's columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                if cols := f(b.slice(at, 512)):
+            for part in slices(b):
+                if cols := f(part):
                     yield pa.RecordBatch.from_arrays([cols[x.name] if isinstance(cols[x.name], pa.Array) else pa.array(cols[x.name], x.type) for x in out], schema=out)
 
     return df.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, redealt, stored
+from .common import per_batch, redealt, slices, stored
 
 #: Shares of each host's pages that are joined with its template apart from one another, so that a host with very many pages is no single task.
 SALT = 32
@@ -146,11 +146,41 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
 
 
+#: kind 0: a tag by its path; kind 1: a text by its path and hash; kind 2: the path of texts. others: as a set of 64 bits, what a text stands beside.
 TOKENS = "host string, kind int, token string, low long, high long, n_pages long, weight long, others long"
+#: Least pages of a host that a text must be on, and least tokens that a class must have, to be a template's.
+PAGES, LARGE = 3, 2
+
+
+def candidates(page: Page) -> list[tuple[str, str]]:
+    """(path, text) of what may be main text: the texts below a main element, or, on a page without one, all outside chrome."""
+    found = list(page.visible())
+    return [(p, t) for p, main, t in found if main] or [(p, t) for p, _, t in found]
+
+
+def page_tokens(page: Page) -> dict[tuple[int, str], tuple[int, int, int]]:
+    """The tokens of a page: for each (kind, token) how often it is there, its characters, and, for texts, a bit for the hash of the longest other text."""
+    out: dict[tuple[int, str], list[int]] = {}
+
+    def add(kind: int, token: str, weight: int, bit: int) -> None:
+        x = out.setdefault((kind, token), [0, 0, 0])
+        x[0] += 1
+        x[1] += weight
+        x[2] |= bit
+
+    for tag in page.tags:
+        add(0, tag, 0, 0)
+    texts = candidates(page)
+    long = sorted({t for _, t in texts}, key=lambda t: (-len(t), t))[:2] + ["", ""]
+    first, second = 1 << (_hash(long[0]) & 63), 1 << (_hash(long[1]) & 63)
+    for path, text in texts:
+        add(1, f"{path} {_hash(text):016x}", len(text), second if text == long[0] else first)
+        add(2, path, len(text), 0)
+    return {k: tuple(v) for k, v in out.items()}
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each host and token of a task's pages: the occurrence vector as two sums, the pages and the weight. kind 0: tags by path. kind 1: texts outside chrome and outside main, by path and hash. kind 2: paths of such texts, the weight being their characters. kind 3: texts outside chrome and below main, by path and hash; their others are a set of 64 bits, one for the hash of the longest other text below main on each page.
+    """For each host and token of a task's pages: the occurrence vector as two sums, the pages, the characters and the others.
 
     An occurrence vector has a place for each page of the host, with how often the token is there. Two vectors are taken for equal if the sums over the pages of a 64-bit hash of page and count are, in halves of 32 bits so that sums of two milliards of pages fit.
     """
@@ -162,35 +192,16 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in TOKENS.split(", ")])
 
-    for b in batches:
-        for number, h, source in zip(b.column("page_key").to_pylist(), b.column("host").to_pylist(), b.column("html").to_pylist()):
-            page = Page(source or "")
-            counts: dict[tuple[int, str], list[int]] = {}
-            for tag in page.tags:
-                counts.setdefault((0, tag), [0, 0])[0] += 1
-            visible = list(page.visible())
-            long = sorted({text for _, main, text in visible if main}, key=lambda x: (-len(x), x))[:2]
-            other = {x: _hash(y) & 63 for x, y in zip(long, long[1:] + [""])}
-            usual = _hash(long[0]) & 63 if long else 0
-            bits: dict[tuple[int, str], int] = {}
-            for path, main, text in visible:
-                if main:
-                    token = (3, f"{path} {_hash(text):016x}")
-                    counts.setdefault(token, [0, 0])[0] += 1
-                    bits[token] = 1 << (other[text] if text == long[0] else usual)
-                else:
-                    counts.setdefault((1, f"{path} {_hash(text):016x}"), [0, 0])[0] += 1
-                    c = counts.setdefault((2, path), [0, 0])
-                    c[0] += 1
-                    c[1] += len(text)
-            for (kind, token), (n, weight) in counts.items():
+    for b in (part for whole in batches for part in slices(whole)):
+        for number, h, source in zip(b.column("content").to_pylist(), b.column("host").to_pylist(), b.column("html").to_pylist()):
+            for (kind, token), (n, weight, bit) in page_tokens(Page(source or "")).items():
                 x = xxhash.xxh64_intdigest(f"{number}:{n}")
                 s = sums.setdefault((h, kind, token), [0, 0, 0, 0, 0])
                 s[0] += x & 0xFFFFFFFF
                 s[1] += x >> 32
                 s[2] += 1
                 s[3] += weight
-                x = (s[4] & (1 << 64) - 1) | bits.get((kind, token), 0)
+                x = (s[4] & (1 << 64) - 1) | bit
                 s[4] = x - (1 << 64) if x >> 63 else x
             if len(sums) > 100_000:
                 yield flush()
@@ -198,33 +209,68 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def contents(pages: DataFrame) -> DataFrame:
+    """(host, content, html): each page of a host once, however many rows have the same html; content is its hash. Pages without a host are left out. Only pages that there are several of are shuffled, and these are summed up before."""
+    p = pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("content"), "html").where("host is not null")
+    several = redealt(p.groupBy("host", "content").agg(F.count("*").alias("n")).where("n > 1").select("host", "content"), "host", "content")
+    once = p.join(several, ["host", "content"], "left_anti")
+    return once.unionByName(p.join(several, ["host", "content"], "left_semi").groupBy("host", "content").agg(F.first("html").alias("html")))
 
-def templates(pages: DataFrame) -> DataFrame:
-    """For each host: its template, as (root, texts, container).
 
-    Tokens of a host with one occurrence vector form an equivalence class. Classes on at least SUPPORT of the host's pages count, from the one on most pages on; a class is valid if it nests: each of its tags stands below a tag of a valid class, or at the top (nested). The tags of valid classes are the template (root); texts below such tags that are on at least SUPPORT of three pages or more belong to the template too (texts). Of texts in main elements those do that are on three pages themselves (a line that two articles share is no template) and stand beside ever other texts: at least half as many as if each page had its own, as far as 64 bits tell; for what stands beside the same text everywhere is part of copied pages. What remains are slots. container is the slot for pages without a main element: the path below which most characters stand that are not the template's.
+def classes(pages: DataFrame) -> DataFrame:
+    """The frequent equivalence classes of each host: tokens with one occurrence vector over its pages, on at least SUPPORT of them: (host, n_pages, pages, tokens), tokens an array of (kind, token, weight, others). Paths of texts, which are none of a template's tokens, are classes of their own with n_pages null.
 
     Tokens are summed up within tasks and by Spark before the shuffle; what is left for a host is bounded by a page's size, as no more tokens can be on half the pages than a page has twice.
     """
-    p = pages.select(F.xxhash64("page_id", "html").alias("page_key"), host(F.col("url")).alias("host"), "html").where("host is not null")
+    p = contents(pages)
     t = p.mapInArrow(_token_rows, TOKENS).groupBy("host", "kind", "token").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.sum("n_pages").alias("n_pages"), F.sum("weight").alias("weight"), F.bit_or("others").alias("others"))
     t = stored(t, "tokens")
-    n = p.groupBy("host").agg(F.count("*").alias("pages"))
-    t = t.join(redealt(n, "host"), "host").where((F.col("n_pages") >= SUPPORT * F.col("pages")) | (F.col("kind") == 2))
-    own = 64 * (1 - F.pow(F.lit(63 / 64), F.col("n_pages")))
-    t = t.where((F.col("kind") != 3) | ((F.col("n_pages") >= 3) & (F.bit_count("others") >= F.greatest(F.lit(2), own / 2))))
-    heavy = t.where("kind = 2").groupBy("host").agg(F.max_by("token", F.struct("weight", "token")).alias("container"))
-    frequent = t.where("kind != 2").groupBy("host", "kind", "low", "high").agg(F.first("n_pages").alias("n"), F.array_sort(F.collect_list("token")).alias("tokens"), F.first("pages").alias("pages"))
-    classes = frequent.groupBy("host").agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == 0, F.struct((-F.col("n")).alias("by"), "tokens")))).alias("tags"),
-        F.flatten(F.collect_list(F.when((F.col("kind") != 0) & (F.col("pages") >= 3), F.col("tokens")))).alias("texts"),
-    )
-    return classes.join(heavy, "host", "left").select("host", "tags", F.coalesce("texts", F.array()).alias("texts"), "container")
+    n = pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("content")).where("host is not null").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    t = t.join(redealt(n, "host"), "host").where(F.col("n_pages") >= SUPPORT * F.col("pages"))
+    vector = F.when(F.col("kind") < 2, F.struct("low", "high"))
+    frequent = t.groupBy("host", vector.alias("vector"), F.when(F.col("kind") < 2, F.col("n_pages")).alias("n_pages"), "pages").agg(F.array_sort(F.collect_list(F.struct("kind", "token", "weight", "others"))).alias("tokens"))
+    return frequent.select("host", "n_pages", "pages", "tokens")
+
+
+def varied(n_pages: int, others: int) -> bool:
+    """Whether a text on so many pages stands beside ever other texts: at least two, and half as many as if each page had its own, as far as 64 bits tell. What stands beside the same text everywhere is part of copied pages."""
+    return (others & (1 << 64) - 1).bit_count() >= max(2, 32 * (1 - (63 / 64) ** n_pages))
+
+
+def template(found: list[tuple[int | None, int, list[tuple[int, str, int, int]]]]) -> tuple[set[str], set[str], str | None]:
+    """From the classes (n_pages, pages, tokens) of a host its template: (tags, texts, container).
+
+    Texts that are on fewer than PAGES pages, or that are part of copied pages (varied), are no template's and leave their classes. Classes nest: every tag of a class stands below a tag of a valid class or at the top, and every text in an element whose tag is one of a valid class (nested). Of classes that nest, those of LARGE tokens are valid for texts: a lone text with an occurrence vector of its own, as two articles of a host may share it, is a slot's value. container is the slot for pages without a main element: the path below which most characters stand that are not the template's.
+    """
+    kept = []
+    weight: dict[str, int] = {}
+    for n, _, tokens in found:
+        if n is None:
+            weight |= {t: w for _, t, w, _ in tokens}
+        else:
+            kept.append([(k, t, w) for k, t, w, others in tokens if k == 0 or n >= PAGES and varied(n, others)])
+    tags = nested([[t for k, t, _ in c if k == 0] for c in kept]) | {""}
+    texts = {t: w for c in kept if len(c) >= LARGE for k, t, w in c if k == 1 and t.rsplit(" ", 1)[0] in tags}
+    for t, w in texts.items():
+        weight[t.rsplit(" ", 1)[0]] -= w
+    best = max(((w, t) for t, w in weight.items() if t in tags and w > 0), default=(0, None))
+    return tags, set(texts), best[1]
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """For each host its template (template): (host, texts, container). A host's classes are one row of one task, as they are bounded by a page's size."""
+    g = classes(pages).groupBy("host").agg(F.collect_list(F.struct("n_pages", "pages", "tokens")).alias("classes"))
+
+    def f(b: pa.RecordBatch) -> dict:
+        rows = [template([(c["n_pages"], c["pages"], [(x["kind"], x["token"], x["weight"], x["others"]) for x in c["tokens"]]) for c in cs]) for cs in b.column("classes").to_pylist()]
+        return {"host": b.column("host"), "texts": [sorted(r[1]) for r in rows], "container": [r[2] for r in rows]}
+
+    return per_batch(g, "host string, texts array<string>, container string", f)
 
 
 def nested(classes: list[list[str]]) -> set[str]:
     """The tags of the valid classes: each of a class's tags stands, step by step upwards to the top, below tags of classes that are valid so far as that is known. Classes that fail are taken out until none fails."""
-    left = [set(c) for c in classes]
+    left = [set(c) for c in classes if c]
     while True:
         there = set().union(*left) if left else set()
         fine = [c for c in left if all((parent := t.rsplit("/", 1)[0]) == "" or parent in there for t in c)]
@@ -233,43 +279,29 @@ def nested(classes: list[list[str]]) -> set[str]:
         left = fine
 
 
-def main_text(source: str, root: set[str], texts: set[str], container: str | None) -> str:
-    """The texts in a page's slots, joined by a space.
-
-    Texts in chrome are none. With a main element on the page, the slots below it count (all texts below it, if there is no slot). Without, those below the template's container count (with its parent, so that headings beside paragraphs do) but for the template's own texts; and if there are none, all that are not the template's.
-    """
+def main_text(source: str, texts: set[str], container: str | None) -> str:
+    """The texts in a page's slots, joined by a space: its candidates without what is the template's (texts); if nothing is left, all candidates. On a page without a main element those below the container count (with its parent, so that headings beside paragraphs do), if there are any."""
     page = Page(source)
-    found = list(page.visible())
-    if inside := [(p, t) for p, main, t in found if main]:
-        return " ".join([t for p, t in inside if f"{p} {_hash(t):016x}" not in texts] or [t for _, t in inside])
-    slots = [(p, t) for p, _, t in found if f"{p} {_hash(t):016x}" not in texts]
-    if container and container in root:
+    found = candidates(page)
+    slots = [(p, t) for p, t in found if f"{p} {_hash(t):016x}" not in texts] or found
+    if container and not any(main for _, main, _ in page.visible()):
         top = container.rsplit("/", 1)[0] if re.search(r"/(p|li|h[1-6]|td|blockquote|pre|dd|dt)(\.[^/]*)?$", container) else container
-        if below := [t for p, t in slots if p == top or p.startswith(top + "/")]:
-            return " ".join(below)
+        slots = [(p, t) for p, t in slots if p == top or p.startswith(top + "/")] or slots
     return " ".join(t for _, t in slots)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """For each row: page_id, url, text (the main text, empty if there is none) and n_chars, its code points.
 
-    A null html is empty; a page without a host in its url has no template, so its elements alone decide. Whole pages are read, whatever their length; tags that are never closed or never opened do not matter. Repeated rows stay, an empty table gives none, other columns do not matter. A host's template is sent to SALT shares of the host's pages.
+    A null html is empty; a page without a host in its url, or of a host with fewer than three different pages, has no template texts, so its elements decide. Whole pages are read, whatever their length; tags that are never closed or never opened do not matter. Repeated rows stay, and as pages with equal html count once for the template, they keep their text; an empty table gives none, other columns do not matter. A host's template is sent to SALT shares of the host's pages.
     """
     p = pages.select("page_id", "url", "html").withColumn("_host", host(F.col("url"))).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)))
     t = stored(templates(pages), "templates")
     t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).withColumnRenamed("host", "_host")
     joined = p.join(t.withColumn("_salt", F.col("_salt").cast("long")), ["_host", "_salt"], "left")
-    known: dict[tuple, tuple[set[str], set[str]]] = {}
 
     def f(b: pa.RecordBatch) -> dict:
-        out = []
-        for h, source, tags, texts, container in zip(*(b.column(c).to_pylist() for c in ("_host", "html", "tags", "texts", "container"))):
-            if h not in known:
-                if len(known) > 1000:
-                    known.clear()
-                root = nested([x["tokens"] for x in tags or []]) | {""}
-                known[h] = root, {x for x in texts or [] if x.rsplit(" ", 1)[0] in root}
-            out.append(main_text(source or "", *known[h], container))
+        out = [main_text(source or "", set(texts or ()), container) for source, texts, container in zip(*(b.column(c).to_pylist() for c in ("html", "texts", "container")))]
         return {"page_id": b.column("page_id"), "url": b.column("url"), "text": out, "n_chars": [len(x) for x in out]}
 
     return per_batch(joined, "page_id long, url string, text string, n_chars long", f)

@@ -47,7 +47,7 @@ def test_an_archive_that_ends_early_is_an_error():
 
 
 def text(source):
-    return H.main_text(source, set(), set(), None)
+    return H.main_text(source, set(), None)
 
 
 @pytest.mark.parametrize(
@@ -95,6 +95,51 @@ def test_what_a_host_repeats_inside_its_articles_goes(spark):
     assert got == {i: f"Title {i} Story number {i} has words." for i in range(6)} | {10 + i: f"Seen {i} times One story that all pages have. And what followed." for i in range(6)}
 
 
+def test_repeated_rows_and_copies_keep_their_text(spark):
+    body = "<html><body><div id=c><h2>Title</h2><p>The whole article stands here, and it has words.</p></div></body></html>"
+    rows = [(1, "http://one/x", body)] * 3 + [(k, "http://four/x", body) for k in range(4)]
+    assert {r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Title The whole article stands here, and it has words."}
+
+
+def test_slogans_inside_articles_go(spark):
+    rows = [(k, "http://h/x", f"<html><body><article><p>Site slogan for all</p><h1>Title {k}</h1><p>Story {k} of its own, with words.</p>{'<p>Shared line.</p>' if k < 4 else ''}<p>Read our terms and all</p></article></body></html>") for k in range(6)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # a line that some articles share has an occurrence vector of its own and stays; what stands on every page belongs to the class of the skeleton
+    assert got == {k: f"Title {k} Story {k} of its own, with words.{' Shared line.' if k < 4 else ''}" for k in range(6)}
+
+
+def test_classes_are_the_groups_of_equal_occurrence_vectors(spark):
+    """Against vectors written out in full."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    extra = [(1000 + k, "http://extra.example/x", f"<html><body><div class=a><p>Same</p></div><p>{k % 2}</p>{'<i>x</i><p>Twice</p><p>Twice</p>' if k % 3 else ''}</body></html>") for k in range(7)]
+    pages = pages.select("page_id", "url", "html").unionByName(spark.createDataFrame(extra * 2, "page_id long, url string, html string"))
+    by_host = {}
+    for r in pages.withColumn("host", H.host(pages.url)).collect():
+        by_host.setdefault(r.host, {})[r.html] = H.page_tokens(H.Page(r.html or ""))
+    want = set()
+    for host, found in by_host.items():
+        vectors = {}
+        for token in {t for page in found.values() for t in page if t[0] < 2}:
+            vector = tuple(page.get(token, (0,))[0] for page in found.values())
+            if sum(map(bool, vector)) >= H.SUPPORT * len(found):
+                vectors.setdefault(vector, []).append(token)
+        want |= {(host, sum(map(bool, v)), len(found), tuple(sorted(ts))) for v, ts in vectors.items()}
+    got = {(r.host, r.n_pages, r.pages, tuple(sorted((t.kind, t.token) for t in r.tokens))) for r in H.classes(pages).where("n_pages is not null").collect()}
+    assert got == want and len(got) > 20
+
+
+def test_pages_without_main_elements_have_the_same_text(spark):
+    """The template alone finds what the main elements mark, on hosts with several pages."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("host", H.host(F.col("url")))
+    pages = pages.join(pages.groupBy("host").count().where("count >= 3"), "host")
+    plain = pages.withColumn("html", F.regexp_replace("html", "<(/?)article", "<$1section"))
+    want = {r.page_id: r.text for r in H.extract(pages).collect()}
+    got = {r.page_id: r.text for r in H.extract(plain).collect()}
+    assert sum(got[k] == want[k] for k in want) >= 0.97 * len(want)
+
+
 def test_nested_classes():
     assert H.nested([["/html", "/html/body"], ["/html/body/p"], ["/x/y", "/x/y/z"]]) == {"/html", "/html/body", "/html/body/p"}
 

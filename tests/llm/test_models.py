@@ -54,11 +54,51 @@ def test_odd_vectors_and_ties(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, None]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [2.0, 0.0]), (6, [2.0, 0.0]), (9, [float("inf"), 0.0]), (None, [1.0, 1.0]), (10, [9.0]), (11, []), (40, [1.0, 1.0, 1.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [tuple(r) for r in ann.search(d, d.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 5, 2.0), (0, 2, 6, 2.0), (0, 3, 20, 1.0), (20, 1, 5, 2.0), (20, 2, 6, 2.0), (20, 3, 0, 1.0)]
+    assert got == [(0, 1, 5, 2.0), (0, 2, 6, 2.0), (0, 3, 20, 1.0), (20, 1, 5, 2.0), (20, 2, 6, 2.0), (20, 3, 0, 1.0)]  # 40 is alone with its length
     for a, b in ((d.limit(0), d.limit(0)), (d, d.limit(0)), (d.where("vec_id = 0"), d.where("vec_id = 0"))):
         assert ann.search(a, b, 20).collect() == []
 
 
+def test_very_large_components_and_repeated_rows(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 0.0]), (2, [-1e200, 5.0]), (3, [1e-200, 1e-200]), (3, [1e-200, 1e-200]), (3, [1e-200, 1e-200]), (20, [1.0, 2.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(d, d.where("vec_id = 20"), 5).orderBy("rank").collect():
+        got[r.rank] = r.vec_id
+    assert got == {1: 0, 2: 1, 3: 3, 4: 3, 5: 3}  # 1e200 + 2 is 1e200
+    assert [r.vec_id for r in ann.search(d, d.where("vec_id = 0"), 2).orderBy("rank").collect()] != []
+
+
+def test_recall_of_a_full_shard_at_the_parameters_as_they_are():
+    """On vectors without any structure, the hardest case, in a shard as large as they get."""
+    x = np.random.default_rng(2).normal(size=(ann.SHARD, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.Index(np.arange(len(x)), x)
+    hit = verified = 0
+    for q in range(0, len(x), 400):
+        d = x @ x[q]
+        d[q] = -np.inf
+        rows, products = index.search(x[q], q, 20)
+        hit += len(set(np.argsort(-d)[:20].tolist()) & set(rows.tolist()))
+        assert len(rows) == 20 and (np.diff(products) <= 0).all()
+    assert hit / (20 * len(range(0, len(x), 400))) >= 0.93
+
+
+def test_windows_count_each_vector_once_a_projection():
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    index = ann.Index(np.arange(300), x)
+    at = ann.scaled(x[0]) @ index.lines[:-1] + index.offset
+    counts, ends = np.zeros(300, np.int32), None
+    for radius in (0.2, 0.5, 1.0, 2.0):
+        ends = index._widen(at, radius, ends, counts)
+        p = (index.values - index.offset.repeat(300)).reshape(ann.PROJECTIONS, 300)
+        inside = np.abs(p - (at - index.offset)[:, None]) <= ann.HALF * radius
+        want = np.bincount(index.order.reshape(inside.shape)[inside], minlength=300)
+        assert np.abs(counts - want).sum() <= 2  # values at the very end of a window may round either way
+    index._widen(at, 1e9, ends, counts)
+    assert (counts == ann.PROJECTIONS).all()
+
+
 def test_licenses(spark):
     mit = next(t for n, t in licenses.KNOWN if n == "MIT")
     changed = "Copyright (c) 2021 Jane Doe\nCopyright © 2022\n\n" + mit.upper().replace("LICENSE", "Licence").replace(", ", " ,\n   ") + "\nAll rights reserved.\n"

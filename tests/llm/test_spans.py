@@ -1,7 +1,12 @@
 import hashlib
+import math
+import random
 import re
+import string
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from strophe.llm import pii, secrets
 from strophe.llm.spans import clear_of, summed_up
@@ -51,16 +56,69 @@ def test_base_spans_on_documents(spark):
         assert secrets.base_spans(r.text or "") == plain_secrets(r.text or "")
 
 
-def brute_cost(value):
-    """guess_cost without its shortcuts is not needed: known orders are."""
-    return secrets.guess_cost(value)
+def brute_cost(value, words):
+    """The least over all 2 ** (n - 1) ways to cut a value, each part at its own least cost."""
+    n, best = len(value), math.inf
+    spans = secrets.span_costs(value, words)
+    for cuts in range(1 << max(0, n - 1)):
+        edges = [0, *(k + 1 for k in range(n - 1) if cuts >> k & 1), n]
+        parts = [min(spans.get((a, b), math.inf), sum(map(secrets._brute, value[a:b]))) for a, b in zip(edges, edges[1:])]
+        best = min(best, sum(parts) + math.log10(2) * (len(parts) - 1))
+    return best if n else 0.0
+
+
+@given(st.text(alphabet="abcpasword123450!QweRty20", max_size=11))
+@settings(max_examples=60, deadline=None)
+def test_guess_cost_is_the_least_of_all_cuts(value):
+    words = secrets.ranked_words(())
+    assert secrets.guess_cost(value, words) == pytest.approx(brute_cost(value, words))
+
+
+@pytest.mark.parametrize("value", ["password1", "aaaaapass", "qwertyuabc", "abcabcabcx", "20240131pw", "p4ssw0rd!", "hellohello", "zxcvfdsa12"])
+def test_guess_cost_of_mixed_values_is_the_least_of_all_cuts(value):
+    words = secrets.ranked_words()
+    assert secrets.guess_cost(value, words) == pytest.approx(brute_cost(value, words))
+
+
+def test_spans_are_what_they_are_called():
+    words = secrets.ranked_words(())
+    costs = secrets.span_costs("xpasswordabab1999qwe", words)
+    assert {(1, 9), (9, 13), (13, 17), (17, 20)} <= set(costs) and (0, 9) not in costs
+    long = secrets.span_costs("ab" * 200, words)
+    assert (0, 400) in long and max(j - i for i, j in long if (i, j) != (0, 400)) == secrets.PART
+    assert secrets.guess_cost("ab" * 200, words) < 6
 
 
 def test_guess_cost_orders_passwords():
-    cheap, fair, dear = ["password", "P@ssw0rd", "qwertyuiop", "aaaaaaaa", "20240131", "abcabcabc", "changeme"], ["Summer2023!"], ["xK9#mQ2v", "04dbebab91ab85", "tr0ub4d0r&3xZ"]
-    assert max(map(brute_cost, cheap)) < min(map(brute_cost, fair)) < min(map(brute_cost, dear))
-    assert brute_cost("") == 0
-    assert brute_cost("password") < brute_cost("passwordxq") < brute_cost("passwordxqz7")
+    cost = secrets.guess_cost
+    cheap, fair, dear = ["password", "P@ssw0rd", "qwertyuiop", "aaaaaaaa", "20240131", "abcabcabc", "changeme"], ["Summer2023!"], ["xK9#mQ2v", "04dbebab91ab85", "q0fyb4j0r&3xZ"]
+    assert max(map(cost, cheap)) < min(map(cost, fair)) < min(map(cost, dear))
+    assert cost("") == 0
+    assert cost("password") < cost("passwordxq") < cost("passwordxqz7")
+
+
+CLEAN = """The password is required for login. This token is expired, sorry. The secret is kindness, he said. Pass: optional. Secret: ingredients matter. My password is password. Your passcode is private and must not be shared.
+A token is generated every hour. The api key is missing from the request. secret: nothing. Credentials: username and email. The pass is closed in winter. The secret is simplicity. Access key = required. pwd is deprecated.
+Das Passwort is wichtig. Token: unavailable. The password is stored somewhere else. password = changeme. secret = yourpassword. The token is invalid; passphrase: something memorable. The secret is practice, the token is meaningless. pass is mandatory""".split(". ")
+
+
+def test_clean_prose_has_no_passwords():
+    assert [t for t in CLEAN if secrets.find(t)[1]] == []
+
+
+def test_planted_passwords_are_found():
+    r = random.Random(4)
+    signs = string.ascii_letters + string.digits + "!#$%&*+-?@_"
+    found = total = 0
+    for k in range(200):
+        value = "".join(r.choice(signs) for _ in range(r.randrange(8, 16)))
+        name = r.choice(["password", "Passwd", "secret", "pwd", "api-key", "passphrase", "credential"])
+        text = f"some words {name}{r.choice([': ', ' = ', '=', ' is ', ': '])}{value if k % 2 else chr(34) + value + chr(34)} and more"
+        base, more = secrets.find(text)
+        at = text.index(value)
+        total += 1
+        found += any(s <= at < e for s, e, _ in base + more)
+    assert found >= 0.97 * total
 
 
 def test_credential_values_are_added_and_base_stays():

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import per_batch, slices, stored
 
 #: The links of the chain, in order; the last one decides. Each is a 0/1 column of the labels or, with "not ", its opposite.
 CATEGORIES = ("not quality", "toxic")
@@ -105,19 +105,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 1
     return w[:-1], float(w[-1])
 
 
-def _chosen(rows: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
-    """The features that tell the classes best: in four texts at least, by the log likelihood ratio times the root of their number, both ways; ties by hash. In order of the hash."""
-    everything = np.concatenate(rows)
-    names, at = np.unique(everything, return_inverse=True)
-    total = np.bincount(at, minlength=len(names)).astype(float)
-    with_1 = np.bincount(at, np.repeat(y, [len(r) for r in rows]), len(names))
-    n = np.bincount(y.astype(int), minlength=2).astype(float)
-    score = np.abs(np.log((with_1 + 0.5) / (n[1] + 1)) - np.log((total - with_1 + 0.5) / (n[0] + 1))) * np.sqrt(total)
-    score[total < 4] = -1
-    best = np.argsort(-score, kind="stable")[:most]
-    return np.sort(names[best[score[best] >= 0]])
-
-
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The lowest threshold, between LOWEST and 0.5, at which PRECISION of what lies above it, out of fold, is right; 0.5 if there is none."""
     order = np.argsort(-p, kind="stable")
@@ -127,8 +114,8 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return min(0.5, float(p[order[fine[-1]]])) if len(fine) else 0.5
 
 
-def fit(rows: list[tuple[int, dict, np.ndarray]], categories: tuple[str, ...] = CATEGORIES, most: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """Fits the chain on (fold number, labels, hashes of the features) of labelled texts. Every link is fitted on the features and on the earlier links' probabilities out of fold: those that models of the other folds give. So a link learns how far to trust the earlier ones on texts that they have not seen. The last link's probabilities out of fold also set the threshold (_threshold).
+def fit(rows: list[tuple[int, dict, np.ndarray]], chosen: list[np.ndarray], categories: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
+    """Fits the chain on (fold number, labels, hashes of the features) of labelled texts; chosen: for each link the hashes of its features, in order. Every link is fitted on the features and on the earlier links' probabilities out of fold: those that models of the other folds give. So a link learns how far to trust the earlier ones on texts that they have not seen. The last link's probabilities out of fold also set the threshold (_threshold).
 
     No rows, or a link with one class, give a link that says the class's share throughout.
     """
@@ -143,7 +130,7 @@ def fit(rows: list[tuple[int, dict, np.ndarray]], categories: tuple[str, ...] =
             chain.bias[k] = 20.0 if len(y) and y.min() else -20.0
             seen = np.concatenate((seen, np.full((len(y), 1), y[:1].mean() if len(y) else 0, np.float32)), 1)
             continue
-        names = _chosen(expanded, y, most)
+        names = chosen[k]
         x = np.zeros((len(rows), len(names) + k), np.float32)
         for r, fs in enumerate(expanded):
             x[r, np.flatnonzero(np.isin(names, fs))] = 1
@@ -164,25 +151,53 @@ def fit(rows: list[tuple[int, dict, np.ndarray]], categories: tuple[str, ...] =
     return chain
 
 
+def chosen(found: DataFrame, links: int, most: int = FEATURES) -> list[np.ndarray]:
+    """For each link (l0, l1, ... of found, 0 or 1) the features that tell its classes best: in four texts at least, by the log likelihood ratio times the root of their number, both ways; ties to the smaller hash. In order of the hash. Counts are made by Spark; the driver gets at most `most` numbers a link."""
+    names = [f"l{k}" for k in range(links)]
+    total = found.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names]).first()
+    if not total["n"]:
+        return [np.empty(0, np.uint32)] * links
+    n = found.select(F.explode("found").alias("feature"), *names).groupBy("feature").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names]).where("n >= 4")
+    n = stored(n, "features")
+    out = []
+    for c in names:
+        ones = float(total[c])
+        score = F.abs(F.log((F.col(c) + 0.5) / (ones + 1)) - F.log((F.col("n") - F.col(c) + 0.5) / (total["n"] - ones + 1))) * F.sqrt("n")
+        best = n.select("feature", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "feature").limit(most)
+        out.append(np.sort(np.array([r.feature for r in best.select("feature").collect()], np.uint32)))
+    return out
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample: int = SAMPLE) -> Chain:
-    """Fits the chain on at most `sample` labelled rows, which the driver gets as hashes of their features."""
-    columns = [(F.lit(1) - F.col(c[4:]) if c.startswith("not ") else F.col(c)).cast("int").alias(f"l{k}") for k, c in enumerate(categories)]
-    given = labels.select("doc_id", *columns).dropna().orderBy(F.xxhash64("doc_id"), "doc_id", *(f"l{k}" for k in range(len(categories)))).limit(sample)
-    ids = [tuple(r) for r in given.collect()]  # `sample` rows at most
-    spark = docs.sparkSession
-    known = spark.createDataFrame(ids, given.schema)
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    names = [f"l{k}" for k in range(len(categories))]
+    """Fits the chain on at most `sample` labelled documents: those with the smallest seeded hashes of doc_id. Of several labels of a document the least count (by the categories), of several texts the one with the least hash; nulls are left out.
 
+    The sample's texts become hashes of features where they are; features are counted and chosen by Spark (chosen), and the driver gets of each document the chosen ones alone: at most `sample` rows of FEATURES numbers a link.
+    """
+    names = [f"l{k}" for k in range(len(categories))]
+    columns = [(F.lit(1) - F.col(c[4:]) if c.startswith("not ") else F.col(c)).cast("int").alias(n) for n, c in zip(names, categories)]
+    given = labels.select("doc_id", *columns).dropna().groupBy("doc_id").agg(F.min(F.struct(*names)).alias("l")).select("doc_id", "l.*")
+    known = stored(given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")  # `sample` rows at most
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(known), "doc_id")
+    least = texts.groupBy("doc_id").agg(F.min("h").alias("h"))
     of = Features()
 
     def f(b: pa.RecordBatch) -> dict:
-        found = [np.sort(np.fromiter(of(t), np.uint32)).tobytes() for t in b.column("text").to_pylist()]
-        return {"doc_id": b.column("doc_id"), "found": found} | {c: b.column(c) for c in names}
+        found = [np.sort(np.fromiter(of(t), np.int64)) for t in b.column("text").to_pylist()]
+        return {"found": pa.array(found, pa.list_(pa.int64()))} | {c: b.column(c) for c in ("doc_id", "h", *names)}
+
+    rows = per_batch(texts, "doc_id long, h long, found array<long>, " + ", ".join(f"{c} int" for c in names), f)
+    rows = rows.join(F.broadcast(least), ["doc_id", "h"]).groupBy("doc_id").agg(F.first("found").alias("found"), *[F.first(c).alias(c) for c in names])
+    rows = stored(rows, "sample")
+    features = chosen(rows, len(categories))
+    some = np.unique(np.concatenate([np.empty(0, np.uint32), *features])).astype(np.int64)
+
+    def kept(b: pa.RecordBatch) -> dict:
+        hits = [np.intersect1d(x, some, assume_unique=True).astype(np.uint32).tobytes() for x in (np.asarray(x or [], np.int64) for x in b.column("found").to_pylist())]
+        return {"found": hits} | {c: b.column(c) for c in ("doc_id", *names)}
 
-    got = per_batch(texts, "doc_id long, found binary, " + ", ".join(f"{c} int" for c in names), f).collect()
-    rows = sorted((r.doc_id, [r[c] for c in names], bytes(r.found)) for r in got)
-    return fit([(i, dict(zip(categories, ls)), np.frombuffer(x, np.uint32)) for i, ls, x in rows], categories)
+    got = per_batch(rows, "doc_id long, found binary, " + ", ".join(f"{c} int" for c in names), kept).collect()
+    got = sorted((r.doc_id, [r[c] for c in names], bytes(r.found)) for r in got)
+    return fit([(i, dict(zip(categories, ls)), np.frombuffer(x, np.uint32)) for i, ls, x in got], features, categories)
 
 
 def judged(texts: list[str | None], chain: Chain, of: Features) -> tuple[np.ndarray, np.ndarray]:
@@ -210,14 +225,13 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the chain rejects; all columns stay, whatever their names."""
+    """docs without the rows that the chain rejects; all columns stay, whatever their names. Null and empty texts are judged by the biases alone; repeated rows share their fate; an empty table gives none."""
     chain = fit_on(docs, labels)
     of = Features(chain.weights)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in slices(b):
                 yield part.filter(pa.array(~judged(part.column("text").to_pylist(), chain, of)[1]))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from strophe.llm import ann, licenses, mixing, queries, sql, toxicity
+from strophe.llm.common import stored
 
 
 @pytest.fixture(scope="module")
@@ -196,6 +197,61 @@ def test_chain_of_few_labels_and_odd_texts(spark):
     assert toxicity.accepted(d, lab).count() == 4 and toxicity.accepted(d, lab).columns == d.columns
 
 
+def plain_chain(texts, labels, folds=5, most=toxicity.FEATURES):
+    """The chain written out with dense arrays and without Spark: features by counting, every link on the features and the earlier links' out-of-fold probabilities."""
+    found = [sorted({h for w in toxicity.words(t) for h in toxicity.features(w)}) for _, t in texts]
+    fold, n = np.array([i % folds for i, _ in texts]), len(texts)
+    seen, links = np.zeros((n, 0), np.float32), []
+    for k, category in enumerate(toxicity.CATEGORIES):
+        y = np.array([labels[i][category] for i, _ in texts], np.float32)
+        counts = {}
+        for fs, v in zip(found, y.tolist()):
+            for f in fs:
+                a, b = counts.get(f, (0, 0))
+                counts[f] = a + 1, b + v
+        ones = float(y.sum())
+        score = {f: round(abs(np.log((b + 0.5) / (ones + 1)) - np.log((a - b + 0.5) / (n - ones + 1))) * a**0.5, 9) for f, (a, b) in counts.items() if a >= 4}
+        names = sorted(sorted(score, key=lambda f: (-score[f], f))[:most])
+        place = {f: j for j, f in enumerate(names)}
+        x = np.zeros((n, len(names) + k), np.float32)
+        for r, fs in enumerate(found):
+            for f in fs:
+                if f in place:
+                    x[r, place[f]] = 1
+        x[:, len(names) :] = seen
+        out = np.zeros(n, np.float32)
+        for f in range(folds):
+            w, b = toxicity._logistic(x[fold != f], y[fold != f])
+            out[fold == f] = toxicity._sigmoid(x[fold == f] @ w + b)
+        seen = np.concatenate((seen, out[:, None]), 1)
+        links.append((place, *toxicity._logistic(x, y)))
+    return links, seen
+
+
+def test_chain_is_the_plain_one(spark, labelled):
+    d, lab = labelled
+    d, lab = d.where("doc_id < 3000"), lab.where("doc_id < 3000")
+    chain = toxicity.fit_on(d, lab.unionByName(lab))  # a label that is there twice counts once
+    labels = {r.doc_id: {"not quality": 1 - r.quality, "toxic": r.toxic} for r in lab.dropna().collect()}
+    texts = sorted((r.doc_id, r.text) for r in d.collect() if r.doc_id in labels)
+    links, seen = plain_chain(texts, labels)
+    for k, (place, w, b) in enumerate(links):
+        assert {f for f, v in chain.weights.items() if f in place} == set(place)
+        assert np.allclose([chain.weights[f][k] for f in place], w[: len(place)], atol=1e-5) and chain.bias[k] == pytest.approx(b, abs=1e-5)
+        assert np.allclose(chain.earlier[k, :k], w[len(place) :], atol=1e-5)
+    assert chain.threshold == pytest.approx(toxicity._threshold(seen[:, -1], np.array([labels[i]["toxic"] for i, _ in texts], np.float32)), abs=1e-5)
+
+
+def test_repeated_documents_of_a_label_count_once(spark):
+    text = "many words " + " ".join(f"w{k}" for k in range(3000))
+    d = spark.createDataFrame([(1, text, 0)] * 500 + [(k, f"good text number {k}", 0) for k in range(2, 30)], "doc_id long, text string, l0 int")
+    lab = spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(1, 30)], "doc_id long, quality int, toxic int")
+    once = toxicity.fit_on(d.dropDuplicates(), lab)
+    many = toxicity.fit_on(d, lab)
+    assert np.allclose(once.bias, many.bias) and once.weights.keys() == many.weights.keys()
+    assert toxicity.accepted(d.limit(0), lab).collect() == []
+
+
 def test_pipeline_stages_hand_on_documents(spark):
     import corpus_pipeline as P
 
@@ -206,7 +262,7 @@ def test_pipeline_stages_hand_on_documents(spark):
         docs = stage(spark, docs, "/root/testdata/sf0.01")
         if n + 1 < len(P.STAGES):
             assert docs.columns == list(P.COLUMNS)
-            docs = P.stored(docs, "stage")
+            docs = stored(docs, "stage")
             seen.append({r.doc_id: r.text for r in docs.collect()})
     assert len(before) > len(seen[0]) > len(seen[1]) > len(seen[2]) == len(seen[3])
     assert seen[0].keys() > seen[1].keys() > seen[2].keys()

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: Tokens of a block. Windows are runs of so many blocks, one from every block on; an item is looked for with the shortest that holds it wherever it begins.
 BLOCK = 8
 SCALES = (2, 3, 5, 9)
@@ -24,8 +28,10 @@ COMMON = 0.5
 VERBATIM, PARAPHRASE = 0.8, 0.6
 #: Items of fewer tokens leak only as a whole, word by word: a few frequent words in order are no sign of a leak.
 SHORT = 9
-#: Items that are searched for in one pass over the documents.
-AT_ONCE = 500
+#: Columns that the items' words are hashed to. So the sketch has one size, whatever the benchmark.
+COLUMNS = 1 << 15
+#: Items that are searched for in one pass over the documents, and pieces that are compared with windows at once.
+AT_ONCE, PIECES = 2000, 2048
 _CUT = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -57,51 +63,65 @@ def answer(text: str) -> list[bytes]:
     return sentences[-1][-8:] if sentences else []
 
 
+@dataclass
+class Space:
+    """The latent space of a corpus: the column of each word of any item, and the inverse document frequencies and latent vectors of the columns, the latter with a row of zeros for words that no item has."""
+
+    words: dict[bytes, int]
+    idf: np.ndarray
+    latent: np.ndarray
+
+    @staticmethod
+    def of(words: dict[bytes, int], sketch: np.ndarray, df: np.ndarray, passages: int) -> Space:
+        """From the sketch of the passages' counts (rows by columns) and the passages that hold each column: the singular vectors of the weighted sketch. They are divided by their singular values, so that what all passages of a language share does not outweigh the rest, but by no less than the median of these, so that a rare word does not either. Only columns that a word has stay, numbered in order."""
+        used = np.array(sorted(set(words.values())), int)
+        number = {c: k for k, c in enumerate(used.tolist())}
+        idf = np.log((1 + passages) / (1 + df[used])) + 1e-3
+        _, s, vt = np.linalg.svd(sketch[:, used] * idf, full_matrices=False)
+        kept = s[:RANK] > 1e-6 * max(s[:1], default=0)
+        basis = np.eye(len(used))[:, :RANK] if not kept.any() else vt[:RANK][kept].T / np.maximum(s[:RANK][kept], np.median(s[:RANK][kept]))
+        latent = np.zeros((len(used) + 1, max(1, basis.shape[1])), np.float32)
+        latent[:-1, : basis.shape[1]] = idf[:, None] * basis * (float(s[0]) if kept.any() else 1)
+        return Space({t: number[c] for t, c in words.items()}, idf, latent)
+
+
 class Items:
-    """The items that are looked for together, their vocabulary, and after fit() their latent vectors."""
+    """Items that are looked for together: the latent vectors of their pieces, and where in a piece a word stands."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], space: Space):
         self.ids, self.texts = [r[0] for r in rows], [tokens(r[1]) for r in rows]
         self.answers = [answer(r[1]) for r in rows]
-        self.vocabulary = {t: k for k, t in enumerate(sorted({t for ts in self.texts for t in ts}))}
+        self.words, self.latent = space.words, space.latent
         self.pieces = [(n, ts[a : a + PIECE]) for n, ts in enumerate(self.texts) for a in range(0, max(1, len(ts) - PIECE // 2), PIECE // 2) if ts]
-
-    def numbers(self, ts: list[bytes]) -> list[int]:
-        get, none = self.vocabulary.get, len(self.vocabulary)
-        return [get(t, none) for t in ts]
-
-    def fit(self, sketch: np.ndarray, df: np.ndarray, passages: int) -> None:
-        """From the sketch of the passages' counts (rows by vocabulary) and the passages that hold each word: inverse document frequencies, the singular vectors of the weighted sketch, and the items' vectors. Vectors are divided by their singular values, so that what all passages of a language share does not outweigh the rest, but by no less than the median of these, so that a rare word does not either."""
-        d = len(self.vocabulary)
-        self.idf = np.log((1 + passages) / (1 + df)) + 1e-3
-        _, s, vt = np.linalg.svd(sketch * self.idf, full_matrices=False)
-        kept = s[:RANK] > 1e-6 * max(s[:1], default=0)
-        basis = np.eye(d)[:, :RANK] if not kept.any() else vt[:RANK][kept].T / np.maximum(s[:RANK][kept], np.median(s[:RANK][kept]))
-        self.latent = np.zeros((d + 1, max(1, basis.shape[1])), np.float32)  # the last row: words that no item has
-        self.latent[:d] = self.idf[:, None] * basis * (float(s[0]) if kept.any() else 1)
-        self.by_scale: list[tuple[np.ndarray, np.ndarray]] = []
         fits = [next((k for k, w in enumerate(SCALES) if len(ts) <= (w - 1) * BLOCK + 1), len(SCALES) - 1) for _, ts in self.pieces]
         self.cosine = np.array([COSINE * min(1.0, len(ts) / (SCALES[f] * BLOCK)) ** 0.5 for (_, ts), f in zip(self.pieces, fits)])
+        self.by_scale: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(len(SCALES)):
             own = [p for p, f in enumerate(fits) if f == k]
             q = np.array([self.latent[self.numbers(self.pieces[p][1])].sum(0) for p in own], np.float32).reshape(len(own), self.latent.shape[1])
             q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
             self.by_scale.append((np.array(own, int), (q / self.cosine[own][:, None]).astype(np.float32)))
-        bits = np.zeros((len(self.pieces), d + 1), np.uint64)  # where in a piece a word stands
+        # where in a piece a word stands, as bits: only the cells that are not empty, in order of piece and column; words of one column share their bits, which lets no candidate go
+        cells: dict[int, int] = {}
         for k, (_, ts) in enumerate(self.pieces):
             for at, word in enumerate(self.numbers(ts)):
-                bits[k, word] |= np.uint64(1 << at)
-        self.bits = bits.ravel()
+                cells[k * len(self.latent) + word] = cells.get(k * len(self.latent) + word, 0) | 1 << at
+        self.cells = np.array(sorted(cells), np.int64)
+        self.bits = np.array([*(cells[c] for c in self.cells.tolist()), 0], np.uint64)
         self.least = np.array([COMMON * len(ts) for _, ts in self.pieces])
         self.masks = [_positions(ts) for ts in self.texts]
         self.answer_masks = [_positions(ts) for ts in self.answers]
 
+    def numbers(self, ts: list[bytes]) -> list[int]:
+        get, none = self.words.get, len(self.latent) - 1
+        return [get(t, none) for t in ts]
+
     def candidates(self, docs: list[list[bytes]]) -> dict[tuple[int, int], list[tuple[float, int, int]]]:
         """(document, item) to its windows: the cosine, and the tokens from and to which each reaches."""
         gap = SCALES[-1] - 1
         sizes = [-(-len(d) // BLOCK) + gap for d in docs]
         first = np.concatenate(([0], np.cumsum(sizes)))
-        ids = np.full((int(first[-1]) + gap, BLOCK), len(self.vocabulary), np.int32)
+        ids = np.full((int(first[-1]) + gap, BLOCK), len(self.latent) - 1, np.int32)
         flat = ids.reshape(-1)
         for d, a in zip(docs, first.tolist()):
             flat[a * BLOCK : a * BLOCK + len(d)] = self.numbers(d)
@@ -119,26 +139,28 @@ class Items:
                 while width < scale:
                     window += rows[width : width + n]
                     width += 1
-                if len(own):
-                    norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)
-                    dots = window @ q.T  # q is scaled so that the threshold is 1 times the window's norm
+                norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)
+                for some in range(0, len(own), PIECES):
+                    dots = window @ q[some : some + PIECES].T  # q is scaled so that the threshold is 1 times the window's norm
                     w, p = np.nonzero(dots >= norm[:, None])
-                    for w, p in self._plausible(part, own, scale, w, p):
-                        block = at + w
+                    for w, p in self._plausible(part, own[some : some + PIECES], scale, w, p):
+                        piece, block = own[some + p], at + w
                         doc = int(np.searchsorted(first, block, "right")) - 1
                         a = (block - int(first[doc])) * BLOCK
-                        out.setdefault((doc, self.pieces[own[p]][0]), []).append((float(dots[w, p] / norm[w]) * self.cosine[own[p]], a, a + scale * BLOCK))
+                        out.setdefault((doc, self.pieces[piece][0]), []).append((float(dots[w, p] / norm[w]) * self.cosine[piece], a, a + scale * BLOCK))
         return out
 
     def _plausible(self, part: np.ndarray, own: np.ndarray, scale: int, w: np.ndarray, p: np.ndarray, at_once: int = 1 << 15) -> Iterator[tuple[int, int]]:
         """Those windows (first block, piece) in which at least COMMON of a piece's tokens occur, in any order: fewer cannot pass the later check."""
         for a in range(0, len(w), at_once):
             blocks, pieces = w[a : a + at_once], p[a : a + at_once]
-            row, n = own[pieces], len(self.vocabulary) + 1
+            row, n = own[pieces], len(self.latent)
             seen = np.zeros(len(blocks), np.uint64)
             for k in range(scale):
                 cells = part[blocks + k] + (row * n)[:, None]
-                seen |= np.bitwise_or.reduce(np.take(self.bits, cells), 1)
+                at = np.searchsorted(self.cells, cells)
+                there = np.take(self.cells, at, mode="clip") == cells
+                seen |= np.bitwise_or.reduce(np.where(there, self.bits[at], np.uint64(0)), 1)
             fine = np.bitwise_count(seen) >= self.least[row]
             yield from zip(blocks[fine].tolist(), pieces[fine].tolist())
 
@@ -154,33 +176,34 @@ class Items:
                 tried = {(at, at + reach) for at in range(start, max(start + 1, end - reach + 1 + BLOCK), BLOCK)}
             else:  # a window, and a block more on either side for what a paraphrase puts in
                 tried = {(max(0, a - BLOCK), b + BLOCK) for _, a, b in windows}
-            best = (0, 0)
-            for a, b in sorted(tried):
-                common = lcs(self.masks[k], n, docs[d][a:b])
-                if common >= PARAPHRASE * n and common >= best[0]:
-                    best = max(best, (common, lcs(self.answer_masks[k], len(self.answers[k]), docs[d][a:b])))
-                if best[0] == n:
-                    break
-            common, found = best
             if n < SHORT:
                 whole = b" " + b" ".join(self.texts[k]) + b" "
                 if any(whole in b" " + b" ".join(docs[d][a:b]) + b" " for a, b in tried):
                     out.append((d, k, max(w[0] for w in windows), n, n, len(self.answers[k])))
-            elif common >= VERBATIM * n or common >= PARAPHRASE * n and found >= 0.75 * len(self.answers[k]):
-                out.append((d, k, max(w[0] for w in windows), common, n, found))
+                continue
+            best = (False, 0, 0)  # whether a stretch is a leak by itself, then the most common tokens, then the answer's
+            for a, b in sorted(tried):
+                common = lcs(self.masks[k], n, docs[d][a:b])
+                if common >= PARAPHRASE * n and (common > best[1] or not best[0]):
+                    found = lcs(self.answer_masks[k], len(self.answers[k]), docs[d][a:b])
+                    best = max(best, (common >= VERBATIM * n or found >= 0.75 * len(self.answers[k]), common, found))
+                if best[1] == n:
+                    break
+            if best[0]:
+                out.append((d, k, max(w[0] for w in windows), best[1], n, best[2]))
         return out
 
 
-def _sketch(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's share of the sketch: every passage (40 tokens) is added, with a sign, to one of the rows; both are drawn from the document's id and the passage's number. The row SKETCH counts passages by word, and SKETCH + 1 passages. Counts are whole numbers, so the order of adding does not matter."""
+def _sketch(words: dict[bytes, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's share of the sketch: every passage (40 tokens) is added, with a sign, to one of the rows; both are drawn from the document's id and the passage's number. The row SKETCH counts passages by column, and SKETCH + 1 passages. Counts are whole numbers, so the order of adding does not matter. Only rows and columns that are not empty leave the task."""
     from pyspark import TaskContext
 
-    d, size = len(items.vocabulary), 40
-    total = np.zeros((SKETCH + 2) * (d + 1), np.int64)
+    d, size = COLUMNS, 40
+    total = np.zeros((SKETCH + 2) * (d + 1), np.int32)
+    get = words.get
     for b in batches:
-        for at in range(0, b.num_rows, 512):
-            part = b.slice(at, 512)
-            docs = [items.numbers(tokens(t)) for t in part.column("text").to_pylist()]
+        for part in slices(b):
+            docs = [[get(t, d) for t in tokens(x)] for x in part.column("text").to_pylist()]
             counts = np.array([-(-len(x) // size) for x in docs], np.int64)
             if not counts.sum():
                 continue
@@ -196,36 +219,44 @@ def _sketch(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             h *= np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(32)
             to = (h % np.uint64(SKETCH)).astype(np.int64) * (d + 1)
-            sign = np.where(h >> np.uint64(63), 1.0, -1.0)
-            total += np.bincount((to[:, None] + ids).ravel(), np.repeat(sign, size), len(total)).astype(np.int64)
+            sign = np.where(h >> np.uint64(63), 1, -1).astype(np.int32)
+            hit = ids < d
+            np.add.at(total, (to[:, None] + ids)[hit], np.repeat(sign, hit.sum(1)))
             ids.sort(axis=1)
-            new = np.concatenate((np.ones((len(ids), 1), bool), ids[:, 1:] != ids[:, :-1]), 1)
-            total[SKETCH * (d + 1) : (SKETCH + 1) * (d + 1)] += np.bincount(ids[new], minlength=d + 1)
+            new = np.concatenate((np.ones((len(ids), 1), bool), ids[:, 1:] != ids[:, :-1]), 1) & (ids < d)
+            np.add.at(total, SKETCH * (d + 1) + ids[new], 1)
             total[(SKETCH + 1) * (d + 1)] += len(ids)
     rows = total.reshape(SKETCH + 2, d + 1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH + 2), pa.int32()), pa.array(np.full(SKETCH + 2, TaskContext.get().partitionId() % 64), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["row", "part", "counts"])
+    some = [(k, c := np.flatnonzero(r).astype(np.int32), r[c]) for k, r in enumerate(rows) if r.any()]
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in some], pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * len(some), pa.int32()), pa.array([c.tobytes() for _, c, _ in some], pa.binary()), pa.array([v.astype(np.int64).tobytes() for _, _, v in some], pa.binary())], names=["row", "part", "at", "counts"])
 
 
 def _added(group: pa.Table) -> pa.Table:
-    cells = [np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist()]
-    return pa.table({"row": group.column("row")[:1], "part": group.column("part")[:1], "counts": pa.array([sum(cells[1:], cells[0]).tobytes()], pa.binary())})
+    total = np.zeros(COLUMNS + 1, np.int64)
+    for at, counts in zip(group.column("at").to_pylist(), group.column("counts").to_pylist()):
+        total[np.frombuffer(at, np.int32)] += np.frombuffer(counts, np.int64)
+    at = np.flatnonzero(total).astype(np.int32)
+    return pa.table({"row": group.column("row")[:1], "part": group.column("part")[:1], "at": pa.array([at.tobytes()], pa.binary()), "counts": pa.array([total[at].tobytes()], pa.binary())})
+
+
+def column(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) % COLUMNS
 
 
-def fitted(docs: DataFrame, rows: list[tuple[int, str]]) -> Items:
-    """Items with their latent space, the right singular vectors of the TF-IDF matrix of all passages of docs.
+def fitted(docs: DataFrame, benchmark: DataFrame) -> Space:
+    """The latent space of docs for a whole benchmark: the right singular vectors of the TF-IDF matrix of all passages.
 
-    The decomposition is randomised: the rows of the matrix are added up, with random signs, to SKETCH rows, whose Gram matrix is that of all passages in expectation; the singular vectors are those of these few rows. Weights of words are factors of columns, so counts are sketched and weighted later, in one pass. Only words of the items have columns, as no other can make a passage more like an item. The tasks' sketches (SKETCH by vocabulary, whatever the documents) are added in two steps; the driver gets one.
+    The decomposition is randomised: the rows of the matrix are added up, with random signs, to SKETCH rows, whose Gram matrix is that of all passages in expectation; the singular vectors are those of these few rows. Weights of words are factors of columns, so counts are sketched and weighted later, in one pass. Only words of the items have columns, as no other can make a passage more like an item; they are hashed to COLUMNS, so a task's sketch has one size, whatever the documents and the benchmark. The tasks' sketches are added in two steps; the driver gets one, and the items' words.
     """
-    items = Items(rows)
-    schema = "row int, part int, counts binary"
-    parts = docs.select("doc_id", "text").mapInArrow(lambda it: _sketch(items, it), schema)
+    words = {t: column(t) for block in item_blocks(benchmark) for _, text in block for t in tokens(text)}
+    schema = "row int, part int, at binary, counts binary"
+    parts = docs.select("doc_id", "text").mapInArrow(lambda it: _sketch(words, it), schema)
     summed = parts.groupBy("row", "part").applyInArrow(_added, schema).groupBy("row").applyInArrow(_added, schema).collect()
-    d = len(items.vocabulary)
-    counts = np.zeros((SKETCH + 2, d + 1), np.int64)
+    counts = np.zeros((SKETCH + 2, COLUMNS + 1))
     for r in summed:
-        counts[r.row] = np.frombuffer(r.counts, np.int64)
-    items.fit(counts[:SKETCH, :d].astype(float), counts[SKETCH, :d].astype(float), int(counts[SKETCH + 1, 0]))
-    return items
+        counts[r["row"], np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["counts"], np.int64)
+    return Space.of(words, counts[:SKETCH, :COLUMNS], counts[SKETCH, :COLUMNS], int(counts[SKETCH + 1, 0]))
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -247,18 +278,19 @@ LEAKS = "doc_id long, item_id long, cosine double, n_common int, n_item int, n_a
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each row of docs and each item that it leaks: doc_id, item_id, cosine (the candidate's best), n_common (tokens of the longest common subsequence), n_item (tokens of the item) and n_answer (common tokens of its answer).
 
-    Windows of every document, whatever its length, are compared with the items in latent space; what comes near is checked by the longest common subsequence: a leak has 0.8 of an item's tokens in order, or 0.6 of them and 0.75 of its answer's; of items under nine tokens, all of them without a gap. The benchmark is a stated query set: it is walked in blocks of at most 500 items, with one pass for the latent space and one for the search each.
+    Windows of every document, whatever its length, are compared with the items in latent space; what comes near is checked by the longest common subsequence: a leak has, in one stretch, 0.8 of an item's tokens in order, or 0.6 of them and 0.75 of its answer's; of items under nine tokens, all of them without a gap. The benchmark is a stated query set: one pass makes the latent space for all of it, then it is searched for in blocks of at most AT_ONCE items, with a pass each. Windows are compared in the one space, so results do not hang on the blocks.
 
     Null and empty texts leak nothing; items without a word are never leaked; a null doc_id or item_id stays null. Repeated rows and repeated items give repeated results. Empty tables give none. Other columns do not matter.
     """
     out = None
+    space = None
     for block in item_blocks(benchmark):
-        items = fitted(docs, block)
+        space = space or fitted(docs, benchmark)
+        items = Items(block, space)
 
         def search(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    part = b.slice(at, 256)
+                for part in slices(b, 256):
                     ids = part.column("doc_id").to_pylist()
                     found = [(ids[d], items.ids[k], cos, common, n, ans) for d, k, cos, common, n, ans in items.leaks(part.column("text").to_pylist())]
                     if found:
@@ -271,14 +303,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that leak an item; all columns stay."""
+    """docs without the rows that leak an item (leaks); all columns stay. The blocks' filters follow one another in one pass, in the space of all of docs."""
+    space, whole = None, docs
     for block in item_blocks(benchmark):
-        items = fitted(docs, block)
+        space = space or fitted(whole, benchmark)
+        items = Items(block, space)
 
         def keep(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    part = b.slice(at, 256)
+                for part in slices(b, 256):
                     bad = {x[0] for x in items.leaks(part.column("text").to_pylist())}
                     yield part.filter(pa.array([k not in bad for k in range(part.num_rows)]))
 

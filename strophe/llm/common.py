@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.adapters import table
-from ..sources.storage import dropped, redealt, scratch, settled, shared_dir, stored
+from ..sources.storage import dropped, passing, redealt, scratch, settled, shared_dir, stored
 
-__all__ = ["WORD", "dropped", "n_words", "per_batch", "redealt", "scratch", "settled", "shared_dir", "slices", "stored", "table"]
+__all__ = ["WORD", "dropped", "n_words", "passing", "per_batch", "redealt", "scratch", "settled", "shared_dir", "slices", "stored", "table"]
 
 #: A word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,15 +34,15 @@ def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 1 << 24) -> Itera
         at = to
 
 
-def per_batch(df: DataFrame, schema: str | StructType, f: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
-    """A row-local step in Python: f turns a slice of a batch (slices) into the output's columns."""
+def per_batch(df: DataFrame, schema: str | StructType, f: Callable[[pa.RecordBatch], dict | None], size: int = 1 << 24) -> DataFrame:
+    """A row-local step in Python: f turns a slice of a batch (slices), of so many bytes at most, into the output's columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, size=size):
                 if cols := f(part):
                     yield pa.RecordBatch.from_arrays([cols[x.name] if isinstance(cols[x.name], pa.Array) else pa.array(cols[x.name], x.type) for x in out], schema=out)
 

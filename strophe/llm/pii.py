@@ -66,6 +66,8 @@ HIDDEN = 8
 WINDOW, SHARED = 160, 32
 #: Windows that go through the network together.
 TOGETHER = 2048
+#: Bytes of texts whose emissions are held at once, unless one text alone has more.
+HELD = 1 << 22
 #: Classes of characters: the printable ASCII ones, and one each for other letters, white space and the rest.
 _N = 98
 _TABLE = np.full(128, 97, np.uint8)
@@ -131,47 +133,62 @@ class Net:
         out += w["c"]
         return out
 
-    def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best tags (steps, batch) for emissions (steps, batch, tags).
+    def best_paths(self, e: np.ndarray, length: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """The best tags (steps, stretches) for emissions (steps, stretches, tags) of stretches of the given lengths, padded at their ends. inner (two columns): whether "nothing" stands before and after a stretch, as within a text."""
+        t, n = self.w["t"], len(TAGS)
+        steps = e.shape[0]
+        e = np.ascontiguousarray(e.transpose(2, 0, 1))  # by tag
+        score = e[:, 0] + np.where(inner[:, 0], t[0][:, None], 0)
+        back = np.zeros((steps, n, len(length)), np.uint8)
+        last = score + np.where(inner[:, 1], t[:, :1], 0)
+        best = np.where(length == 1, last.argmax(0), 0)
+        for k in range(1, steps):
+            new = np.empty_like(score)
+            for j in range(n):
+                x = score + t[:, j : j + 1]
+                back[k, j] = x.argmax(0)
+                new[j] = x.max(0) + e[j, k]
+            score = new
+            if (ends := length == k + 1).any():
+                best[ends] = (score + np.where(inner[:, 1], t[:, :1], 0)).argmax(0)[ends]
+        tags, rows = np.zeros((steps, len(length)), np.uint8), np.arange(len(length))
+        for k in range(steps - 1, -1, -1):
+            here = k < length
+            tags[k, here] = best[here]
+            best = np.where(here, back[k, best, rows], best)
+        return tags
 
-        Windows in which no stretch of other tags can beat "nothing" are nothing throughout, without a search; that is exact. A stretch gains at most, at each step, the largest transition among other tags over that of nothing, less the lead of nothing's emission; and once, what entering and leaving it gains, or one of both at an edge of the window. So it is enough to look at the stretch with the largest sum, and at the whole window, which neither enters nor leaves.
+    def decode(self, e: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of whole texts by their emissions (positions, tags): one best path for each, from its first character to its last.
+
+        Where no stretch of other tags can beat "nothing", "nothing" is on a best path without a search: a stretch gains at most, at each step, the largest transition among other tags over that of nothing, less the lead of nothing's emission; and once, what entering and leaving it gains, or one of both at an edge of the text, or neither if it is all of it. Positions that the stretch with the largest such sum through them does not lift above zero are nothing; the rest is searched stretch by stretch, between the nothings beside it, and that is exact.
         """
-        t = self.w["t"]
-        e = np.ascontiguousarray(e.transpose(2, 0, 1))  # by tag
+        t = self.w["t"].astype(np.float64)
         inside, stay, enter, leave = t[1:, 1:].max(), t[0, 0], t[0, 1:].max(), t[1:, 0].max()
-        once = max(enter + leave - stay - inside, leave - inside, enter - inside)
-        gain = e[1]
-        for x in e[2:]:
-            gain = np.maximum(gain, x)
-        gain = gain - e[0]
-        gain += inside - stay
-        run, most = gain[0].copy(), gain[0].copy()
-        for g in gain[1:]:
-            np.maximum(run, 0, out=run)
-            run += g
-            np.maximum(most, run, out=most)
-        some = np.flatnonzero((most + once > 0) | (gain.sum(0) + (stay - inside) > 0))
-        tags = np.zeros(e.shape[1:], np.uint8)
-        if len(some):
-            e = e[:, :, some]
-            n, steps = len(TAGS), e.shape[1]
-            score, back = e[:, 0].copy(), np.zeros((steps, n, len(some)), np.uint8)
-            new, s, better = np.empty_like(score), np.empty_like(score[0]), np.empty(len(some), bool)
-            for k in range(1, steps):
-                for j in range(n):
-                    np.add(score[0], t[0, j], out=new[j])
-                    for i in range(1, n):
-                        np.add(score[i], t[i, j], out=s)
-                        np.greater(s, new[j], out=better)
-                        np.maximum(s, new[j], out=new[j])
-                        back[k, j][better] = i
-                    new[j] += e[j, k]
-                score, new = new, score
-            best = score.argmax(0)
-            rows = np.arange(len(some))
-            for k in range(steps - 1, -1, -1):
-                tags[k, some] = best
-                best = back[k, best, rows]
+        once = max(enter + leave - stay - inside, leave - inside, enter - inside, stay - inside)
+        tags, found = [np.zeros(len(x), np.uint8) for x in e], []
+        for k, x in enumerate(e):
+            if len(x):
+                gain = x[:, 1:].max(1).astype(np.float64) - x[:, 0] + (inside - stay)
+                upto = np.concatenate(([0.0], np.cumsum(gain)))
+                left = upto[1:] - np.minimum.accumulate(upto)[:-1]  # the largest sum that ends at a position
+                right = np.maximum.accumulate(upto[:0:-1])[::-1] - upto[:-1]  # and that begins there
+                some = np.flatnonzero(left + right - gain + once > -1e-6)
+                if len(some):
+                    cuts = np.flatnonzero(np.diff(some) > 1) + 1
+                    found += [(k, int(s[0]), int(s[-1]) + 1) for s in np.split(some, cuts)]
+        found.sort(key=lambda s: s[2] - s[1])
+        while found:
+            longest = found[-1][2] - found[-1][1]
+            part = [s for s in found[-TOGETHER:] if 2 * (s[2] - s[1]) >= longest]  # of like length, so that padding costs little
+            part = part[-max(1, (1 << 22) // longest) :]
+            del found[len(found) - len(part) :]
+            padded = np.zeros((longest, len(part), len(TAGS)), np.float32)
+            for n, (k, a, b) in enumerate(part):
+                padded[: b - a, n] = e[k][a:b]
+            best = self.best_paths(padded, np.array([b - a for _, a, b in part]), np.array([(a > 0, b < len(e[k])) for k, a, b in part]))
+            for n, (k, a, b) in enumerate(part):
+                tags[k][a:b] = best[: b - a, n]
         return tags
 
     # Training
@@ -293,33 +310,39 @@ def trained(hidden: int = HIDDEN, rounds: int = 450, examples: int = 4000, steps
     return net
 
 
-def tag_texts(net: Net, texts: list[str]) -> list[np.ndarray]:
-    """The tag of every character of every text. Each text is cut into windows that overlap; a position takes its tag from the window in which it is farther from the edge."""
+def text_emissions(net: Net, texts: list[str]) -> list[np.ndarray]:
+    """The emissions (positions, tags) of every text. Each text is cut into windows that overlap; where two do, theirs are averaged, the more by the window in which a position is farther from the edge."""
     stride = WINDOW - SHARED
     cut = [classes(t) for t in texts]
     counts = [max(1, -(-(len(c) - SHARED) // stride)) if len(c) else 0 for c in cut]
     ids = np.full((sum(counts), WINDOW), 96, np.uint8)
+    follows = np.zeros(len(ids), bool)  # whether a window goes on with the text of the one before
     row = 0
     for c, n in zip(cut, counts):
+        follows[row + 1 : row + n] = True
         for k in range(n):
             part = c[k * stride : k * stride + WINDOW]
             ids[row, : len(part)] = part
             row += 1
-    tags = np.empty_like(ids)
+    e = np.empty((len(ids), WINDOW, len(TAGS)), np.float32)
     for at in range(0, len(ids), TOGETHER):
-        tags[at : at + TOGETHER] = net.decode(net.emissions(np.ascontiguousarray(ids[at : at + TOGETHER].T))).T
+        e[at : at + TOGETHER] = net.emissions(np.ascontiguousarray(ids[at : at + TOGETHER].T)).transpose(1, 0, 2)
+    later = np.flatnonzero(follows)
+    share = ((np.arange(SHARED, dtype=np.float32) + 0.5) / SHARED)[:, None]
+    e[later, :SHARED] = share * e[later, :SHARED] + (1 - share) * e[later - 1, stride:]
     out, row = [], 0
     for c, n in zip(cut, counts):
-        whole = np.zeros(len(c), np.uint8)
-        for k in range(n):
-            a = SHARED // 2 if k else 0
-            part = tags[row, a : min(WINDOW, len(c) - k * stride)]
-            whole[k * stride + a : k * stride + a + len(part)] = part
-            row += 1
-        out.append(whole)
+        whole = e[row : row + n, :stride].reshape(-1, len(TAGS))
+        out.append((np.concatenate((whole, e[row + n - 1, stride:])) if n else whole)[: len(c)])
+        row += n
     return out
 
 
+def tag_texts(net: Net, texts: list[str]) -> list[np.ndarray]:
+    """The tag of every character of every text: the best path over the whole text."""
+    return net.decode(text_emissions(net, texts))
+
+
 def plausible(kind: str, s: str) -> bool:
     """The check that a span the model adds must pass."""
     d = _digits(s)
@@ -352,7 +375,7 @@ def added_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, str]]) -
 def scan(docs: DataFrame) -> DataFrame:
     """For each row: doc_id and spans, an array of (kind, start, end, base) by start.
 
-    Null and empty texts have none. Every text is worked on whole, in overlapping windows; patterns take time in proportion to its length. The weights (some 30 kB, whatever the tables hold) go to the tasks with the function. Repeated rows stay, an empty table gives none, other columns do not matter.
+    Null and empty texts have none. Every text goes through the network in overlapping windows and is decoded as a whole; patterns take time in proportion to its length. The weights (some 30 kB, whatever the tables hold) go to the tasks with the function. Repeated rows stay, an empty table gives none, other columns do not matter.
     """
     net = trained()
 
@@ -366,11 +389,11 @@ def scan(docs: DataFrame) -> DataFrame:
             out.append([{"kind": k, "start": s, "end": e, "base": (s, e, k) in own} for s, e, k in spans])
         return {"doc_id": b.column("doc_id"), "spans": out}
 
-    return per_batch(docs.select("doc_id", "text"), "doc_id long, spans array<struct<kind:string,start:int,end:int,base:boolean>>", f)
+    return per_batch(docs.select("doc_id", "text"), "doc_id long, spans array<struct<kind:string,start:int,end:int,base:boolean>>", f, HELD)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of personal data in text replaced by its kind in angle brackets, and n_chars, if there, by the new length. Overlapping spans are replaced as one, named after the first. Texts without any stay as they are, nulls too; all columns and rows stay."""
+    """docs with every span of personal data in text replaced by its kind in angle brackets, and n_chars, if there, by the new length. Overlapping spans are replaced as one, named after the first. Texts without any stay as they are, nulls too; all columns, whatever their names, and rows stay, repeated ones too; an empty table gives none."""
     net = trained()
     have = "n_chars" in docs.columns
     fields = [f for f in docs.schema if f.name not in ("text", "n_chars")]
@@ -390,7 +413,7 @@ def redact(docs: DataFrame) -> DataFrame:
             cols["n_chars"] = [n if a == t else len(t) for n, a, t in zip(lengths, old, out)]
         return cols
 
-    return per_batch(docs, docs.schema, f)
+    return per_batch(docs, docs.schema, f, HELD)
 
 
 def _replaced(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import redealt, scratch, stored
+from .common import passing, redealt, scratch, stored
 
 #: Bytes of a payload that are held at once, in reading and writing.
 CHUNK = 1 << 20
@@ -138,16 +138,17 @@ def chunks(f: io.BufferedReader, chunk: int = CHUNK) -> Iterator[tuple]:
                 break
 
 
-def read(spark: SparkSession, paths: list[str], folder: str, chunk: int = CHUNK) -> DataFrame:
-    """The chunk table of archives: a row for each record and chunk number, with the record's headers, the chunk's bytes, and the length and digest of the payload up to its end. One task for each archive; no archive, no rows."""
+def read(archives: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
+    """The chunk table of archives (path): a row for each record and chunk number, with the record's headers, the chunk's bytes, and the length and digest of the payload up to its end. Archives are dealt to as many tasks as there are, in turn; no archive, no rows."""
+    n = archives.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(folder)
         schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("declared_digest", pa.string()), ("declared_bytes", pa.int64()), ("chunk_no", pa.int32()), ("data", pa.binary()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.string()), ("last", pa.bool_())])
         for b in batches:
-            for k in b.column(0).to_pylist():
+            for path in b.column("path").to_pylist():
                 rows, held = [], 0
-                with store.open_input_stream(paths[k]) as raw, gzip.GzipFile(fileobj=raw) as unpacked:
+                with store.open_input_stream(path) as raw, gzip.GzipFile(fileobj=raw) as unpacked:
                     for row in chunks(io.BufferedReader(unpacked, 1 << 18), chunk):
                         rows.append(row)
                         held += len(row[7])
@@ -157,30 +158,36 @@ def read(spark: SparkSession, paths: list[str], folder: str, chunk: int = CHUNK)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return spark.range(0, len(paths), 1, max(1, len(paths))).mapInArrow(run, CHUNKS)
+    return archives.select("path").repartition(max(1, n)).mapInArrow(run, CHUNKS)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes pages to archives in the shared folder and gives the chunk table that is read back from them.
 
-    A null html is an empty payload, a null url has no target line. Very long pages are written and read a chunk at a time. Repeated rows are records of their own; an empty table gives no archive and no rows. Other columns do not matter.
+    A null html is an empty payload, a null url has no target line. Very long pages are written and read a chunk at a time. Repeated rows are records of their own; an empty table gives no archive and no rows. Other columns do not matter. The archives go when the driver ends.
     """
-    spark = pages.sparkSession
-    folder = scratch(spark, "warc")
+    folder = scratch(pages.sparkSession, "warc")
     archives = write(plan(pages, min_bytes), folder)
-    paths = [r.path for r in archives.select("path").orderBy("path").collect()]  # one for each task that wrote
-    return read(spark, paths, folder)
+    if archives.isEmpty():
+        return pages.sparkSession.createDataFrame([], CHUNKS)
+    passing(pages.sparkSession, folder)
+    return read(archives, folder)
 
 
 def records(table: DataFrame) -> DataFrame:
-    """From a chunk table, for each record: page_id, payload_bytes, payload_digest, record_type, refers_to, and verified, whether a response's bytes have the digest and length that its headers say (a revisit's are declared, so true)."""
+    """From a chunk table, for each record: page_id, payload_bytes, payload_digest, record_type, refers_to, and verified: whether a response's bytes have the digest and length that its headers say, or a revisit's headers say what the bytes of a response, whose page it refers to, have.
+
+    The payloads are read once; what is joined is a narrow table of the records' ends.
+    """
     revisit = F.col("record_type") == "revisit"
-    last = table.where("last")
-    return last.select(
+    ends = stored(table.where("last").drop("data", "chunk_no", "record_id", "last"), "records")
+    of = ends.where(~revisit).select(F.col("page_id").alias("_page"), F.col("digest_so_far").alias("_digest"), F.col("bytes_so_far").alias("_bytes")).distinct().withColumn("_there", F.lit(True))
+    told = (F.col("refers_to") == F.col("_page")) & (F.col("declared_digest") == F.col("_digest")) & (F.col("declared_bytes") == F.col("_bytes"))
+    return ends.join(redealt(of, "_page", "_digest", "_bytes"), told, "left").select(
         "page_id",
         F.when(revisit, F.col("declared_bytes")).otherwise(F.col("bytes_so_far")).alias("payload_bytes"),
         F.when(revisit, F.col("declared_digest")).otherwise(F.col("digest_so_far")).alias("payload_digest"),
         "record_type",
         "refers_to",
-        (revisit | ((F.col("digest_so_far") == F.col("declared_digest")) & (F.col("bytes_so_far") == F.col("declared_bytes")))).alias("verified"),
+        F.when(revisit, F.coalesce("_there", F.lit(False))).otherwise((F.col("digest_so_far") == F.col("declared_digest")) & (F.col("bytes_so_far") == F.col("declared_bytes"))).alias("verified"),
     )

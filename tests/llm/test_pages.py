@@ -23,6 +23,18 @@ def test_warc_round_trip_of_odd_pages(spark):
     assert W.round_trip(df.limit(0)).collect() == []
 
 
+def test_a_revisit_that_tells_otherwise_is_not_verified(spark):
+    rows = [(1, "u", "same"), (2, "u", "same"), (3, "u", "other")]
+    table = W.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.verified for r in W.records(table).collect()} == {1: True, 2: True, 3: True}
+    from pyspark.sql import functions as F
+
+    wrong = table.withColumn("declared_bytes", F.when(F.col("record_type") == "revisit", 5).otherwise(F.col("declared_bytes")).cast("long"))
+    assert {r.page_id: r.verified for r in W.records(wrong).collect()} == {1: False, 2: True, 3: True}
+    lost = table.where("page_id != 2")
+    assert {r.page_id: r.verified for r in W.records(lost).collect()} == {1: False, 3: True}
+
+
 def test_small_payloads_are_all_responses(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to) for r in W.records(W.round_trip(df, min_bytes=5)).collect()}

@@ -1,6 +1,6 @@
 """Queries that apply the operators to whole tables, with SQL that gives the same rows."""
 
-from . import encoding, evolution, grammars, graphs, hierarchies, kernels, matrices, patterns, statistics
+from . import alignment, encoding, evolution, grammars, graphs, hierarchies, kernels, matrices, patterns, statistics, translations
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "encoding", "evolution", "grammars", "graphs", "hierarchies", "kernels", "matrices", "patterns", "statistics"]
+__all__ = ["QUERIES", "SQL", "alignment", "encoding", "evolution", "grammars", "graphs", "hierarchies", "kernels", "matrices", "patterns", "statistics", "translations"]

@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, seed: int
 #: Words of 64 bits of a wide fingerprint, and the bits and number of the blocks of each word that deal fingerprints out.
 WIDE, BLOCK_BITS, BLOCKS = 4, 10, 6
 #: Texts of candidates that are compared in one task; larger components are compared in parts.
-VERIFIED = 1000
+VERIFIED = 200
 #: Texts of a component that every part has, so that near copies in different parts are joined through them.
 ANCHORS = 8
 #: Odd multipliers that make further words out of a shingle's hash.
@@ -314,7 +314,7 @@ def wide_links(fps: DataFrame, budget: int) -> DataFrame:
 def ball_links(fp: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows (by group, fp by words) to hang on others (a on b), so that rows of a group are joined exactly if steps of at most `budget` bits lead from one to the other.
 
-    First, stars around some rows of a group join what is near. Then pairs are compared whose rows are still apart: those of the group's largest component are not compared with one another, so a dense group does not cost all its pairs. Pairs are walked word by word: one whose first word takes over half of its bits from the budget of a random pair is dropped before the rest.
+    First, stars around some rows of a group join what is near. Then pairs are compared whose rows are still apart: those of the group's largest component are not compared with one another, so a dense group does not cost all its pairs. Pairs are walked word by word, and dropped as soon as their differing bits exceed the budget.
     """
     n = len(fp)
     sets = _Sets(n)
@@ -325,7 +325,7 @@ def ball_links(fp: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarr
         dist = np.zeros(len(a), np.int64)
         for w in range(fp.shape[1]):
             dist += np.bitwise_count(fp[a, w] ^ fp[b, w])
-            stay = dist <= min(budget, (budget * (w + 1)) // fp.shape[1] + 12)
+            stay = dist <= budget
             a, b, dist = a[stay], b[stay], dist[stay]
         return a, b
 
@@ -341,7 +341,7 @@ def ball_links(fp: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarr
         left, right = [], []
         for a, b in zip(first[lo:hi].tolist(), last[lo:hi].tolist()):
             if b - a > 256:
-                _dense(fp, sets, near, a, b, min(budget, budget // fp.shape[1] + 12))
+                _dense(fp, sets, near, a, b, budget)
             elif b - a > 1:
                 label = sets.label[a:b]
                 if b - a > 24:
@@ -360,16 +360,18 @@ def ball_links(fp: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarr
     return a, sets.label[a]
 
 
-def _dense(fp: np.ndarray, sets: _Sets, near, a: int, b: int, most: int, at_once: int = 1 << 21) -> None:
-    """Compares the rows of one large group that are not in its largest component with all, by their first words as a table."""
+def _dense(fp: np.ndarray, sets: _Sets, near, a: int, b: int, budget: int, at_once: int = 1 << 21) -> None:
+    """Compares the rows of one large group that are not in its largest component with all, by their first two words as a table; what these leave within the budget is compared as a whole."""
     label = sets.label[a:b]
     values, counts = np.unique(label, return_counts=True)
     core = label == values[counts.argmax()]
     rows = np.concatenate([np.flatnonzero(core), np.flatnonzero(~core)]) + a
-    word, at = fp[rows, 0], int(core.sum())
+    one, two, at = fp[rows, 0], fp[rows, 1], int(core.sum())
     while at < len(rows):
         to = min(len(rows), at + max(1, at_once // len(rows)))
-        x, y = np.nonzero(np.bitwise_count(word[at:to, None] ^ word[None, :to]) <= most)
+        dist = np.bitwise_count(one[at:to, None] ^ one[None, :to])
+        dist += np.bitwise_count(two[at:to, None] ^ two[None, :to])
+        x, y = np.nonzero(dist <= budget)
         x, y = rows[x + at], rows[y]
         new = sets.label[x] != sets.label[y]
         sets.join(*near(x[new], y[new]))
@@ -501,9 +503,9 @@ def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: i
 
     def with_text(rows: DataFrame) -> DataFrame:
         texts = docs.select(F.col(key[0]).alias("no_id"), F.col(key[1]).alias("id"), F.col(key[2]).alias("_h"), F.col("text").cast("binary").alias("text"))
-        return texts.join(rows, ["no_id", "id", "_h"])
+        return texts.join(rows.hint("merge"), ["no_id", "id", "_h"])  # the same way at every size
 
     roots = components(verified_links(members, with_text, width, seed, budget, similarity)).withColumnRenamed("node", "_node")
     by_root = by_set.join(roots, F.col("node") == F.col("_node"), "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = by_root.groupBy("root").agg(F.min("first").alias("first")).select(*[F.col(f"first.{a}").alias(b) for a, b in zip(("no_id", "id", "_h"), key)])
-    return docs.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
+    return docs.join(kept.hint("merge"), key, "left_semi").dropDuplicates(key).drop(*key)

@@ -139,3 +139,50 @@ def running_mean_by_date(df: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("grp").orderBy("date", "version").rowsBetween(-(n - 1), 0)
     return df.select("grp", "version", "date", F.when(F.count("*").over(w) == n, F.avg("value").over(w)).alias("mean"))
 
+
+
+def versions_by_date(ids: DataFrame, today: str) -> DataFrame:
+    """Recordings (grp, version) in order of the date in their names: after two letters, two digits each for year, month and day with signs between, up to a full stop. Years are those of this century unless that is after `today`: (grp, version, date, ord). Names without a date come last, by name."""
+    d = F.to_date(F.concat(F.lit("20"), F.regexp_extract("version", r"^..(\d\d-\d\d-\d\d)(\.|$)", 1)), "yyyy-MM-dd")
+    d = F.when(F.regexp_like("version", F.lit(r"^..\d\d-\d\d-\d\d(\.|$)")), d)
+    x = ids.withColumn("date", d).withColumn("date", F.when(F.col("date") > F.lit(today).cast("date"), F.add_months("date", -1200)).otherwise(F.col("date")))
+    w = Window.partitionBy("grp").orderBy(F.col("date").asc_nulls_last(), "version")
+    return x.select("grp", "version", "date", (F.row_number().over(w) - 1).cast("int").alias("ord"))
+
+
+def relative_coefficients(df: DataFrame, keys: list[str], group: str = "grp", value: str = "value") -> DataFrame:
+    """The coefficient of variation (sample deviation over mean) of a value by group and keys, over the group's mean coefficient: (group, keys, coefficient, relative)."""
+    c = df.groupBy(group, *keys).agg(F.try_divide(F.stddev_samp(value), F.avg(value)).alias("coefficient"))
+    return c.withColumn("relative", F.try_divide("coefficient", F.avg("coefficient").over(Window.partitionBy(group))))
+
+
+def overall_evolution(df: DataFrame, n: int) -> DataFrame:
+    """The mean of a date's values over all groups, as they are and relative to their groups' means, and the running mean of the last n dates: (date, value, relative, mean, relative_mean), null until there are n. A row for each date, so ordering them in one task is bounded by the calendar."""
+    both = relative(df.withColumn("own", F.col("value"))).groupBy("date").agg(F.avg("own").alias("value"), F.avg("value").alias("relative"))
+    w = Window.orderBy("date").rowsBetween(-(n - 1), 0)
+    full = lambda c: F.when(F.count("*").over(w) == n, F.avg(c).over(w))
+    return both.select("date", "value", "relative", full("value").alias("mean"), full("relative").alias("relative_mean"))
+
+
+def best_level(results: DataFrame, param: str, measure: str = "l") -> DataFrame:
+    """For each item the parameter value with the greatest mean measure, the smallest of equals: (item, param, measure)."""
+    m = results.groupBy("item", param).agg(F.round(F.avg(measure), 9).alias(measure))
+    return best_per_group(m, ["item"], measure, [param])
+
+
+def several_references(results: DataFrame, method: str) -> DataFrame:
+    """Items that a method was held against more than one reference of: (item, refs)."""
+    return results.where(F.col("method") == method).groupBy("item").agg(F.count_distinct("ref").alias("refs")).where("refs > 1")
+
+
+def rating_study(results: DataFrame, ratings: DataFrame, param: str, measure: str = "l") -> DataFrame:
+    """How well a rating (item, param, rating) chooses a parameter: over all items, the mean measure at the value that is rated best (the smaller of equals), the mean of the best measure, and the share of items where both are one: (items, chosen, best, hits)."""
+    m = results.groupBy("item", param).agg(F.round(F.avg(measure), 9).alias(measure))
+    pick = best_per_group(ratings, ["item"], "rating", [param]).select("item", param)
+    x = m.join(pick, ["item", param]).select("item", F.col(measure).alias("chosen")).join(m.groupBy("item").agg(F.max(measure).alias("best")), "item")
+    return x.agg(F.count("*").alias("items"), F.avg("chosen").alias("chosen"), F.avg("best").alias("best"), F.avg((F.col("chosen") == F.col("best")).cast("double")).alias("hits"))
+
+
+def nested_array(df: DataFrame, column: str, path: str) -> Column:
+    """The numbers of an array at a path of keys of a JSON text, null where there is none."""
+    return F.from_json(nested(df, column, path), "array<double>")

@@ -188,3 +188,11 @@ def comp_adjacency(comp: DataFrame) -> DataFrame:
     n = a.join(comp.select("seq_id", F.col("root").alias("d"), "pos"), ["seq_id", "pos"]).groupBy("seq_id", "c", "d").agg(F.count("*").alias("n"))
     n = n.join(size.select("seq_id", F.col("root").alias("c"), F.col("n").alias("nc")), ["seq_id", "c"]).join(size.select("seq_id", F.col("root").alias("d"), F.col("n").alias("nd")), ["seq_id", "d"])
     return n.select("seq_id", "c", "d", (F.col("n") / F.greatest("nc", "nd")).alias("share"))
+
+
+def grouped_components(comp: DataFrame, least: float) -> DataFrame:
+    """Components (seq_id, pos, root) that follow one another on at least a share `least` of the larger one's points, directly or by others, as groups: (seq_id, pos, grp), grp the first root."""
+    a = comp_adjacency(comp).where(F.round("share", 9) >= least)
+    g = components(a.select(node(F.col("seq_id"), F.col("c")).alias("u"), node(F.col("seq_id"), F.col("d")).alias("v")))
+    at = comp.withColumn("_node", node(F.col("seq_id"), F.col("root"))).join(g.select(F.col("node").alias("_node"), F.col("root").alias("_grp")), "_node", "left")
+    return at.select("seq_id", "pos", F.coalesce(F.pmod("_grp", F.lit(ROOM)), F.col("root")).cast("int").alias("grp"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from .sequences import as_of, islands
 
 SEGMENT = ["item", "level"]
@@ -176,12 +177,23 @@ def meet_triples(lab: DataFrame) -> DataFrame:
 
 
 def lmeasure(reference: DataFrame, estimate: DataFrame) -> DataFrame:
-    """Precision, recall and their harmonic mean of an estimate's triples: (item, p, r, l); zeros where they have none in common."""
-    a, b = meet_triples(reference), meet_triples(estimate)
-    n = lambda d, name: d.groupBy("item").agg(F.count("*").alias(name))
-    both = n(a.join(b, ["item", "i", "j", "k"], "left_semi"), "both")
-    items = reference.select("item").distinct()
-    x = items.join(n(a, "na"), "item", "left").join(n(b, "nb"), "item", "left").join(both, "item", "left").na.fill(0, ["na", "nb", "both"])
+    """Precision, recall and their harmonic mean of an estimate's triples (meet_triples): (item, p, r, l); zeros where they have none in common.
+
+    Triples are counted, not made: for a position i, the others are summed up by how deeply they meet it in either table; a triple of both is one of a group and one of those that are less deep in both. So the work is that of the pairs, not of the triples."""
+    keys = ["item", "i", "j"]
+    x = meets(reference).withColumnRenamed("meet", "a").join(meets(estimate).withColumnRenamed("meet", "b"), keys, "full").na.fill(0, ["a", "b"])
+    g = x.groupBy("item", "i", "a", "b").agg(F.count("*").alias("n"))
+    size = reference.select("item", "pos").unionByName(estimate.select("item", "pos")).distinct().groupBy("item").agg(F.count("*").alias("all"))
+    # the others of a position that it meets in neither table
+    rest = g.groupBy("item", "i").agg(F.sum("n").alias("met")).join(size, "item").select("item", "i", F.lit(0).alias("a"), F.lit(0).alias("b"), (F.col("all") - 1 - F.col("met")).alias("n"))
+    g = g.unionByName(rest)
+    o = g.select("item", "i", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"))
+    pairs = g.join(o, ["item", "i"])
+    product = F.col("n") * F.col("n2")
+    count = lambda hit: F.sum(F.when(hit, product).otherwise(0))
+    deeper, too = F.col("a") > F.col("a2"), F.col("b") > F.col("b2")
+    n = pairs.groupBy("item").agg(count(deeper).alias("na"), count(too).alias("nb"), count(deeper & too).alias("both"))
+    x = reference.select("item").distinct().join(n, "item", "left").na.fill(0, ["na", "nb", "both"])
     p, r = F.coalesce(F.try_divide(F.col("both"), F.col("nb")), F.lit(0.0)), F.coalesce(F.try_divide(F.col("both"), F.col("na")), F.lit(0.0))
     return x.select("item", p.alias("p"), r.alias("r"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("l"))
 
@@ -216,3 +228,128 @@ def description_length(hier: DataFrame) -> DataFrame:
     rules = children(hier).select("item", "level", "label", "parts").distinct()
     size = rules.groupBy("item").agg(F.sum(F.size(F.split("parts", "\\|"))).alias("size"))
     return hier.groupBy("item").agg(F.count("*").alias("n")).join(size, "item").select("item", (F.col("size") / F.col("n")).alias("dlength"))
+
+
+def homogenized(hier: DataFrame, signs: str = "'") -> DataFrame:
+    """Labels without the signs that tell variants of a section apart."""
+    return hier.withColumn("label", F.translate("label", signs, ""))
+
+
+def _by_parent(lab: DataFrame) -> DataFrame:
+    """How many positions of a level have a label and, on the level above, another: (item, level, label, above, n)."""
+    return label_overlap(lab)
+
+
+def label_monotonicity_alone(lab: DataFrame) -> DataFrame:
+    """The mean over levels of the share of pairs of positions with one label whose labels above are one label, or one of which is the label itself: (item, recall). Counted from group sizes; null if a level has no such pair."""
+    x = _by_parent(lab)
+    own = F.sum(F.when(F.col("above") == F.col("label"), F.col("n")).otherwise(0))
+    g = x.groupBy("item", "level", "label").agg(F.sum(pairs_of(F.col("n"))).alias("same"), own.alias("own"), F.sum("n").alias("n"))
+    r = g.groupBy("item", "level").agg(F.sum(F.col("same") + F.col("own") * (F.col("n") - F.col("own"))).alias("fine"), F.sum(pairs_of(F.col("n"))).alias("all"))
+    r = r.withColumn("r", F.try_divide("fine", F.col("all")))
+    return r.groupBy("item").agg(F.when(F.count("r") == F.count("*"), F.avg("r")).alias("recall"))
+
+
+def label_monotonicity_of_all(lab: DataFrame) -> DataFrame:
+    """The mean over levels of the share of all pairs of positions that have different labels, or one label above: (item, recall). Null for fewer than two positions."""
+    x = _by_parent(lab)
+    g = x.groupBy("item", "level", "label").agg(F.sum(pairs_of(F.col("n"))).alias("same"), F.sum("n").alias("n"))
+    r = g.groupBy("item", "level").agg(F.sum("same").alias("same"), F.sum(pairs_of(F.col("n"))).alias("alike"), F.sum("n").alias("n"))
+    every = pairs_of(F.col("n"))
+    return r.groupBy("item").agg(F.avg(F.try_divide(every - F.col("alike") + F.col("same"), every)).alias("recall"))
+
+
+def transitivity_of_all(hier: DataFrame) -> DataFrame:
+    """Of all pairs of segments with parts, on all levels of an item, the share that has different labels (or levels) or identical parts; 1 if no label is there twice: (item, transitivity)."""
+    k = children(hier).groupBy("item", "level", "label", "parts").agg(F.count("*").alias("n"))
+    g = k.groupBy("item", "level", "label").agg(F.sum(pairs_of(F.col("n"))).alias("same"), F.sum("n").alias("n"))
+    x = g.groupBy("item").agg(F.sum("same").alias("same"), F.sum(pairs_of(F.col("n"))).alias("alike"), F.sum("n").alias("n"))
+    every = pairs_of(F.col("n"))
+    return x.select("item", F.when(F.col("alike") == 0, 1.0).otherwise((every - F.col("alike") + F.col("same")) / every).alias("transitivity"))
+
+
+def transitivity_of_order(hier: DataFrame, delta: int = 1) -> DataFrame:
+    """transitivity_strict with parts that count as alike if their local alignment is at most delta shorter than the longer one. Parts of a label that are the same are one row with their number, so that each pair of different ones is aligned once."""
+    import pandas as pd
+
+    from .kernels import smith_waterman
+
+    c = children(hier).where(F.col("parts") != F.col("label").cast("string"))
+    k = c.groupBy("item", "level", "label", "parts").agg(F.count("*").alias("n")).groupBy("item", "level", "label").agg(F.array_sort(F.collect_list(F.struct("parts", "n"))).alias("all"))
+
+    def share(rows) -> float:
+        parts, n = [r["parts"].split("|") for r in rows], [int(r["n"]) for r in rows]
+        total = sum(n)
+        if total == 1:
+            return 1.0
+        alike = sum(x * (x - 1) / 2 for x in n)
+        for a in range(len(parts)):
+            for b in range(a):
+                if len(smith_waterman(parts[a], parts[b])) >= max(len(parts[a]), len(parts[b])) - delta:
+                    alike += n[a] * n[b]
+        return alike / (total * (total - 1) / 2)
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"item": f["item"], "share": [share(rows) for rows in f["all"]]})
+
+    return k.mapInPandas(run, f"item {hier.schema['item'].dataType.simpleString()}, share double").groupBy("item").agg(F.avg("share").alias("transitivity"))
+
+
+def label_trees(hier: DataFrame, top: str = "S") -> DataFrame:
+    """Each item's monotonic hierarchy as a text, "(label part part ...)", with the number of its nodes: (item, tree, size). A segment with one part is that part; an item with several segments on its first level has a node above them. Levels are joined from the finest up."""
+    levels = sorted(r.level for r in hier.select("level").distinct().collect())  # a handful
+    parts = None
+    for level in reversed(levels):
+        own = hier.where(F.col("level") == level).select("item", "start", "label")
+        if parts is None:
+            parts = own.select("item", "start", F.col("label").cast("string").alias("tree"), F.lit(1).cast("long").alias("size"))
+            continue
+        at = as_of(parts.select("item", F.col("start").alias("t"), "tree", "size"), own.select("item", F.col("start").alias("t"), F.struct("start", "label").alias("parent")), "parent", ["item"])
+        parts = _above(at.where("parent is not null"), [F.col("parent.start").alias("start"), F.col("parent.label").alias("label")])
+    if parts is None:
+        return hier.select("item", F.lit("").alias("tree"), F.lit(0).cast("long").alias("size")).limit(0)
+    return _above(parts.withColumnRenamed("start", "t"), [F.lit(0).alias("start"), F.lit(top).alias("label")]).select("item", "tree", "size")
+
+
+def _above(parts: DataFrame, parent: list[Column]) -> DataFrame:
+    g = parts.groupBy("item", *parent).agg(F.array_sort(F.collect_list(F.struct("t", "tree"))).alias("c"), F.sum("size").alias("size"))
+    text = F.concat_ws(" ", F.transform("c", lambda s: s["tree"]))
+    one = F.size("c") == 1
+    return g.select("item", "start", F.when(one, text).otherwise(F.concat(F.lit("("), F.col("label").cast("string"), F.lit(" "), text, F.lit(")"))).alias("tree"), F.when(one, F.col("size")).otherwise(F.col("size") + 1).alias("size"))
+
+
+def relative_triples(lab: DataFrame) -> DataFrame:
+    """How many of an item's meet triples have the same distances from their first position: (item, dj, dk, n)."""
+    return meet_triples(lab).groupBy("item", (F.col("j") - F.col("i")).alias("dj"), (F.col("k") - F.col("i")).alias("dk")).agg(F.count("*").alias("n"))
+
+
+def summary(measures: dict[str, DataFrame]) -> DataFrame:
+    """For each named measure (item, value): how many values there are, how many are 1, and their median, mean and least: (measure, n, ones, median, mean, least)."""
+    u = None
+    for name, m in measures.items():
+        one = m.select(F.lit(name).alias("measure"), F.col(m.columns[1]).alias("value"))
+        u = one if u is None else u.unionByName(one)
+    return u.groupBy("measure").agg(F.count("value").alias("n"), F.sum((F.col("value") == 1).cast("long")).alias("ones"), F.percentile("value", 0.5).alias("median"), F.avg("value").alias("mean"), F.min("value").alias("least"))
+
+
+def aligned_lmeasure(reference: DataFrame, estimate: DataFrame) -> DataFrame:
+    """lmeasure of label tables (item, level, pos, label) of any lengths: positions are matched by the local alignment of both finest levels, and only matched ones count, numbered in order: (item, p, r, l)."""
+    import pandas as pd
+
+    from .kernels import smith_waterman
+
+    def finest(lab: DataFrame, name: str) -> DataFrame:
+        last = lab.groupBy("item").agg(F.max("level").alias("level"))
+        return lab.join(last, ["item", "level"]).groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias(name))
+
+    both = finest(reference, "x").join(finest(estimate, "y"), "item")
+
+    def run(frames):
+        for f in frames:
+            rows = [(item, k, i, j) for item, x, y in zip(f["item"], f["x"], f["y"]) for k, (i, j) in enumerate(smith_waterman(list(x), list(y)))]
+            yield pd.DataFrame(rows, columns=["item", "new", "i", "j"])
+
+    m = stored(both.mapInPandas(run, f"item {reference.schema['item'].dataType.simpleString()}, new int, i int, j int"), "matches")
+    take = lambda lab, c: lab.join(m.select("item", "new", F.col(c).alias("pos")), ["item", "pos"]).select("item", "level", F.col("new").alias("pos"), "label")
+    return lmeasure(take(reference, "i"), take(estimate, "j"))

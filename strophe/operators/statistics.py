@@ -187,3 +187,87 @@ def min_max(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys)
     lo, hi = F.min(value).over(w), F.max(value).over(w)
     return df.withColumn(value, F.try_divide(F.col(value) - lo, hi - lo))
+
+
+def tempo_factor(tempo: Column, low: float, high: float) -> Column:
+    """The power of two that brings a tempo to at least `low`, and then to at most `high`."""
+    up = F.when(tempo < low, F.ceil(F.log2(low / tempo))).otherwise(0)
+    t = tempo * F.pow(F.lit(2.0), up)
+    down = F.when(t > high, F.ceil(F.log2(t / high))).otherwise(0)
+    return F.pow(F.lit(2.0), up - down)
+
+
+def adjusted_grid(grid: DataFrame, factor: str) -> DataFrame:
+    """A grid at another tempo: "2" with the middles between its points, "1/2" and "1/3" every second or third point, "2/3" every third with the middles."""
+    from .sequences import interpolate_grid
+
+    def every(g: DataFrame, n: int) -> DataFrame:
+        return g.where(F.col("pos") % n == 0).select("seq_id", (F.col("pos") / n).cast("int").alias("pos"), "t")
+
+    return {"1": lambda: grid.select("seq_id", "pos", "t"), "2": lambda: interpolate_grid(grid), "1/2": lambda: every(grid, 2), "1/3": lambda: every(grid, 3), "2/3": lambda: every(interpolate_grid(grid), 3)}[factor]()
+
+
+def chi2_between(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Chi-squared distances of every sequence of one histogram table (seq_id, gram, n) to every one of its song in another: (song, a, b, d), over stored bins as in chi2_distances."""
+    alone = F.col("n") * F.col("n") / (F.col("n") + 1e-6)
+    of = lambda n: n * n / (n + 1e-6)
+    x, y = F.col("x"), F.col("y")
+
+    def side(h: DataFrame, name: str, value: str) -> tuple[DataFrame, DataFrame]:
+        h = h.select(song().alias("song"), F.col("seq_id").alias(name), "gram", F.col("n").cast("double").alias("n"))
+        return h.withColumnRenamed("n", value), h.groupBy("song", name).agg(F.sum(alone).alias(f"t{name}"))
+
+    (a, ta), (b, tb) = side(left, "a", "x"), side(right, "b", "y")
+    common = a.join(b, ["song", "gram"]).groupBy("a", "b").agg(F.sum((x - y) * (x - y) / (x + y + 1e-6) - of(x) - of(y)).alias("both"))
+    return ta.join(tb, "song").join(common, ["a", "b"], "left").select("song", "a", "b", (F.lit(0.5) * (F.col("ta") + F.col("tb") + F.coalesce("both", F.lit(0.0)))).alias("d"))
+
+
+def tempo_votes(plain: DataFrame, fewer: DataFrame, more: DataFrame, threshold: float = 0.33) -> DataFrame:
+    """Which sequences of a song stand at half or double the tempo of the others, by histograms (seq_id, gram, n) of each as it is, at half as many symbols and at twice as many. To every other sequence as it is, a sequence votes 0, 1 or -1 for the nearest of its three, the first of equals; its score is half of its mean vote less the mean of the votes on it; choice is 1 or -1 beyond the threshold: (seq_id, score, choice)."""
+    u = None
+    for k, (vote, h) in enumerate(((0, plain), (1, fewer), (-1, more))):
+        d = chi2_between(h, plain).select("song", "a", "b", F.struct(F.round("d", 9).alias("d"), F.lit(k).alias("k"), F.lit(vote).alias("vote")).alias("s"))
+        u = d if u is None else u.unionByName(d)
+    votes = u.groupBy("song", "a", "b").agg(F.min("s")["vote"].alias("vote"))
+    given = votes.groupBy(F.col("a").alias("seq_id")).agg(F.avg("vote").alias("given"))
+    got = votes.groupBy(F.col("b").alias("seq_id")).agg(F.avg("vote").alias("got"))
+    x = given.join(got, "seq_id").select("seq_id", F.round((F.col("given") - F.col("got")) / 2, 9).alias("score"))
+    return x.withColumn("choice", F.when(F.col("score") > threshold, 1).when(F.col("score") < -threshold, -1).otherwise(0))
+
+
+def interval_hists(segs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Shares of the distances at which a sequence repeats itself (seq_id, gram, n), from its segments: as they are, halved and doubled."""
+    d = segs.select("seq_id", (F.col("j0") - F.col("i0")).alias("d"))
+
+    def hist(value: Column) -> DataFrame:
+        return share(d.groupBy("seq_id", value.cast("string").alias("gram")).agg(F.count("*").alias("n")), ["seq_id"])
+
+    return hist(F.col("d")), hist(F.floor(F.col("d") / 2)), hist(F.col("d") * 2)
+
+
+def density_peaks(points: DataFrame, value: str = "rel", resolution: int = 1000) -> DataFrame:
+    """Where the density of a sequence's values has local maxima: a Gaussian kernel density, its width n ** -0.2 sample deviations, at `resolution` places from the least to the greatest value: (seq_id, place). Sequences of one value have none."""
+    s = points.groupBy("seq_id").agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.stddev_samp(value).alias("sd")).where("n > 1 and sd > 0")
+    places = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1))).alias("place"))
+    x = places.join(points.select("seq_id", F.col(value).alias("v")), "seq_id")
+    at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("place") / (resolution - 1)
+    z = (at - F.col("v")) / (F.col("sd") * F.pow("n", F.lit(-0.2)))
+    density = x.groupBy("seq_id", "place").agg(F.round(F.sum(F.exp(-0.5 * z * z)), 9).alias("y"))
+    w = Window.partitionBy("seq_id").orderBy("place")
+    d = density.withColumn("before", F.lag("y").over(w)).withColumn("after", F.lead("y").over(w))
+    return d.where("before < y and after < y").select("seq_id", "place")
+
+
+def vector_measures(feat: DataFrame, key: str, resolution: int = 100) -> DataFrame:
+    """Of a series of vectors (key, pos, vec): the population coefficient of variation of the vectors' means, and the entropy (bits) of the means' shares, each rounded to `resolution` steps of the greatest: (key, variation, entropy)."""
+    mean = feat.select(key, (F.aggregate("vec", F.lit(0.0), lambda s, x: s + x) / F.size("vec")).alias("m"))
+    top = mean.groupBy(key).agg(F.max("m").alias("top"), F.try_divide(F.stddev_pop("m"), F.avg("m")).alias("variation"))
+    q = mean.join(top, key).select(key, "variation", F.bround(F.round(F.col("m") / F.col("top") * resolution, 9)).cast("long").alias("q"))
+    n = q.groupBy(key, "variation", "q").agg(F.count("*").alias("n"))
+    return n.groupBy(key, "variation").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"))
+
+
+def nonzero_distances(seq: DataFrame, value: str = "value") -> DataFrame:
+    """For each position with a value other than zero, but the last one, how far the next one is: (seq_id, pos, dist)."""
+    w = by_pos()
+    return seq.where(F.col(value) != 0).select("seq_id", "pos", (F.lead("pos").over(w) - F.col("pos")).alias("dist")).where("dist is not null")

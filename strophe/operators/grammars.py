@@ -202,3 +202,243 @@ def section_layers(seq: list[int], sections: dict[int, list[int]]) -> list[tuple
         value[k] = round(sum(parts) / len(parts), 9)
     rank = {v: n for n, v in enumerate(sorted(set(value.values())))}
     return [([rank[value[x]] for x in r], [size.get(x, 1) for x in r]) for r in rows[:-1]]
+
+
+# Sections -------------------------------------------------------------------------------------
+
+
+def replaced(seq: list[int], x: int, by: list[int]) -> list[int]:
+    """A sequence with every x replaced by what stands for it."""
+    return [z for y in seq for z in (by if y == x else [y])]
+
+
+def without_section(seqs: list[list[int]], sections: dict[int, list[int]], x: int) -> tuple[list[list[int]], dict[int, list[int]]]:
+    """Sequences and sections with a section unpacked everywhere."""
+    return [replaced(s, x, sections[x]) for s in seqs], {k: replaced(v, x, sections[x]) for k, v in sections.items() if k != x}
+
+
+def homogeneous(sections: dict[int, list[int]]) -> int | None:
+    """The first section that is one symbol again and again; None for none."""
+    return next((k for k, v in sections.items() if len(set(v)) == 1), None)
+
+
+def without_homogeneous(seqs: list[list[int]], sections: dict[int, list[int]]) -> tuple[list[list[int]], dict[int, list[int]]]:
+    """Unpacks sections of one symbol until there are none."""
+    while (x := homogeneous(sections)) is not None:
+        seqs, sections = without_section(seqs, sections, x)
+    return seqs, sections
+
+
+def without_long_sections(seqs: list[list[int]], sections: dict[int, list[int]], share: float = 0.2) -> tuple[list[list[int]], dict[int, list[int]]]:
+    """Unpacks sections longer than a share of the first sequence's symbols."""
+    total = sum(len(expanded(x, sections)) for x in seqs[0]) if seqs else 0
+    for x in [k for k in sections if len(expanded(k, sections)) > share * total]:
+        seqs, sections = without_section(seqs, sections, x)
+    return seqs, sections
+
+
+def parts(seq: list[int], sections: dict[int, list[int]]) -> list[int]:
+    """All that sections of a sequence are made of, level by level."""
+    out, level = [], [y for x in seq if x in sections for y in sections[x]]
+    while level:
+        out += level
+        level = [y for x in level if x in sections for y in sections[x]]
+    return out
+
+
+def split_at_recurring(seqs: list[list[int]]) -> list[list[int]]:
+    """Sequences cut before and after every symbol that is there more than once in all; pieces that are alike once."""
+    count = Counter(x for s in seqs for x in s)
+    out: dict[tuple[int, ...], None] = {}
+    for s in seqs:
+        piece: list[int] = []
+        for x in s:
+            if count[x] > 1:
+                if piece:
+                    out[tuple(piece)] = None
+                out[x,] = None
+                piece = []
+            else:
+                piece.append(x)
+        if piece:
+            out[tuple(piece)] = None
+    return [list(p) for p in out]
+
+
+def occurs_in(small: list[int], large: list[int]) -> bool:
+    """Whether a sequence stands in another without a gap."""
+    return any(large[k : k + len(small)] == small for k in range(len(large) - len(small) + 1))
+
+
+def similar_parts(seqs: list[list[int]], sections: dict[int, list[int]], least: float = 0.5) -> list[tuple[float, tuple[int, ...], tuple[int, ...]]]:
+    """Pairs of sequences whose symbols are alike by local alignment over the longer one, of `least` or more; then the same between what they are made of: sections that stand at no lower level are unpacked and cut at what recurs, until all is. A pair of which one is a single section within the other is left out. Each pair once, the shorter first, in the order found."""
+    from .kernels import smith_waterman
+
+    out: dict[tuple, None] = {}
+    while True:
+        flat = [[y for x in s for y in expanded(x, sections)] for s in seqs]
+        inner = [set(parts(s, sections)) for s in seqs]
+        for a in range(len(seqs)):
+            for b in range(a + 1, len(seqs)):
+                if (len(seqs[a]) == 1 and seqs[a][0] in inner[b]) or (len(seqs[b]) == 1 and seqs[b][0] in inner[a]):
+                    continue
+                share = len(smith_waterman(flat[a], flat[b])) / max(len(flat[a]), len(flat[b]), 1)
+                if share >= least:
+                    x, y = tuple(seqs[a]), tuple(seqs[b])
+                    out[(round(share, 9), *((x, y) if len(x) < len(y) else (y, x)))] = None
+        low = set().union(*inner) if inner else set()
+        top = {x for s in seqs for x in s if x in sections and x not in low}
+        if not top:
+            return list(out)
+        seqs = split_at_recurring([[y for x in s for y in (sections[x] if x in top else [x])] for s in seqs])
+
+
+def dependent(pairs: list[tuple[float, tuple[int, ...], tuple[int, ...]]], sections: dict[int, list[int]]) -> list[tuple[int, int]]:
+    """Numbers (i, j) of similar pairs where i's both symbols stand in j's: one in each."""
+    flat = [([y for x in a for y in expanded(x, sections)], [y for x in b for y in expanded(x, sections)]) for _, a, b in pairs]
+
+    def within(p, q) -> bool:
+        x = [[occurs_in(s, t) for t in q] for s in p]
+        return (x[0][0] and x[1][1] and not (x[0][1] and x[1][0])) or (x[0][1] and x[1][0] and not (x[0][0] and x[1][1]))
+
+    return [(i, j) for i, p in enumerate(flat) for j, q in enumerate(flat) if i != j and within(p, q)]
+
+
+def salient_labels(seqs: list[list[int]], count: int = 0, min_len: int = 2) -> list[list[int]]:
+    """For each position the section that salient() takes there, -1 for none; of at most `count` sections if that is not 0."""
+    _, sections, occ = induce(seqs)
+    labels = [[-1] * len(s) for s in seqs]
+    size = {k: len(expanded(k, sections)) for k in sections}
+    left = {k: o for k, o in occ.items() if size[k] >= min_len}
+    taken = 0
+    while left and (not count or taken < count):
+        best = max(left, key=lambda k: size[k] * len(left[k]))
+        for s, p in left.pop(best):
+            for q in range(p, min(p + size[best], len(labels[s]))):
+                labels[s][q] = best
+        taken += 1
+        free = {k: [(s, p) for s, p in o if all(x == -1 for x in labels[s][p : p + size[k]])] for k, o in left.items()}
+        left = {k: o for k, o in free.items() if o}
+    return labels
+
+
+def sections_by_coverage(seqs: list[list[int]]) -> list[tuple[list[int], int]]:
+    """Sections as symbols, with how often they are found, by length times number, greatest first; those found first before equals."""
+    _, sections, occ = induce(seqs)
+    flat = [(expanded(k, sections), len(occ.get(k, []))) for k in sections]
+    return sorted(flat, key=lambda x: -len(x[0]) * x[1])
+
+
+def layer_labels(layers: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+    """Layers of (labels, durations) as a label for every position."""
+    return [[x for x, n in zip(labels, durations) for _ in range(n)] for labels, durations in layers]
+
+
+def divided_layers(layers: list[list[int]], places: list[int]) -> list[list[int]]:
+    """Layers of a label for each position, divided at places: where, on every layer but the first, no section with the label of the place begins before it, the beginnings of all sections with that label, as long as the place lies within its own, get a new label."""
+    out = [list(x) for x in layers]
+    for place in places:
+        starts = []
+        for layer in out:
+            at = [k for k, x in enumerate(layer) if x == layer[place] and (k == 0 or layer[k - 1] != x)]
+            starts.append(at)
+        if not all(min(s) >= place for s in starts[1:]):
+            continue
+        new = max(x for layer in out for x in layer) + 1
+        for layer, at in zip(out, starts):
+            before = [k for k in at if k <= place]
+            offset = place - max(before) if before else 0
+            for k in at:
+                for q in range(k, min(k + offset, len(layer))):
+                    layer[q] = new
+    return out
+
+
+def tree_text(x: int | str, parts_of: dict, top: bool = True) -> str:
+    """A section and its parts as "(section part part ...)"; a plain symbol as itself."""
+    if x not in parts_of:
+        return str(x)
+    return f"({x} {' '.join(tree_text(y, parts_of, False) for y in parts_of[x])})"
+
+
+def inside_probability(seq: list, rules: dict, start) -> float:
+    """The probability that a grammar's start gives a sequence: rules by left side, (parts, probability) each; a part that has no rules is a symbol. The sum over all derivations; rules that lead from a symbol to itself alone do not count. Spans of the sequence are solved from short to long, so the work is cubic in its length."""
+    n = len(seq)
+    table: dict[tuple, float] = {}
+
+    def of(x, a: int, b: int, open_: frozenset) -> float:
+        if x not in rules:
+            return 1.0 if b - a == 1 and seq[a] == x else 0.0
+        if (x, a, b) in open_:
+            return 0.0
+        key = (x, a, b)
+        if key not in table or open_:
+            total = sum(p * split(tuple(ps), a, b, open_ | {key}) for ps, p in rules[x])
+            if open_:
+                return total
+            table[key] = total
+        return table[key]
+
+    def split(ps: tuple, a: int, b: int, open_: frozenset) -> float:
+        if len(ps) == 1:
+            return of(ps[0], a, b, open_)
+        return sum(left * split(ps[1:], m, b, frozenset()) for m in range(a + 1, b - len(ps) + 2) if (left := of(ps[0], a, m, frozenset() if m < b else open_)))
+
+    return of(start, 0, n, frozenset()) if n else 0.0
+
+
+def grammar_of(trees: list[tuple]) -> dict:
+    """Rules with their shares from trees (label, part, part, ...), parts being trees or symbols."""
+    count: dict = {}
+
+    def walk(t) -> None:
+        if isinstance(t, tuple):
+            right = tuple(x[0] if isinstance(x, tuple) else x for x in t[1:])
+            count.setdefault(t[0], Counter())[right] += 1
+            for x in t[1:]:
+                walk(x)
+
+    for t in trees:
+        walk(t)
+    return {k: [(r, n / sum(c.values())) for r, n in sorted(c.items(), key=str)] for k, c in count.items()}
+
+
+# Forms ----------------------------------------------------------------------------------------
+
+
+def ways_until_join(a: int, b: int, after: dict[int, list[int]]) -> list[list[int]] | None:
+    """The ways from two places as long as each has one successor, up to the first place that both come to; None if they never meet."""
+    ways = [[a], [b]]
+    while True:
+        both = set(ways[0]) & set(ways[1])
+        if both:
+            join = min(both, key=lambda x: (ways[0].index(x) + ways[1].index(x), x))
+            return [w[: w.index(join) + 1] for w in ways]
+        moved = False
+        for w in ways:
+            nxt = after.get(w[-1], [])
+            if len(nxt) == 1 and nxt[0] not in w:
+                w.append(nxt[0])
+                moved = True
+        if not moved:
+            return None
+
+
+def alternatives(edges: list[tuple[int, int]]) -> list[list[list[int]]]:
+    """For each place with several successors and each two of these: the ways up to where they meet again."""
+    after: dict[int, list[int]] = {}
+    for a, b in sorted(set(edges)):
+        after.setdefault(a, []).append(b)
+    out = []
+    for fork, nxt in sorted(after.items()):
+        for k, a in enumerate(nxt):
+            for b in nxt[k + 1 :]:
+                if ways := ways_until_join(a, b, after):
+                    out.append([[fork, *w] for w in ways])
+    return out
+
+
+def without_detours(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A form without the places between a fork and a join that a single step leads past."""
+    gone = {x for ways in alternatives(edges) if any(len(w) == 2 for w in ways) for w in ways if len(w) > 2 for x in w[1:-1]}
+    return [(a, b) for a, b in sorted(set(edges)) if a not in gone and b not in gone]

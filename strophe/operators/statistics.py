@@ -271,3 +271,36 @@ def nonzero_distances(seq: DataFrame, value: str = "value") -> DataFrame:
     """For each position with a value other than zero, but the last one, how far the next one is: (seq_id, pos, dist)."""
     w = by_pos()
     return seq.where(F.col(value) != 0).select("seq_id", "pos", (F.lead("pos").over(w) - F.col("pos")).alias("dist")).where("dist is not null")
+
+
+def peaks(y, prominence: float = 0.0, distance: int = 1) -> list[int]:
+    """Local maxima of a curve (the middle, the earlier of two, of a plateau): first those nearer than `distance` to a higher one go, the highest first and the later of equals; then those that rise less than `prominence` over the higher of the lowest points on either side up to where the curve is higher."""
+    import numpy as np
+
+    y = np.asarray(y, float)
+    found, k = [], 1
+    while k < len(y) - 1:
+        end = k
+        while end < len(y) - 1 and y[end + 1] == y[k]:
+            end += 1
+        if y[k - 1] < y[k] and end < len(y) - 1 and y[end + 1] < y[k]:
+            found.append((k + end) // 2)
+        k = end + 1
+    kept = dict.fromkeys(found, True)
+    for p in sorted(found, key=lambda p: (y[p], p), reverse=True):
+        if kept[p]:
+            kept.update({q: False for q in found if q != p and abs(q - p) < distance})
+
+    def rise(p: int) -> float:
+        left = right = y[p]
+        for k in range(p - 1, -1, -1):
+            if y[k] > y[p]:
+                break
+            left = min(left, y[k])
+        for k in range(p + 1, len(y)):
+            if y[k] > y[p]:
+                break
+            right = min(right, y[k])
+        return float(y[p] - max(left, right))
+
+    return [p for p in found if kept[p] and rise(p) >= prominence]

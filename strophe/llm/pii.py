@@ -161,22 +161,25 @@ class Net:
     def decode(self, e: list[np.ndarray]) -> list[np.ndarray]:
         """The best tags of whole texts by their emissions (positions, tags): one best path for each, from its first character to its last.
 
-        Where no stretch of other tags can beat "nothing", "nothing" is on a best path without a search: a stretch gains at most, at each step, the largest transition among other tags over that of nothing, less the lead of nothing's emission; and once, what entering and leaving it gains, or one of both at an edge of the text, or neither if it is all of it. Positions that the stretch with the largest such sum through them does not lift above zero are nothing; the rest is searched stretch by stretch, between the nothings beside it, and that is exact.
+        Where no stretch of other tags can beat "nothing", "nothing" is on a best path without a search: a stretch gains at most, at each step, the largest transition among other tags over that of nothing, less the lead of nothing's emission; and once, what entering and leaving it gains, or one of both for a stretch at an edge of the text, or neither if it is all of it. Positions that no stretch through them lifts above zero, neither the one with the largest such sum nor one from or to an edge, are nothing; the rest is searched stretch by stretch, between the nothings beside it, and that is exact.
         """
         t = self.w["t"].astype(np.float64)
         inside, stay, enter, leave = t[1:, 1:].max(), t[0, 0], t[0, 1:].max(), t[1:, 0].max()
-        once = max(enter + leave - stay - inside, leave - inside, enter - inside, stay - inside)
         tags, found = [np.zeros(len(x), np.uint8) for x in e], []
         for k, x in enumerate(e):
             if len(x):
                 gain = x[:, 1:].max(1).astype(np.float64) - x[:, 0] + (inside - stay)
                 upto = np.concatenate(([0.0], np.cumsum(gain)))
                 left = upto[1:] - np.minimum.accumulate(upto)[:-1]  # the largest sum that ends at a position
-                right = np.maximum.accumulate(upto[:0:-1])[::-1] - upto[:-1]  # and that begins there
-                some = np.flatnonzero(left + right - gain + once > -1e-6)
-                if len(some):
-                    cuts = np.flatnonzero(np.diff(some) > 1) + 1
-                    found += [(k, int(s[0]), int(s[-1]) + 1) for s in np.split(some, cuts)]
+                after = np.maximum.accumulate(upto[:0:-1])[::-1]  # and the largest up to it or later
+                some = left + (after - upto[:-1]) - gain + (enter + leave - stay - inside) > -1e-6
+                some |= after + (leave - inside) > -1e-6
+                some |= left + (upto[-1] - upto[1:]) + (enter - inside) > -1e-6
+                if upto[-1] + (stay - inside) > -1e-6:
+                    some[:] = True
+                if some.any():
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], some, [0]))))
+                    found += [(k, a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
         found.sort(key=lambda s: s[2] - s[1])
         while found:
             longest = found[-1][2] - found[-1][1]

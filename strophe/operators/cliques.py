@@ -27,7 +27,7 @@ def runs_of(values) -> list[list[int]]:
 
 
 def union_cliques(sets: dict[tuple[int, ...], int], group, keep: int = 10, at_once: int = 25) -> dict[tuple[int, ...], int]:
-    """Rated unions of sets without two nodes of one group. Sets are taken by falling size, `at_once` at a time (in order of their nodes): to every union so far is added what fits it and one another (the maximal cliques of "fits", and what fits alone), with the sum of the ratings; the `keep` best rated stay, ties to the smaller nodes."""
+    """Rated unions of sets without two nodes of one group. Sets are taken by falling size, `at_once` at a time (in order of their nodes): to every union so far is added what fits it and one another (the maximal cliques of "fits", and what fits alone), with the sum of the ratings, in which a set counts once; the `keep` best rated stay, ties to the smaller nodes."""
     left = sorted(sets, key=lambda s: (-len(s), s))
     unions: dict[tuple[int, ...], int] = {}
     while left:
@@ -39,7 +39,7 @@ def union_cliques(sets: dict[tuple[int, ...], int], group, keep: int = 10, at_on
         fits = np.array([[b > a and compatible(set(x) | set(y), group) for b, y in enumerate(part)] for a, x in enumerate(part)])
         grown = {}
         for u, rating in unions.items():
-            own = [k for k, s in enumerate(part) if compatible(set(u) | set(s), group)]
+            own = [k for k, s in enumerate(part) if not set(s) <= set(u) and compatible(set(u) | set(s), group)]
             if own:
                 for clique in maximal_cliques(fits[np.ix_(own, own)].astype(float)):
                     some = [part[own[k]] for k in clique]

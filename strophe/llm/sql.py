@@ -22,9 +22,10 @@ def _canonical(text: str) -> str:
 
 def licenses(docs: str = "documents") -> str:
     known = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in lic.KNOWN)
+    given = ", ".join(f"({_quoted(name)}, {_quoted(digest)})" for name, digest in lic.DIGESTS)
     return f"""
 WITH known AS (
-  SELECT sha256({_canonical('body')}) AS digest, min(name) AS license FROM (VALUES {known}) AS k(name, body) GROUP BY 1
+  SELECT digest, min(name) AS license FROM (SELECT sha256({_canonical('body')}) AS digest, name FROM (VALUES {known}) AS k(name, body) UNION ALL SELECT digest, name FROM (VALUES {given}) AS g(name, digest)) GROUP BY 1
 ), d AS (SELECT doc_id, {_canonical("coalesce(text, '')")} AS canon FROM {docs})
 SELECT doc_id, length(canon) AS n_canonical, sha256(canon) AS digest, license FROM d LEFT JOIN known ON known.digest = sha256(canon)
 """

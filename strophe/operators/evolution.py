@@ -77,12 +77,15 @@ def lowess(df: DataFrame, key: str, frac: float = 0.2) -> DataFrame:
 
 
 def lowess_loo_band(df: DataFrame, group: str, frac: float = 0.2) -> DataFrame:
-    """The full curve through (group, x, y), and the least and greatest of the curves that leave out a group each: (x, y, lo, hi). Each curve is a task of its own."""
+    """The full curve through (group, x, y), and the least and greatest of the curves that leave out a group each: (x, y, lo, hi). Each curve is a task of its own; groups are a stated few, with a row each."""
     d = df.groupBy(group, "x").agg(F.avg("y").alias("y"))
-    groups = d.select(F.col(group).alias("left_out")).distinct().unionByName(df.sparkSession.createDataFrame([(None,)], f"left_out {df.schema[group].dataType.simpleString()}"))
-    # every row once for each curve that it is part of
-    rows = d.join(groups, F.col("left_out").isNull() | (F.col("left_out") != F.col(group)))
-    curves = rows.groupBy(F.coalesce(F.col("left_out").cast("string"), F.lit("")).alias("left_out"), "x").agg(F.avg("y").alias("y"))
+    total = d.groupBy("x").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    groups = d.select(F.col(group).cast("string").alias("left_out")).distinct().where("left_out is not null")
+    # a row for each curve and place, as the curves have: the sum of all less the group's own
+    own = d.select(F.col(group).cast("string").alias("left_out"), "x", F.col("y").alias("own"))
+    each = total.crossJoin(F.broadcast(groups)).join(own, ["left_out", "x"], "left")
+    less = each.select("left_out", "x", (F.col("s") - F.coalesce("own", F.lit(0.0))).alias("s"), (F.col("n") - F.col("own").isNotNull().cast("int")).alias("n")).where("n > 0")
+    curves = less.unionByName(total.withColumn("left_out", F.lit("")).select(less.columns)).select("left_out", "x", (F.col("s") / F.col("n")).alias("y"))
     c = lowess(curves, "left_out", frac)
     full = c.where("left_out = ''").select("x", "y")
     band = c.where("left_out != ''").groupBy("x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))

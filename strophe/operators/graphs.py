@@ -80,13 +80,13 @@ def msa_entropy(seq: DataFrame, comp: DataFrame) -> DataFrame:
     return e.groupBy("seq_id").agg(F.sum("e").alias("entropy"), F.count("*").alias("comps"), F.sum("n").alias("points"))
 
 
-def structure_graph(columns: DataFrame, least: float = 0.5) -> DataFrame:
-    """From connections between alignment columns (x, y), a row each: counts for x < y; those of at least `least` times the greatest stay; their diagonal segments (i0, j0, len) with the mean count."""
-    n = columns.where("x != y and x >= 0 and y >= 0").groupBy(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).agg(F.count("*").alias("n"))
-    kept = n.crossJoin(F.broadcast(n.agg(F.max("n").alias("most")))).where(F.col("n") >= least * F.col("most"))
-    w = Window.partitionBy("d").orderBy("i")
+def structure_graph(columns: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
+    """From connections between alignment columns (keys, x, y), a row each: counts for x < y; those of at least `least` times the greatest of their keys stay; their diagonal segments (keys, i0, j0, len) with the mean count. Counts are summed up before the shuffle."""
+    n = columns.where("x != y and x >= 0 and y >= 0").groupBy(*keys, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).agg(F.count("*").alias("n"))
+    kept = n.join(redealt(n.groupBy(*keys).agg(F.max("n").alias("most")), *keys), keys).where(F.col("n") >= least * F.col("most"))
+    w = Window.partitionBy(*keys, "d").orderBy("i")
     r = kept.withColumn("d", F.col("j") - F.col("i")).withColumn("grp", F.col("i") - F.row_number().over(w))
-    return r.groupBy("d", "grp").agg(F.min("i").alias("i0"), F.count("*").cast("int").alias("len"), F.avg("n").alias("mean")).select("i0", (F.col("i0") + F.col("d")).alias("j0"), "len", "mean")
+    return r.groupBy(*keys, "d", "grp").agg(F.min("i").alias("i0"), F.count("*").cast("int").alias("len"), F.avg("n").alias("mean")).select(*keys, "i0", (F.col("i0") + F.col("d")).alias("j0"), "len", "mean")
 
 
 def siatec(points: DataFrame) -> DataFrame:
@@ -96,20 +96,25 @@ def siatec(points: DataFrame) -> DataFrame:
         p = np.unique(pdf[["pos", "sym"]].to_numpy(np.int64), axis=0)
         n, wide = len(p), int(p[:, 1].max() - p[:, 1].min()) * 4 + 4
         code = p[:, 0] * wide + p[:, 1]
-        diff = code[None, :] - code[:, None]
+        moves, of = np.unique(code[None, :] - code[:, None], return_inverse=True)
+        of = of.reshape(n, n)
+        # the moves that take a point to a point, as the bits of a number; those of a pattern are common to its points
+        masks = []
+        for row in of:
+            bits = np.zeros(len(moves), np.uint8)
+            bits[row] = 1
+            masks.append(int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"))
         i, j = np.triu_indices(n, 1)
-        d = diff[i, j]
-        order = np.argsort(d, kind="stable")
-        d, i = d[order], i[order]
-        cuts = np.flatnonzero(np.diff(d)) + 1
+        common: dict[int, list[int]] = {}
+        for a, d in zip(i.tolist(), of[i, j].tolist()):
+            c = common.setdefault(d, [0, -1])
+            c[0] += 1
+            c[1] &= masks[a]
         rows = []
-        for at in np.split(np.arange(len(d)), cuts) if len(d) else []:
-            moves = diff[i[at[0]]]
-            for k in i[at[1:]]:
-                moves = np.intersect1d(moves, diff[k], assume_unique=True)
-            v = int(d[at[0]])
+        for d, (size, mask) in common.items():
+            v = int(moves[d])
             dy = (v + wide // 2) % wide - wide // 2
-            rows.append((int(pdf["seq_id"].iloc[0]), (v - dy) // wide, dy, len(at), len(moves)))
+            rows.append((int(pdf["seq_id"].iloc[0]), (v - dy) // wide, dy, size, mask.bit_count()))
         return pd.DataFrame(rows, columns=["seq_id", "dx", "dy", "n_points", "n_translators"])
 
     return points.select("seq_id", "pos", "sym").dropna().groupBy("seq_id").applyInPandas(f, "seq_id long, dx int, dy int, n_points int, n_translators int")

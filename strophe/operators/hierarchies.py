@@ -176,6 +176,16 @@ def meet_triples(lab: DataFrame) -> DataFrame:
     return x.join(other, ["item", "i", "k"], "left").where(F.col("meet") > F.coalesce("other", F.lit(0))).select("item", "i", "j", "k")
 
 
+def meet_counts(lab: DataFrame) -> DataFrame:
+    """How many meet triples begin with each pair: (item, i, j, n). For a position, those it meets are counted by depth; a pair has the others of its position that are less deep."""
+    m = meets(lab)
+    g = m.groupBy("item", "i", "meet").agg(F.count("*").alias("c"))
+    size = lab.select("item", "pos").distinct().groupBy("item").agg(F.count("*").alias("all"))
+    deeper = F.sum("c").over(Window.partitionBy("item", "i").orderBy(F.desc("meet")))
+    less = g.withColumn("deeper", deeper).join(size, "item").select("item", "i", "meet", (F.col("all") - 1 - F.col("deeper")).alias("n"))
+    return m.join(less, ["item", "i", "meet"]).where("n > 0").select("item", "i", "j", "n")
+
+
 def lmeasure(reference: DataFrame, estimate: DataFrame) -> DataFrame:
     """Precision, recall and their harmonic mean of an estimate's triples (meet_triples): (item, p, r, l); zeros where they have none in common.
 

@@ -126,6 +126,54 @@ def filter_segments(segs: list[tuple[int, int, int]], count: int, min_len: int,
     return taken
 
 
+def median_rows(rows: np.ndarray, inside: np.ndarray, radius: int) -> np.ndarray:
+    """0-1 rows after a median filter of 2 * radius + 1 cells; inside: how many cells of a row count. The first and last `radius` cells are as they were."""
+    wide = 2 * radius + 1
+    if not radius or rows.shape[1] < wide:
+        return rows
+    c = np.concatenate((np.zeros((len(rows), 1), np.int32), np.cumsum(rows, 1, dtype=np.int32)), 1)
+    out = rows.copy()
+    k = np.arange(radius, rows.shape[1] - radius)
+    full = k[None, :] < (inside - radius)[:, None]
+    out[:, radius : rows.shape[1] - radius] = np.where(full, (c[:, wide:] - c[:, :-wide]) > radius, rows[:, radius : rows.shape[1] - radius])
+    return out
+
+
+def common_segments(a, b, min_len: int = 16, gaps: int = 4, ratio: float = 0.2, symmetric: bool = False, at_once: int = 1 << 21) -> list[tuple[int, int, int]]:
+    """Segments (i0, j0, len) that two sequences have in common: equal symbols, smoothed twice along diagonals (the first result and the raw cells together once more), from the first to the last raw cell of a run, of which there are two at least; of min_len at least and with at most a ratio of others, if both that and gaps are positive. symmetric: only above the main diagonal. Diagonals are worked on together, some two million cells at a time."""
+    a, b = np.asarray(a), np.asarray(b)
+    n, m = len(a), len(b)
+    if not n or not m:
+        return []
+    diagonals = np.arange(1 if symmetric else 1 - n, m)
+    wide = min(n, m)
+    out: list[tuple[int, int, int]] = []
+    step = max(1, at_once // wide)
+    for at in range(0, len(diagonals), step):
+        d = diagonals[at : at + step]
+        i0 = np.maximum(0, -d)
+        size = np.minimum(n - i0, m - np.maximum(0, d))
+        k = np.arange(wide)
+        i = i0[:, None] + k
+        j = i + d[:, None]
+        raw = ((k < size[:, None]) & (a[np.minimum(i, n - 1)] == b[np.clip(j, 0, m - 1)])).astype(np.int8)
+        v = median_rows(np.maximum(median_rows(raw, size, gaps), raw), size, gaps) if gaps else raw
+        edge = np.diff(np.concatenate((np.zeros((len(d), 1), np.int8), v, np.zeros((len(d), 1), np.int8)), 1))
+        row, begin = np.nonzero(edge == 1)
+        _, end = np.nonzero(edge == -1)
+        some = end - begin >= min_len
+        hits = np.concatenate((np.zeros((len(d), 1), np.int32), np.cumsum(raw, 1, dtype=np.int32)), 1)
+        for r, p, q in zip(row[some].tolist(), begin[some].tolist(), end[some].tolist()):
+            total = int(hits[r, q] - hits[r, p])
+            if total > 1:
+                at_raw = np.flatnonzero(raw[r, p:q])
+                first, last = p + int(at_raw[0]), p + int(at_raw[-1])
+                length = last - first + 1
+                if length >= min_len and (not (gaps > 0 and ratio > 0) or total >= round((1 - ratio) * length, 9)):
+                    out.append((int(i0[r]) + first, int(i0[r]) + first + int(d[r]), length))
+    return out
+
+
 def matrix_of(n: int, i, j) -> np.ndarray:
     m = np.zeros((n, n))
     m[i, j] = 1
@@ -368,33 +416,29 @@ def profile_msa(seqs: list[list[int]], n_symbols: int, match: float = 0.999, del
     emit /= emit.sum(1, keepdims=True)
     other, d_other = np.log((1 - match) / 2), np.log((1 - delete_insert) / 2)
     mm, di, third, flat = np.log(match), np.log(delete_insert), np.log(1 / 3), -np.log(n_symbols)
+    steps = np.arange(n + 1)
     for step in range(rounds + 1):
         paths = []
         counts = np.full((n, n_symbols), pseudocount)
+        le = np.log(emit)
         for s in seqs:
             m = len(s)
-            le = np.log(emit)
             vm, vi, vd = (np.full((m + 1, n + 1), -np.inf) for _ in range(3))
             back = np.zeros((3, m + 1, n + 1), np.int8)
             vi[0, 0] = 0.0
-            for i in range(m + 1):
-                for j in range(n + 1):
-                    if i and j:
-                        c = (vm[i - 1, j - 1] + mm, vi[i - 1, j - 1] + third, vd[i - 1, j - 1] + d_other)
-                        back[0, i, j] = k = int(np.argmax(c))
-                        vm[i, j] = c[k] + le[j - 1, s[i - 1]]
-                    if i:
-                        c = (vm[i - 1, j] + other, vi[i - 1, j] + third, vd[i - 1, j] + di)
-                        k = int(np.argmax(c))
-                        if c[k] > -np.inf:
-                            back[1, i, j] = k
-                            vi[i, j] = c[k] + flat
-                    if j:
-                        c = (vm[i, j - 1] + other, vi[i, j - 1] + third, vd[i, j - 1] + d_other)
-                        k = int(np.argmax(c))
-                        if c[k] > -np.inf:
-                            back[2, i, j] = k
-                            vd[i, j] = c[k]
+            for i in range(m + 1):  # a symbol's row at a time
+                if i:
+                    c = np.stack((vm[i - 1, :-1] + mm, vi[i - 1, :-1] + third, vd[i - 1, :-1] + d_other))
+                    back[0, i, 1:] = c.argmax(0)
+                    vm[i, 1:] = c.max(0) + le[:, s[i - 1]]
+                    c = np.stack((vm[i - 1] + other, vi[i - 1] + third, vd[i - 1] + di))
+                    back[1, i] = c.argmax(0)
+                    vi[i] = c.max(0) + flat
+                # deletions go on along the row, each at the same cost, so the best begin of one is a running maximum
+                begin = np.maximum(vm[i] + other, vi[i] + third)
+                vd[i, 1:] = np.maximum.accumulate(begin - d_other * steps)[:-1] + d_other * steps[:-1]
+                c = np.stack((vm[i, :-1] + other, vi[i, :-1] + third, vd[i, :-1] + d_other))
+                back[2, i, 1:] = np.where(c[:2].max(0) >= c[2] - 1e-9, c[:2].argmax(0), 2)
             k, i, j = int(np.argmax((vm[m, n], vi[m, n], vd[m, n]))), m, n
             path = [-1] * m
             while i or j:

@@ -104,14 +104,32 @@ def segments(cells: DataFrame, keys: list[str], min_len: int, gap_ratio: float,
 
 
 def self_align(seq: DataFrame, min_len: int = 16, min_dist: int = 1, gaps: int = 4, gap_ratio: float = 0.2) -> DataFrame:
-    """Segments (seq_id, i0, j0, len) in which a sequence repeats itself, none nearer to the main diagonal than max(min_dist, min_len)."""
-    n = lengths(seq).select("seq_id", F.col("n").alias("ni"), F.col("n").alias("nj"))
-    s = segments(smoothed(equality_cells(seq), n, ["seq_id"], gaps), ["seq_id"], min_len, gap_ratio, gaps)
-    return s.where(F.col("j0") - F.col("i0") >= max(min_dist, min_len))
+    """Segments (seq_id, i0, j0, len) in which a sequence repeats itself, none nearer to the main diagonal than max(min_dist, min_len). A sequence is a row, and its cells never leave the task."""
+    from .kernels import common_segments, per_sequence
+
+    least = max(min_dist, min_len)
+    return per_sequence(seq, lambda s: [x for x in common_segments(s, s, min_len, gaps, gap_ratio, True) if x[1] - x[0] >= least], "i0 int, j0 int, len int")
 
 
 def mutual_align(seq: DataFrame, pairs: DataFrame, min_len: int = 16, gaps: int = 4, gap_ratio: float = 0.2) -> DataFrame:
-    """Segments (a, b, i0, j0, len) that the pairs' sequences have in common."""
+    """Segments (a, b, i0, j0, len) that the pairs' sequences have in common. Sequences travel packed, once for each pair, and a pair's cells never leave the task."""
+    import pandas as pd
+
+    from .kernels import common_segments, packed
+
+    p = packed(seq)
+    x = pairs.join(p.select(F.col("seq_id").alias("a"), F.col("syms").alias("x")), "a").join(p.select(F.col("seq_id").alias("b"), F.col("syms").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(frames):
+        for f in frames:
+            rows = [(a, b, *s) for a, b, u, v in f.itertuples(index=False) for s in common_segments(u, v, min_len, gaps, gap_ratio)]
+            yield pd.DataFrame(rows, columns=["a", "b", "i0", "j0", "len"])
+
+    return x.mapInPandas(run, "a long, b long, i0 int, j0 int, len int")
+
+
+def cells_align(seq: DataFrame, pairs: DataFrame, min_len: int = 16, gaps: int = 4, gap_ratio: float = 0.2) -> DataFrame:
+    """mutual_align as joins and windows over cells, for sequences too long for a task."""
     n = lengths(seq)
     sizes = pairs.join(n.select(F.col("seq_id").alias("a"), F.col("n").alias("ni")), "a").join(n.select(F.col("seq_id").alias("b"), F.col("n").alias("nj")), "b").select("a", "b", "ni", "nj")
     return segments(smoothed(pair_cells(seq, pairs), sizes, ["a", "b"], gaps), ["a", "b"], min_len, gap_ratio, gaps)

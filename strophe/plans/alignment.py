@@ -35,7 +35,7 @@ def feature_mutual_align(spark, d):
 @query(f"WITH {_MUTUAL} SELECT a, b, i0, j0, len FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY len DESC, j0 - i0, i0) AS k FROM segs) WHERE k = 1")
 def longest_segment(spark, d):
     s = A.sequences(spark, d)
-    return L.longest_segment(M.mutual_align(s, S.pairings(s, 4), 6, 2, 0.4), ["a", "b"])
+    return L.longest_segment(M.mutual_align(s, S.pairings(s), 6, 2, 0.4), ["a", "b"])
 
 
 @query(f"""WITH {_N}, {_smooth('SELECT * FROM cell', 'seq_id', 'greatest(0, -d)', 'n - d', 'n', 2)}, rn AS (SELECT *, i - row_number() OVER (PARTITION BY seq_id, d ORDER BY i) AS g FROM sm),

@@ -24,7 +24,7 @@ _COMP = f"{_EDGES}, bi AS (SELECT seq_id, i AS a, j AS b FROM ed UNION SELECT se
 @query(f"WITH {_MUTUAL} SELECT a, i0 + k AS i, b, j0 + k AS j, count(*) AS n FROM (SELECT *, unnest(range(0, len)) AS k FROM segs) GROUP BY ALL")
 def alignment_edges(spark, d):
     s = A.sequences(spark, d)
-    return G.alignment_edges(M.mutual_align(s, S.pairings(s, 4), 6, 2, 0.4))
+    return G.alignment_edges(M.mutual_align(s, S.pairings(s), 6, 2, 0.4))
 
 
 @query(f"WITH RECURSIVE {_COMP} SELECT seq_id, pos, root FROM co")
@@ -61,12 +61,13 @@ def msa_entropy(spark, d):
     return G.msa_entropy(s, c).withColumn("entropy", F.round("entropy", 6))
 
 
-@query(f"""WITH {_MUTUAL}, x AS (SELECT least(i0 + k, j0 + k) AS i, greatest(i0 + k, j0 + k) AS j, count(*) AS n FROM (SELECT *, unnest(range(0, len)) AS k FROM segs) WHERE i0 <> j0 GROUP BY ALL),
-kp AS (SELECT * FROM x WHERE n >= 0.5 * (SELECT max(n) FROM x)), gr AS (SELECT *, i - row_number() OVER (PARTITION BY j - i ORDER BY i) AS g FROM kp) SELECT min(i)::INT AS i0, min(j)::INT AS j0, count(*)::INT AS len, round(avg(n), 6) AS mean FROM gr GROUP BY j - i, g""")
+@query(f"""WITH {_MUTUAL}, x AS (SELECT a // 50 AS song, least(i0 + k, j0 + k) AS i, greatest(i0 + k, j0 + k) AS j, count(*) AS n FROM (SELECT *, unnest(range(0, len)) AS k FROM segs) WHERE i0 <> j0 GROUP BY ALL),
+kp AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY song) AS most FROM x) WHERE n >= 0.5 * most), gr AS (SELECT *, i - row_number() OVER (PARTITION BY song, j - i ORDER BY i) AS g FROM kp) SELECT song::BIGINT AS song, min(i)::INT AS i0, min(j)::INT AS j0, count(*)::INT AS len, round(avg(n), 6) AS mean FROM gr GROUP BY song, j - i, g""")
 def structure_graph(spark, d):
     s = A.sequences(spark, d)
-    e = G.alignment_edges(M.mutual_align(s, S.pairings(s, 4), 6, 2, 0.4))
-    return G.structure_graph(e.select(F.col("i").alias("x"), F.col("j").alias("y"))).select("i0", "j0", "len", F.round("mean", 6).alias("mean"))
+    e = G.alignment_edges(M.mutual_align(s, S.pairings(s), 6, 2, 0.4))
+    x = G.structure_graph(e.select(S.song("a").alias("song"), F.col("i").alias("x"), F.col("j").alias("y")), ["song"])
+    return x.select("song", "i0", "j0", "len", F.round("mean", 6).alias("mean"))
 
 
 @query("""WITH v AS (SELECT a.seq_id, b.pos - a.pos AS dx, b.sym - a.sym AS dy, a.pos, a.sym FROM seq a JOIN seq b ON a.seq_id = b.seq_id AND a.pos < b.pos), n AS (SELECT seq_id, dx, dy, count(*) AS n FROM v GROUP BY ALL),

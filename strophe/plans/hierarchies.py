@@ -126,7 +126,7 @@ _EST = "est AS (SELECT seq_id AS item, 0 AS level, pos, 0 AS label FROM grid UNI
 
 @query("WITH " + _MEETS.format("", "lab") + " SELECT item, i, j, count(*) AS n FROM t GROUP BY ALL")
 def meet_triples(spark, d):
-    return H.meet_triples(_labels(spark, d)).groupBy("item", "i", "j").agg(F.count("*").alias("n"))
+    return H.meet_counts(_labels(spark, d))
 
 
 @query("WITH " + _EST + ", " + _MEETS.format("a", "lab") + ", " + _MEETS.format("b", "est") + """, it AS (SELECT DISTINCT item FROM lab), na AS (SELECT item, count(*) AS n FROM ta GROUP BY 1), nb AS (SELECT item, count(*) AS n FROM tb GROUP BY 1), nc AS (SELECT ta.item, count(*) AS n FROM ta SEMI JOIN tb ON ta.item = tb.item AND ta.i = tb.i AND ta.j = tb.j AND ta.k = tb.k GROUP BY 1),

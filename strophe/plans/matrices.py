@@ -80,13 +80,13 @@ def self_align(spark, d):
     return M.self_align(A.sequences(spark, d), 5, 1, 2, 0.4)
 
 
-_MUTUAL = f"{_PAIRS.format(3)}, z AS (SELECT seq_id, count(*)::INT AS n FROM seq GROUP BY 1), n AS (SELECT a, b, x.n AS ni, y.n AS nj FROM pairs JOIN z x ON x.seq_id = a JOIN z y ON y.seq_id = b), {_smooth('SELECT a, b, x.pos AS i, y.pos AS j FROM pairs JOIN seq x ON x.seq_id = a JOIN seq y ON y.seq_id = b AND x.sym = y.sym', 'a, b', 'greatest(0, -d)', 'least(ni, nj - d)', 'n', 2)}, {_segments('a, b', 6, 0.4)}"
+_MUTUAL = f"{_PAIRS.format(11)}, z AS (SELECT seq_id, count(*)::INT AS n FROM seq GROUP BY 1), n AS (SELECT a, b, x.n AS ni, y.n AS nj FROM pairs JOIN z x ON x.seq_id = a JOIN z y ON y.seq_id = b), {_smooth('SELECT a, b, x.pos AS i, y.pos AS j FROM pairs JOIN seq x ON x.seq_id = a JOIN seq y ON y.seq_id = b AND x.sym = y.sym', 'a, b', 'greatest(0, -d)', 'least(ni, nj - d)', 'n', 2)}, {_segments('a, b', 6, 0.4)}"
 
 
 @query(f"WITH {_MUTUAL} SELECT * FROM segs")
 def mutual_align(spark, d):
     s = A.sequences(spark, d)
-    return M.mutual_align(s, S.pairings(s, 4), 6, 2, 0.4)
+    return M.mutual_align(s, S.pairings(s), 6, 2, 0.4)
 
 
 @query("SELECT seq_id, j, count(*) AS n FROM (SELECT seq_id, unnest(CASE WHEN len > 1 THEN [j0, j0 + len - 1] ELSE [j0] END) AS j FROM run) GROUP BY ALL")

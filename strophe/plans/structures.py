@@ -203,7 +203,7 @@ def simplified_form(spark, d):
     return K.per_group(form.withColumn("form", F.lit(0)), "form", f, "src int, dst int")
 
 
-def _songs(spark, d, partners=4):
+def _songs(spark, d, partners=20):
     return R.songs(A.sequences(spark, d), partners, 6, 2, 0.4)
 
 

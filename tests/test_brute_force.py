@@ -689,8 +689,9 @@ def test_gaps_take_the_labels_that_they_are_aligned_with():
     assert C.stretches([0, -1, -1, 3, -1]) == [(1, 2), (4, 1)]
     assert C.strict_mode([1, 2, 2]) == 2 and C.strict_mode([1, 2]) == -1 and C.mode([2, 1]) == 1
     for _ in range(10):
-        row = r.integers(0, 2, 17)
-        assert C.smoothed(row, 2).tolist() == plain_smoothed(row.tolist(), 2)
+        row = r.integers(0, 2, 17).astype(np.int8)
+        assert K.median_rows(row[None], np.array([17]), 2)[0].tolist() == plain_smoothed(row.tolist(), 2)
+        assert K.median_rows(np.append(row, [0, 0, 0])[None].astype(np.int8), np.array([17]), 2)[0, :17].tolist() == plain_smoothed(row.tolist(), 2)
 
 
 def test_alignments_are_those_of_the_relational_operator(spark, seqs):
@@ -701,6 +702,17 @@ def test_alignments_are_those_of_the_relational_operator(spark, seqs):
         assert set(C.alignments(seqs[a], seqs[b], 6, 2, 0.4)) == got[a, b]
 
 
+def test_alignments_by_cells_are_those_by_sequences(spark):
+    from strophe.operators import matrices as M
+
+    s = A.sequences(spark, SF)
+    pairs = S.pairings(s, 6)
+    assert sorted(map(tuple, M.cells_align(s, pairs, 6, 2, 0.4).collect())) == sorted(map(tuple, M.mutual_align(s, pairs, 6, 2, 0.4).collect()))
+    one = K.common_segments(list(range(50)) * 2, list(range(50)), 5, 1, 0.2)
+    assert one == K.common_segments(list(range(50)) * 2, list(range(50)), 5, 1, 0.2, at_once=100) == [(50, 0, 50), (0, 0, 50)]
+    assert K.common_segments([], [1]) == [] and K.common_segments([1, 2, 3], [1, 2, 3], 2, 0, 0, True) == []
+
+
 def test_labels_are_smoothed_by_sections_that_fit():
     section = list(range(20))
     rows_ = [section[:], section[:], section[:8] + [-1] * 4 + section[12:], [50 + k for k in range(20)]]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +65,7 @@ HIDDEN = 8
 #: Positions of a window, and how many of them it shares with the next one.
 WINDOW, SHARED = 160, 32
 #: Windows that go through the network together.
-TOGETHER = 2048
+TOGETHER = 1024
 #: Bytes of texts whose emissions are held at once, unless one text alone has more.
 HELD = 1 << 22
 #: Classes of characters: the printable ASCII ones, and one each for other letters, white space and the rest.
@@ -126,13 +126,48 @@ class Net:
                 keep.append((t, a, was, s.copy(), before))
         return out
 
-    def emissions(self, ids: np.ndarray) -> np.ndarray:
+    def _outputs(self, ids: np.ndarray, d: str) -> np.ndarray:
+        """The same as (steps, hidden, batch), without what training keeps. Batches stand last, so that gates are whole rows; every gate is 1 / (1 + exp(-x)), a tanh twice that of 2 x less 1."""
         n, w = self.hidden, self.w
-        out = self._direction(ids, "f") @ w["e"][:n]
-        out += self._direction(ids, "b") @ w["e"][n:]
-        out += w["c"]
+        scale = np.repeat(np.float32([-1, -1, -1, -2]), n)
+        x = np.ascontiguousarray(((w["x" + d] + w["b" + d]) * scale).T)
+        u = np.ascontiguousarray((w["u" + d] * scale).T)
+        steps, batch = ids.shape
+        a, b = np.empty((4 * n, batch), np.float32), np.empty((4 * n, batch), np.float32)
+        h, c, s = np.zeros((n, batch), np.float32), np.zeros((n, batch), np.float32), np.empty((n, batch), np.float32)
+        i, f, o, g = (a[k * n : k * n + n] for k in range(4))
+        out = np.empty((steps, n, batch), np.float32)
+        with np.errstate(over="ignore"):  # exp may be infinite, then the gate is 0
+            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                np.take(x, ids[t], axis=1, out=a, mode="clip")
+                np.matmul(u, h, out=b)
+                a += b
+                np.exp(a, out=a)
+                a += 1
+                np.reciprocal(a, out=a)
+                g *= 2
+                g -= 1
+                c *= f
+                i *= g
+                c += i
+                np.multiply(c, np.float32(-2), out=s)
+                np.exp(s, out=s)
+                s += 1
+                np.divide(2, s, out=s)
+                s -= 1
+                h = out[t]
+                np.multiply(o, s, out=h)
         return out
 
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        """ids (steps, batch): (steps, batch, tags)."""
+        n, w = self.hidden, self.w
+        e = np.ascontiguousarray(w["e"].T)
+        out = np.matmul(e[:, :n], self._outputs(ids, "f"))
+        out += np.matmul(e[:, n:], self._outputs(ids, "b"))
+        out += w["c"][:, None]
+        return out.transpose(0, 2, 1)
+
     def best_paths(self, e: np.ndarray, length: np.ndarray, inner: np.ndarray) -> np.ndarray:
         """The best tags (steps, stretches) for emissions (steps, stretches, tags) of stretches of the given lengths, padded at their ends. inner (two columns): whether "nothing" stands before and after a stretch, as within a text."""
         t, n = self.w["t"], len(TAGS)
@@ -168,7 +203,7 @@ class Net:
         tags, found = [np.zeros(len(x), np.uint8) for x in e], []
         for k, x in enumerate(e):
             if len(x):
-                gain = x[:, 1:].max(1).astype(np.float64) - x[:, 0] + (inside - stay)
+                gain = reduce(np.maximum, x.T[1:]).astype(np.float64) - x[:, 0] + (inside - stay)
                 upto = np.concatenate(([0.0], np.cumsum(gain)))
                 left = upto[1:] - np.minimum.accumulate(upto)[:-1]  # the largest sum that ends at a position
                 after = np.maximum.accumulate(upto[:0:-1])[::-1]  # and the largest up to it or later

@@ -63,6 +63,16 @@ def test_decode_is_the_best_path_of_each_whole_text(net, lead):
             assert path_score(net, e, got.tolist()) == pytest.approx(path_score(net, e, plain_best(net, e)), abs=1e-3)
 
 
+def test_emissions_are_those_of_the_network_that_is_trained(net):
+    ids = np.random.default_rng(3).integers(0, 98, (50, 7)).astype(np.uint8)
+    h = np.concatenate([net._direction(ids, d) for d in "fb"], 2)
+    assert np.allclose(net.emissions(ids), h @ net.w["e"] + net.w["c"], atol=1e-4)
+    wide = pii.Net()
+    wide.w = {k: v * 200 for k, v in net.w.items()}  # gates at their ends
+    h = np.concatenate([wide._direction(ids, d) for d in "fb"], 2)
+    assert np.allclose(wide.emissions(ids), h @ wide.w["e"] + wide.w["c"], atol=0.5, rtol=1e-3)
+
+
 def test_emissions_of_a_long_text_are_averaged_where_windows_overlap(net):
     text = "call (543) 555-3824 or write to jane at mail dot com. " * 20
     stride = pii.WINDOW - pii.SHARED

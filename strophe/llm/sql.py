@@ -82,3 +82,20 @@ WITH e AS (
 )
 SELECT * FROM r WHERE rank <= {k}
 """
+
+
+def _finite(v: str) -> str:
+    return f"{v} IS NOT NULL AND coalesce(list_bool_and(list_transform({v}, lambda x: x IS NOT NULL AND isfinite(x))), true)"
+
+
+def highest(vectors: str = "embeddings", every: int = 50, k: int = 5, factor: int = 256) -> str:
+    score = "list_inner_product(q.v, e.v)"
+    return f"""
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({factor} * x::DOUBLE)) AS v FROM {vectors} WHERE vec_id IS NOT NULL AND {_finite('embedding')}
+), r AS (
+  SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {score} DESC, e.vec_id)::INT AS rank, e.vec_id, {score}::BIGINT AS score
+  FROM e AS q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % {every} = 0
+)
+SELECT * FROM r WHERE rank <= {k}
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, htmltext, licenses, mixing, pii, secrets, simhash, sql, topk, toxicity, warc
+from . import ann, codes, decontam, htmltext, licenses, mixing, pii, secrets, simhash, sql, topk, toxicity, warc
 from .common import table
 from .spans import summed_up
 
@@ -63,9 +63,13 @@ def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_warc, op3_html, op4_simhash, op5_secrets, op6_ann, op7_licenses, op8_pii, op9_mixing, op10_toxicity, op12_topk)}
+    return {f.__name__: f for f in (op1_decontamination, op2_warc, op3_html, op4_simhash, op5_secrets, op6_ann, op7_licenses, op8_pii, op9_mixing, op10_toxicity, op12_topk, op13_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": sql.warc(), "op6_ann": sql.nearest(), "op7_licenses": sql.licenses(), "op9_mixing": sql.mixing(), "op12_topk": sql.highest()}
+    return {"op2_warc": sql.warc(), "op6_ann": sql.nearest(), "op7_licenses": sql.licenses(), "op9_mixing": sql.mixing(), "op12_topk": sql.highest(), "op13_codes": sql.codes()}

@@ -99,3 +99,32 @@ WITH e AS (
 )
 SELECT * FROM r WHERE rank <= {k}
 """
+
+
+def codes(vectors: str = "embeddings", parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Each round is one more table: parts with their nearest entries, then the entries' means."""
+    square = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    out = f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+  FROM {vectors} WHERE {_finite('embedding')}
+), w AS (SELECT max(len(v)) // {parts} AS w FROM e
+), v AS MATERIALIZED (SELECT id, vec_id, label, p, list_slice(v, p * w + 1, p * w + w) AS x FROM e, w, range({parts}) AS r(p)
+), c0 AS MATERIALIZED (SELECT p, id - 1 AS k, x FROM v WHERE id <= {entries})"""
+    for r in range(rounds + 1):
+        out += f""", a{r} AS MATERIALIZED (
+  SELECT id, v.p, min({{'d': {square}, 'k': c.k}}) AS best FROM v JOIN c{r} AS c ON v.p = c.p GROUP BY ALL
+)"""
+        if r < rounds:
+            out += f""", s{r} AS (
+  SELECT p, k, j, floor(sum(y)::DOUBLE / count(*))::BIGINT AS y FROM (SELECT v.p, best.k AS k, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM v JOIN a{r} AS a ON v.id = a.id AND v.p = a.p) GROUP BY ALL
+), c{r + 1} AS MATERIALIZED (
+  SELECT p, k, coalesce(m.x, c.x) AS x FROM c{r} AS c LEFT JOIN (SELECT p, k, list(y ORDER BY j) AS x FROM s{r} GROUP BY ALL) AS m USING (p, k)
+)"""
+    return (
+        out
+        + f""", g AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, k, j)) AS codebooks_sha256 FROM (SELECT p, k, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM c{rounds})
+), f AS (SELECT id, string_agg(printf('%02x', best.k), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN f USING (id), g
+"""
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, codes, decontam, htmltext, licenses, mixing, pii, secrets, simhash, sql, topk, toxicity, warc
+from . import ann, codes, decontam, htmltext, licenses, mixing, pii, repair, secrets, simhash, sql, topk, toxicity, warc
 from .common import table
 from .spans import summed_up
 
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round(F.col("probabilities")[0], 6).alias("p_low_quality"), F.round(F.col("probabilities")[1], 6).alias("p_toxic"), "toxic")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
 def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"), 5)
@@ -68,8 +72,8 @@ def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_warc, op3_html, op4_simhash, op5_secrets, op6_ann, op7_licenses, op8_pii, op9_mixing, op10_toxicity, op12_topk, op13_codes)}
+    return {f.__name__: f for f in (op1_decontamination, op2_warc, op3_html, op4_simhash, op5_secrets, op6_ann, op7_licenses, op8_pii, op9_mixing, op10_toxicity, op11_repair, op12_topk, op13_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": sql.warc(), "op6_ann": sql.nearest(), "op7_licenses": sql.licenses(), "op9_mixing": sql.mixing(), "op12_topk": sql.highest(), "op13_codes": sql.codes()}
+    return {"op2_warc": sql.warc(), "op6_ann": sql.nearest(), "op7_licenses": sql.licenses(), "op9_mixing": sql.mixing(), "op11_repair": sql.repair(), "op12_topk": sql.highest(), "op13_codes": sql.codes()}

@@ -128,3 +128,56 @@ WITH e AS MATERIALIZED (
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN f USING (id), g
 """
     )
+
+
+def repair(conversations: str = "conversations") -> str:
+    """Row by row, the best (cost, audit) for each state that a conversation can be in: 0 nothing said, 1 system, 2 user, 3 assistant. Between rows at most two inserts can help; with more a state comes back."""
+    ways = []  # state before, inserted, edit, initial it needs, state after, cost, audit, roles that come in, whether the row's own role stays
+    after, spoken = {0: 2, 1: 2, 2: 3, 3: 2}, {2: "user", 3: "assistant"}
+    for state in range(4):
+        now, come = state, []
+        for n in range(3):
+            if n:
+                now = after[now]
+                come = [*come, f"{spoken[now]}:"]
+            lead = "".join(c + "\n" for c in come)
+            ways.append((state, "I" * n + "D", "", now, 3 + 2 * n, lead, ""))
+            ways.append((state, "I" * n + "R", "", after[now], 2 + 2 * n, lead, spoken[after[now]]))
+            for initial, to in ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})[now].items():
+                ways.append((state, "I" * n + "K", initial, to, 2 * n, lead, ""))
+            ways.append((state, "I" * n, "", now, 2 * n, lead, ""))
+    values = ", ".join(f"({a}, '{edit}', '{i}', {b}, {cost}, {_quoted(lead)}, '{role}')" for a, edit, i, b, cost, lead, role in ways)
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: unicode(x)::BIGINT)), lambda c, b: {bits}), 4294967295)"
+    return f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM {conversations}
+), hashed AS MATERIALIZED (SELECT *, {crc} % 20 AS n FROM keyed
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN n = 4 THEN 'user' ELSE role END AS role, CASE n WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, range(CASE WHEN n = 3 THEN 2 ELSE 1 END) WHERE n <> 0
+), placed AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, left(role, 1) AS initial FROM hurt
+), marked AS (
+  SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut,
+    row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS seen, lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial AS pair FROM placed
+), r AS MATERIALIZED (SELECT *, blank OR seen AS must, cut AND NOT blank AND NOT seen AS charged FROM marked
+), way(state, edits, needs, next, cost, lead, speaks) AS (VALUES {values}
+), step AS (
+  SELECT conv, 0::BIGINT AS i, 0 AS state, {{'cost': 0::BIGINT, 'audit': '', 'said': ''}} AS best FROM r GROUP BY conv
+  UNION ALL
+  SELECT s.conv, s.i + 1, w.next, min({{'cost': s.best.cost + w.cost + CASE WHEN r.charged AND NOT w.edits LIKE '%D' THEN 1 ELSE 0 END, 'audit': s.best.audit || w.edits,
+    'said': s.best.said || w.lead || CASE WHEN w.edits LIKE '%D' THEN '' WHEN w.speaks = '' THEN r.role || ':' || r.text || chr(10) ELSE w.speaks || ':' || r.text || chr(10) END}})
+  FROM step AS s JOIN r ON r.conv = s.conv AND r.i = s.i + 1 JOIN way AS w ON w.state = s.state
+  WHERE w.edits LIKE '%D' OR (NOT r.must AND (w.edits LIKE '%R' OR (w.edits LIKE '%K' AND w.needs = r.initial)))
+  GROUP BY s.conv, s.i, w.next
+), ended AS (
+  SELECT conv, min({{'cost': s.best.cost + w.cost, 'audit': s.best.audit || w.edits, 'said': s.best.said || w.lead}}) AS best
+  FROM step AS s JOIN (SELECT conv, max(i) AS i FROM r GROUP BY conv) USING (conv, i) JOIN way AS w ON w.state = s.state AND w.next IN (0, 3) AND NOT regexp_matches(w.edits, '[KRD]') GROUP BY conv
+), counted AS (
+  SELECT conv_id, conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank)::BIGINT AS blank, count(*) FILTER (seen AND NOT blank)::BIGINT AS duplicate,
+    count(*) FILTER (charged)::BIGINT AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM r GROUP BY conv_id, conv
+)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(left(best.said, -1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM {conversations}) AS k LEFT JOIN counted AS c ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended USING (conv)
+"""

@@ -15,6 +15,8 @@ SHARD, QUERIES = 32768, 65536
 LARGEST = 2**23
 #: Lists are read in steps of a part of their length; when no more than a part of the vectors can qualify, their scores are resolved.
 STEPS, FEW = 32, 64
+#: Vectors of which a first k-th score is taken.
+SOME = 2048
 
 
 def finite(v: Column) -> Column:
@@ -33,46 +35,55 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, order: np.ndarray | None = None):
         self.ids, self.x = ids, x
-        self.order = np.argsort(x.T, axis=1, kind="stable").astype(np.int32) if order is None else order
+        self.order = np.argsort(x.T, axis=1, kind="stable") if order is None else order.astype(np.intp)
         self.values = np.take_along_axis(x.T, self.order, 1).astype(np.float64)
-        self.start = 1  # the step at which the last query could stop; most queries stop near it
+        self.start = 1  # the step at which queries begin, which is about where the last one could stop
+        self.some = Lists(ids[:: len(ids) // SOME], x[:: len(ids) // SOME]) if len(ids) >= 4 * SOME else None
+
+    def _read(self, q: np.ndarray, at: int, low: np.ndarray) -> np.ndarray:
+        """What the first `at` entries of each list show of each vector: the sum of what they exceed `low` by."""
+        n = len(self.ids)
+        out = np.zeros(n)
+        for side, part in ((q > 0, slice(n - at, n)), (q < 0, slice(0, at))):
+            if side.any():
+                shown = self.values[side, part] * q[side, None]
+                shown -= low[side, None]
+                out += np.bincount(self.order[side, part].ravel(), shown.ravel(), n)
+        return out
 
     def search(self, query: np.ndarray, own: int | None, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """The k highest inner products with a query among vectors whose id is not `own`, as (rows, scores), highest first, ties to the smaller id; scores below `least`, of which the caller has k already, may be left out.
 
-        Lists are read side by side. Of a vector, what lists have shown of it is known; each other list adds at most the value at which its reading stands, and at least its last value. That gives a lower and an upper bound of the score. Reading goes on until only few vectors, or the k themselves, have an upper bound that reaches the k-th lower bound, or `least`; all others are outsiders then, those that no list has shown included. Only the final scores of the few are added up from whole vectors.
+        Lists are read side by side. Of a vector, what lists have shown of it is known; each other list adds at most the value at which its reading stands, and at least its last value. That gives a lower and an upper bound of the score. Reading goes on until only few vectors, or the k themselves, have an upper bound that reaches the k-th lower bound, or `least`; all others are outsiders then, those that no list has shown included. Only the final scores of the few are added up from whole vectors. Where there are many vectors and no `least`, the k-th score of an even share of them is the first.
         """
         (n, m), q = self.x.shape, query.astype(np.float64)
-        used = np.flatnonzero(q)
-        up = q[used] > 0
-        # sums of floats are exact up to 2^53; beyond, bounds are wider by what they may be off
-        off = 1e-12 * float(np.abs(q) @ np.abs(self.values[:, [0, -1]]).max(1)) if n and m else 0.0
-        off = off if off > 1.0 else 0.0
-        few, step = max(k + 1, n // FEW), max(1, -(-n // STEPS))
-        last = np.where(up, self.values[used, 0], self.values[used, -1]) * q[used] if n else np.empty(0)
-        at = min(n, step * max(1, self.start - 1))
-        while True:
-            if not len(used):  # a query of zeros: all scores are zero
-                rows = np.arange(n)
-                break
-            near = [(d, slice(n - at, n)) if u else (d, slice(0, at)) for d, u in zip(used.tolist(), up.tolist())]
-            rows = np.concatenate([self.order[d, s] for d, s in near])
-            shown = np.concatenate([self.values[d, s] * q[d] for d, s in near])
-            stand = np.where(up, self.values[used, n - at], self.values[used, at - 1]) * q[used]
-            # what the lists have shown, as it exceeds where they stand: then the rest of the upper bound is one number
-            upper = np.bincount(rows, shown - np.repeat(stand, at), n) + stand.sum()
-            if least > -np.inf:
-                bar = least
-            else:
-                lower = np.bincount(rows, shown - np.repeat(last, at), n) + last.sum()
-                if own is not None:
-                    lower = lower[self.ids != own]
-                bar = np.partition(lower, -k)[-k] if len(lower) >= k else -np.inf
-            rows = np.flatnonzero(upper >= bar - 2 * off)
-            if len(rows) <= few or at == n:
-                self.start = -(-at // step)
-                break
-            at = min(n, at + step)
+        if least == -np.inf and self.some is not None:
+            got = self.some.search(query, own, k)[1]
+            least = float(got[k - 1]) if len(got) == k else least
+        rows = np.arange(n)
+        if n and q.any():
+            ends = self.values[:, [0, -1]] * q[:, None]
+            last = ends.min(1)
+            # sums of floats are exact up to 2^53; beyond, bounds are wider by what they may be off
+            off = 1e-12 * float(np.abs(ends).max(1).sum())
+            off = off if off > 1.0 else 0.0
+            few, step = max(k + 1, n // FEW), -(-n // STEPS)
+            at = min(n, step * self.start)
+            while True:
+                stand = np.where(q > 0, self.values[:, n - at], self.values[:, at - 1]) * q
+                if least > -np.inf:
+                    bar = least
+                else:
+                    lower = self._read(q, at, last) + last.sum()
+                    if own is not None:
+                        lower = lower[self.ids != own]
+                    bar = np.partition(lower, -k)[-k] if len(lower) >= k else -np.inf
+                # what the lists have shown, as it exceeds where they stand: then the rest of the upper bound is one number
+                rows = np.flatnonzero(self._read(q, at, stand) + stand.sum() >= bar - 2 * off)
+                if len(rows) <= few or at == n:
+                    break
+                at = min(n, at + step)
+            self.start = max(1, -(-at // step) - (len(rows) <= few // 4))
         if own is not None:
             rows = rows[self.ids[rows] != own]
         scores = self.x[rows].astype(np.int64) @ query.astype(np.int64)
@@ -109,7 +120,7 @@ def _keys(t: pa.Table, *names: str) -> list[pa.Array]:
 
 def _listed(t: pa.Table) -> pa.Table:
     ids, times, x = _rows(t)
-    return pa.Table.from_arrays([*_keys(t, "size", "part"), *_binary(ids, times, x, Lists(ids, x).order)], names=_names(INDEX))
+    return pa.Table.from_arrays([*_keys(t, "size", "part"), *_binary(ids, times, x, np.argsort(x.T, axis=1, kind="stable").astype(np.int32))], names=_names(INDEX))
 
 
 def _packed(t: pa.Table) -> pa.Table:

@@ -34,21 +34,18 @@ def preprocessed(seq: DataFrame, grid: DataFrame, low: float, high: float, round
         return df.join(bad, "seq_id", "left_anti")
 
     def at_tempo(df: DataFrame) -> DataFrame:
-        choice = S.double_time_choice(df, grid, low, high)
-        out = None
-        for factor in S.FACTORS:
-            some = S.adjusted(df.join(choice.where(F.col("factor") == factor).select("seq_id"), "seq_id", "left_semi"), factor)
-            out = some if out is None else out.unionByName(some)
-        # sequences without a tempo stay as they are
-        return out.unionByName(df.join(choice.select("seq_id"), "seq_id", "left_anti").select("seq_id", "pos", "sym"))
+        choice = stored(S.double_time_choice(df, grid, low, high), "choice")
+        out = stored(S.adjusted_each(df, choice), "tempo")
+        dropped(choice)
+        return out
 
     own = stored(without(seq.select("seq_id", "pos", "sym"), outliers(seq)), "sequences")
-    now = stored(at_tempo(own), "tempo")
+    now = at_tempo(own)
     seen = {state(now)}
     for _ in range(rounds):
         bad = stored(outliers(now), "outliers")
         fewer = stored(without(own, bad), "sequences")
-        new = stored(at_tempo(fewer), "tempo")
+        new = at_tempo(fewer)
         for old in (own, now, bad):
             dropped(old)
         own, now = fewer, new

@@ -125,6 +125,16 @@ def adjusted(seq: DataFrame, factor: str) -> DataFrame:
 FACTORS = {"1": 1.0, "2": 2.0, "1/2": 0.5, "2/3": 2 / 3}
 
 
+def adjusted_each(seq: DataFrame, choice: DataFrame) -> DataFrame:
+    """Every sequence (seq_id, pos, sym) at its own tempo, as adjusted() has them for one: choice (seq_id, factor) names it; sequences without one stay as they are. One pass: symbols are repeated by the factor's numerator, and the mode of every so many as its denominator says is taken."""
+    name = F.coalesce("factor", F.lit("1"))
+    times, every = F.when(name.isin("2", "2/3"), 2).otherwise(1), F.when(name == "1/2", 2).when(name == "2/3", 3).otherwise(1)
+    d = seq.select("seq_id", "pos", "sym").join(choice.select("seq_id", "factor"), "seq_id", "left").select("seq_id", "pos", "sym", times.alias("times"), every.alias("every"))
+    d = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).withColumn("pos", F.floor((F.col("pos") * F.col("times") + F.col("k")) / F.col("every")).cast("int"))
+    d = d.groupBy("seq_id", "pos", "every", "sym").agg(F.count("*").alias("n")).groupBy("seq_id", "pos", "every").agg(F.sum("n").alias("n"), F.min_by("sym", F.struct(-F.col("n"), "sym")).alias("sym"))
+    return d.where("n = every").select("seq_id", "pos", "sym")
+
+
 def double_time_choice(seq: DataFrame, grid: DataFrame, low: float, high: float, size: int = 4) -> DataFrame:
     """For each sequence the tempo factor, among 1, 2, 1/2 and 2/3, whose n-gram histogram is nearest by chi-squared to the mean histogram of all and whose tempo is nearest to the mean tempo: the least sum of both distances, each over its greatest value. Factors count only if the new tempo is in the range and within half and double the mean; 1 always does. Ties go to the earlier one."""
     t = tempo(grid).where("tempo is not null")

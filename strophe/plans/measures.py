@@ -73,7 +73,9 @@ def relative_triples(spark, d):
 @query(" UNION ALL ".join(f"SELECT '{m}' AS measure, count({c}) AS n, count(*) FILTER ({c} = 1) AS ones, round(median({c}), 6) AS median, round(avg({c}), 6) AS mean, round(min({c}), 6) AS least FROM ({SQL[q]})" for m, q, c in (("interval", "interval_monotonicity", "recall"), ("label", "label_monotonicity", "recall"), ("strict", "transitivity_strict", "transitivity"), ("repetition", "repetitiveness", "repetitiveness"))))
 def hierarchy_analysis(spark, d):
     h, lab, mono = A.hierarchy(spark, d), _labels(spark, d), H.make_monotonic(A.hierarchy(spark, d))
-    x = H.summary({"interval": H.interval_monotonicity(h, _grid(spark, d)), "label": H.pairwise_recall(lab), "strict": H.transitivity_strict(mono), "repetition": H.repetitiveness(h)})
+    measures = {"interval": H.interval_monotonicity(h, _grid(spark, d)), "label": H.pairwise_recall(lab), "strict": H.transitivity_strict(mono), "repetition": H.repetitiveness(h)}
+    # rounded before they are summed up: a median may lie on the edge of two roundings
+    x = H.summary({name: m.select("item", F.round(m.columns[1], 6).alias("value")) for name, m in measures.items()})
     return x.select("measure", "n", "ones", *[F.round(c, 6).alias(c) for c in ("median", "mean", "least")])
 
 

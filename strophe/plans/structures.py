@@ -14,6 +14,7 @@ from ..operators import matrices as M
 from ..operators import profiles as P
 from ..operators import statistics as S
 from ..operators import structures as T
+from ..operators import training as H
 from ..sources import adapters as A
 from .kernels import _matrix
 from .registry import query
@@ -177,6 +178,24 @@ def flanked_profile(spark, d):
     return K.per_group(s, "song", f, "seq_id long, pos int, state int")
 
 
+def _song_profiles(spark, d):
+    seqs = K.packed(A.sequences(spark, d)).withColumn("song", S.song())
+    return (seqs, *H.trained(seqs, 3))
+
+
+@query()
+def trained_profile(spark, d):
+    """Each song's sequences aligned by a model that is fitted to them by expected counts."""
+    seqs, models, _ = _song_profiles(spark, d)
+    return H.aligned(seqs, models).withColumn("score", F.round("score", 6))
+
+
+@query()
+def profile_likelihoods(spark, d):
+    """How well songs' models fit their sequences before each round of training."""
+    return _song_profiles(spark, d)[2].withColumn("likelihood", F.round("likelihood", 6))
+
+
 @query()
 def onset_hist_peaks(spark, d):
     h = S.onset_hist(A.grid(spark, d, "click"), A.grid(spark, d), 32)

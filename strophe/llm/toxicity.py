@@ -114,6 +114,15 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return min(0.5, float(p[order[fine[-1]]])) if len(fine) else 0.5
 
 
+def fold_numbers(ids: list[int]) -> list[int]:
+    """The place of each id in the order of a seeded hash: taken modulo the number of folds, folds are of one size whatever the ids have in common."""
+    order = sorted(range(len(ids)), key=lambda i: (xxhash.xxh64_intdigest(str(ids[i]), 23), ids[i]))
+    out = [0] * len(ids)
+    for n, i in enumerate(order):
+        out[i] = n
+    return out
+
+
 def fit(rows: list[tuple[int, dict, np.ndarray]], chosen: list[np.ndarray], categories: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
     """Fits the chain on (fold number, labels, hashes of the features) of labelled texts; chosen: for each link the hashes of its features, in order. Every link is fitted on the features and on the earlier links' probabilities out of fold: those that models of the other folds give. So a link learns how far to trust the earlier ones on texts that they have not seen. The last link's probabilities out of fold also set the threshold (_threshold).
 
@@ -197,7 +206,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CAT
 
     got = per_batch(rows, "doc_id long, found binary, " + ", ".join(f"{c} int" for c in names), kept).collect()
     got = sorted((r.doc_id, [r[c] for c in names], bytes(r.found)) for r in got)
-    return fit([(i, dict(zip(categories, ls)), np.frombuffer(x, np.uint32)) for i, ls, x in got], features, categories)
+    return fit([(f, dict(zip(categories, ls)), np.frombuffer(x, np.uint32)) for f, (_, ls, x) in zip(fold_numbers([r[0] for r in got]), got)], features, categories)
 
 
 def judged(texts: list[str | None], chain: Chain, of: Features) -> tuple[np.ndarray, np.ndarray]:

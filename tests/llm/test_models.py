@@ -220,7 +220,7 @@ def test_chain_of_few_labels_and_odd_texts(spark):
 def plain_chain(texts, labels, folds=5, most=toxicity.FEATURES):
     """The chain written out with dense arrays and without Spark: features by counting, every link on the features and the earlier links' out-of-fold probabilities."""
     found = [sorted({h for w in toxicity.words(t) for h in toxicity.features(w)}) for _, t in texts]
-    fold, n = np.array([i % folds for i, _ in texts]), len(texts)
+    fold, n = np.array(toxicity.fold_numbers([i for i, _ in texts])) % folds, len(texts)
     seen, links = np.zeros((n, 0), np.float32), []
     for k, category in enumerate(toxicity.CATEGORIES):
         y = np.array([labels[i][category] for i, _ in texts], np.float32)
@@ -292,3 +292,10 @@ def test_pipeline_stages_hand_on_documents(spark):
     assert {k for k in seen[2] if pii.base_spans(seen[2][k] or "")} <= changed
     last = docs.collect()
     assert {r.doc_id for r in last} == set(seen[3]) and sum(r.taken for r in last) > 0
+
+
+def test_folds_do_not_hang_on_what_ids_have_in_common():
+    from collections import Counter
+
+    for step in (1, 5, 100):
+        assert set(Counter(n % 5 for n in toxicity.fold_numbers([step * i for i in range(50)])).values()) == {10}

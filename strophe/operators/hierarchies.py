@@ -347,7 +347,7 @@ def aligned_lmeasure(reference: DataFrame, estimate: DataFrame) -> DataFrame:
     """lmeasure of label tables (item, level, pos, label) of any lengths: positions are matched by the local alignment of both finest levels, and only matched ones count, numbered in order: (item, p, r, l)."""
     import pandas as pd
 
-    from .kernels import smith_waterman
+    from .kernels import local_paths
 
     def finest(lab: DataFrame, name: str) -> DataFrame:
         last = lab.groupBy("item").agg(F.max("level").alias("level"))
@@ -357,7 +357,8 @@ def aligned_lmeasure(reference: DataFrame, estimate: DataFrame) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            rows = [(item, k, i, j) for item, x, y in zip(f["item"], f["x"], f["y"]) for k, (i, j) in enumerate(smith_waterman(list(x), list(y)))]
+            paths = local_paths([(list(x), list(y)) for x, y in zip(f["x"], f["y"])])
+            rows = [(item, k, i, j) for item, path in zip(f["item"], paths) for k, (i, j) in enumerate(path)]
             yield pd.DataFrame(rows, columns=["item", "new", "i", "j"])
 
     m = stored(both.mapInPandas(run, f"item {reference.schema['item'].dataType.simpleString()}, new int, i int, j int"), "matches")

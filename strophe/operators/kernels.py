@@ -8,35 +8,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def local_scores(a: list, b: list, match: int = 3, gap: int = 5, ignore: tuple = ()) -> np.ndarray:
-    """Smith-Waterman scores: +-match on the diagonal, -gap for a step aside, at least 0; symbols in ignore match any."""
-    h = np.zeros((len(a) + 1, len(b) + 1), np.int64)
-    wild_b = np.isin(b, ignore) if len(ignore) else np.zeros(len(b), bool)
-    b = np.asarray(b)
-    for i, x in enumerate(a, 1):
-        same = (b == x) | wild_b | (x in ignore)
-        diagonal = h[i - 1, :-1] + np.where(same, match, -match)
-        best = np.maximum(np.maximum(diagonal, h[i - 1, 1:] - gap), 0)
-        left = 0
-        for j, v in enumerate(best.tolist(), 1):  # the step from the left hangs on what was just found
-            left = max(v, left - gap)
-            h[i, j] = left
+#: Cells of scores that are worked on at once.
+CELLS = 1 << 20
+
+
+def _scores(a: np.ndarray, b: np.ndarray, same, match: int, gap: int) -> np.ndarray:
+    """Smith-Waterman scores of pairs (a row of a and of b each): +-match on the diagonal, -gap for a step aside, at least 0. same(x, b) tells where a column of a is like b. Rows of scores follow one another; within a row the step from the left is a running maximum of what cells have and how far on they are."""
+    n, m = a.shape[1], b.shape[1]
+    h = np.zeros((len(a), n + 1, m + 1), np.int64)
+    far = gap * np.arange(1, m + 1)
+    for i in range(n):
+        diagonal = h[:, i, :-1] + np.where(same(a[:, i, None], b), match, -match)
+        best = np.maximum(np.maximum(diagonal, h[:, i, 1:] - gap), 0)
+        h[:, i + 1, 1:] = np.maximum.accumulate(best + far, axis=1) - far
     return h
 
 
-def local_path(h: np.ndarray) -> list[tuple[int, int]]:
-    """Index pairs from the last maximum of the scores back: each next one is the last maximum of what is above and to the left, until that is 0."""
-    out = []
-    while h.size and h.max() > 0:
-        k = h.size - 1 - int(h[::-1, ::-1].argmax())
-        i, j = divmod(k, h.shape[1])
-        out.append((i - 1, j - 1))
-        h = h[:i, :j]
-    return out[::-1]
+def local_scores(a: list, b: list, match: int = 3, gap: int = 5, ignore: tuple = ()) -> np.ndarray:
+    """The scores of one pair; symbols in ignore match any."""
+    same = lambda x, y: (x == y) | np.isin(x, ignore) | np.isin(y, ignore)
+    return _scores(np.array([a]).reshape(1, -1), np.array([b]).reshape(1, -1), same, match, gap)[0]
+
+
+def local_paths(pairs: list[tuple[list, list]], match: int = 3, gap: int = 5, ignore: tuple = ()) -> list[list[tuple[int, int]]]:
+    """For each pair of sequences the index pairs from the last maximum of their scores back: each next one is the last maximum of what is above and to the left, until that is 0. Symbols in ignore match any. Pairs of like sizes are worked on together."""
+    codes: dict = {}
+    wild = {codes.setdefault(x, len(codes)) for x in ignore}
+    coded = [[np.array([codes.setdefault(x, len(codes)) for x in s], np.int64) for s in p] for p in pairs]
+    wild = np.array(sorted(wild), np.int64)
+
+    def same(x: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = x == b
+        if len(wild):  # what fills up short sequences is below zero and matches nothing
+            out |= (np.isin(x, wild) & (b >= 0)) | (np.isin(b, wild) & (x >= 0))
+        return out
+
+    out: list[list[tuple[int, int]]] = [[] for _ in pairs]
+    order = sorted((k for k in range(len(pairs)) if len(coded[k][0]) and len(coded[k][1])), key=lambda k: (len(coded[k][0]), len(coded[k][1])))
+    while order:
+        n, m, size = 0, 0, 0
+        while size < len(order):  # as many as fit with the longest among them
+            a, b = coded[order[size]]
+            big, wide = max(n, len(a)), max(m, len(b))
+            if size and (size + 1) * (big + 1) * (wide + 1) > CELLS:
+                break
+            n, m, size = big, wide, size + 1
+        now, order = order[:size], order[size:]
+        a, b = np.full((size, n), -1, np.int64), np.full((size, m), -2, np.int64)
+        for r, k in enumerate(now):
+            a[r, : len(coded[k][0])], b[r, : len(coded[k][1])] = coded[k]
+        h = _scores(a, b, same, match, gap)
+        # scores with their places, so that the greatest of all cells above and to the left is a running maximum that ends at the last of equals
+        place = h * ((n + 1) * (m + 1)) + np.arange((n + 1) * (m + 1)).reshape(n + 1, m + 1)
+        np.maximum.accumulate(place, axis=1, out=place)
+        np.maximum.accumulate(place, axis=2, out=place)
+        at = place[:, n, m]
+        rows = np.arange(size)
+        while len(rows):
+            score, cell = np.divmod(at, (n + 1) * (m + 1))
+            rows, cell = rows[score > 0], cell[score > 0]
+            i, j = np.divmod(cell, m + 1)
+            for r, x, y in zip(rows.tolist(), (i - 1).tolist(), (j - 1).tolist()):
+                out[now[r]].append((x, y))
+            at = place[rows, i - 1, j - 1]
+    return [p[::-1] for p in out]
 
 
 def smith_waterman(a: list, b: list, match: int = 3, gap: int = 5, ignore: tuple = ()) -> list[tuple[int, int]]:
-    return local_path(local_scores(a, b, match, gap, ignore))
+    return local_paths([(a, b)], match, gap, ignore)[0]
 
 
 def packed(seq: DataFrame) -> DataFrame:
@@ -51,7 +90,8 @@ def local_alignments(seq: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            rows = [(a, b, k, i, j) for a, b, u, v in f.itertuples(index=False) for k, (i, j) in enumerate(smith_waterman(list(u), list(v)))]
+            paths = local_paths([(list(u), list(v)) for u, v in zip(f["x"], f["y"])])
+            rows = [(a, b, k, i, j) for a, b, path in zip(f["a"], f["b"], paths) for k, (i, j) in enumerate(path)]
             yield pd.DataFrame(rows, columns=["a", "b", "k", "i", "j"])
 
     return x.mapInPandas(run, "a long, b long, k int, i int, j int")

@@ -1 +1,54 @@
 """Patterns, cliques, components and sections as relations."""
+
+from pyspark.sql import functions as F
+
+from ..operators import matrices as M
+from ..operators import similar as L
+from ..operators import statistics as S
+from ..sources import adapters as A
+from .registry import query
+
+
+def _patterns(spark, d):
+    """The symbols of repeated stretches as patterns of their songs: (song, pattern, syms), and where they are: (pattern, seq_id, pos)."""
+    s = A.sequences(spark, d)
+    runs = M.diag_segments(M.equality_cells(s), ["seq_id"]).where("len >= 5")
+    at = runs.select("seq_id", "len", F.explode(F.array("i0", "j0")).alias("pos")).distinct()
+    k = at.select("seq_id", "len", "pos", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("k")).withColumn("p", F.col("pos") + F.col("k"))
+    k = k.join(s.select("seq_id", F.col("pos").alias("p"), "sym"), ["seq_id", "p"])
+    g = k.groupBy("seq_id", "len", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "sym"))), lambda x: x["sym"]).alias("syms"))
+    g = g.withColumn("song", S.song()).withColumn("pattern", F.concat_ws("-", F.col("song").cast("string"), F.transform("syms", lambda x: x.cast("string"))))
+    return g.select("song", "pattern", "syms").distinct(), g.select("pattern", "seq_id", "pos").distinct()
+
+
+_PATTERNS = """at AS (SELECT DISTINCT seq_id, len, unnest([i0, j0]) AS pos FROM run WHERE len >= 5), oc AS (SELECT a.seq_id, a.pos, list(s.sym ORDER BY s.pos) AS syms FROM at a JOIN seq s ON s.seq_id = a.seq_id AND s.pos >= a.pos AND s.pos < a.pos + a.len GROUP BY a.seq_id, a.pos, a.len),
+pt AS (SELECT DISTINCT seq_id // 50 AS song, (seq_id // 50) || '-' || array_to_string(syms, '-') AS pattern, syms FROM oc), cn AS (SELECT pattern, song, len(syms) AS n, sym, count(*) AS c FROM (SELECT pattern, song, syms, unnest(syms) AS sym FROM pt) GROUP BY ALL),
+ov AS (SELECT a.song, a.pattern AS a, b.pattern AS b, sum(least(a.c, b.c)) / max(greatest(a.n, b.n)) AS overlap FROM cn a JOIN cn b ON a.song = b.song AND a.sym = b.sym AND a.pattern < b.pattern GROUP BY ALL)"""
+
+
+@query(f"WITH {_PATTERNS} SELECT song, a, b, round(overlap, 6) AS overlap FROM ov WHERE overlap >= 0.8 - 1e-9")
+def pattern_overlaps(spark, d):
+    return L.overlaps(_patterns(spark, d)[0], "song", 0.8).withColumn("overlap", F.round("overlap", 6))
+
+
+@query()
+def pattern_cascade(spark, d):
+    """Patterns that are alike by overlap, by alignment and by where they are."""
+    x, _ = L.cascade(*_patterns_keyed(spark, d))
+    return x.select("song", "a", "b", *(F.round(c, 6).alias(c) for c in ("overlap", "alignment", "together")))
+
+
+@query()
+def cascade_steps(spark, d):
+    """How many pairs of patterns each step of the cascade leaves."""
+    return L.cascade(*_patterns_keyed(spark, d))[1]
+
+
+def _patterns_keyed(spark, d):
+    patterns, occurrences = _patterns(spark, d)
+    return patterns, "song", 0.8, occurrences
+
+
+@query(f"""WITH {_PATTERNS}, ln AS (SELECT song, len(syms) AS n, count(*) AS c FROM pt GROUP BY ALL) SELECT a.song, sum(CASE WHEN a.n = b.n THEN a.c * (a.c - 1) / 2 ELSE a.c * b.c END)::BIGINT AS pairs FROM ln a JOIN ln b ON a.song = b.song AND a.n <= b.n AND a.n >= 0.8 * b.n - 1e-9 GROUP BY 1""")
+def pattern_length_pairs(spark, d):
+    return L.length_pairs(_patterns(spark, d)[0], "song", 0.8)

@@ -55,11 +55,16 @@ def preprocessed(seq: DataFrame, grid: DataFrame, low: float, high: float, round
     return now
 
 
-def songs(seq: DataFrame, partners: int = 20, min_len: int = 16, gaps: int = 4, ratio: float = 0.2, least: int = 1) -> DataFrame:
-    """A row for each song: its sequences (seq_ids, and their symbols) and the segments of all self- and mutual alignments, as (a, b, i0, j0, len) with the sequences' places in seq_ids: (song, seq_ids, seqs, segs). Sequences and segments of a song are one task's input, as they are in the field."""
+def song_segments(seq: DataFrame, partners: int = 20, min_len: int = 16, gaps: int = 4, ratio: float = 0.2, least: int = 1) -> DataFrame:
+    """The segments of all self- and mutual alignments of songs' sequences: (song, a, b, i0, j0, len)."""
     mutual = M.mutual_align(seq, S.pairings(seq, partners), min_len, gaps, ratio).select("a", "b", "i0", "j0", "len")
     own = M.self_align(seq, min_len, least, gaps, ratio).select(F.col("seq_id").alias("a"), F.col("seq_id").alias("b"), "i0", "j0", "len")
-    segs = mutual.unionByName(own).withColumn("song", S.song("a")).groupBy("song").agg(F.array_sort(F.collect_list(F.struct("a", "b", "i0", "j0", "len"))).alias("segs"))
+    return mutual.unionByName(own).select(S.song("a").alias("song"), "*")
+
+
+def songs(seq: DataFrame, partners: int = 20, min_len: int = 16, gaps: int = 4, ratio: float = 0.2, least: int = 1) -> DataFrame:
+    """A row for each song: its sequences (seq_ids, and their symbols) and the segments of all self- and mutual alignments, as (a, b, i0, j0, len) with the sequences' places in seq_ids: (song, seq_ids, seqs, segs). Sequences and segments of a song are one task's input, as they are in the field."""
+    segs = song_segments(seq, partners, min_len, gaps, ratio, least).groupBy("song").agg(F.array_sort(F.collect_list(F.struct("a", "b", "i0", "j0", "len"))).alias("segs"))
     seqs = K.packed(seq).withColumn("song", S.song()).groupBy("song").agg(F.array_sort(F.collect_list(F.struct("seq_id", "syms"))).alias("seqs"))
     return seqs.join(segs, "song", "left")
 

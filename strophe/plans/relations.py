@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import graphs as G
 from ..operators import matrices as M
+from ..operators import parts as N
 from ..operators import similar as L
 from ..operators import statistics as S
 from ..sources import adapters as A
+from .matrices import _MUTUAL
 from .registry import query
 
 
@@ -21,7 +24,7 @@ def _patterns(spark, d):
     return g.select("song", "pattern", "syms").distinct(), g.select("pattern", "seq_id", "pos").distinct()
 
 
-_PATTERNS = """at AS (SELECT DISTINCT seq_id, len, unnest([i0, j0]) AS pos FROM run WHERE len >= 5), oc AS (SELECT a.seq_id, a.pos, list(s.sym ORDER BY s.pos) AS syms FROM at a JOIN seq s ON s.seq_id = a.seq_id AND s.pos >= a.pos AND s.pos < a.pos + a.len GROUP BY a.seq_id, a.pos, a.len),
+_PATTERNS = """wh AS (SELECT DISTINCT seq_id, len, unnest([i0, j0]) AS pos FROM run WHERE len >= 5), oc AS (SELECT a.seq_id, a.pos, list(s.sym ORDER BY s.pos) AS syms FROM wh a JOIN seq s ON s.seq_id = a.seq_id AND s.pos >= a.pos AND s.pos < a.pos + a.len GROUP BY a.seq_id, a.pos, a.len),
 pt AS (SELECT DISTINCT seq_id // 50 AS song, (seq_id // 50) || '-' || array_to_string(syms, '-') AS pattern, syms FROM oc), cn AS (SELECT pattern, song, len(syms) AS n, sym, count(*) AS c FROM (SELECT pattern, song, syms, unnest(syms) AS sym FROM pt) GROUP BY ALL),
 ov AS (SELECT a.song, a.pattern AS a, b.pattern AS b, sum(least(a.c, b.c)) / max(greatest(a.n, b.n)) AS overlap FROM cn a JOIN cn b ON a.song = b.song AND a.sym = b.sym AND a.pattern < b.pattern GROUP BY ALL)"""
 
@@ -52,3 +55,26 @@ def _patterns_keyed(spark, d):
 @query(f"""WITH {_PATTERNS}, ln AS (SELECT song, len(syms) AS n, count(*) AS c FROM pt GROUP BY ALL) SELECT a.song, sum(CASE WHEN a.n = b.n THEN a.c * (a.c - 1) / 2 ELSE a.c * b.c END)::BIGINT AS pairs FROM ln a JOIN ln b ON a.song = b.song AND a.n <= b.n AND a.n >= 0.8 * b.n - 1e-9 GROUP BY 1""")
 def pattern_length_pairs(spark, d):
     return L.length_pairs(_patterns(spark, d)[0], "song", 0.8)
+
+
+def _song_graph(spark, d):
+    """The alignment graph of songs: edges (u, v) between positions of sequences, as numbers."""
+    s = A.sequences(spark, d)
+    e = G.alignment_edges(M.mutual_align(s, S.pairings(s), 6, 2, 0.4))
+    return e.select(G.node(F.col("a"), F.col("i")).alias("u"), G.node(F.col("b"), F.col("j")).alias("v"))
+
+
+_GRAPH = f"""{_MUTUAL}, ed AS MATERIALIZED (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM (SELECT a * {G.ROOM} + i0 + k AS u, b * {G.ROOM} + j0 + k AS v FROM (SELECT *, unnest(range(0, len)) AS k FROM segs)) WHERE u <> v),
+nb AS MATERIALIZED (SELECT u, list(v) AS f, list(v) FILTER (v > u) AS g FROM (SELECT u, v FROM ed UNION ALL SELECT v, u FROM ed) GROUP BY u)"""
+
+
+@query(f"""WITH RECURSIVE {_GRAPH}, cq AS (SELECT [u] AS c, coalesce(g, []) AS g, f FROM nb UNION ALL SELECT list_append(c, w), list_intersect(x.g, coalesce(nb.g, [])), list_intersect(x.f, nb.f) FROM (SELECT c, g, f, unnest(g) AS w FROM cq) x JOIN nb ON nb.u = w)
+SELECT array_to_string(c, ' ') AS nodes, len(c)::INT AS size FROM cq WHERE len(f) = 0 AND len(c) > 2""")
+def song_cliques(spark, d):
+    x = N.cliques(_song_graph(spark, d))
+    return x.select(F.concat_ws(" ", F.transform("nodes", lambda v: v.cast("string"))).alias("nodes"), "size")
+
+
+@query(f"WITH {_GRAPH} SELECT ed.u, ed.v FROM ed JOIN nb a ON a.u = ed.u JOIN nb b ON b.u = ed.v WHERE len(list_intersect(a.f, b.f)) > 0")
+def clique_union(spark, d):
+    return N.in_cliques(_song_graph(spark, d))

@@ -11,6 +11,7 @@ from ..operators import corpus as R
 from ..operators import grammars as G
 from ..operators import kernels as K
 from ..operators import matrices as M
+from ..operators import parts as N
 from ..operators import profiles as P
 from ..operators import statistics as S
 from ..operators import structures as T
@@ -226,18 +227,22 @@ def _songs(spark, d, partners=20):
     return R.songs(A.sequences(spark, d), partners, 6, 2, 0.4)
 
 
+def _song_segments(spark, d, partners=20):
+    return R.song_segments(A.sequences(spark, d), partners, 6, 2, 0.4)
+
+
 def _points(comps, ids):
     return [(k, ids[s], p) for k, c in enumerate(comps) for s, p in c]
 
 
 @query()
 def supported_components(spark, d):
-    return R.per_song(_songs(spark, d), lambda ids, seqs, segs: _points(C.supported_components(segs, 8, 1), ids), "comp int, seq_id long, pos int")
+    return N.supported_parts(_song_segments(spark, d), "song", 8, 1)
 
 
 @query()
 def aligned_components(spark, d):
-    return R.per_song(_songs(spark, d), lambda ids, seqs, segs: _points(C.connected_components(segs, 8), ids), "comp int, seq_id long, pos int")
+    return N.linked_parts(_song_segments(spark, d), "song", 8)
 
 
 @query()

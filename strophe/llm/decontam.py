@@ -85,6 +85,37 @@ class Space:
         return Space({t: number[c] for t, c in words.items()}, idf, latent)
 
 
+class Cells:
+    """Numbers with bits, looked up many at a time: slots by a product, the next free one where that is taken, a quarter full at most."""
+
+    def __init__(self, bits: dict[int, int]):
+        self.size = 1 << max(4, (4 * len(bits)).bit_length())
+        self.shift = np.uint64(64 - self.size.bit_length() + 1)
+        self.keys, self.values = np.full(self.size, -1, np.int64), np.zeros(self.size, np.uint64)
+        keys = np.array(list(bits), np.int64)
+        for slot, key in zip(self._slot(keys).tolist(), keys.tolist()):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) % self.size
+            self.keys[slot], self.values[slot] = key, bits[key]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def bits_of(self, keys: np.ndarray) -> np.ndarray:
+        """The bits of each key, 0 for keys that aren't there."""
+        slot = self._slot(keys)
+        have = self.keys[slot]
+        out = np.where(have == keys, self.values[slot], np.uint64(0))
+        left = np.flatnonzero((have != keys) & (have >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) % self.size
+            have = self.keys[slot[left]]
+            hit = have == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (have >= 0)]
+        return out
+
+
 class Items:
     """Items that are looked for together: the latent vectors of their pieces, and where in a piece a word stands."""
 
@@ -106,8 +137,7 @@ class Items:
         for k, (_, ts) in enumerate(self.pieces):
             for at, word in enumerate(self.numbers(ts)):
                 cells[k * len(self.latent) + word] = cells.get(k * len(self.latent) + word, 0) | 1 << at
-        self.cells = np.array(sorted(cells), np.int64)
-        self.bits = np.array([*(cells[c] for c in self.cells.tolist()), 0], np.uint64)
+        self.cells = Cells(cells)
         self.least = np.array([COMMON * len(ts) for _, ts in self.pieces])
         self.masks = [_positions(ts) for ts in self.texts]
         self.answer_masks = [_positions(ts) for ts in self.answers]
@@ -157,10 +187,11 @@ class Items:
             row, n = own[pieces], len(self.latent)
             seen = np.zeros(len(blocks), np.uint64)
             for k in range(scale):
-                cells = part[blocks + k] + (row * n)[:, None]
-                at = np.searchsorted(self.cells, cells)
-                there = np.take(self.cells, at, mode="clip") == cells
-                seen |= np.bitwise_or.reduce(np.where(there, self.bits[at], np.uint64(0)), 1)
+                words = part[blocks + k]
+                bits = np.zeros(words.shape, np.uint64)
+                some = words < n - 1  # words of no item stand in no piece
+                bits[some] = self.cells.bits_of((words + (row * n)[:, None])[some])
+                seen |= np.bitwise_or.reduce(bits, 1)
             fine = np.bitwise_count(seen) >= self.least[row]
             yield from zip(blocks[fine].tolist(), pieces[fine].tolist())
 

@@ -172,3 +172,11 @@ def test_odd_tables(spark):
     assert {r.doc_id for r in D.clean(d, b).collect()} == {3, 4, 5}
     assert D.leaks(d.limit(0), b).collect() == [] == D.leaks(d, b.limit(0)).collect()
     assert D.clean(d, b.limit(0)).count() == 6 and D.clean(d.limit(0), b).count() == 0
+
+
+def test_cells_are_found_as_in_a_dictionary():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 3000):
+        d = {int(k): int(v) for k, v in zip(rng.integers(0, 1 << 40, n), rng.integers(1, 1 << 62, n))}
+        keys = np.concatenate([np.array(list(d), np.int64), rng.integers(0, 1 << 40, 500), np.arange(50)]).astype(np.int64)
+        assert decontam.Cells(d).bits_of(keys).tolist() == [d.get(int(k), 0) for k in keys]

@@ -86,10 +86,10 @@ class Space:
 
 
 class Cells:
-    """Numbers with bits, looked up many at a time: slots by a product, the next free one where that is taken, a quarter full at most."""
+    """Numbers with bits, looked up many at a time: slots by a product, the next free one where that is taken, half full at most."""
 
     def __init__(self, bits: dict[int, int]):
-        self.size = 1 << max(4, (4 * len(bits)).bit_length())
+        self.size = 1 << max(4, (2 * len(bits)).bit_length())
         self.shift = np.uint64(64 - self.size.bit_length() + 1)
         self.keys, self.values = np.full(self.size, -1, np.int64), np.zeros(self.size, np.uint64)
         keys = np.array(list(bits), np.int64)
@@ -138,6 +138,7 @@ class Items:
             for at, word in enumerate(self.numbers(ts)):
                 cells[k * len(self.latent) + word] = cells.get(k * len(self.latent) + word, 0) | 1 << at
         self.cells = Cells(cells)
+        self.bits = self.cells.values
         self.least = np.array([COMMON * len(ts) for _, ts in self.pieces])
         self.masks = [_positions(ts) for ts in self.texts]
         self.answer_masks = [_positions(ts) for ts in self.answers]

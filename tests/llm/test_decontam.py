@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from strophe.llm import decontam as D
@@ -179,4 +180,4 @@ def test_cells_are_found_as_in_a_dictionary():
     for n in (0, 1, 3000):
         d = {int(k): int(v) for k, v in zip(rng.integers(0, 1 << 40, n), rng.integers(1, 1 << 62, n))}
         keys = np.concatenate([np.array(list(d), np.int64), rng.integers(0, 1 << 40, 500), np.arange(50)]).astype(np.int64)
-        assert decontam.Cells(d).bits_of(keys).tolist() == [d.get(int(k), 0) for k in keys]
+        assert D.Cells(d).bits_of(keys).tolist() == [d.get(int(k), 0) for k in keys]

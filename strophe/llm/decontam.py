@@ -86,17 +86,18 @@ class Space:
 
 
 class Cells:
-    """Numbers with bits, looked up many at a time: slots by a product, the next free one where that is taken, half full at most."""
+    """Numbers with bits, looked up many at a time: a table of slots, half full at most, has their places; a slot is found by a product, or is the next free one."""
 
     def __init__(self, bits: dict[int, int]):
-        self.size = 1 << max(4, (2 * len(bits)).bit_length())
+        n = len(bits)
+        self.size = 1 << max(4, (2 * n).bit_length())
         self.shift = np.uint64(64 - self.size.bit_length() + 1)
-        self.keys, self.values = np.full(self.size, -1, np.int64), np.zeros(self.size, np.uint64)
-        keys = np.array(list(bits), np.int64)
-        for slot, key in zip(self._slot(keys).tolist(), keys.tolist()):
-            while self.keys[slot] >= 0:
+        self.keys, self.values = np.array([*bits, -1], np.int64), np.array([*bits.values(), 0], np.uint64)
+        self.slots = np.full(self.size, n, np.int32)  # the last place is that of no number
+        for k, slot in enumerate(self._slot(self.keys[:n]).tolist()):
+            while self.slots[slot] < n:
                 slot = (slot + 1) % self.size
-            self.keys[slot], self.values[slot] = key, bits[key]
+            self.slots[slot] = k
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -104,14 +105,16 @@ class Cells:
     def bits_of(self, keys: np.ndarray) -> np.ndarray:
         """The bits of each key, 0 for keys that aren't there."""
         slot = self._slot(keys)
-        have = self.keys[slot]
-        out = np.where(have == keys, self.values[slot], np.uint64(0))
+        at = self.slots[slot]
+        have = self.keys[at]
+        out = np.where(have == keys, self.values[at], np.uint64(0))
         left = np.flatnonzero((have != keys) & (have >= 0))
         while len(left):
             slot[left] = (slot[left] + 1) % self.size
-            have = self.keys[slot[left]]
+            at = self.slots[slot[left]]
+            have = self.keys[at]
             hit = have == keys[left]
-            out[left[hit]] = self.values[slot[left[hit]]]
+            out[left[hit]] = self.values[at[hit]]
             left = left[~hit & (have >= 0)]
         return out
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import dropped, stored
+from . import chains as H
 from . import consensus as C
 from . import kernels as K
 from . import matrices as M
+from . import parts as N
 from . import statistics as S
 
 
@@ -86,21 +88,32 @@ def per_song(packed: DataFrame, f: Callable[[list[int], list[list[int]], list[C.
     return packed.mapInPandas(run, f"song long, {columns}")
 
 
-def structure_of(ids: list[int], seqs: list[list[int]], segs: list[C.Segment], min_dist: int = 8) -> list[tuple]:
-    """One row: the entropy of a song's shared structure, its components, its points, and the positions of all sequences."""
-    _, e, n, p = C.shared_structure(seqs, segs, min_dist)
-    return [(round(e, 6), n, p, sum(map(len, seqs)))]
+def structure(seq: DataFrame, segs: DataFrame, min_dist: int = 8, least: int = 3) -> DataFrame:
+    """The structure that songs' sequences (song, seq_id, pos, sym) share by their segments (song, a, b, i0, j0, len): components of aligned points, the holes of their chains filled, small ones left out, gaps realigned; then (song, entropy, comps, points, positions). Each step is a stored table, worked on by parts, passages and gaps of songs, so no task holds one."""
+    seq = stored(seq.select("song", "seq_id", "pos", "sym"), "sequences")
+    n = seq.groupBy("seq_id").agg(F.count("*").alias("n"))
+    comps = stored(H.filled(N.linked_parts(segs, "song", min_dist), n, 0.5, least), "filled")
+    e = H.entropies(seq, stored(H.realigned(seq, comps, 4, 1), "realigned"))
+    all_ = seq.groupBy("song").agg(F.count("*").cast("int").alias("positions")).join(e, "song", "left")
+    return all_.select("song", F.round(F.coalesce("entropy", F.lit(0.0)), 6).alias("entropy"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("comps", "points")), "positions")
 
 
 def run(seq: DataFrame, partners: int, min_len: int, gaps: int, ratio: float) -> DataFrame:
     """The corpus from sequences to shared structure: (song, entropy, comps, points, positions)."""
-    return per_song(songs(seq, partners, min_len, gaps, ratio), structure_of, "entropy double, comps int, points int, positions int")
+    return structure(seq.withColumn("song", S.song()), song_segments(seq, partners, min_len, gaps, ratio))
 
 
 def partner_sweep(seq: DataFrame, partners: list[int], min_len: int, gaps: int, ratio: float) -> DataFrame:
-    """run() for several numbers of partners: (partners, song, entropy, comps, points, positions)."""
-    out = None
-    for n in partners:
-        one = run(seq, n, min_len, gaps, ratio).select(F.lit(n).alias("partners"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """run() for several numbers of partners: (partners, song, entropy, comps, points, positions). The number is a column of one plan: sequences are read and aligned with themselves once, and pairs once for the largest number, as each smaller one has the nearer of them; from there on a song and a number are a song of their own."""
+    own = M.self_align(seq, min_len, 1, gaps, ratio).select(F.col("seq_id").alias("a"), F.col("seq_id").alias("b"), "i0", "j0", "len", F.lit(0).alias("step"))
+    pairs = stored(S.ring_pairs(seq, max(partners)), "pairs")
+    mutual = M.mutual_align(seq, pairs.select("a", "b"), min_len, gaps, ratio).select("a", "b", "i0", "j0", "len").join(pairs, ["a", "b"])
+    segs = stored(mutual.select("a", "b", "i0", "j0", "len", "step").unionByName(own), "segments")
+    n = len(partners)
+    number = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit((p + 1) // 2).alias("most")) for k, p in enumerate(partners)]))
+    own_id = lambda c: (F.col(c) * n + F.col("v.k")).alias(c)
+    all_segs = segs.withColumn("v", number).where("step <= v.most").select((S.song("a") * n + F.col("v.k")).alias("song"), own_id("a"), own_id("b"), "i0", "j0", "len")
+    all_seqs = seq.withColumn("v", number).select((S.song() * n + F.col("v.k")).alias("song"), own_id("seq_id"), "pos", "sym")
+    x = structure(all_seqs, all_segs)
+    which = F.element_at(F.array(*map(F.lit, partners)), (F.pmod("song", F.lit(n)) + 1).cast("int"))
+    return x.select(which.alias("partners"), F.floor(F.col("song") / n).alias("song"), "entropy", "comps", "points", "positions")

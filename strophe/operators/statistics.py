@@ -174,15 +174,20 @@ def multiset_overlap(seq: DataFrame, pairs: DataFrame) -> DataFrame:
     return p.select("a", "b", common.alias("common"), (common / F.greatest("la", "lb")).alias("isect"), (common / (F.col("la") + F.col("lb") - common)).alias("jaccard"))
 
 
-def pairings(seq: DataFrame, partners: int = 20, seed: int = 3) -> DataFrame:
-    """Pairs (a, b), a < b, of a song's sequences in which each has at least `partners` others if there are so many: sequences in the order of a seeded hash, as a ring; each is paired with the next ones."""
+def ring_pairs(seq: DataFrame, partners: int = 20, seed: int = 3) -> DataFrame:
+    """Pairs (a, b), a < b, of a song's sequences, and how far apart they are (step) in the order of a seeded hash, as a ring, up to half of `partners`; nearer pairs do not hang on `partners`."""
     ids = seq.select(song().alias("song"), "seq_id").distinct()
     w = Window.partitionBy("song").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("seq_id").cast("string"))), "seq_id")
     ring = ids.withColumn("k", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("song")))
     half = (partners + 1) // 2
-    step = ring.select("song", F.col("seq_id").alias("x"), "n", F.explode(F.sequence(F.lit(1), F.lit(half))).alias("s"), "k").where("s < n").select("song", "x", F.pmod(F.col("k") + F.col("s"), F.col("n")).alias("k"))
-    p = step.join(ring.select("song", F.col("seq_id").alias("y"), "k"), ["song", "k"])
-    return p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+    step = ring.select("song", F.col("seq_id").alias("x"), "n", F.explode(F.sequence(F.lit(1), F.lit(half))).alias("s") if half else F.lit(0).alias("s"), "k").where("s > 0 and s < n").select("song", "x", "s", F.pmod(F.col("k") + F.col("s"), F.col("n")).alias("k"))
+    p = step.join(ring.select("song", F.col("seq_id").alias("y"), "k"), ["song", "k"]).where("x <> y")
+    return p.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("s").alias("step"))
+
+
+def pairings(seq: DataFrame, partners: int = 20, seed: int = 3) -> DataFrame:
+    """Pairs (a, b), a < b, of a song's sequences in which each has at least `partners` others if there are so many: sequences in the order of a seeded hash, as a ring; each is paired with the next ones."""
+    return ring_pairs(seq, partners, seed).select("a", "b")
 
 
 def freq_variation(seq: DataFrame) -> DataFrame:

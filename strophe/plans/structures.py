@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import cliques as Q
@@ -163,20 +164,25 @@ def grammar_probability(spark, d):
         plain = [[y for x in s for y in G.expanded(x, sections)] for s in left]
         return [(k, round(float(np.log2(G.inside_probability(s, rules, "S"))), 6)) for k, s in enumerate(plain) if s]
 
-    return K.per_sequence(A.sequences(spark, d).where("pos < 24"), f, "half int, logp double")
+    return K.per_sequence(A.sequences(spark, d), f, "half int, logp double")
 
 
 @query()
 def flanked_profile(spark, d):
-    s = K.packed(A.sequences(spark, d)).withColumn("song", F.floor(F.col("seq_id") / 5))
+    """Where each sequence goes through the longest stretch that its song's first sequence repeats (the first of equals)."""
+    s = A.sequences(spark, d).withColumn("song", S.song())
+    n_symbols = s.agg(F.max("sym")).first()[0] + 1
+    runs = M.diag_segments(M.equality_cells(s), ["seq_id"]).withColumn("song", S.song())
+    longest = runs.groupBy("song").agg(F.min(F.struct("seq_id", (-F.col("len")).alias("len"), "i0")).alias("x")).select("song", F.col("x.seq_id").alias("seq_id"), F.col("x.i0").alias("low"), (F.col("x.i0") - F.col("x.len")).alias("high"))
+    pattern = s.join(longest, ["song", "seq_id"]).where("pos >= low and pos < high").groupBy("song").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sym"))), lambda x: x["sym"]).alias("pattern"))
+    packed = K.packed(s).withColumn("song", S.song()).join(pattern, "song")
 
-    def f(frame):
-        frame = frame.sort_values("seq_id")
-        seqs = [[int(x) for x in s][:30] for s in frame["syms"]]
-        model = P.flanked(seqs[0][5:15], 5)
-        return [(int(i), k, p) for i, s in zip(frame["seq_id"], seqs) for k, p in enumerate(P.decoded(model, s))]
+    def decode(frames):
+        for f in frames:
+            rows = [(song, q, k, p) for song, q, syms, pat in f[["song", "seq_id", "syms", "pattern"]].itertuples(index=False) for k, p in enumerate(P.decoded(P.flanked([int(x) for x in pat], n_symbols), [int(x) for x in syms]))]
+            yield pd.DataFrame(rows, columns=["song", "seq_id", "pos", "state"])
 
-    return K.per_group(s, "song", f, "seq_id long, pos int, state int")
+    return packed.mapInPandas(decode, "song long, seq_id long, pos int, state int")
 
 
 def _song_profiles(spark, d):
@@ -214,7 +220,7 @@ def simplified_form(spark, d):
     from ..operators.graphs import markov_form
 
     s = A.sequences(spark, d).withColumn("song", S.song("seq_id"))
-    form = markov_form(s).where("p >= 0.15")
+    form = markov_form(s)
 
     def f(frame):
         edges = [(int(a), int(b)) for a, b in frame[["src", "dst"]].itertuples(index=False, name=None)]
@@ -294,7 +300,7 @@ def corpus_run(spark, d):
 
 @query()
 def partner_sweep(spark, d):
-    return R.partner_sweep(A.sequences(spark, d), [0, 2, 6], 6, 2, 0.4)
+    return R.partner_sweep(A.sequences(spark, d), list(range(11)), 6, 2, 0.4)
 
 
 @query()

@@ -779,14 +779,37 @@ def test_order_transitivity_against_all_pairs(spark):
         assert got[item] == pytest.approx(sum(shares) / len(shares), abs=1e-6)
 
 
+def plain_structure(seqs, partners):
+    """(entropy, comps, points) of one song, by plain searches over the whole of it: its segments, components, holes, gaps."""
+    import hashlib
+
+    from tests.test_chains import plain_filled
+
+    ids = sorted(seqs)
+    half = (partners + 1) // 2
+    ring = sorted(ids, key=lambda k: (hashlib.md5(f"3:{k}".encode()).hexdigest(), k))
+    pairs = {(min(a, b), max(a, b)) for k, a in enumerate(ring) for s in range(1, min(half, len(ring) - 1) + 1) for b in [ring[(k + s) % len(ring)]]}
+    aligned = [(ids.index(a), ids.index(b), i, j, n) for a, b in pairs for i, j, n in C.alignments(seqs[a], seqs[b], 6, 2, 0.4)]
+    own = [(k, k, i, j, n) for k, a in enumerate(ids) for i, j, n in C.alignments(seqs[a], seqs[a], 6, 2, 0.4) if j - i >= 6]
+    lists = [seqs[k] for k in ids]
+    comps = plain_filled(C.connected_components(sorted(aligned + own), 8), [len(s) for s in lists], 0.5, 3)
+    labels = C.realigned(C.labels_of([comps[k] for k in sorted(comps)], [len(s) for s in lists]), lists, 4, 1)
+    e, n, p = C.entropy(C.comps_of(labels), lists)
+    return round(e, 6), n, p
+
+
 def test_corpus_run_is_the_structure_of_each_song(spark, seqs):
     (song, entropy, comps, points, positions), *rest = rows(spark, "corpus_run")
     assert not rest and song == 0 and positions == sum(map(len, seqs.values())) and 0 < points <= positions and comps > 0 and entropy > 0
-    ids = sorted(seqs)
-    aligned = [(ids.index(a), ids.index(b), i, j, n) for a in ids for b in ids if a < b for i, j, n in C.alignments(seqs[a], seqs[b], 6, 2, 0.4)]
-    own = [(ids.index(a), ids.index(a), i, j, n) for a in ids for i, j, n in C.alignments(seqs[a], seqs[a], 6, 2, 0.4) if j - i >= 6]
-    _, e, c, p = C.shared_structure([seqs[k] for k in ids], sorted(aligned + own), 8)
-    assert (round(e, 6), c, p) == (entropy, comps, points)
+    assert plain_structure(seqs, 20) == (entropy, comps, points)
+
+
+def test_partner_sweep_is_a_run_for_each_number(spark, seqs):
+    got = {r[0]: r[1:] for r in rows(spark, "partner_sweep")}
+    assert sorted(got) == list(range(11))
+    for partners in (0, 1, 6, 10):
+        song, entropy, comps, points, positions = got[partners]
+        assert plain_structure(seqs, partners) == (entropy, comps, points) and song == 0 and positions == sum(map(len, seqs.values()))
 
 
 def test_preprocessing_reaches_a_state_that_it_has_seen(spark):

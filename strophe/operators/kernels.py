@@ -413,9 +413,9 @@ def kmeans(x: np.ndarray, k: int, restarts: int = 10, rounds: int = 100, seed: i
     return np.array([first[v] for v in best.tolist()])
 
 
-def laplacian_labels(affinity: np.ndarray, most: int = 11, smooth: int = 9) -> list[np.ndarray]:
-    """For k = 1 to `most` the labels of k clusters of positions by the first k eigenvectors of the normalised Laplacian, median-filtered along time and scaled by their norm; labels of each level are those of the level before that they have most in common with, greedily."""
-    a = np.maximum(affinity, affinity.T).astype(int).astype(float)
+def laplacian_labels(affinity: np.ndarray, most: int = 11, smooth: int = 9, whole: bool = True) -> list[np.ndarray]:
+    """Of an affinity matrix, cut down to whole numbers if `whole`: for k = 1 to `most` the labels of k clusters of positions by the first k eigenvectors of the normalised Laplacian, median-filtered along time and scaled by their norm; labels of each level are those of the level before that they have most in common with, greedily."""
+    a = np.maximum(affinity, affinity.T).astype(int if whole else float).astype(float)
     np.fill_diagonal(a, 0)
     deg = a.sum(1)
     root = np.where(deg > 0, 1 / np.sqrt(np.where(deg > 0, deg, 1)), 0)

@@ -33,7 +33,7 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
 
 
 KERNELS = {
-    "aligned_components", "aligned_lmeasure", "beam_hierarchical", "best_segments", "block_model", "cascade_steps", "component_chains", "constrained_components", "corpus_run", "divided_layers", "filled_components", "filter_segments", "flanked_profile", "flat_labels",
+    "aligned_components", "aligned_lmeasure", "balanced_labels", "beam_hierarchical", "best_segments", "block_model", "cascade_steps", "component_chains", "constrained_components", "corpus_run", "divided_layers", "filled_components", "filter_segments", "flanked_profile", "flat_labels",
     "grammar_probability", "hierarchical_patterns", "laplacian_labels", "layered_labels", "lowess", "lowess_loo_band", "make_hierarchical", "maximal_cliques", "most_salient", "neighbour_choices", "onset_hist_peaks", "optics_clusters", "pattern_cascade", "pair_induction",
     "partner_sweep", "preprocessed", "profile_likelihoods", "profile_msa", "prune_components", "prune_rows", "prune_worst_rows", "realigned_gaps", "reinforced_segments", "rival_segments", "salient_labels", "section_layers", "section_trees", "sections_by_coverage", "short_sections",
     "similar_parts", "simple_structure", "simplified_form", "smith_waterman", "smoothed_labels", "supported_components", "sw_similarity", "trained_profile", "transitive_construction", "transitivity_of_order", "trim_components",

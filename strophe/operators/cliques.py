@@ -57,7 +57,13 @@ def absorbed(sets: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], int]:
 
 def rival_groups(segs: list[tuple[int, int, int]]) -> list[int]:
     """For each segment (i0, j0, len) its group: segments that lead from one position to neighbouring ones, directly or by others, are rivals."""
-    label = list(range(len(segs)))
+    root = list(range(len(segs)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
     at: dict[int, list[tuple[int, int]]] = {}
     for n, (i, j, m) in enumerate(segs):
         for k in range(m):
@@ -66,10 +72,10 @@ def rival_groups(segs: list[tuple[int, int, int]]) -> list[int]:
     for ends in at.values():
         ends.sort()
         for (x, a), (y, b) in zip(ends, ends[1:]):
-            if y - x <= 1 and label[a] != label[b]:
-                low, high = sorted((label[a], label[b]))
-                label = [low if v == high else v for v in label]
-    return label
+            if y - x <= 1:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return [find(k) for k in range(len(segs))]
 
 
 def reinforced_segments(segs: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:
@@ -99,24 +105,37 @@ def reinforced_segments(segs: list[tuple[int, int, int]], n: int) -> list[tuple[
     return sorted(segs[k] for k in min(unions, key=lambda s: (-unions[s], s)))
 
 
-def neighbour_choices(adjacency: np.ndarray, most: int = 4096) -> list[list[int]]:
-    """For each vertex one neighbour of every run of neighbouring ones, so that most edges run between them and the vertex; the first of equals. More than `most` combinations are gone through run by run, each choosing what has most edges to those before."""
-    from itertools import product
-
+def neighbour_choices(adjacency: np.ndarray, greedy: bool = False) -> list[list[int]]:
+    """For each vertex one neighbour of every run of neighbouring ones, so that most edges run between them and the vertex; the first of equals. Choices are gone through run by run, and left where even the best of the runs to come cannot beat the best so far. greedy: each run only chooses what has most edges to those before."""
     a = (adjacency + adjacency.T) > 0
-    out = []
-    for v in range(len(a)):
-        runs = runs_of(np.flatnonzero(a[v]).tolist())
-        size = int(np.prod([len(r) for r in runs], dtype=float)) if runs else 0
-        if size and size <= most:
-            best = max(product(*runs), key=lambda c: (int(a[np.ix_(c, c)].sum()), tuple(-x for x in c)))
-            out.append(list(best))
-        else:
-            taken: list[int] = []
-            for r in runs:
-                taken.append(max(r, key=lambda x: (int(a[x, taken].sum()) if taken else 0, -x)))
-            out.append(taken)
-    return out
+    edges = 2 * a.astype(int)
+    np.fill_diagonal(edges, a.diagonal())
+    return [_chosen(edges, runs_of(np.flatnonzero(row).tolist()), greedy) for row in a]
+
+
+def _chosen(edges: np.ndarray, runs: list[list[int]], greedy: bool) -> list[int]:
+    if greedy:
+        taken: list[int] = []
+        for r in runs:
+            taken.append(max(r, key=lambda x: (int(edges[x, taken].sum()) if taken else 0, -x)))
+        return taken
+    # what a vertex can have at most with one of each later run
+    later = {x: sum(int(edges[x, s].max()) for s in runs[k + 1 :]) + int(edges[x, x]) for k, r in enumerate(runs) for x in r}
+    best, top = [], -1
+
+    def go(k: int, taken: list[int], value: int, have: np.ndarray) -> None:
+        nonlocal best, top
+        if k == len(runs):
+            if value > top:
+                best, top = taken, value
+            return
+        if value + sum(max(int(have[x]) + later[x] for x in r) for r in runs[k:]) <= top:
+            return
+        for x in runs[k]:
+            go(k + 1, [*taken, x], value + int(have[x]) + int(edges[x, x]), have + edges[x])
+
+    go(0, [], 0, np.zeros(len(edges), int))
+    return best
 
 
 def _changes(e: np.ndarray, size: np.ndarray, entropy) -> np.ndarray:

@@ -89,35 +89,36 @@ def structure_graph(columns: DataFrame, keys: list[str], least: float = 0.5) ->
     return r.groupBy(*keys, "d", "grp").agg(F.min("i").alias("i0"), F.count("*").cast("int").alias("len"), F.avg("n").alias("mean")).select(*keys, "i0", (F.col("i0") + F.col("d")).alias("j0"), "len", "mean")
 
 
-def siatec(points: DataFrame) -> DataFrame:
-    """For the points (seq_id, pos, sym) of each sequence: every difference (dx, dy) of a point to a later one, in order of position and symbol, has a pattern, the points that it moves to points (n_points); n_translators counts the moves, zero and backwards ones too, that take the whole pattern to points. Rows with a null are left out. One sequence is one task's work."""
+def siatec(points: DataFrame, bucket: int = 512) -> DataFrame:
+    """For the points (seq_id, pos, sym) of each sequence: every difference (dx, dy) of a point to a later one, in order of position and symbol, has a pattern, the points that it moves to points (n_points); n_translators counts the moves, zero and backwards ones too, that take the whole pattern to points. Rows with a null are left out.
 
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.unique(pdf[["pos", "sym"]].to_numpy(np.int64), axis=0)
-        n, wide = len(p), int(p[:, 1].max() - p[:, 1].min()) * 4 + 4
-        code = p[:, 0] * wide + p[:, 1]
-        moves, of = np.unique(code[None, :] - code[:, None], return_inverse=True)
-        of = of.reshape(n, n)
-        # the moves that take a point to a point, as the bits of a number; those of a pattern are common to its points
-        masks = []
-        for row in of:
-            bits = np.zeros(len(moves), np.uint8)
-            bits[row] = 1
-            masks.append(int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"))
-        i, j = np.triu_indices(n, 1)
-        common: dict[int, list[int]] = {}
-        for a, d in zip(i.tolist(), of[i, j].tolist()):
-            c = common.setdefault(d, [0, -1])
-            c[0] += 1
-            c[1] &= masks[a]
+    Differences come from an equi-join and are grouped to patterns. A sequence's patterns are dealt to tasks in buckets of about so many, each with the sequence's points: a pattern's moves are those of its first point to points that take the others to points as well.
+    """
+    p = stored(points.select("seq_id", "pos", "sym").dropna().distinct(), "points")
+    b = p.select("seq_id", F.col("pos").alias("pos_b"), F.col("sym").alias("sym_b"))
+    later = (F.col("pos") < F.col("pos_b")) | ((F.col("pos") == F.col("pos_b")) & (F.col("sym") < F.col("sym_b")))
+    v = p.join(b, "seq_id").where(later).select("seq_id", (F.col("pos_b") - F.col("pos")).alias("dx"), (F.col("sym_b") - F.col("sym")).alias("dy"), "pos", "sym")
+    pattern = v.groupBy("seq_id", "dx", "dy").agg(F.collect_list("pos").alias("xs"), F.collect_list("sym").alias("ys"))
+    pattern = stored(pattern, "patterns")
+    number = pattern.groupBy("seq_id").agg(F.ceil(F.count("*") / bucket).cast("int").alias("buckets"))
+    left = pattern.join(redealt(number, "seq_id"), "seq_id").withColumn("bucket", F.pmod(F.xxhash64("dx", "dy"), F.col("buckets")).cast("int")).drop("buckets")
+    right = p.join(redealt(number, "seq_id"), "seq_id").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))).drop("buckets")
+
+    def f(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        x, y = q["pos"].to_numpy(np.int64), q["sym"].to_numpy(np.int64)
+        wide = int(y.max() - y.min()) * 4 + 4 if len(y) else 4
+        code = np.sort(x * wide + y)  # a move of a point is a difference of codes, as symbols are nearer to one another than that
         rows = []
-        for d, (size, mask) in common.items():
-            v = int(moves[d])
-            dy = (v + wide // 2) % wide - wide // 2
-            rows.append((int(pdf["seq_id"].iloc[0]), (v - dy) // wide, dy, size, mask.bit_count()))
+        for seq, dx, dy, xs, ys in a[["seq_id", "dx", "dy", "xs", "ys"]].itertuples(index=False):
+            own = np.asarray(xs, np.int64) * wide + np.asarray(ys, np.int64)
+            moves = code - own[0]
+            for k in range(1, len(own)):
+                to = moves + own[k]
+                moves = moves[code[np.minimum(np.searchsorted(code, to), len(code) - 1)] == to]
+            rows.append((int(seq), dx, dy, len(own), len(moves)))
         return pd.DataFrame(rows, columns=["seq_id", "dx", "dy", "n_points", "n_translators"])
 
-    return points.select("seq_id", "pos", "sym").dropna().groupBy("seq_id").applyInPandas(f, "seq_id long, dx int, dy int, n_points int, n_translators int")
+    return left.groupBy("seq_id", "bucket").cogroup(right.groupBy("seq_id", "bucket")).applyInPandas(f, "seq_id long, dx int, dy int, n_points int, n_translators int")
 
 
 def pattern_occurrences(seq: DataFrame, segs: DataFrame) -> DataFrame:

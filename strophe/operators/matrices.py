@@ -56,14 +56,20 @@ def percentile_threshold(cells: DataFrame, keys: list[str], percent: float) -> D
     return c.join(cut, keys).where(F.col("v") >= F.round("cut", 9)).select(*keys, "i", "j")
 
 
-def peak_threshold(cells: DataFrame, keys: list[str], height: float = 0.25) -> DataFrame:
-    """Local maxima of rows that reach the height: runs of equal values with smaller ones on both sides, at their middle (the earlier of two)."""
+def peak_threshold(cells: DataFrame, keys: list[str], height: float = 0.25, distance: int = 1) -> DataFrame:
+    """Local maxima of rows that reach the height: runs of equal values with smaller ones on both sides, at their middle (the earlier of two). Of those nearer than `distance` the greater stays, on ties the later: the greatest first, each if it is far enough from those that stay."""
     row = [*keys, "i"]
     w = Window.partitionBy(*row).orderBy("j")
     runs = islands(cells, row, "j", F.col("v") != F.lag("v").over(w)).groupBy(*row, "grp").agg(F.min("j").alias("a"), F.max("j").alias("b"), F.first("v").alias("v"))
     g = Window.partitionBy(*row).orderBy("grp")
     peaks = runs.withColumn("before", F.lag("v").over(g)).withColumn("after", F.lead("v").over(g)).where((F.col("before") < F.col("v")) & (F.col("after") < F.col("v")) & (F.col("v") >= height))
-    return peaks.select(*row, F.floor((F.col("a") + F.col("b")) / 2).cast("int").alias("j"))
+    at = F.floor((F.col("a") + F.col("b")) / 2).cast("int").alias("j")
+    if distance <= 1:
+        return peaks.select(*row, at)
+    order = F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("v"), (-at).alias("j"))))
+    far = lambda kept, x: F.forall(kept, lambda k: F.abs(k + x["j"]) >= distance)
+    apart = F.aggregate("order", F.array().cast("array<int>"), lambda kept, x: F.when(far(kept, x), F.concat(kept, F.array(-x["j"]))).otherwise(kept))
+    return peaks.groupBy(*row).agg(order.alias("order")).select(*row, F.explode(apart).alias("j"))
 
 
 def smoothed(cells: DataFrame, sizes: DataFrame, keys: list[str], radius: int) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import redealt
 from .sequences import as_of, by_pos
 
 
@@ -261,13 +264,24 @@ def interval_hists(segs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def density_peaks(points: DataFrame, value: str = "rel", resolution: int = 1000) -> DataFrame:
-    """Where the density of a sequence's values has local maxima: a Gaussian kernel density, its width n ** -0.2 sample deviations, at `resolution` places from the least to the greatest value: (seq_id, place). Sequences of one value have none."""
+    """Where the density of a sequence's values has local maxima: a Gaussian kernel density, its width n ** -0.2 sample deviations, at `resolution` places from the least to the greatest value: (seq_id, place). Sequences of one value have none. Points stay where they are: a task sums up what its points of a sequence add to each place."""
     s = points.groupBy("seq_id").agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.stddev_samp(value).alias("sd")).where("n > 1 and sd > 0")
-    places = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1))).alias("place"))
-    x = places.join(points.select("seq_id", F.col(value).alias("v")), "seq_id")
-    at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("place") / (resolution - 1)
-    z = (at - F.col("v")) / (F.col("sd") * F.pow("n", F.lit(-0.2)))
-    density = x.groupBy("seq_id", "place").agg(F.round(F.sum(F.exp(-0.5 * z * z)), 9).alias("y"))
+    x = points.select("seq_id", F.col(value).cast("double").alias("v")).join(redealt(s, "seq_id"), "seq_id").select("seq_id", "v", "lo", "hi", (F.col("sd") * F.pow("n", F.lit(-0.2))).alias("width"))
+
+    def sums(frames):
+        """Of each sequence in a batch the sums over its points there, place by place: one row a sequence."""
+        for f in frames:
+            rows = []
+            for seq, g in f.groupby("seq_id"):
+                at = g["lo"].iloc[0] + (g["hi"].iloc[0] - g["lo"].iloc[0]) * np.arange(resolution) / (resolution - 1)
+                y = np.zeros(resolution)
+                for k in range(0, len(g), 4096):
+                    y += np.exp(-0.5 * ((at[:, None] - g["v"].to_numpy()[None, k : k + 4096]) / g["width"].iloc[0]) ** 2).sum(1)
+                rows.append((seq, y.tolist()))
+            yield pd.DataFrame(rows, columns=["seq_id", "ys"])
+
+    part = x.mapInPandas(sums, f"seq_id {dict(points.dtypes)['seq_id']}, ys array<double>")
+    density = part.select("seq_id", F.posexplode("ys").alias("place", "y")).groupBy("seq_id", "place").agg(F.round(F.sum("y"), 9).alias("y"))
     w = Window.partitionBy("seq_id").orderBy("place")
     d = density.withColumn("before", F.lag("y").over(w)).withColumn("after", F.lead("y").over(w))
     return d.where("before < y and after < y").select("seq_id", "place")

@@ -40,6 +40,13 @@ def peak_threshold(spark, d):
     return M.peak_threshold(M.ssm(A.features(spark, d), "label"), ["label"]).where("j > i")
 
 
+@query("""WITH pk AS (SELECT label, i, j, v FROM (SELECT label, i, j, v, lag(v) OVER w AS a, lead(v) OVER w AS b FROM ssm WINDOW w AS (PARTITION BY label, i ORDER BY j)) WHERE a < v AND b < v AND v >= 0.1),
+o AS (SELECT label, i, list(j ORDER BY v DESC, j DESC) AS js FROM pk GROUP BY ALL)
+SELECT label, i, unnest(list_reduce(list_prepend([]::INT[], list_transform(js, lambda j: [j::INT])), lambda kept, x: CASE WHEN list_bool_and(list_transform(kept, lambda k: abs(k - x[1]) >= 5)) IS NOT false THEN list_concat(kept, x) ELSE kept END)) AS j FROM o""")
+def peaks_apart(spark, d):
+    return M.peak_threshold(M.ssm(A.features(spark, d), "label"), ["label"], 0.1, 5)
+
+
 def _smooth(cells: str, keys: str, lo: str, hi: str, size: str, r: int) -> str:
     k = keys.replace(",", " || ',' || ")
     on = lambda a, b: " AND ".join(f"{a}.{c.strip()} = {b}.{c.strip()}" for c in keys.split(","))

@@ -515,8 +515,17 @@ def test_choices_of_neighbours():
     a = np.zeros((8, 8))
     for i, j in [(0, 3), (0, 4), (0, 7), (4, 7)]:
         a[i, j] = 1
-    assert Q.neighbour_choices(a)[0] == [4, 7] and Q.neighbour_choices(a, most=1)[0] == [3, 7]
+    assert Q.neighbour_choices(a)[0] == [4, 7] and Q.neighbour_choices(a, greedy=True)[0] == [3, 7]
     assert Q.neighbour_choices(a)[1] == []
+    import itertools
+
+    r = np.random.default_rng(9)
+    for n, p in ((9, 0.4), (12, 0.6), (14, 0.5)):
+        a = np.triu(r.random((n, n)) < p, 0).astype(float)
+        full = (a + a.T) > 0
+        for v, got in enumerate(Q.neighbour_choices(a)):
+            runs = Q.runs_of(np.flatnonzero(full[v]).tolist())
+            assert got == list(max(itertools.product(*runs), key=lambda c: (int(full[np.ix_(c, c)].sum()), tuple(-x for x in c))))
 
 
 def test_blocks_of_a_divided_graph():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql.types import StructType
 from ..sources.adapters import table
 from ..sources.storage import dropped, passing, redealt, scratch, settled, shared_dir, stored
 
-__all__ = ["WORD", "dropped", "n_words", "passing", "per_batch", "redealt", "scratch", "settled", "shared_dir", "slices", "stored", "table"]
+__all__ = ["WORD", "dropped", "given_back", "n_words", "passing", "per_batch", "redealt", "scratch", "settled", "shared_dir", "slices", "stored", "table"]
 
 #: A word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +35,15 @@ def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 1 << 24) -> Itera
         at = to
 
 
+def given_back() -> None:
+    """Returns memory that a task of this worker no longer needs to the system: workers stay for the next stage, beside which the executor's other work needs room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def per_batch(df: DataFrame, schema: str | StructType, f: Callable[[pa.RecordBatch], dict | None], size: int = 1 << 24) -> DataFrame:
     """A row-local step in Python: f turns a slice of a batch (slices), of so many bytes at most, into the output's columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -45,10 +55,11 @@ def per_batch(df: DataFrame, schema: str | StructType, f: Callable[[pa.RecordBat
             for part in slices(b, size=size):
                 if cols := f(part):
                     yield pa.RecordBatch.from_arrays([cols[x.name] if isinstance(cols[x.name], pa.Array) else pa.array(cols[x.name], x.type) for x in out], schema=out)
+        given_back()
 
     return df.mapInArrow(run, schema)
 
 
 def n_words(text) -> F.Column:
-    """Number of words in a text; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Number of words in a text; 0 for null. Words become one sign each and spaces go, so no list of a long text's words is made."""
+    return F.coalesce(F.length(F.translate(F.regexp_replace(text, WORD, "#"), " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import given_back, slices
 
 #: Tokens of a block. Windows are runs of so many blocks, one from every block on; an item is looked for with the shortest that holds it wherever it begins.
 BLOCK = 8
@@ -349,6 +349,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for part in slices(b, 256):
                     bad = {x[0] for x in items.leaks(part.column("text").to_pylist())}
                     yield part.filter(pa.array([k not in bad for k in range(part.num_rows)]))
+            given_back()
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

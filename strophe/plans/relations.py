@@ -44,20 +44,16 @@ def pattern_overlaps(spark, d):
 
 @query()
 def pattern_cascade(spark, d):
-    """Patterns that are alike by overlap, by alignment and by where they are."""
-    x, _ = L.cascade(*_patterns_keyed(spark, d))
-    return x.select("song", "a", "b", *(F.round(c, 6).alias(c) for c in ("overlap", "alignment", "together")))
+    """Patterns of a song that are alike by overlap and by alignment."""
+    x, _ = L.cascade(_patterns(spark, d)[0], "song", 0.5)
+    return x.select("song", "a", "b", *(F.round(c, 6).alias(c) for c in ("overlap", "alignment")))
 
 
 @query()
 def cascade_steps(spark, d):
-    """How many pairs of patterns each step of the cascade leaves."""
-    return L.cascade(*_patterns_keyed(spark, d))[1]
-
-
-def _patterns_keyed(spark, d):
+    """How many pairs of patterns each step of the cascade leaves, the last one by where they are."""
     patterns, occurrences = _patterns(spark, d)
-    return patterns, "song", 0.8, occurrences
+    return L.cascade(patterns, "song", 0.5, occurrences)[1]
 
 
 @query(f"""WITH {_PATTERNS}, ln AS (SELECT song, len(syms) AS n, count(*) AS c FROM pt GROUP BY ALL) SELECT a.song, sum(CASE WHEN a.n = b.n THEN a.c * (a.c - 1) / 2 ELSE a.c * b.c END)::BIGINT AS pairs FROM ln a JOIN ln b ON a.song = b.song AND a.n <= b.n AND a.n >= 0.8 * b.n - 1e-9 GROUP BY 1""")

@@ -15,6 +15,8 @@ from .common import per_batch, redealt, slices, stored
 
 #: Shares of each host's pages that are joined with its template apart from one another, so that a host with very many pages is no single task.
 SALT = 32
+#: Templates of all hosts together up to this many bytes are sent to every task; beyond, pages and templates meet by host.
+SENT = 32 << 20
 #: Least share of a host's pages that a template's tokens are on.
 SUPPORT = 0.5
 
@@ -293,12 +295,16 @@ def main_text(source: str, texts: set[str], container: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """For each row: page_id, url, text (the main text, empty if there is none) and n_chars, its code points.
 
-    A null html is empty; a page without a host in its url, or of a host with fewer than three different pages, has no template texts, so its elements decide. Whole pages are read, whatever their length; tags that are never closed or never opened do not matter. Repeated rows stay, and as pages with equal html count once for the template, they keep their text; an empty table gives none, other columns do not matter. A host's template is sent to SALT shares of the host's pages.
+    A null html is empty; a page without a host in its url, or of a host with fewer than three different pages, has no template texts, so its elements decide. Whole pages are read, whatever their length; tags that are never closed or never opened do not matter. Repeated rows stay, and as pages with equal html count once for the template, they keep their text; an empty table gives none, other columns do not matter. Templates are sent to where the pages are, if all of them have no more than SENT bytes; else a host's template meets SALT shares of the host's pages. The rows are the same.
     """
-    p = pages.select("page_id", "url", "html").withColumn("_host", host(F.col("url"))).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)))
-    t = stored(templates(pages), "templates")
-    t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).withColumnRenamed("host", "_host")
-    joined = p.join(t.withColumn("_salt", F.col("_salt").cast("long")), ["_host", "_salt"], "left")
+    p = pages.select("page_id", "url", "html").withColumn("_host", host(F.col("url")))
+    t = stored(templates(pages), "templates").withColumnRenamed("host", "_host")
+    size = t.agg(F.sum(64 + F.octet_length(F.concat_ws("", "texts")) + 16 * F.size("texts"))).first()[0] or 0
+    if size <= SENT:
+        joined = p.join(F.broadcast(t), "_host", "left")
+    else:
+        p = p.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+        joined = p.join(t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["_host", "_salt"], "left")
 
     def f(b: pa.RecordBatch) -> dict:
         out = [main_text(source or "", set(texts or ()), container) for source, texts, container in zip(*(b.column(c).to_pylist() for c in ("html", "texts", "container")))]

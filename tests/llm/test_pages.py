@@ -3,6 +3,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from strophe.llm import htmltext as H
 from strophe.llm import warc as W
@@ -166,3 +167,12 @@ def test_articles_of_the_pages_are_the_documents(spark):
         head = text("<article>" + source[r.page_id].split("<h1>")[1].split("</h1>")[0] + "</article>")
         hit += r.text.removeprefix(head).strip() in docs
     assert hit == len(source)
+
+
+def test_templates_are_sent_or_met_with_the_same_rows(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("host", F.lit("x")).withColumn("content", F.lit(1)).withColumn("_host", F.lit(2))
+    odd = spark.createDataFrame([(900, None, "<article>a</article>"), (901, "http://a.b/c", None), (None, None, None)], "page_id long, url string, html string").withColumn("host", F.lit("x")).withColumn("content", F.lit(1)).withColumn("_host", F.lit(2))
+    both = pages.select(odd.columns).unionByName(odd)
+    sent = sorted(map(str, H.extract(both).collect()))
+    monkeypatch.setattr(H, "SENT", -1)
+    assert sorted(map(str, H.extract(both).collect())) == sent and len(sent) == both.count()

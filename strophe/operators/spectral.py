@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import cosine
 from ..sources.storage import redealt, stored
+from . import tiles
 from .matrices import diag_segments, matrix_rating, neighbours, segment_cells
 
 
 def recurrence(feat: DataFrame, key: str, width: int = 9) -> DataFrame:
     """For series (key, pos, vec): exp(-d / b) for positions that are among one another's nearest, d being the cosine distance and b the median over rows of the greatest distance kept. A row keeps 2 ceil(sqrt(n - 2 width + 1)) positions, n - 1 at most, none nearer to itself than width; ties go to the smaller j."""
-    a, b = feat.select(key, F.col("pos").alias("i"), F.col("vec").alias("x")), feat.select(key, F.col("pos").alias("j"), F.col("vec").alias("y"))
-    d = a.join(b, key).where(F.abs(F.col("i") - F.col("j")) >= width).select(key, "i", "j", F.round(1 - cosine(F.col("x"), F.col("y")), 9).alias("d"))
-    n = feat.groupBy(key).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(key, "i").orderBy("d", "j"))
-    most = F.least(F.col("n") - 1, 2 * F.ceil(F.sqrt(F.greatest(F.lit(0), F.col("n") - 2 * width + 1))))
-    near = stored(d.withColumn("r", rank).join(n, key).where(F.col("r") <= most).select(key, "i", "j", "d"), "nearest")
+    def far(i, j, v, null):
+        d = tiles.half_up(1 - v, 9)
+        return np.where(null, np.inf, np.where(np.isnan(d), -np.inf, -d)), np.abs(j - i) >= width
+
+    most = F.least(F.count("*") - 1, 2 * F.ceil(F.sqrt(F.greatest(F.lit(0), F.count("*") - 2 * width + 1))))
+    rows = feat.join(feat.groupBy(key).agg(most.alias("num_a")), key)
+    d = F.when(F.col("v") == float("inf"), None).when(F.col("v") == float("-inf"), float("nan")).otherwise(0.0 - F.col("v"))
+    near = stored(tiles.nearest(rows, feat, [key], far).select(key, "i", "j", d.alias("d")), "nearest")
     both = near.join(near.select(key, F.col("j").alias("i"), F.col("i").alias("j")), [key, "i", "j"], "left_semi")
     rows = both.groupBy(key, "i").agg(F.max("d").alias("d")).groupBy(key).agg(F.percentile("d", 0.5).alias("b"))
     return both.join(redealt(rows, key), key).select(key, "i", "j", F.exp(-F.coalesce(F.try_divide("d", "b"), F.lit(0.0))).alias("v"))
@@ -26,9 +29,15 @@ def recurrence(feat: DataFrame, key: str, width: int = 9) -> DataFrame:
 def lag_median(cells: DataFrame, feat: DataFrame, key: str, radius: int = 4) -> DataFrame:
     """Cells with each value replaced by the median of the 2 radius + 1 values around it on its diagonal, where cells that aren't there and places beyond the ends are zeros. A median above zero needs more than radius cells there, so only places near cells are looked at."""
     n = feat.groupBy(key).agg(F.count("*").alias("n"))
-    near = cells.select(key, (F.col("j") - F.col("i")).alias("lag"), "v", F.explode(F.sequence(F.col("i") - radius, F.col("i") + radius)).alias("i"))
-    g = near.groupBy(key, "lag", "i").agg(F.array_sort(F.collect_list("v")).alias("vs")).where(F.size("vs") > radius)
-    g = g.join(n, key).withColumn("j", F.col("i") + F.col("lag")).where("i >= 0 and j >= 0 and i < n and j < n")
+    w = Window.partitionBy(key, "lag").orderBy("i")
+    c = cells.select(key, (F.col("j") - F.col("i")).alias("lag"), "i", "v")
+    # a cell brings the places around it, those before it as far as the cell before doesn't bring them
+    first = F.greatest(F.col("i") - radius, F.coalesce(F.lag("i").over(w) + radius + 1, F.col("i") - radius))
+    last = F.least(F.col("i") + radius, F.coalesce(F.lead("i").over(w) - 1, F.col("i") + radius))
+    c = c.withColumn("first", F.least(first, F.col("i"))).withColumn("last", last)
+    near = c.select(key, "lag", F.col("i").alias("at"), "v", F.explode(F.sequence("first", "last")).alias("i"))
+    g = near.withColumn("vs", F.collect_list(F.when(F.col("i") == F.col("at"), F.col("v"))).over(w.rangeBetween(-radius, radius))).where(F.size("vs") > radius)
+    g = g.withColumn("vs", F.array_sort("vs")).join(n, key).withColumn("j", F.col("i") + F.col("lag")).where("i >= 0 and j >= 0 and i < n and j < n")
     return g.select(key, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.element_at("vs", F.size("vs") - radius).alias("v"))
 
 

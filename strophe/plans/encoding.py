@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sequences as S
+from ..operators import tiles as T
 from ..sources import adapters as A
 from .registry import query
 
@@ -95,7 +96,4 @@ WITH s AS (SELECT label, max(i) + 1 AS n FROM ssm GROUP BY label), p AS (SELECT
 c AS (SELECT ssm.label, v, CASE WHEN i < longer * (short + 1) THEN i // (short + 1) ELSE longer + (i - longer * (short + 1)) // short END::INT AS bi, CASE WHEN j < longer * (short + 1) THEN j // (short + 1) ELSE longer + (j - longer * (short + 1)) // short END::INT AS bj FROM ssm JOIN q ON ssm.label = q.label)
 SELECT label, bi, bj, round(avg(v), 6) AS v FROM c GROUP BY label, bi, bj""")
 def block_summarize(spark, d):
-    from ..operators import matrices as M
-
-    cells = M.ssm(A.features(spark, d), "label")
-    return S.block_summarize(cells, 8, ["label"]).withColumn("v", F.round("v", 6))
+    return T.block_means(A.features(spark, d), "label", 8).withColumn("v", F.round("v", 6))

@@ -71,7 +71,8 @@ def constrained_components(spark, d):
 
 @query()
 def laplacian_labels(spark, d):
-    cells = M.knn_threshold(M.ssm(A.features(spark, d), "label"), ["label"], 0.5)
+    f = A.features(spark, d)
+    cells = M.nearest_cells(f, f, ["label"], 0.5)
     return K.per_group(cells, "label", lambda f: [(k, p, int(x)) for k, lab in enumerate(K.laplacian_labels(_matrix(f))) for p, x in enumerate(lab)], "level int, pos int, cluster int")
 
 

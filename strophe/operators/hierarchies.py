@@ -132,12 +132,15 @@ def salience(hier: DataFrame, size: int = 2) -> DataFrame:
 
 def adjust_start_end(hier: DataFrame, target: DataFrame, blank: str = "-1") -> DataFrame:
     """Levels that last from 0 to the target (item, target): what is missing at either side is a segment labelled blank, what is beyond is cut."""
-    h = hier.join(target, "item")
-    cut = h.where(F.col("start") < F.col("target")).withColumn("end", F.least("end", "target"))
-    span = h.groupBy(*SEGMENT, "target").agg(F.min("start").alias("a"), F.max("end").alias("b"))
-    head = span.where("a > 0").select("item", "level", F.lit(0.0).alias("start"), F.least("a", "target").alias("end"), F.lit(blank).alias("label"))
-    tail = span.where("b < target").select("item", "level", F.col("b").alias("start"), F.col("target").alias("end"), F.lit(blank).alias("label"))
-    return renumbered(cut.select("item", "level", "start", "end", "label").unionByName(head).unionByName(tail))
+    w = by_start(*SEGMENT)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # what a level lacks goes out with its first segment, so a level is gone through once
+    h = hier.join(target, "item").select("item", "level", "start", "end", "label", "target", F.min("start").over(whole).alias("a"), F.max("end").over(whole).alias("b"), F.row_number().over(w).alias("k"))
+    piece = lambda when, start, end, label: F.when(when, F.struct(start.alias("start"), end.alias("end"), label.alias("label")))
+    own = piece(F.col("start") < F.col("target"), F.col("start"), F.least("end", "target"), F.col("label"))
+    head = piece((F.col("k") == 1) & (F.col("a") > 0), F.lit(0.0), F.least("a", "target"), F.lit(blank))
+    tail = piece((F.col("k") == 1) & (F.col("b") < F.col("target")), F.col("b"), F.col("target"), F.lit(blank))
+    return renumbered(h.select("item", "level", F.explode(F.array_compact(F.array(own, head, tail))).alias("s")).select("item", "level", "s.*"))
 
 
 def simplify(hier: DataFrame) -> DataFrame:

@@ -109,8 +109,8 @@ def _relative(spark, d):
 u AS (SELECT * FROM c UNION ALL SELECT item, level, 0, least(a, target), '-1' FROM s WHERE a > 0 UNION ALL SELECT item, level, b, target, '-1' FROM s WHERE b < target)
 SELECT item, level, (row_number() OVER (PARTITION BY item, level ORDER BY "start") - 1)::INT AS seg, round("start", 3) AS "start", round("end", 3) AS "end", label FROM u""")
 def adjust_start_end(spark, d):
-    h = _relative(spark, d)
-    x = H.adjust_start_end(h, h.select("item").distinct().withColumn("target", F.lit(20.0 * 86400)))
+    items = A.table(spark, d, "events").select(F.col("user_id").alias("item")).distinct()
+    x = H.adjust_start_end(_relative(spark, d), items.withColumn("target", F.lit(20.0 * 86400)))
     return x.withColumn("start", F.round("start", 3)).withColumn("end", F.round("end", 3))
 
 

@@ -83,8 +83,7 @@ def remove_close_occs(spark, d):
 def hierarchical_patterns(spark, d):
     segs = M.diag_segments(M.equality_cells(A.sequences(spark, d)), ["seq_id"]).where("len >= 4")
 
-    def f(frame):
-        rows = sorted(frame[["i0", "j0", "len"]].itertuples(index=False, name=None))
+    def f(rows):
         return T.hierarchical_patterns(rows, max(j + m for _, j, m in rows), 3)
 
-    return K.per_group(segs, "seq_id", f, "i0 int, j0 int, len int")
+    return K.per_rows(segs, "seq_id", ["i0", "j0", "len"], f, "i0 int, j0 int, len int")

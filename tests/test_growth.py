@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from unittest import mock
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from strophe.operators import consensus as C
+from strophe.operators import corpus as R
 from strophe.operators import hierarchies as H
+from strophe.operators import kernels as K
+from strophe.operators import structures as T
 
 
 def plan(df) -> str:
@@ -17,3 +25,48 @@ def test_adjust_start_end_goes_through_levels_once(spark):
     rows = sorted(tuple(r) for r in x.collect())
     assert rows == [(1, 0, 0, 0.0, 5.0, "-1"), (1, 0, 1, 5.0, 9.0, "a"), (1, 0, 2, 9.0, 12.0, "b"), (1, 0, 3, 12.0, 20.0, "-1"), (1, 1, 0, 0.0, 20.0, "-1"), (2, 0, 0, 0.0, 20.0, "d")]
     assert plan(x).count("Join") == 1 and "Union" not in plan(x)
+
+
+def test_groups_come_many_to_a_batch_and_whole(spark):
+    """Groups that go over the ends of batches come as one; no group is a batch of its own, which took 13 ms."""
+    df = spark.range(50).select((F.col("id") % 4).alias("g"), F.col("id").cast("int").alias("x"), (-F.col("id")).cast("int").alias("y"))
+    df = df.unionByName(spark.createDataFrame([(None, 1, 1)], "g long, x int, y int"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        one = K.per_group(df, "g", lambda f: [(len(f), int(f["x"].sum()))], "n int, x int")
+        two = K.per_rows(df, "g", ["x", "y"], lambda rows: [(len(rows), sum(x for x, _ in rows))] if rows == sorted(rows) else [], "n int, x int")
+        want = [(k, len(range(k, 50, 4)), sum(range(k, 50, 4))) for k in range(4)]
+        assert sorted(map(tuple, one.collect())) == want == sorted(map(tuple, two.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in plan(one) and "FlatMapGroups" not in plan(two)
+
+
+def test_results_of_many_sequences_are_handed_on_in_parts():
+    frames = list(K.handed_on(((k, "a") for k in range(2 * K.HANDED_ON + 1)), ["k", "s"]))
+    assert [len(f) for f in frames] == [K.HANDED_ON, K.HANDED_ON, 1]
+
+
+def test_beam_joins_classes_as_closing_matrices_does():
+    segs = [(0, 6, 5), (1, 12, 4), (6, 12, 6), (2, 17, 4)]
+    target = np.zeros((24, 24))
+    for s in segs:
+        target[T.cells_of(s)] = 1
+    with mock.patch.object(T, "close", side_effect=AssertionError("a matrix is closed for every step")):
+        assert T.beam_hierarchical(segs, target, 3, 3)
+
+
+def test_songs_are_batches_of_their_own(spark):
+    rows = [(k, [(k, [1, 2])], [(k, k, 0, 1, 1)]) for k in range(6)]
+    df = spark.createDataFrame(rows, "song long, seqs array<struct<seq_id:long,syms:array<int>>>, segs array<struct<a:long,b:long,i0:int,j0:int,len:int>>")
+    x = R.per_song(df, lambda ids, seqs, segs: [(ids[0], len(segs))], "seq_id long, n int")
+    assert sorted(map(tuple, x.collect())) == [(k, k, 1) for k in range(6)]
+    assert "FlatMapGroupsInPandas" in plan(x)
+
+
+def test_components_of_a_dense_song_are_found_soon():
+    """Sixty sequences that are all alike: a pair costs no more than the smaller component, where whole components were sorted for each."""
+    segs = [(a, b, 0, 0, 40) for a in range(60) for b in range(a + 1, 60)]
+    began = time.process_time()
+    comps = C.connected_components(segs, 8)
+    assert [len(c) for c in comps] == [60] * 40 and time.process_time() - began < 4

@@ -101,8 +101,10 @@ def sections(segs: DataFrame, key: str) -> DataFrame:
 
 def combinations(cells: DataFrame, keys: list[str], param: str, n: int) -> DataFrame:
     """The cells (keys, i, j) of every non-empty combination of n matrices, numbered by param from 0, as one: (keys, combo, i, j), combo the sum of 2 ** param."""
-    combos = F.filter(F.sequence(F.lit(1), F.lit((1 << n) - 1)), lambda c: F.shiftright(c, 0).bitwiseAND(F.pow(F.lit(2), F.col(param)).cast("int")) > 0)
-    return cells.select(*keys, "i", "j", F.explode(combos).alias("combo")).distinct()
+    # the matrices that have a cell meet before they are made combinations of, so that only cells are shuffled
+    of = cells.groupBy(*keys, "i", "j").agg(F.bit_or(F.pow(F.lit(2), F.col(param)).cast("int")).alias("params"))
+    combos = F.filter(F.sequence(F.lit(1), F.lit((1 << n) - 1)), lambda c: c.bitwiseAND(F.col("params")) > 0)
+    return of.select(*keys, "i", "j", F.explode(combos).alias("combo"))
 
 
 def label_values(seq: DataFrame, labels: DataFrame) -> DataFrame:

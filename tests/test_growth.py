@@ -13,6 +13,7 @@ from strophe.operators import corpus as R
 from strophe.operators import hierarchies as H
 from strophe.operators import kernels as K
 from strophe.operators import structures as T
+from strophe.sources.storage import stored
 
 
 def plan(df) -> str:
@@ -70,3 +71,30 @@ def test_components_of_a_dense_song_are_found_soon():
     began = time.process_time()
     comps = C.connected_components(segs, 8)
     assert [len(c) for c in comps] == [60] * 40 and time.process_time() - began < 4
+
+
+def test_plain_tables_are_as_large_as_their_rows(spark):
+    """A million packed rows are under Spark's bound for broadcasts, and would go through the driver."""
+    seq = spark.range(0, 1_000_000, 1, 2).select(F.floor(F.col("id") / 64).alias("seq_id"), (F.col("id") % 64).cast("int").alias("pos"), F.lit(1).alias("sym"))
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size(stored(seq, "packed")) < 10 << 20 < size(stored(seq, "plain", plain=True))
+
+
+def test_combinations_shuffle_cells_once(spark):
+    from strophe.operators.patterns import combinations
+
+    cells = spark.createDataFrame([(1, 0, 0, 1), (1, 2, 0, 1), (1, 1, 3, 4)], "seq_id long, param int, i int, j int")
+    x = combinations(cells, ["seq_id"], "param", 3)
+    want = [(1, c, 0, 1) for c in range(1, 8) if c & 5] + [(1, c, 3, 4) for c in range(1, 8) if c & 2]
+    assert sorted(tuple(r) for r in x.select("seq_id", "combo", "i", "j").collect()) == sorted(want)
+    assert "Aggregate" not in plan(x).split("Generate")[0]
+
+
+def test_profile_aligns_sequences_of_a_length_together():
+    rng = np.random.default_rng(1)
+    seqs = [rng.integers(0, 5, n).tolist() for n in [6] * 40 + [9] * 40 + [0, 1]]
+    took, stack = [], np.stack
+    with mock.patch.object(np, "stack", side_effect=lambda *a, **k: (took.append(1), stack(*a, **k))[1]):
+        paths = K.profile_msa(seqs, 5)
+    assert [len(p) for p in paths] == [len(s) for s in seqs]
+    assert len(took) < 200  # of 82 sequences one by one: over 3,000

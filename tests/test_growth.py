@@ -12,6 +12,7 @@ from strophe.operators import consensus as C
 from strophe.operators import corpus as R
 from strophe.operators import hierarchies as H
 from strophe.operators import kernels as K
+from strophe.operators import parts as N
 from strophe.operators import structures as T
 from strophe.sources.storage import stored
 
@@ -98,3 +99,14 @@ def test_profile_aligns_sequences_of_a_length_together():
         paths = K.profile_msa(seqs, 5)
     assert [len(p) for p in paths] == [len(s) for s in seqs]
     assert len(took) < 200  # of 82 sequences one by one: over 3,000
+
+
+def test_supported_parts_count_pairs_where_segments_are(spark):
+    """Only segments are shuffled for the count; cells were, each as two structs."""
+    segs = [(0, 0, 1, 0, 0, 9), (0, 1, 0, 2, 2, 5), (0, 1, 2, 1, 11, 6), (0, 2, 2, 12, 1, 4)]
+    df = spark.createDataFrame(segs, "song long, a long, b long, i0 int, j0 int, len int")
+    tables = []
+    with mock.patch.object(N, "stored", side_effect=lambda d, name: (tables.append(d), stored(d, name))[1]):
+        got = sorted((r["comp"], r["seq_id"], r["pos"]) for r in N.supported_parts(df, "song", 3, 1).collect())
+    assert got == [(k, *x) for k, c in enumerate(C.supported_components([s[1:] for s in segs], 3, 1)) for x in c]
+    assert tables[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1

@@ -21,6 +21,8 @@ SLAB = 1 << 16
 HOT = 2000
 #: The same for groups of wide fingerprints, which are compared in twos of parts of half this size.
 WIDE_HOT = 1 << 15
+#: Rows of a node of wide fingerprints' tries that are compared one by one.
+WIDE_LEAF = 128
 _SPREAD = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
@@ -119,19 +121,27 @@ class _Sets:
             while not np.array_equal(up := label[label], label):
                 label[:] = up
 
+    def moved(self, rows: np.ndarray) -> _Sets:
+        """The same components of rows that are put into another order."""
+        label, out = self.label[rows], _Sets(len(rows))
+        least = np.full(len(rows), len(rows))
+        np.minimum.at(least, label, np.arange(len(rows)))
+        out.label = least[label]
+        return out
+
 
 def trie_links(fp: np.ndarray, group: np.ndarray, budget: int, leaf: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (sorted by group, then unsigned by fp) to hang on others (a on b), so that rows of a group are joined exactly if steps of at most `budget` bits lead from one to the other.
+    """Rows (by group; fp a column, or one for each word of wide fingerprints, the topmost first) to hang on others (a on b), so that rows of a group are joined exactly if steps of at most `budget` bits lead from one to the other.
 
-    Every group is a binary trie, a node is a range of rows. All pairs of nodes walk down a bit at a time, with the number of bits in which their prefixes differ; a pair over the budget is dropped. A pair of small nodes, or at the bottom, is compared row by row. A pair whose rows already are in one component is dropped too, for it can join nothing new; so a dense ball of near copies does not cost all its pairs.
+    Every group is a binary trie, a node is a range of rows. All pairs of nodes walk down a bit at a time, with the number of bits in which their prefixes differ; a pair over the budget is dropped. A pair of small nodes, or at the bottom, is compared row by row. A pair whose rows already are in one component is dropped too, for it can join nothing new; and a group's largest component, once it is known, is a trie of its own that does not meet itself. So a dense ball of near copies does not cost all its pairs.
     """
-    order = np.lexsort((fp, group))  # Spark sorts signed
-    fp, n = fp[order], len(fp)
+    fp = fp.reshape(len(fp), -1)
+    order = np.lexsort((*fp.T[::-1], group))  # Spark sorts signed
+    fp, group, (n, words) = fp[order], group[order], fp.shape
     sets = _Sets(n)
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     last = np.append(first[1:], n)
-    near = np.flatnonzero((group[1:] == group[:-1]) & (np.bitwise_count(fp[1:] ^ fp[:-1]) <= budget))
-    sets.join(near, near + 1)
+    sets.join(*_near(fp, *(np.flatnonzero(group[1:] == group[:-1])[None] + [[0], [1]]), budget))
     big = last - first > 4 * leaf
     for _ in range(12):  # stars around rows of groups that are still apart; this only spares later work
         if not big.any():
@@ -139,23 +149,28 @@ def trie_links(fp: np.ndarray, group: np.ndarray, budget: int, leaf: int = 16) -
         rows = np.concatenate([np.arange(a, b) for a, b in zip(first[big], last[big])])
         size = (last - first)[big]
         centre = np.repeat(first[big] + (np.arange(len(size)) * 7919 + _ * 104729) % size, size)
-        hit = np.bitwise_count(fp[rows] ^ fp[centre]) <= budget
-        sets.join(rows[hit], centre[hit])
-    alo = first[last - first > 1]
-    ahi = last[last - first > 1]
-    blo, bhi, dist = alo, ahi, np.zeros(len(alo), np.int64)
-    for bit in range(BITS + 1):
+        sets.join(*_near(fp, rows, centre, budget))
+    core = _cores(sets.label, group, leaf)
+    moved = np.lexsort((~core, group))
+    fp, order, core = fp[moved], order[moved], np.concatenate(([0], np.cumsum(core[moved])))
+    sets = sets.moved(moved)
+    mid = first + core[last] - core[first]
+    alo, ahi, blo, bhi = (np.concatenate(x) for x in ((mid, first), (last, mid), (mid, mid), (last, last)))
+    some = (ahi > alo) & (bhi > blo) & ~((alo == blo) & (ahi - alo == 1))
+    alo, ahi, blo, bhi = (x[some] for x in (alo, ahi, blo, bhi))
+    dist = np.zeros(len(alo), np.int64)
+    for bit in range(words * BITS + 1):
         if not len(alo):
             break
-        done = ((ahi - alo) * (bhi - blo) <= leaf * leaf) | (bit == BITS)
-        _compare(fp, sets, alo[done], ahi[done], blo[done], bhi[done], budget)
+        done = ((ahi - alo) * (bhi - blo) <= leaf * leaf) | (bit == words * BITS)
+        (_compare if words == 1 else _tables)(fp, sets, alo[done], ahi[done], blo[done], bhi[done], budget)
         alo, ahi, blo, bhi, dist = (x[~done] for x in (alo, ahi, blo, bhi, dist))
         if not len(alo):
             break
         change = np.concatenate(([0], np.cumsum(sets.label[1:] != sets.label[:-1])))
         one = (change[ahi - 1] == change[alo]) & (change[bhi - 1] == change[blo]) & (sets.label[alo] == sets.label[blo])
         alo, ahi, blo, bhi, dist = (x[~one] for x in (alo, ahi, blo, bhi, dist))
-        ones = np.concatenate(([0], np.cumsum(((fp >> np.uint64(BITS - 1 - bit)) & np.uint64(1)).astype(np.int64))))
+        ones = np.concatenate(([0], np.cumsum(((fp[:, bit // BITS] >> np.uint64(BITS - 1 - bit % BITS)) & np.uint64(1)).astype(np.int64))))
         amid, bmid = ahi - (ones[ahi] - ones[alo]), bhi - (ones[bhi] - ones[blo])
         self_pair = alo == blo
         parts = [(alo, amid, blo, bmid, dist), (amid, ahi, bmid, bhi, dist), (alo, amid, bmid, bhi, dist + 1)]
@@ -167,6 +182,25 @@ def trie_links(fp: np.ndarray, group: np.ndarray, budget: int, leaf: int = 16) -
     return order[a], order[sets.label[a]]
 
 
+def _cores(label: np.ndarray, group: np.ndarray, least: int) -> np.ndarray:
+    """Which rows are in the largest component of their group, if that has over `least` rows."""
+    size = np.bincount(label, minlength=len(label))[label]
+    best = np.lexsort((label, -size, group))
+    start = np.concatenate(([True], group[best][1:] != group[best][:-1]))[: len(best)]
+    core = label[best][start][np.cumsum(np.concatenate(([0], group[1:] != group[:-1])))[: len(group)]] if len(group) else label
+    return (label == core) & (size > least)
+
+
+def _near(fp: np.ndarray, a: np.ndarray, b: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows that differ in at most `budget` bits, word by word."""
+    dist: np.ndarray | int = 0
+    for w in range(fp.shape[1]):
+        dist = dist + np.bitwise_count(fp[:, w][a] ^ fp[:, w][b]).astype(np.uint16)
+        stay = dist <= budget
+        a, b, dist = a[stay], b[stay], dist[stay]
+    return a, b
+
+
 def _compare(fp, sets: _Sets, alo, ahi, blo, bhi, budget: int, at_once: int = 1 << 21) -> None:
     """Compares all rows of the node pairs, some two million pairs of rows at a time."""
     sizes = (ahi - alo) * (bhi - blo)
@@ -178,9 +212,38 @@ def _compare(fp, sets: _Sets, alo, ahi, blo, bhi, budget: int, at_once: int = 1
             wide = np.repeat((bhi - blo)[part], size)
             a, b = np.repeat(alo[part], size) + k // wide, np.repeat(blo[part], size) + k % wide
             new = (a < b) & (sets.label[a] != sets.label[b])
-            a, b = a[new], b[new]
-            hit = np.bitwise_count(fp[a] ^ fp[b]) <= budget
-            sets.join(a[hit], b[hit])
+            sets.join(*_near(fp, a[new], b[new], budget))
+
+
+def _tables(fp, sets: _Sets, alo, ahi, blo, bhi, budget: int, at_once: int = 1 << 20) -> None:
+    """Compares all rows of the node pairs, a table of the words but the last for each pair, and what these leave within the budget as a whole."""
+    columns = np.ascontiguousarray(fp.T)[:-1]  # 192 bits fit a byte
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    kept = 0
+
+    def join() -> None:
+        if found:
+            a, b = map(np.concatenate, zip(*found))
+            new = sets.label[a] != sets.label[b]
+            sets.join(*_near(fp, a[new], b[new], budget))
+            found.clear()
+
+    for a0, a1, b0, b1 in zip(alo.tolist(), ahi.tolist(), blo.tolist(), bhi.tolist()):
+        step = max(1, at_once // (b1 - b0))
+        for at in range(a0, a1, step):
+            to = min(a1, at + step)
+            dist = np.bitwise_count(columns[0, at:to, None] ^ columns[0, None, b0:b1])
+            for c in columns[1:]:
+                dist += np.bitwise_count(c[at:to, None] ^ c[None, b0:b1])
+            hit = np.flatnonzero(dist.ravel() <= budget)
+            if len(hit):
+                a, b = at + hit // (b1 - b0), b0 + hit % (b1 - b0)
+                found.append((a, b))
+                kept += len(a)
+                if kept > at_once:
+                    join()
+                    kept = 0
+    join()
 
 
 def groups(fps: DataFrame, budget: int = 4) -> DataFrame:
@@ -273,7 +336,7 @@ def _blocks() -> list[Column]:
 def wide_links(fps: DataFrame, budget: int) -> DataFrame:
     """For distinct wide fingerprints (f0 to f3, node): edges (u, v) between nodes that join what differs in at most `budget` bits and agrees in one of 24 blocks of 10 bits at least; of texts with a Jaccard similarity of 0.8 that is 99 %, of 0.9 nearly all.
 
-    A block is the top of a trie, dealt to one task. Groups of over WIDE_HOT fingerprints are cut into parts by a hash, and every two parts meet in a task; so the same pairs are compared, however full a block is. The list of such groups, which is broadcast, is no longer than the blocks have values.
+    As in `links`, a trie is dealt out by what near fingerprints must share, here a block, and below it pairs of nodes are walked together in one task with the budget (ball_links). Groups of over WIDE_HOT fingerprints are cut into parts by a hash, and every two parts meet in a task; so the same pairs are compared, however full a block is. The list of such groups, which is broadcast, is no longer than the blocks have values.
     """
     cols = ["node", *WIDE_COLUMNS]
     one = F.array(*[F.struct(F.lit(k).alias("m"), x.alias("key")) for k, x in enumerate(_blocks())])
@@ -312,85 +375,8 @@ def wide_links(fps: DataFrame, budget: int) -> DataFrame:
 
 
 def ball_links(fp: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (by group, fp by words) to hang on others (a on b), so that rows of a group are joined exactly if steps of at most `budget` bits lead from one to the other.
-
-    First, stars around some rows of a group join what is near. Then pairs are compared whose rows are still apart: those of the group's largest component are not compared with one another, so a dense group does not cost all its pairs. Pairs are walked word by word, and dropped as soon as their differing bits exceed the budget.
-    """
-    n = len(fp)
-    sets = _Sets(n)
-    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    last = np.append(first[1:], n)
-
-    def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        dist = np.zeros(len(a), np.int64)
-        for w in range(fp.shape[1]):
-            dist += np.bitwise_count(fp[a, w] ^ fp[b, w])
-            stay = dist <= budget
-            a, b, dist = a[stay], b[stay], dist[stay]
-        return a, b
-
-    big = last - first > 24
-    for k in range(8):
-        if not big.any():
-            break
-        size = (last - first)[big]
-        rows = np.concatenate([np.arange(a, b) for a, b in zip(first[big], last[big])])
-        centre = np.repeat(first[big] + (np.arange(len(size)) * 7919 + k * 104729) % size, size)
-        sets.join(*near(rows, centre))
-    for lo, hi in _spans(first, last):
-        left, right = [], []
-        for a, b in zip(first[lo:hi].tolist(), last[lo:hi].tolist()):
-            if b - a > 256:
-                _dense(fp, sets, near, a, b, budget)
-            elif b - a > 1:
-                label = sets.label[a:b]
-                if b - a > 24:
-                    values, counts = np.unique(label, return_counts=True)
-                    others = np.flatnonzero(label != values[counts.argmax()])
-                else:
-                    others = np.arange(b - a)
-                if len(others):
-                    left.append(np.repeat(others + a, b - a))
-                    right.append(np.tile(np.arange(a, b), len(others)))
-                    if sum(map(len, left[-64:])) > 1 << 21:
-                        _apart(sets, near, left, right)
-                        left, right = [], []
-        _apart(sets, near, left, right)
-    a = np.flatnonzero(sets.label != np.arange(n))
-    return a, sets.label[a]
-
-
-def _dense(fp: np.ndarray, sets: _Sets, near, a: int, b: int, budget: int, at_once: int = 1 << 21) -> None:
-    """Compares the rows of one large group that are not in its largest component with all, by their first two words as a table; what these leave within the budget is compared as a whole."""
-    label = sets.label[a:b]
-    values, counts = np.unique(label, return_counts=True)
-    core = label == values[counts.argmax()]
-    rows = np.concatenate([np.flatnonzero(core), np.flatnonzero(~core)]) + a
-    one, two, at = fp[rows, 0], fp[rows, 1], int(core.sum())
-    while at < len(rows):
-        to = min(len(rows), at + max(1, at_once // len(rows)))
-        dist = np.bitwise_count(one[at:to, None] ^ one[None, :to])
-        dist += np.bitwise_count(two[at:to, None] ^ two[None, :to])
-        x, y = np.nonzero(dist <= budget)
-        x, y = rows[x + at], rows[y]
-        new = sets.label[x] != sets.label[y]
-        sets.join(*near(x[new], y[new]))
-        at = to
-
-
-def _spans(first: np.ndarray, last: np.ndarray, pairs: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Stretches of groups with about so many pairs of rows at most, or one group."""
-    size = np.cumsum((last - first) ** 2)
-    cuts = np.flatnonzero(np.diff(size // pairs)) + 1
-    edges = [0, *cuts.tolist(), len(first)]
-    yield from ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
-
-
-def _apart(sets: _Sets, near, left: list, right: list) -> None:
-    if left:
-        a, b = np.concatenate(left), np.concatenate(right)
-        new = (a != b) & (sets.label[a] != sets.label[b])
-        sets.join(*near(a[new], b[new]))
+    """trie_links of wide fingerprints (fp by words): the trie has 256 levels, and nodes of some hundred rows are compared as tables, for a budget of 56 bits drops few pairs of nodes above them."""
+    return trie_links(fp, group, budget, WIDE_LEAF)
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -481,7 +467,7 @@ def verified_links(members: DataFrame, with_text, width: int, seed: int, budget:
 def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest doc_id (null last, then the smaller hash of the text); of exactly repeated rows one. All columns stay.
 
-    Near copies have a Jaccard similarity of at least `similarity` over their sets of five-word shingles; a group is what steps between near copies lead to. Candidates are found by SimHashes of the sets, of 256 bits, that differ in no more bits than texts of that similarity do, with three deviations more (bits_apart), and agree in a block (wide_links). All pairs of a component of candidates within these bits are verified by their sets, if steps do not join them anyway (verified_links). Fingerprints of 64 bits are too coarse for that: at 0.8 they differ in ten bits on average. Null and empty texts are copies of one another.
+    Near copies have a Jaccard similarity of at least `similarity` over their sets of five-word shingles; a group is what steps between near copies lead to. Candidates are found by a trie self-join with an error budget, as near_duplicates has it, over SimHashes of the sets, of 256 bits, that differ in no more bits than texts of that similarity do, with three deviations more (bits_apart), and agree in a block (wide_links). All pairs of a component of candidates within these bits are verified by their sets, if steps do not join them anyway (verified_links). Fingerprints of 64 bits are too coarse for that: at 0.8 they differ in ten bits on average. Null and empty texts are copies of one another.
     """
     h = F.xxhash64("text")
 

@@ -123,6 +123,27 @@ def test_ball_links_join_what_comparing_all_joins(seed):
     assert np.array_equal(mine.label, want.label)
 
 
+@pytest.mark.parametrize("leaf", [2, 16, 128])
+def test_tries_of_wide_fingerprints_join_what_comparing_all_joins(leaf, monkeypatch):
+    """The pipeline's candidates come from op4's walk of pairs of nodes with a budget; before, wide fingerprints had no trie."""
+    rng = np.random.default_rng(leaf)
+    fp = np.repeat(rng.integers(0, 2**63, (40, 4), dtype=np.uint64), rng.integers(1, 60, 40), axis=0)
+    for k in range(16):  # in some all of them in the first word
+        fp[np.arange(len(fp)), rng.integers(0, 4, len(fp)) * (np.arange(len(fp)) % 3 > 0)] ^= np.uint64(1) << rng.integers(0, 64, len(fp), dtype=np.uint64)
+    fp[:3] = [[0] * 4, [2**64 - 1] * 4, [1] + [0] * 3]  # all bits apart is not near
+    group = np.sort(rng.integers(0, 3, len(fp)))
+    dist = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2, dtype=int)
+    want = S._Sets(len(fp))
+    want.join(*np.nonzero((dist <= 20) & (group[:, None] == group[None])))
+    mine = S._Sets(len(fp))
+    mine.join(*S.trie_links(fp, group, 20, leaf))
+    assert np.array_equal(mine.label, want.label) and len(set(want.label)) > 40
+    walked, walk = [], S.trie_links
+    monkeypatch.setattr(S, "trie_links", lambda *a: (walked.append(a[2]), walk(*a))[1])
+    S.ball_links(fp, group, 20)
+    assert walked == [20]
+
+
 @pytest.mark.parametrize("hot", [1 << 15, 30])
 def test_near_copies_go_and_clean_documents_stay(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "WIDE_HOT", hot)  # 30: groups are cut into parts

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strophe.operators import consensus as C
 from strophe.operators import corpus as R
+from strophe.operators import graphs as G
 from strophe.operators import hierarchies as H
 from strophe.operators import kernels as K
 from strophe.operators import parts as N
@@ -110,3 +111,25 @@ def test_supported_parts_count_pairs_where_segments_are(spark):
         got = sorted((r["comp"], r["seq_id"], r["pos"]) for r in N.supported_parts(df, "song", 3, 1).collect())
     assert got == [(k, *x) for k, c in enumerate(C.supported_components([s[1:] for s in segs], 3, 1)) for x in c]
     assert tables[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
+def test_differences_of_points_are_not_shuffled(spark):
+    """Only points and rows of them are; differences were, and each pattern was a Python step."""
+    rng = np.random.default_rng(2)
+    sets = {k: sorted({(int(a), int(b)) for a, b in zip(rng.integers(-9, 30, n), rng.integers(0, 4, n))}) for k, n in enumerate([1, 2, 40, 25, 60])}
+    sets[5] = [(0, -(2**28)), (2**29, 2**28), (2**29 + 7, 0)]  # a long line
+    rows = [(k, *p) for k, points in sets.items() for p in points]
+    want = []
+    for k, points in sets.items():
+        moves = {}
+        for i, (x, y) in enumerate(points):
+            for u, v in points[i + 1 :]:
+                moves.setdefault((u - x, v - y), []).append((x, y))
+        for (dx, dy), own in moves.items():
+            every = {(u - own[0][0], v - own[0][1]) for u, v in points}
+            want.append((k, dx, dy, len(own), sum(all((x + u, y + v) in set(points) for x, y in own) for u, v in every)))
+    df = spark.createDataFrame([*rows, *rows[:9], (2, None, 1)], "seq_id long, pos int, sym int")
+    for stripe in (1 << 18, 50):
+        x = G.siatec(df, stripe)
+        assert sorted(map(tuple, x.collect())) == sorted(want)
+        assert "Join" not in plan(x) and plan(x).count("RepartitionByExpression") == 1

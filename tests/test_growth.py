@@ -133,3 +133,23 @@ def test_differences_of_points_are_not_shuffled(spark):
         x = G.siatec(df, stripe)
         assert sorted(map(tuple, x.collect())) == sorted(want)
         assert "Join" not in plan(x) and plan(x).count("RepartitionByExpression") == 1
+
+
+def test_connected_places_meet_without_shuffling_their_pairs(spark):
+    """Places are counted where they meet; the cells of all pairs of occurrences were shuffled for the counts."""
+    rng = np.random.default_rng(3)
+    occ = {(int(s), int(n), int(x)) for s, n, x in zip(rng.integers(0, 6, 150), rng.integers(2, 6, 150), rng.integers(0, 12, 150))}
+    rows = [(f"{n}:{(s + x) % 3}", n, s, x) for s, n, x in sorted(occ)]
+    df = spark.createDataFrame(rows, "pattern string, len int, seq_id long, pos int")
+    for least in (1, 2, 3):
+        n = {}
+        for a in rows:
+            for b in rows:
+                if a[0] == b[0] and a[2:] < b[2:]:
+                    for k in range(a[1]):
+                        at = a[2], a[3] + k, b[2], b[3] + k
+                        n[at] = n.get(at, 0) + 1
+        for many in (0, 4, 12):
+            x = G.connection_counts(df, least, many)
+            assert sorted(map(tuple, x.collect())) == sorted((*at, c) for at, c in n.items() if c >= least)
+            assert "Aggregate" not in plan(x)

@@ -163,3 +163,14 @@ def test_best_segments_marks_what_a_window_contains_without_looking_at_all_other
     assert time.process_time() - began < 3  # 0.3 s; comparing each window with all others took 9
     cells = plans.QUERIES["best_segments"](spark, "/root/testdata/sf0.001")
     assert "MapInPandas" not in plan(cells)  # a series' vectors are sent, not its cells
+
+
+def test_transitive_construction_keeps_what_it_knows_of_two_components(spark):
+    x = np.random.default_rng(1).standard_normal((200, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    began = time.process_time()
+    label = K.transitive_labels(np.maximum(x @ x.T, 0))
+    assert time.process_time() - began < 3  # 0.3 s; rating each cell of the beam anew took 12
+    i, j = K.pairs_within(label)
+    assert len(i) and (j - i >= 4).all() and (label[i] == label[j]).all() and len(i) == ((label[:, None] == label).sum() - 200) // 2
+    assert "MapInPandas" not in plan(plans.QUERIES["transitive_construction"](spark, "/root/testdata/sf0.001"))

@@ -174,3 +174,7 @@ def test_transitive_construction_keeps_what_it_knows_of_two_components(spark):
     i, j = K.pairs_within(label)
     assert len(i) and (j - i >= 4).all() and (label[i] == label[j]).all() and len(i) == ((label[:, None] == label).sum() - 200) // 2
     assert "MapInPandas" not in plan(plans.QUERIES["transitive_construction"](spark, "/root/testdata/sf0.001"))
+
+
+def test_simple_structure_is_sent_vectors_and_not_cells(spark):
+    assert "MapInPandas" not in plan(plans.QUERIES["simple_structure"](spark, "/root/testdata/sf0.001"))

@@ -178,3 +178,13 @@ def test_transitive_construction_keeps_what_it_knows_of_two_components(spark):
 
 def test_simple_structure_is_sent_vectors_and_not_cells(spark):
     assert "MapInPandas" not in plan(plans.QUERIES["simple_structure"](spark, "/root/testdata/sf0.001"))
+
+
+def test_components_shuffle_nodes_and_not_edges(spark):
+    n = 60
+    e = spark.createDataFrame([(a, b) for k in range(4) for a in range(k * n, k * n + n) for b in range(k * n, a)] + [(1000, 1000), (1000, 5)], "u long, v long").repartition(2).union(spark.createDataFrame([(1001, None)], "u long, v long")).dropna()
+    few = G.contracted(e.where("u > v")).collect()
+    assert len(few) <= 3 * (4 * n)  # of 7,081 edges
+    want = {(x, x // n * n) for x in range(4 * n)} | {(1000, 0)}
+    assert {(r.node, r.root) for r in G.components(e).collect()} == want
+    assert {(r.node, r.root) for r in G.components(G.contracted(e.where("u > v"), 1)).collect()} == want  # a part of one edge at a time

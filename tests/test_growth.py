@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strophe import plans
+from strophe.operators import chains as H2
 from strophe.operators import consensus as C
 from strophe.operators import corpus as R
 from strophe.operators import graphs as G
@@ -188,3 +189,19 @@ def test_components_shuffle_nodes_and_not_edges(spark):
     want = {(x, x // n * n) for x in range(4 * n)} | {(1000, 0)}
     assert {(r.node, r.root) for r in G.components(e).collect()} == want
     assert {(r.node, r.root) for r in G.components(G.contracted(e.where("u > v"), 1)).collect()} == want  # a part of one edge at a time
+
+
+def test_a_gap_is_aligned_with_many_sequences_at_once():
+    rng = np.random.default_rng(2)
+    a, many = rng.integers(0, 3, 40), [rng.integers(0, 3, n) for n in (30, 0, 2, 55)]
+    which, i, j, n = K.common_segments_of_all(a, many, 4, 1, 0.2)
+    assert sorted(zip(which.tolist(), i.tolist(), j.tolist(), n.tolist())) == sorted((k, *s) for k, b in enumerate(many) for s in C.alignments(a.tolist(), b.tolist(), 4, 1, 0.2)) and len(n)
+
+
+def test_chain_steps_take_no_round_for_each_ring(spark):
+    """Chains hang on where no ring closes; a song with many rings took a round of jobs for each."""
+    points = [(1, 3 * r + c, 100 * r + s, p) for r in range(4) for s in range(3) for p, c in enumerate([(s + k) % 3 for k in range(3)])]
+    comps = spark.createDataFrame(points, "song long, comp int, seq_id long, pos int")
+    with mock.patch.object(H2, "stored", side_effect=stored) as store:
+        got = sorted(tuple(r) for r in H2.chain_steps(comps, 0.3).collect())
+    assert got == [(1, 3 * r + c, 3 * r + c + 1) for r in range(4) for c in range(2)] and store.call_count == 1

@@ -75,6 +75,12 @@ def affinity(rep: DataFrame, loc: DataFrame, key: str, width: int = 9, radius: i
     return balanced(stored(lag_median(recurrence(rep, key, width), rep, key, radius), "recurrence"), stored(path(loc, key), "path"), key)
 
 
+def foremost(feat: DataFrame, sizes: DataFrame, key: str, sigmas: list[float]) -> DataFrame:
+    """The cells (key, i, j, v) of series that parameter_study keeps for any of the sigmas, found row by row where similarities are worked out; the others are never rows."""
+    most = F.greatest(*[neighbours(F.col("n"), s) for s in sigmas]) if len(sigmas) > 1 else neighbours(F.col("n"), sigmas[0])
+    return tiles.nearest(feat.join(sizes.select(key, most.alias("num_a")), key), feat, [key], tiles.by_similarity)
+
+
 def parameter_study(cells: DataFrame, sizes: DataFrame, key: str, sigmas: list[float], betas: list[int]) -> DataFrame:
     """How promising the matrices of series (key, i, j, v; sizes: key, n) are that sigma (how many of a row's largest cells are kept) and beta (the least length of segments) give: (key, sigma, beta, rating, best_sigma, best), best_sigma and best telling whether sigma has the highest mean rating of its key, and beta the highest rating of that one; ties go to the smaller ones.
 

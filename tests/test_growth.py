@@ -17,6 +17,7 @@ from strophe.operators import hierarchies as H
 from strophe.operators import kernels as K
 from strophe.operators import parts as N
 from strophe.operators import structures as T
+from strophe.operators import tiles
 from strophe.sources.storage import stored
 
 
@@ -205,3 +206,8 @@ def test_chain_steps_take_no_round_for_each_ring(spark):
     with mock.patch.object(H2, "stored", side_effect=stored) as store:
         got = sorted(tuple(r) for r in H2.chain_steps(comps, 0.3).collect())
     assert got == [(1, 3 * r + c, 3 * r + c + 1) for r in range(4) for c in range(2)] and store.call_count == 1
+
+
+def test_sigma_beta_study_ranks_cells_where_they_are_worked_out(spark):
+    with mock.patch.object(tiles, "similarities", side_effect=AssertionError("all cells are rows")):
+        assert plans.QUERIES["sigma_beta_study"](spark, "/root/testdata/sf0.001").count() == 90

@@ -78,7 +78,7 @@ def constrained_components(spark, d):
 def laplacian_labels(spark, d):
     f = A.features(spark, d)
     cells = M.nearest_cells(f, f, ["label"], 0.5)
-    return K.per_group(cells, "label", lambda f: [(k, p, int(x)) for k, lab in enumerate(K.laplacian_labels(_matrix(f))) for p, x in enumerate(lab)], "level int, pos int, cluster int")
+    return K.per_group(cells, "label", lambda f: [(k, p, int(x)) for k, lab in enumerate(K.laplacian_labels_of_cells(f["i"].to_numpy(), f["j"].to_numpy(), np.ones(len(f)))) for p, x in enumerate(lab)], "level int, pos int, cluster int")
 
 
 @query()

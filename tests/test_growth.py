@@ -211,3 +211,20 @@ def test_chain_steps_take_no_round_for_each_ring(spark):
 def test_sigma_beta_study_ranks_cells_where_they_are_worked_out(spark):
     with mock.patch.object(tiles, "similarities", side_effect=AssertionError("all cells are rows")):
         assert plans.QUERIES["sigma_beta_study"](spark, "/root/testdata/sf0.001").count() == 90
+
+
+def test_eigenvectors_of_long_series_need_no_matrix():
+    """Beyond DENSE positions the labels come from the cells, and are those of the matrix."""
+    import tracemalloc
+
+    rng, n = np.random.default_rng(4), 700
+    for i, j, whole in ((np.repeat(np.arange(n), 6), rng.integers(0, n, 6 * n), True), (np.append(np.arange(n - 1), 5), np.append(np.arange(1, n), 400), False)):
+        i, j = np.divmod(np.unique(i * n + j), n)
+        v = np.ones(len(i)) if whole else rng.random(len(i)) + 0.1
+        want = K.laplacian_labels_of_cells(i, j, v, 4, whole=whole)
+        with mock.patch.object(K, "DENSE", 10), mock.patch.object(K, "BASIS", 48):
+            tracemalloc.start()
+            got = K.laplacian_labels_of_cells(i, j, v, 4, whole=whole)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+        assert all((a == b).all() for a, b in zip(got, want)) and peak < n * n * 8

@@ -228,3 +228,7 @@ def test_eigenvectors_of_long_series_need_no_matrix():
             peak = tracemalloc.get_traced_memory()[1]
             tracemalloc.stop()
         assert all((a == b).all() for a, b in zip(got, want)) and peak < n * n * 8
+
+
+def test_diagonal_ratings_are_rounded_where_they_are_worked_out(spark):
+    assert "round(" not in plan(plans.QUERIES["diagonal_ratings"](spark, "/root/testdata/sf0.001"))

@@ -18,6 +18,7 @@ from strophe.operators import kernels as K
 from strophe.operators import parts as N
 from strophe.operators import structures as T
 from strophe.operators import tiles
+from strophe.sources import adapters as A
 from strophe.sources.storage import stored
 
 
@@ -232,3 +233,12 @@ def test_eigenvectors_of_long_series_need_no_matrix():
 
 def test_diagonal_ratings_are_rounded_where_they_are_worked_out(spark):
     assert "round(" not in plan(plans.QUERIES["diagonal_ratings"](spark, "/root/testdata/sf0.001"))
+
+
+def test_affinities_are_rounded_where_they_are_worked_out(spark):
+    """Spark's round makes a decimal number for each of a matrix's cells."""
+    for q in ("scaled_affinity", "mixed_affinity"):
+        assert "round(v" not in plan(plans.QUERIES[q](spark, "/root/testdata/sf0.001"))
+    f = A.features(spark, "/root/testdata/sf0.01").where("label < 2")
+    exact = tiles.similarities(f, f, ["label"], upper=True).withColumn("v", F.round("v", 4))
+    assert sorted(map(tuple, tiles.similarities(f, f, ["label"], upper=True, digits=4).collect())) == sorted(map(tuple, exact.collect()))
